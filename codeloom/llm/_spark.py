@@ -105,7 +105,7 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("_near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("_at"))
         jump = labels.select(F.col("node").alias("_at"), F.col("comp").alias("_to"))
-        step = step.join(jump, "_at", "left").select("node", F.least("_at", F.coalesce("_to", "_at")).alias("comp"), (F.least("_at", F.coalesce("_to", "_at")) <> F.col("_old")).alias("_moved"))
+        step = step.join(jump, "_at", "left").select("node", F.least("_at", F.coalesce("_to", "_at")).alias("comp"), (F.least("_at", F.coalesce("_to", "_at")) != F.col("_old")).alias("_moved"))
         done = cut(step, "labels")
         moved = done.where("_moved").limit(1).count()
         drop_cut(labels)
