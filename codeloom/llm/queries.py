@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import toxicity
+from codeloom.llm import packing, toxicity
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +26,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_toxicity,)}
+    return {f.__name__: f for f in (op7_packing, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
