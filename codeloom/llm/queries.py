@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import packing, toxicity
+from codeloom.llm import language, packing, toxicity
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +26,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(id_class("doc_id", 3) != 1))
+    return language.predict(docs, model).select("doc_id", (id_class("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_packing, op8_toxicity)}
+    return {f.__name__: f for f in (op2_language, op7_packing, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
