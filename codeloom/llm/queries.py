@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import language, packing, toxicity, warc
+from codeloom.llm import fingerprint, language, packing, toxicity, warc
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(id_class("doc_id", 3) != 1))
@@ -55,7 +59,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language, op6_warc, op7_packing, op8_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op6_warc, op7_packing, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
