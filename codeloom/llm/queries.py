@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import fingerprint, language, packing, toxicity, warc
+from codeloom.llm import fingerprint, language, packing, topk, toxicity, warc
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +58,27 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.scaled(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
+OP10_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op6_warc, op7_packing, op8_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op6_warc, op7_packing, op8_toxicity, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op6_warc": OP6_SQL, "op10_topk": OP10_SQL}
