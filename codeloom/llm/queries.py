@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import fingerprint, language, packing, topk, toxicity, warc
+from codeloom.llm import fingerprint, language, minhash, packing, topk, toxicity, warc
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", (id_class("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -77,7 +81,7 @@ SELECT * FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op6_warc, op7_packing, op8_toxicity, op10_topk)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op6_warc, op7_packing, op8_toxicity, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
