@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import fingerprint, language, linededup, minhash, packing, topk, toxicity, warc
+from codeloom.llm import fingerprint, language, linededup, minhash, mixing, packing, topk, toxicity, warc
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_chars", "removed_words", "spans")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(table(spark, sf_dir, "documents"), copies_col="copies")
+    return drawn.select("doc_id", "source", mixing.tokens("text").alias("tokens"), "copies")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -86,7 +91,7 @@ SELECT * FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op6_warc, op7_packing, op8_toxicity, op10_topk)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op5_mixing, op6_warc, op7_packing, op8_toxicity, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
