@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import fingerprint, language, linededup, minhash, mixing, packing, topk, toxicity, warc
+from codeloom.llm import fingerprint, language, linededup, minhash, mixing, packing, preferences, topk, toxicity, warc
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return preferences.pair_up(preferences.against_other_answers(preferences.conversations(turns)))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.scaled(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
 
@@ -91,7 +96,7 @@ SELECT * FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op5_mixing, op6_warc, op7_packing, op8_toxicity, op10_topk)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op5_mixing, op6_warc, op7_packing, op8_toxicity, op9_preferences, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
