@@ -93,7 +93,7 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = lines.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("m"), F.max("id").alias("last"))
     first = first.where(F.col("last") > F.col("m.id")).select("hash", F.col("m.id").alias("source"), F.col("m.pos").alias("source_pos"))
     first = cut(first, "firsts")
-    met = lines.join(first, "hash").where(F.col("id") > F.col("source")).select("id", "source", "pos", F.col("source_pos"))
+    met = lines.hint("merge").join(first, "hash").where(F.col("id") > F.col("source")).select("id", "source", "pos", F.col("source_pos"))
     w = Window.partitionBy("id", "source", F.col("pos") - F.col("source_pos")).orderBy("pos")
     marked = met.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > LINE).cast("int"), F.lit(1)))
     numbered = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -120,7 +120,8 @@ def _around(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["source", "source_pos", "words", "before", "after"])
 
     wanted = found.select("source", "source_pos", "words").distinct().groupBy("source").agg(F.collect_list(F.struct("source_pos", "words")).alias("wanted"))
-    rows = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text")).join(wanted, "source").select("source", "text", "wanted")
+    # Merged at every size, as in dedup(): the texts are dealt out once for each, however few runs there are.
+    rows = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text")).hint("merge").join(wanted, "source").select("source", "text", "wanted")
     return rows.mapInArrow(run, f"source {kind}, source_pos int, words int, before array<long>, after array<long>").dropDuplicates(["source", "source_pos", "words"])
 
 
@@ -191,6 +192,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 columns += [pa.array(removed, pa.int64()), pa.array(spans, kinds)]
             yield pa.RecordBatch.from_arrays(columns, [*names, *(["removed_words", "spans"] if details else [])])
 
-    joined = docs.join(extended.withColumnRenamed("id", "_id"), docs[id_col] == F.col("_id"), "left").select(*[docs[c] for c in names], "_found")
+    joined = docs.hint("merge").join(extended.withColumnRenamed("id", "_id"), docs[id_col] == F.col("_id"), "left").select(*[docs[c] for c in names], "_found")
     drop_cut(found)
     return joined.mapInArrow(run, ", ".join([*schema, *more]))
