@@ -4,14 +4,159 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from codeloom.functions import exprs
+from codeloom.operators import catalog, incremental, scanners, sqltext
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as SQL files: a statement a lineitem; the file's directory depends on the order's priority."""
+    items, parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.translate("p_name", " ", "_")
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    text = (
+        F.when(n == 1, F.concat(F.lit("CREATE TABLE sales.["), name, F.lit("] (id int REFERENCES dbo.keys)")))
+        .when(flag == "A", F.concat(F.lit("SELECT * FROM [dbo].["), name, F.lit("] a JOIN dim.dates d"))).when(flag == "N", F.concat(F.lit("EXEC dbo.load_"), name))
+        .otherwise(F.concat(F.lit("INSERT INTO stage."), name, F.lit(" SELECT 1; DELETE FROM "), name))
+    )
+    rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("t")).alias("s"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_set("s")), lambda x: x["t"]), "\n")
+    path = F.concat(F.when(F.col("l_orderkey") % 3 == 0, "db/migrations/o").otherwise("db/o"), F.col("l_orderkey").cast("string"), F.lit(".sql"))
+    return rows.groupBy("l_orderkey").agg(joined.alias("content")).select(F.concat(F.lit("repo-"), (F.col("l_orderkey") % 10).cast("string")).alias("source_name"), path.alias("rel_path"), "content")
+
+
+_FILES = """
+WITH stmt AS (
+  SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS f, replace(p_name, ' ', '_') AS n FROM lineitem JOIN part ON l_partkey = p_partkey
+), uniq AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 1 THEN 'C' ELSE f END AS k, n FROM stmt),
+src AS (SELECT *, 'repo-' || (l_orderkey % 10) AS source_name FROM uniq)
+"""
+
+
+def _count(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def b70(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(sqltext.definitions(files(spark, sf_dir)), "source_name", "entity_type", "full_name", "schema", "name")
+
+
+def b71(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(sqltext.calls(files(spark, sf_dir)), "source_name", "to_name", "to_type")
+
+
+def b72(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(sqltext.reads(files(spark, sf_dir)), "source_name", "to_name", "edge_type")
+
+
+def b73(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(sqltext.writes(files(spark, sf_dir)), "source_name", "to_name", "sql_operation")
+
+
+def b74(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(sqltext.schema_references(files(spark, sf_dir)), "source_name", "to_name")
+
+
+def b75(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(sqltext.scopes(files(spark, sf_dir)).where("scope is not null"), "source_name", "scope")
+
+
+def b76(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(sqltext.scan(files(spark, sf_dir)), "edge_type", "dependency_scope", "interaction_kind")
+
+
+def b77(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, kind = sqltext.provenance()
+    return _count(files(spark, sf_dir).select(state.alias("schema_state"), kind.alias("kind")), "schema_state", "kind")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("source").alias("source_name"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("rel_path"), F.col("text").alias("content"), "doc_id")
+
+
+def f01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.snapshot(_documents(spark, sf_dir))
+
+
+def _two_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _documents(spark, sf_dir)
+    before = docs.where("doc_id % 11 <> 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
+    return incremental.snapshot(docs.where("doc_id % 13 <> 0")), incremental.snapshot(before)
+
+
+def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.diff(*_two_snapshots(spark, sf_dir))
+
+
+def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.comparison(*_two_snapshots(spark, sf_dir))
+
+
+def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = incremental.comparison(*_two_snapshots(spark, sf_dir))
+    return incremental.to_rebuild(compared, _documents(spark, sf_dir).where("source_name <> 'src1'"))
+
+
+_DIFF = """
+WITH c AS (SELECT source AS source_name, 'doc/' || doc_id AS path, doc_id FROM documents),
+d AS (SELECT source_name, path, CASE WHEN doc_id % 11 = 0 THEN 'added' WHEN doc_id % 13 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'modified' END AS change
+      FROM c WHERE NOT (doc_id % 11 = 0 AND doc_id % 13 = 0))
+"""
+
+
+def b51(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", exprs.route_path("url").alias("route"), exprs.service_from_url("url").alias("service"))
+
+
+def b50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    code = pages.select(F.concat(F.lit("repo-"), (F.col("page_id") % 10).cast("string")).alias("source_name"), F.concat(F.lit("src/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("rel_path"), F.concat(F.lit('import x from "pkg/a";\nconst r = fetch("'), "url", F.lit('", {method: "POST"});\naxios.get(process.env.ORDER_API_URL + "/x");')).alias("content"))
+    return _count(scanners.http_calls(code), "source_name", "method", "edge_type", "to_type")
+
+
+def b55(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    code = pages.select(F.lit("repo").alias("source_name"), F.concat(F.lit("src/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("rel_path"), F.concat(F.lit('import x from "@acme/pkg'), (F.col("page_id") % 5).cast("string"), F.lit('/deep";\nconst y = require("./local");\nexport * from "lodash/fp";')).alias("content"))
+    return _count(scanners.imports(code), "to_name", "import_kind")
+
+
+def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.sqlserver_objects(*catalog.fixture(spark, sf_dir), limit=50_000)
+
+
+def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, schemas, keys = catalog.fixture_keys(spark, sf_dir)
+    return catalog.foreign_keys(objects, schemas, keys, limit=50_000)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {
+        "a20_catalog_objects": a20, "a21_catalog_foreign_keys": a21, "b50_http_targets": b50, "b51_route_paths": b51, "b55_imports": b55,
+        "b70_sql_definitions": b70, "b71_sql_calls": b71, "b72_sql_reads": b72, "b73_sql_writes": b73, "b74_sql_references": b74, "b75_sql_scopes": b75,
+        "b76_sql_scan": b76, "b77_sql_provenance": b77, "f01_snapshot": f01, "f02_snapshot_diff": f02, "f04_snapshot_status": f04, "f05_to_rebuild": f05,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    n = "count(*) AS n"
+    return {
+        "a20_catalog_objects": "SELECT 'schema_' || (p_partkey % 3) AS schema_name, 'obj_' || p_partkey AS object_name, CASE p_partkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'V' WHEN 2 THEN 'P' ELSE 'FN' END AS object_type FROM part WHERE p_partkey % 5 <> 0",
+        "a21_catalog_foreign_keys": "SELECT 'schema_' || (p_partkey % 3) AS schema_name, 'obj_' || p_partkey AS table_name, 'schema_' || ((p_partkey // 2) % 3) AS referenced_schema_name, 'obj_' || (p_partkey // 2) AS referenced_table_name, 'fk_' || p_partkey AS constraint_name FROM part",
+        "b50_http_targets": "SELECT 'repo-' || (page_id % 10) AS source_name, m AS method, CASE m WHEN 'POST' THEN 'CALLS_HTTP' ELSE 'CALLS_SERVICE' END AS edge_type, CASE m WHEN 'POST' THEN 'api_route' ELSE 'service' END AS to_type, count(*) AS n FROM pages, (VALUES ('POST'), ('GET')) AS t(m) GROUP BY ALL",
+        "b55_imports": "SELECT '@acme/pkg' || (page_id % 5) AS to_name, 'package' AS import_kind, count(*) AS n FROM pages GROUP BY ALL UNION ALL SELECT './local', 'relative', count(*) FROM pages UNION ALL SELECT 'lodash', 'package', count(*) FROM pages",
+        "b70_sql_definitions": _FILES + f"SELECT source_name, 'sql_table' AS entity_type, 'sales.' || n AS full_name, 'sales' AS schema, n AS name, {n} FROM src WHERE k = 'C' GROUP BY source_name, src.n",
+        "b71_sql_calls": _FILES + f"SELECT source_name, 'dbo.load_' || n AS to_name, 'stored_procedure' AS to_type, {n} FROM src WHERE k = 'N' GROUP BY source_name, src.n",
+        "b72_sql_reads": _FILES + "SELECT source_name, t AS to_name, 'READS_SQL_OBJECT' AS edge_type, count(*) AS n FROM (SELECT source_name, 'dbo.' || n AS t FROM src WHERE k = 'A' UNION ALL SELECT source_name, 'dim.dates' FROM src WHERE k = 'A' UNION ALL SELECT source_name, n FROM src WHERE k = 'R') GROUP BY source_name, t",
+        "b73_sql_writes": _FILES + "SELECT source_name, t AS to_name, o AS sql_operation, count(*) AS n FROM (SELECT source_name, 'stage.' || n AS t, 'insert' AS o FROM src WHERE k = 'R' UNION ALL SELECT source_name, n, 'delete' FROM src WHERE k = 'R') GROUP BY source_name, t, o",
+        "b74_sql_references": _FILES + "SELECT source_name, 'dbo.keys' AS to_name, count(*) AS n FROM src WHERE k = 'C' GROUP BY source_name",
+        "b76_sql_scan": _FILES + "SELECT e AS edge_type, CASE e WHEN 'REFERENCES_SQL_OBJECT' THEN 'schema' ELSE 'runtime' END AS dependency_scope, CASE e WHEN 'REFERENCES_SQL_OBJECT' THEN 'sql_schema_reference' ELSE 'sql_reference' END AS interaction_kind, count(*) AS n FROM (SELECT unnest(CASE k WHEN 'C' THEN ['REFERENCES_SQL_OBJECT'] WHEN 'A' THEN ['READS_SQL_OBJECT', 'READS_SQL_OBJECT'] WHEN 'N' THEN ['CALLS_SQL'] ELSE ['WRITES_SQL_OBJECT', 'WRITES_SQL_OBJECT', 'READS_SQL_OBJECT'] END) AS e FROM src) GROUP BY e",
+        "b77_sql_provenance": "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'historical' ELSE 'unknown' END AS schema_state, CASE WHEN l_orderkey % 3 = 0 THEN 'migration' ELSE 'sql' END AS kind, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ALL",
+        "f01_snapshot": "SELECT source AS source_name, 'doc/' || doc_id AS path, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size_bytes FROM documents",
+        "f02_snapshot_diff": _DIFF + "SELECT source_name, path, change FROM d WHERE change IS NOT NULL",
+        "f04_snapshot_status": _DIFF + "SELECT source_name, CASE WHEN count(change) = 0 THEN 'unchanged' ELSE 'changed' END AS status, concat_ws(',', CASE WHEN count(*) FILTER (change = 'added') > 0 THEN 'files_added' END, CASE WHEN count(*) FILTER (change = 'modified') > 0 THEN 'files_modified' END, CASE WHEN count(*) FILTER (change = 'removed') > 0 THEN 'files_removed' END) AS reasons, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed FROM d GROUP BY source_name",
+    }
