@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,6 +47,18 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that jobs started inside pass to Python at once, at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,15 +75,15 @@ def heavy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.select(*keys).schema)
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: str, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """many joined with few on keys, where few has one row a key and many may have a third of all rows under one key.
 
     Rows of many with a heavy key are dealt to HEAVY_PARTS parts by a hash of the
-    column ``by``; the row of few is repeated once a part. many should be a table
-    (it is read twice).
+    column ``by``; the row of few is repeated once a part. many should be a table, or
+    counted one with the same keys (it is read once more, for their counts).
     """
     keys = list(keys)
-    hot = F.broadcast(heavy(many, keys).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(heavy(many if counted is None else counted, keys).withColumn("_hot", F.lit(True)))
     left = many.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(HEAVY_PARTS))).otherwise(F.lit(0)).cast("int")
     ).drop("_hot")

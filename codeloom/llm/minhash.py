@@ -33,14 +33,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm._spark import components, cut, drop_cut, salted_join
+from codeloom.llm._spark import arrow_rows, components, cut, drop_cut, salted_join
 from codeloom.llm._text import LETTERS, SHINGLE_BITS, U, Words, _power, chunks, mix, shingle_counts, spread
 
 WORDS, SIMILARITY = 5, 0.8
-ROUNDS, BANDS = 5, 25
+ROUNDS, BANDS = 8, 40
 RARE = 1 / 256
 #: Rows that one count of shingles covers, before counts under an eighth of RARE are left out.
 COUNT_ROWS = 4096
+#: Pairs of texts that go to Python at once: each may be long.
+PAIR_ROWS = 256
 
 
 def _lowered(column: pa.Array) -> pa.Array:
@@ -172,7 +174,7 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str, k:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose texts(rep, text) are similar enough."""
+    """The pairs (a, b) whose texts(rep, text) are similar enough, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +193,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
                 at = end
 
     named = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias("t" + c))
-    joined = salted_join(pairs.join(named("b"), "b"), named("a"), ["a"], "b")
+    # The heavy keys are those of the pairs alone: their texts come after.
+    joined = salted_join(pairs, named("a"), ["a"], "b").join(named("b").hint("merge"), "b")
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    with arrow_rows(pairs.sparkSession, PAIR_ROWS):
+        return cut(joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}"), "links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, k: int = WORDS) -> DataFrame:
@@ -207,10 +211,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     active = members.select("rep").distinct()
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).dropDuplicates(["rep"]) if _repeats(signed) else docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    texts = cut(texts.join(active, "rep", "left_semi"), "texts")
+    # Merged at every size: the texts are dealt out once, however many documents are candidates.
+    texts = cut(texts.hint("merge").join(active, "rep", "left_semi"), "texts")
 
     tested = cut(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = cut(_verified(tested, texts, weights, least, k), "links")
+    links = _verified(tested, texts, weights, least, k)
     comps = components(links)
     larger, turn = members.where("n > 2").select("band", "rep", "n"), 0
     while True:
@@ -218,14 +223,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         now = larger.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
         place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n"))
-        left = cut(salted_join(now, mixed, ["band"], "rep").withColumn("place", place), "mixed")
+        left = cut(now.join(mixed, "band", "left_semi").withColumn("place", place), "mixed")
         low, high = 4 ** (turn - 1) // 4, 4 ** (turn - 1)
         if not left.where(F.col("place") >= low).limit(1).count():
             break
         leads = left.where(F.col("place").between(low, high - 1)).select("band", F.col("rep").alias("x"), F.col("comp").alias("cx"))
         met = leads.join(left.select("band", "rep", "comp"), "band").where("comp <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
         fresh = cut(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = cut(_verified(fresh, texts, weights, least, k), "links")
+        found = _verified(fresh, texts, weights, least, k)
         tested = tested.union(fresh)
         if found.limit(1).count():
             links = links.union(found)
