@@ -1,8 +1,11 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (letters and digits, lower case), a
-shorter text's the run of all its words. A shingle's weight is its count times
-ln(1 + 1 / max(df / N, RARE)): df is counted over all documents by lossy counting,
+shorter text's the run of all its words. A shingle's weight is its count times a
+smoothed inverse document frequency, 1 + IDF_SPAN * ln(max(df / N, RARE)) / ln(RARE).
+(Unsmoothed, the words that the near copies of a group share would hardly count
+where the group holds a third of all rows, and the group would fall apart.) The
+document frequency df is counted over all documents by lossy counting,
 which finds every shingle that more than a share RARE of them hold (at most 1/RARE
 times the mean number of shingles a document) with an error of an eighth of that;
 rarer ones weigh alike. ROUNDS independent samplers each deal the shingles to BANDS
@@ -39,6 +42,8 @@ from codeloom.llm._text import LETTERS, SHINGLE_BITS, U, Words, _power, chunks,
 WORDS, SIMILARITY = 5, 0.8
 ROUNDS, BANDS = 8, 40
 RARE = 1 / 256
+#: A rare shingle weighs 1 + IDF_SPAN, one that all documents hold 1.
+IDF_SPAN = 0.25
 #: Rows that one count of shingles covers, before counts under an eighth of RARE are left out.
 COUNT_ROWS = 4096
 #: Pairs of texts that go to Python at once: each may be long.
@@ -62,14 +67,14 @@ class Weights:
 
     def __init__(self, common: np.ndarray, df: np.ndarray, n: int):
         self.common = common
-        self.log = np.append(np.log1p(1 / np.maximum(df / max(n, 1), RARE)), math.log1p(1 / RARE))
+        self.idf = np.append(1 + IDF_SPAN * np.log(np.maximum(df / max(n, 1), RARE)) / math.log(RARE), 1 + IDF_SPAN)
 
     def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if not len(self.common):
-            return counts * self.log[-1]
+            return counts * self.idf[-1]
         at = np.searchsorted(self.common, shingles)
         at[at == len(self.common)] = 0
-        return counts * self.log[np.where(self.common[at] == shingles, at, len(self.common))]
+        return counts * self.idf[np.where(self.common[at] == shingles, at, len(self.common))]
 
 
 def weigh(docs: DataFrame, text_col: str = "text", k: int = WORDS) -> Weights:
