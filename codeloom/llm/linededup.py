@@ -4,10 +4,10 @@ Shared passages seldom begin and end with a line, so the lines compared are the
 runs of LINE words from every word on. Winnowing selects, of each WINDOW
 consecutive line hashes, a minimum: two texts that share LINE + WINDOW - 1 words
 share a selected line. Selected lines are joined by hash with their first
-occurrence in the corpus (smallest document id, then position); matches of one
-document on one diagonal of the same source form a run, which is extended word by
-word both ways against the source's words. Runs that touch are merged, and those
-of MIN_RUN words or more are deleted, with the white space after them.
+occurrence in the corpus (smallest document id, then position); matches whose lines touch form a run,
+which is extended word by word both ways, against the words before the source of
+its first line and after the source of its last one. Runs that touch are merged,
+and those of MIN_RUN words or more are deleted, with the white space after them.
 
 A deleted run occurs, in pieces at least, in documents of smaller ids; a passage's
 first occurrence is never deleted. Repeats within one document stay.
@@ -88,52 +88,61 @@ def selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, source, pos, source_pos, words): runs of matching selected lines, before they are extended."""
+    """Spans of a document that selected lines with earlier occurrences cover, before they are extended.
+
+    (id, start, end, sources, left, left_at, right, right_at): words [start, end) of
+    the document; the first line stands at word left_at of document left, the last
+    one ends before word right_at of document right.
+    """
     lines = selected(docs, id_col, text_col)
     first = lines.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("m"), F.max("id").alias("last"))
     first = first.where(F.col("last") > F.col("m.id")).select("hash", F.col("m.id").alias("source"), F.col("m.pos").alias("source_pos"))
     first = cut(first, "firsts")
-    met = lines.hint("merge").join(first, "hash").where(F.col("id") > F.col("source")).select("id", "source", "pos", F.col("source_pos"))
-    w = Window.partitionBy("id", "source", F.col("pos") - F.col("source_pos")).orderBy("pos")
+    met = lines.hint("merge").join(first, "hash").where(F.col("id") > F.col("source")).select("id", "source", "pos", "source_pos")
+    w = Window.partitionBy("id").orderBy("pos")
     marked = met.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > LINE).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    found = numbered.groupBy("id", "source", (F.col("pos") - F.col("source_pos")).alias("shift"), "run").agg(F.min("pos").alias("pos"), F.max("pos").alias("end"))
-    return found.select("id", "source", "pos", (F.col("pos") - F.col("shift")).alias("source_pos"), (F.col("end") - F.col("pos") + LINE).alias("words"))
+    numbered = marked.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("pos", "source", "source_pos")
+    spans = numbered.groupBy("id", "span").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.array_sort(F.collect_set("source")).alias("sources"))
+    return spans.select(
+        "id", F.col("a.pos").alias("start"), (F.col("b.pos") + LINE).alias("end"), "sources", F.col("a.source").alias("left"), F.col("a.source_pos").alias("left_at"),
+        F.col("b.source").alias("right"), (F.col("b.source_pos") + LINE).alias("right_at"),
+    )
 
 
 def _around(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(source, source_pos, words, before, after): hashes of up to WINDOW words before and after each distinct source run."""
+    """(source, at, before, after): hashes of up to WINDOW words on both sides of each place at which a span's source begins or ends."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1).cast(pa.large_string())):
                 words = _words(batch.column(1).slice(a, b - a))
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for row, (doc, wanted) in enumerate(zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist())):
+                out: tuple[list, ...] = ([], [], [], [])
+                for row, (doc, places) in enumerate(zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist())):
                     h = words.hash[words.first[row] : words.first[row + 1]].astype(np.int64)
-                    for x in wanted:
-                        pos, size = x["source_pos"], x["words"]
-                        for column, value in zip(out, (doc, pos, size, h[max(0, pos - WINDOW) : pos], h[pos + size : pos + size + WINDOW])):
+                    for at in places:
+                        for column, value in zip(out, (doc, at, h[max(0, at - WINDOW) : at], h[at : at + WINDOW])):
                             column.append(value)
-                kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["source", "source_pos", "words", "before", "after"])
+                kinds = [batch.column(0).type, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["source", "at", "before", "after"])
 
-    wanted = found.select("source", "source_pos", "words").distinct().groupBy("source").agg(F.collect_list(F.struct("source_pos", "words")).alias("wanted"))
-    # Merged at every size, as in dedup(): the texts are dealt out once for each, however few runs there are.
-    rows = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text")).hint("merge").join(wanted, "source").select("source", "text", "wanted")
-    return rows.mapInArrow(run, f"source {kind}, source_pos int, words int, before array<long>, after array<long>").dropDuplicates(["source", "source_pos", "words"])
+    places = found.select(F.col("left").alias("source"), F.col("left_at").alias("at")).union(found.select("right", "right_at")).distinct()
+    places = places.groupBy("source").agg(F.collect_list("at").alias("places"))
+    # Merged at every size, as in dedup(): the texts are dealt out once for each, however few spans there are.
+    rows = docs.select(F.col(id_col).alias("source"), F.col(text_col).alias("text")).hint("merge").join(places, "source").select("source", "text", "places")
+    return rows.mapInArrow(run, f"source {kind}, at int, before array<long>, after array<long>").dropDuplicates(["source", "at"])
 
 
-def _extend(h: np.ndarray, pos: int, size: int, before: list[int], after: list[int]) -> tuple[int, int]:
-    """The run's first word and the word after its last, extended while the words agree."""
-    start, end = pos, pos + size
-    for x in reversed(before):
-        if start == 0 or h[start - 1] != x:
+def _extend(h: np.ndarray, x: dict) -> tuple[int, int]:
+    """The span's first word and the word after its last, extended while the words agree with the source's."""
+    start, end = x["start"], x["end"]
+    for word in reversed(x["before"]):
+        if start == 0 or h[start - 1] != word:
             break
         start -= 1
-    for x in after:
-        if end == len(h) or h[end] != x:
+    for word in x["after"]:
+        if end == len(h) or h[end] != word:
             break
         end += 1
     return start, end
@@ -141,22 +150,24 @@ def _extend(h: np.ndarray, pos: int, size: int, before: list[int], after: list[i
 
 def _spans(h: np.ndarray, found: list[dict], least: int) -> list[tuple[int, int, list]]:
     """Merged spans of least words or more: first word, word after the last, sources."""
-    got = sorted((*_extend(h, x["pos"], x["words"], x["before"], x["after"]), x["source"]) for x in found)
     merged: list[list] = []
-    for start, end, source in got:
+    for start, end, sources in sorted((*_extend(h, x), x["sources"]) for x in found):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
-            merged[-1][2].append(source)
+            merged[-1][2] = merged[-1][2] + sources
         else:
-            merged.append([start, end, [source]])
+            merged.append([start, end, sources])
     return [(a, b, sorted(set(s))) for a, b, s in merged if b - a >= least]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_RUN, details: bool = False) -> DataFrame:
     """docs with later repeated runs deleted from the texts; with details also removed_words and spans(start, words, sources)."""
     found = cut(runs(docs, id_col, text_col), "runs")
-    around = _around(docs, found, id_col, text_col)
-    extended = salted_join(found, around, ["source", "source_pos", "words"], "id").groupBy("id").agg(F.collect_list(F.struct("source", "pos", "words", "before", "after")).alias("_found"))
+    around = cut(_around(docs, found, id_col, text_col), "around")
+    before = around.select(F.col("source").alias("left"), F.col("at").alias("left_at"), "before")
+    after = around.select(F.col("source").alias("right"), F.col("at").alias("right_at"), "after")
+    sided = salted_join(salted_join(found, before, ["left", "left_at"], "id"), after, ["right", "right_at"], "id", counted=found)
+    extended = sided.groupBy("id").agg(F.collect_list(F.struct("start", "end", "sources", "before", "after")).alias("_found"))
     extended = cut(extended, "extended")
     names, at = docs.columns, docs.columns.index(text_col)
     length = names.index("n_chars") if "n_chars" in names else None
@@ -194,4 +205,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     joined = docs.hint("merge").join(extended.withColumnRenamed("id", "_id"), docs[id_col] == F.col("_id"), "left").select(*[docs[c] for c in names], "_found")
     drop_cut(found)
+    drop_cut(around)
     return joined.mapInArrow(run, ", ".join([*schema, *more]))
