@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.functions import exprs
-from codeloom.operators import catalog, incremental, scanners, sqltext
+from codeloom.operators import catalog, facts, incremental, scanners, sqltext
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(joined.alias("content")).select(F.concat(F.lit("repo-"), (F.col("l_orderkey") % 10).cast("string")).alias("source_name"), path.alias("rel_path"), "content")
 
 
+_SUPPLIERS = "WITH x AS (SELECT 'NATION_' || s_nationkey AS s, s_suppkey::VARCHAR AS k, s_nationkey::VARCHAR AS n FROM supplier) "
+
 _FILES = """
 WITH stmt AS (
   SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS f, replace(p_name, ' ', '_') AS n FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -125,6 +127,90 @@ def b55(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _count(scanners.imports(code), "to_name", "import_kind")
 
 
+def _suppliers(spark: SparkSession, sf_dir: str, path: str, text) -> DataFrame:
+    """A file a supplier: path with its key, text as a Column of key and nation."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").cast("string").alias("n"))
+    return rows.select(F.concat(F.lit("NATION_"), "n").alias("source_name"), F.format_string(path, "k").alias("rel_path"), text.alias("content"))
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return _count(df.where("issue is null"), "source_name", "edge_type", "from_type", "to_type", "to_name")
+
+
+def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.format_string('{"name": "app-%s", "dependencies": {"lib-%s": "^1.0"}, "devDependencies": {"@t/x": "2"}}', "k", "n")
+    return _found(facts.scan(_suppliers(spark, sf_dir, "s%s/package.json", text)))
+
+
+def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.format_string("# %s\n-r base.txt\nLib_%s>=1 # why\n\nrequests\n", "k", "n")
+    return _found(facts.scan(_suppliers(spark, sf_dir, "s%s/requirements.txt", text)))
+
+
+def b20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.format_string(
+        "apiVersion: v1\nkind: Service\nmetadata:\n  name: svc-%s\nspec:\n  selector:\n    app: a%s\n---\napiVersion: apps/v1\nkind: Deployment\nmetadata:\n  name: d\nspec:\n  template:\n    metadata:\n      labels:\n        app: a1\n",
+        "k", "n",
+    )
+    return _found(facts.scan(_suppliers(spark, sf_dir, "s%s/k8s.yaml", text)))
+
+
+def b32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.format_string('import os\n@app.get("/n%s")\ndef f():\n    db.execute("SELECT 1 FROM t%s")\n', "n", "n")
+    return _found(facts.scan(_suppliers(spark, sf_dir, "s%s/app.py", text)))
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.format_string(
+        'app.get("/n/%s", listAll);\nexport function listAll() {}\nredisCache.get("k%s");\nredisCache.set("k", 1);\nkafkaProducer.send("topic-%s");\ncron.schedule("* * * * *", listAll);\ns3.getObject("b/%s");\n', "n", "n", "n", "n"
+    )
+    return _suppliers(spark, sf_dir, "s%s/a.ts", text)
+
+
+def b53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(scanners.routes(_code(spark, sf_dir)), "source_name", "route", "handler")
+
+
+def b57(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(scanners.cache_calls(_code(spark, sf_dir)), "source_name", "edge_type", "to_name")
+
+
+def b58(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(scanners.message_calls(_code(spark, sf_dir)), "source_name", "edge_type", "to_type", "to_name")
+
+
+def b59(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(scanners.storage_calls(_code(spark, sf_dir)), "source_name", "edge_type", "to_name")
+
+
+def b60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(scanners.jobs(_code(spark, sf_dir)), "source_name", "name", "schedule", "handler")
+
+
+def b30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _count(scanners.symbols(_code(spark, sf_dir)), "source_name", "entity_type", "name", "exported")
+
+
+def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    event = F.when(F.col("l_returnflag") == "A", "Insert").when(F.col("l_returnflag") == "N", "update").otherwise("DELETE")
+    rows = items.select(F.lit("dbo").alias("schema_name"), F.concat(F.lit("trg_"), F.col("l_partkey").cast("string")).alias("trigger_name"), F.lit("dbo").alias("table_schema_name"), F.concat(F.lit("t_"), F.col("l_partkey").cast("string")).alias("table_name"), event.alias("event_name"), F.lit(False).alias("is_disabled"))
+    return catalog.sqlserver_triggers(rows).select("trigger_name", "table_name", "events", "is_disabled")
+
+
+def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", F.array_join(catalog.postgres_trigger_events(F.col("p_size").cast("int")), ",").alias("events"))
+
+
+def b83(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, schemas, keys = catalog.fixture_keys(spark, sf_dir)
+    known = catalog.object_entities(catalog.sqlserver_objects(objects, schemas, 50_000), "db", "sqlserver")
+    edges, issues = catalog.foreign_key_edges(catalog.foreign_keys(objects, schemas, keys, 50_000), "db", known)
+    tally = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return tally(edges.where("resolved"), "resolved").unionByName(tally(edges.where("not resolved"), "unresolved")).unionByName(tally(issues, "issues"))
+
+
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sqlserver_objects(*catalog.fixture(spark, sf_dir), limit=50_000)
 
@@ -137,6 +223,8 @@ def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "a20_catalog_objects": a20, "a21_catalog_foreign_keys": a21, "b50_http_targets": b50, "b51_route_paths": b51, "b55_imports": b55,
+        "a22_catalog_triggers": a22, "a27_trigger_events": a27, "b10_package_json": b10, "b13_requirements": b13, "b20_kubernetes": b20, "b30_symbols": b30,
+        "b32_python_code": b32, "b53_routes": b53, "b57_cache_calls": b57, "b58_message_calls": b58, "b59_storage_calls": b59, "b60_jobs": b60, "b83_foreign_key_edges": b83,
         "b70_sql_definitions": b70, "b71_sql_calls": b71, "b72_sql_reads": b72, "b73_sql_writes": b73, "b74_sql_references": b74, "b75_sql_scopes": b75,
         "b76_sql_scan": b76, "b77_sql_provenance": b77, "f01_snapshot": f01, "f02_snapshot_diff": f02, "f04_snapshot_status": f04, "f05_to_rebuild": f05,
     }
@@ -147,6 +235,19 @@ def oracle_sql() -> dict[str, str]:
     return {
         "a20_catalog_objects": "SELECT 'schema_' || (p_partkey % 3) AS schema_name, 'obj_' || p_partkey AS object_name, CASE p_partkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'V' WHEN 2 THEN 'P' ELSE 'FN' END AS object_type FROM part WHERE p_partkey % 5 <> 0",
         "a21_catalog_foreign_keys": "SELECT 'schema_' || (p_partkey % 3) AS schema_name, 'obj_' || p_partkey AS table_name, 'schema_' || ((p_partkey // 2) % 3) AS referenced_schema_name, 'obj_' || (p_partkey // 2) AS referenced_table_name, 'fk_' || p_partkey AS constraint_name FROM part",
+        "a22_catalog_triggers": "SELECT 'trg_' || l_partkey AS trigger_name, 't_' || l_partkey AS table_name, string_agg(DISTINCT CASE l_returnflag WHEN 'A' THEN 'INSERT' WHEN 'N' THEN 'UPDATE' ELSE 'DELETE' END, ',' ORDER BY CASE l_returnflag WHEN 'A' THEN 'INSERT' WHEN 'N' THEN 'UPDATE' ELSE 'DELETE' END) AS events, false AS is_disabled FROM lineitem GROUP BY l_partkey",
+        "a27_trigger_events": "SELECT p_partkey, concat_ws(',', CASE WHEN p_size & 4 <> 0 THEN 'INSERT' END, CASE WHEN p_size & 16 <> 0 THEN 'UPDATE' END, CASE WHEN p_size & 8 <> 0 THEN 'DELETE' END, CASE WHEN p_size & 32 <> 0 THEN 'TRUNCATE' END) AS events FROM part",
+        "b10_package_json": _SUPPLIERS + "SELECT s AS source_name, e AS edge_type, f AS from_type, 'package' AS to_type, t AS to_name, count(*) AS n FROM (SELECT s, 'DECLARES_PACKAGE' AS e, 'project' AS f, 'app-' || k AS t FROM x UNION ALL SELECT s, 'DEPENDS_ON_PACKAGE', 'package', 'lib-' || n FROM x UNION ALL SELECT s, 'DEPENDS_ON_PACKAGE', 'package', '@t/x' FROM x) GROUP BY ALL",
+        "b13_requirements": _SUPPLIERS + "SELECT s AS source_name, 'DEPENDS_ON_PACKAGE' AS edge_type, 'package' AS from_type, 'package' AS to_type, t AS to_name, count(*) AS n FROM (SELECT s, unnest(['lib-' || n, 'requests']) AS t FROM x) GROUP BY ALL",
+        "b20_kubernetes": _SUPPLIERS + "SELECT s AS source_name, e AS edge_type, f AS from_type, t AS to_type, o AS to_name, count(*) AS n FROM (SELECT s, 'DECLARES_SERVICE' AS e, 'file' AS f, 'service' AS t, 'svc-' || k AS o FROM x UNION ALL SELECT s, 'DECLARES_DEPLOYMENT', 'file', 'deployment', 'd' FROM x UNION ALL SELECT s, 'SELECTS_DEPLOYMENT', 'service', 'deployment', 'd' FROM x WHERE n = '1') GROUP BY ALL",
+        "b30_symbols": _SUPPLIERS + "SELECT s AS source_name, 'function' AS entity_type, 'listAll' AS name, true AS exported, count(*) AS n FROM x GROUP BY s",
+        "b32_python_code": _SUPPLIERS + "SELECT s AS source_name, e AS edge_type, f AS from_type, t AS to_type, o AS to_name, count(*) AS n FROM (SELECT s, 'IMPORTS' AS e, 'module' AS f, 'package' AS t, 'os' AS o FROM x UNION ALL SELECT s, 'DECLARES_SYMBOL', 'module', 'function', 'f' FROM x UNION ALL SELECT s, 'HANDLES_ROUTE', 'api_route', 'function', 'f' FROM x UNION ALL SELECT s, 'READS_SQL_OBJECT', 'function', 'sql_object', 't' || n FROM x) GROUP BY ALL",
+        "b53_routes": _SUPPLIERS + "SELECT s AS source_name, 'GET /n/:param' AS route, 'listAll' AS handler, count(*) AS n FROM x GROUP BY s",
+        "b57_cache_calls": _SUPPLIERS + "SELECT s AS source_name, e AS edge_type, t AS to_name, count(*) AS n FROM (SELECT s, 'WRITES_CACHE_KEY' AS e, 'k' AS t FROM x UNION ALL SELECT s, 'READS_CACHE_KEY', 'k' || n FROM x) GROUP BY ALL",
+        "b58_message_calls": _SUPPLIERS + "SELECT s AS source_name, 'PUBLISHES_MESSAGE' AS edge_type, 'message_topic' AS to_type, 'topic-' || x.n AS to_name, count(*) AS n FROM x GROUP BY s, x.n",
+        "b59_storage_calls": _SUPPLIERS + "SELECT s AS source_name, 'READS_STORAGE_OBJECT' AS edge_type, 'b/' || x.n AS to_name, count(*) AS n FROM x GROUP BY s, x.n",
+        "b60_jobs": _SUPPLIERS + "SELECT s AS source_name, 'listAll @ * * * * *' AS name, '* * * * *' AS schedule, 'listAll' AS handler, count(*) AS n FROM x GROUP BY s",
+        "b83_foreign_key_edges": "WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 4 = 0) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_partkey NOT IN (SELECT k FROM k) THEN 'issues' WHEN p_partkey // 2 IN (SELECT k FROM k) THEN 'resolved' ELSE 'unresolved' END AS kind FROM part) GROUP BY kind",
         "b50_http_targets": "SELECT 'repo-' || (page_id % 10) AS source_name, m AS method, CASE m WHEN 'POST' THEN 'CALLS_HTTP' ELSE 'CALLS_SERVICE' END AS edge_type, CASE m WHEN 'POST' THEN 'api_route' ELSE 'service' END AS to_type, count(*) AS n FROM pages, (VALUES ('POST'), ('GET')) AS t(m) GROUP BY ALL",
         "b55_imports": "SELECT '@acme/pkg' || (page_id % 5) AS to_name, 'package' AS import_kind, count(*) AS n FROM pages GROUP BY ALL UNION ALL SELECT './local', 'relative', count(*) FROM pages UNION ALL SELECT 'lodash', 'package', count(*) FROM pages",
         "b70_sql_definitions": _FILES + f"SELECT source_name, 'sql_table' AS entity_type, 'sales.' || n AS full_name, 'sales' AS schema, n AS name, {n} FROM src WHERE k = 'C' GROUP BY source_name, src.n",
