@@ -1,10 +1,11 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (letters and digits, lower case), a
-shorter text's the run of all its words. A shingle's weight is its count times a
-smoothed inverse document frequency, 1 + IDF_SPAN * ln(max(df / N, RARE)) / ln(RARE).
-(Unsmoothed, the words that the near copies of a group share would hardly count
-where the group holds a third of all rows, and the group would fall apart.) The
+shorter text's the run of all its words. A shingle's weight is its count times its
+inverse document frequency: ln(1 + 1 / p) for sampling, where p = max(df / N, RARE),
+and smoothed, 1 + IDF_SPAN * ln(p) / ln(RARE), for verification. (Unsmoothed, what
+the near copies of a group share would hardly count where the group holds a third
+of all rows, and its links would fail.) The
 document frequency df is counted over all documents by lossy counting,
 which finds every shingle that more than a share RARE of them hold (at most 1/RARE
 times the mean number of shingles a document) with an error of an eighth of that;
@@ -16,7 +17,8 @@ weighted Jaccard similarity over whole texts.
 Documents of equal words form one representative first. In each band's bucket all
 members are compared with the smallest one; buckets that then hold several classes
 compare further members, four times as many each round, with those of other classes,
-until none is left uncompared: no link that a shared band shows is lost. Classes
+until none is left uncompared that the triangle inequality on the distances from
+the smallest one does not rule out: no link that a shared band shows is lost. Classes
 are the components of the verified links.
 
 Cases: a null text is empty; texts without words form one class; equal texts, and
@@ -67,14 +69,16 @@ class Weights:
 
     def __init__(self, common: np.ndarray, df: np.ndarray, n: int):
         self.common = common
-        self.idf = np.append(1 + IDF_SPAN * np.log(np.maximum(df / max(n, 1), RARE)) / math.log(RARE), 1 + IDF_SPAN)
+        share = np.append(np.maximum(df / max(n, 1), RARE), RARE)
+        self.smooth, self.sharp = 1 + IDF_SPAN * np.log(share) / math.log(RARE), np.log1p(1 / share)
 
-    def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def __call__(self, shingles: np.ndarray, counts: np.ndarray, sampling: bool = False) -> np.ndarray:
+        idf = self.sharp if sampling else self.smooth
         if not len(self.common):
-            return counts * self.idf[-1]
+            return counts * idf[-1]
         at = np.searchsorted(self.common, shingles)
         at[at == len(self.common)] = 0
-        return counts * self.idf[np.where(self.common[at] == shingles, at, len(self.common))]
+        return counts * idf[np.where(self.common[at] == shingles, at, len(self.common))]
 
 
 def weigh(docs: DataFrame, text_col: str = "text", k: int = WORDS) -> Weights:
@@ -161,7 +165,7 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str, k:
         for batch in batches:
             for a, b, words in _words(batch.column(1)):
                 row, shingle, count = shingle_counts(words, b - a, k)
-                bands = sample(b - a, row, shingle, weights(shingle, count)).astype(np.int64)
+                bands = sample(b - a, row, shingle, weights(shingle, count, sampling=True)).astype(np.int64)
                 place = np.arange(len(words.hash)) - words.first[:-1][words.row]
                 power = _power("up", int(place.max()) + 1 if len(place) else 1)
                 whole = []
@@ -179,7 +183,7 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str, k:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose texts(rep, text) are similar enough, as a table."""
+    """The pairs (a, b) with their texts' similarity, of those with least or more, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +197,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
                 for t in (ta, tb):
                     row, shingle, count = shingle_counts(Words(*spread(t.slice(at, end - at)), LETTERS), end - at, k)
                     sides.append((row, shingle, weights(shingle, count)))
-                keep = pa.array(similarity(end - at, *sides) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, end - at).filter(keep) for i in (0, 1)], ["a", "b"])
+                near = similarity(end - at, *sides)
+                keep = pa.array(near >= least)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, end - at).filter(keep) for i in (0, 1)), pa.array(near).filter(keep)], ["a", "b", "near"])
                 at = end
 
     named = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias("t" + c))
@@ -202,7 +207,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
     joined = salted_join(pairs, named("a"), ["a"], "b").join(named("b").hint("merge"), "b")
     kind = pairs.schema["a"].dataType.simpleString()
     with arrow_rows(pairs.sparkSession, PAIR_ROWS):
-        return cut(joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}"), "links")
+        return cut(joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, near double"), "links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, k: int = WORDS) -> DataFrame:
@@ -220,9 +225,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     texts = cut(texts.hint("merge").join(active, "rep", "left_semi"), "texts")
 
     tested = cut(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = _verified(tested, texts, weights, least, k)
+    scored = _verified(tested, texts, weights, 0.0, k)
+    links = scored.where(F.col("near") >= least).select("a", "b")
     comps = components(links)
-    larger, turn = members.where("n > 2").select("band", "rep", "n"), 0
+    to_leader = scored.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "near")
+    larger = members.where("n > 2").join(to_leader, ["leader", "rep"], "left").select("band", "rep", "n", F.coalesce("near", F.lit(1.0)).alias("near"))
+    larger, turn = cut(larger, "larger"), 0
     while True:
         turn += 1
         now = larger.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -232,15 +240,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         low, high = 4 ** (turn - 1) // 4, 4 ** (turn - 1)
         if not left.where(F.col("place") >= low).limit(1).count():
             break
-        leads = left.where(F.col("place").between(low, high - 1)).select("band", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-        met = leads.join(left.select("band", "rep", "comp"), "band").where("comp <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+        leads = left.where(F.col("place").between(low, high - 1)).select("band", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("near").alias("nx"))
+        # The distance 1 - similarity is a metric: what lies farther apart seen from the bucket's leader cannot be near.
+        close = F.abs(F.col("near") - F.col("nx")) <= 1 - least + 1e-9
+        met = leads.join(left.select("band", "rep", "comp", "near"), "band").where((F.col("comp") != F.col("cx")) & close).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
         fresh = cut(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _verified(fresh, texts, weights, least, k)
+        found = _verified(fresh, texts, weights, least, k).select("a", "b")
         tested = tested.union(fresh)
         if found.limit(1).count():
             links = links.union(found)
             comps = components(links)
-        larger = left.select("band", "rep", "n")
+        larger = left.select("band", "rep", "n", "near")
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("comp", "rep").alias("class_id"))
     out = salted_join(signed.select("id", "h1", "h2"), named, ["h1", "h2"], "id").select(F.col("id").alias(id_col), F.col("rep").alias("rep_id"), "class_id")
     for table in (members, texts):
