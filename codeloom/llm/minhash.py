@@ -2,10 +2,10 @@
 
 A text's shingles are its runs of five words (letters and digits, lower case), a
 shorter text's the run of all its words. A shingle's weight is its count times its
-inverse document frequency: ln(1 + 1 / p) for sampling, where p = max(df / N, RARE),
-and smoothed, 1 + IDF_SPAN * ln(p) / ln(RARE), for verification. (Unsmoothed, what
+smoothed inverse document frequency, 1 + IDF_SPAN * ln(p) / ln(RARE), where
+p = max(df / N, RARE), for sampling and for verification. (Unsmoothed, what
 the near copies of a group share would hardly count where the group holds a third
-of all rows, and its links would fail.) The
+of all rows: its links would fail, or its members share no band.) The
 document frequency df is counted over all documents by lossy counting,
 which finds every shingle that more than a share RARE of them hold (at most 1/RARE
 times the mean number of shingles a document) with an error of an eighth of that;
@@ -70,15 +70,14 @@ class Weights:
     def __init__(self, common: np.ndarray, df: np.ndarray, n: int):
         self.common = common
         share = np.append(np.maximum(df / max(n, 1), RARE), RARE)
-        self.smooth, self.sharp = 1 + IDF_SPAN * np.log(share) / math.log(RARE), np.log1p(1 / share)
+        self.idf = 1 + IDF_SPAN * np.log(share) / math.log(RARE)
 
-    def __call__(self, shingles: np.ndarray, counts: np.ndarray, sampling: bool = False) -> np.ndarray:
-        idf = self.sharp if sampling else self.smooth
+    def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if not len(self.common):
-            return counts * idf[-1]
+            return counts * self.idf[-1]
         at = np.searchsorted(self.common, shingles)
         at[at == len(self.common)] = 0
-        return counts * idf[np.where(self.common[at] == shingles, at, len(self.common))]
+        return counts * self.idf[np.where(self.common[at] == shingles, at, len(self.common))]
 
 
 def weigh(docs: DataFrame, text_col: str = "text", k: int = WORDS) -> Weights:
@@ -165,7 +164,7 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str, k:
         for batch in batches:
             for a, b, words in _words(batch.column(1)):
                 row, shingle, count = shingle_counts(words, b - a, k)
-                bands = sample(b - a, row, shingle, weights(shingle, count, sampling=True)).astype(np.int64)
+                bands = sample(b - a, row, shingle, weights(shingle, count)).astype(np.int64)
                 place = np.arange(len(words.hash)) - words.first[:-1][words.row]
                 power = _power("up", int(place.max()) + 1 if len(place) else 1)
                 whole = []

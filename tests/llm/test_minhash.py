@@ -70,3 +70,21 @@ def test_samples_agree_as_often_as_the_texts_are_similar():
     rows = [np.zeros(len(x), np.int64) for x in (a, b)]
     sa, sb = (minhash.sample(1, r, x, np.full(len(x), 2.0), rounds=1, bands=400) for r, x in zip(rows, (a, b)))
     assert abs((sa == sb).mean() - 3000 / (len(a) + len(b) - 3000)) < 0.1
+
+
+def test_bands_find_what_verification_accepts_in_a_hot_group(docs_of):
+    # A third of all rows are copies of one text, each with its own run of words: pairs of them have a verified similarity just above 0.8.
+    r = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(400)]
+    hot = [" ".join(base[: 10 * i] + [f"h{i}x{j}" for j in range(15)] + base[10 * i + 15 :]) for i in range(30)]
+    docs = docs_of(hot + [" ".join(f"c{x}" for x in r.integers(0, 99999, 400)) for _ in range(60)])
+    weights = minhash.weigh(docs)
+    bands = {row["id"]: set(row["bands"]) for row in minhash.signatures(docs, weights, "doc_id", "text").collect()}
+    found = total = 0
+    for i in range(30):
+        for j in range(i):
+            row, shingle, count = shingle_counts(Words(*spread(pa.array([hot[i], hot[j]])), LETTERS), 2)
+            one = [(row[row == k] * 0, shingle[row == k], weights(shingle[row == k], count[row == k])) for k in (0, 1)]
+            if minhash.similarity(1, *one)[0] >= 0.8:
+                total, found = total + 1, found + bool(bands[i] & bands[j])
+    assert total >= 100 and found >= 0.99 * total
