@@ -9,8 +9,10 @@ which is extended word by word both ways, against the words before the source of
 its first line and after the source of its last one. Runs that touch are merged,
 and those of MIN_RUN words or more are deleted, with the white space after them.
 
-A deleted run occurs, in pieces at least, in documents of smaller ids; a passage's
-first occurrence is never deleted. Repeats within one document stay.
+A deleted run occurs, in pieces at least, in documents of smaller ids, or (within)
+at smaller positions of its own; a passage's first occurrence is never deleted. With
+within, a line that overlaps its first occurrence is no repeat, so the first words of
+a text of one short period stay. Without it, repeats within one document stay.
 
 Cases: a null text stays null; texts of fewer than MIN_RUN words stay as they are; of
 equal texts only the one with the smallest id keeps its words; rows of equal ids
@@ -87,18 +89,22 @@ def selected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"hash long, id {kind}, pos int")
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def runs(docs: DataFrame, id_col: str, text_col: str, within: bool = False) -> DataFrame:
     """Spans of a document that selected lines with earlier occurrences cover, before they are extended.
 
-    (id, start, end, sources, left, left_at, right, right_at): words [start, end) of
-    the document; the first line stands at word left_at of document left, the last
-    one ends before word right_at of document right.
+    (id, start, end, sources, left, left_at, right, right_at, floor): words [start, end)
+    of the document; the first line stands at word left_at of document left, the last
+    one ends before word right_at of document right. Words before floor belong to the
+    first line's source and are not part of the span.
     """
     lines = selected(docs, id_col, text_col)
-    first = lines.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("m"), F.max("id").alias("last"))
-    first = first.where(F.col("last") > F.col("m.id")).select("hash", F.col("m.id").alias("source"), F.col("m.pos").alias("source_pos"))
+    first = lines.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("m"), F.max(F.struct("id", "pos") if within else F.col("id")).alias("last"))
+    first = first.where(F.col("last") > (F.col("m") if within else F.col("m.id"))).select("hash", F.col("m.id").alias("source"), F.col("m.pos").alias("source_pos"))
     first = cut(first, "firsts")
-    met = lines.hint("merge").join(first, "hash").where(F.col("id") > F.col("source")).select("id", "source", "pos", "source_pos")
+    later = F.col("id") > F.col("source")
+    if within:
+        later |= (F.col("id") == F.col("source")) & (F.col("pos") >= F.col("source_pos") + LINE)
+    met = lines.hint("merge").join(first, "hash").where(later).select("id", "source", "pos", "source_pos")
     w = Window.partitionBy("id").orderBy("pos")
     marked = met.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > LINE).cast("int"), F.lit(1)))
     numbered = marked.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -107,6 +113,7 @@ def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spans.select(
         "id", F.col("a.pos").alias("start"), (F.col("b.pos") + LINE).alias("end"), "sources", F.col("a.source").alias("left"), F.col("a.source_pos").alias("left_at"),
         F.col("b.source").alias("right"), (F.col("b.source_pos") + LINE).alias("right_at"),
+        F.when(F.col("a.source") == F.col("id"), F.col("a.source_pos") + LINE).otherwise(0).alias("floor"),
     )
 
 
@@ -138,7 +145,7 @@ def _extend(h: np.ndarray, x: dict) -> tuple[int, int]:
     """The span's first word and the word after its last, extended while the words agree with the source's."""
     start, end = x["start"], x["end"]
     for word in reversed(x["before"]):
-        if start == 0 or h[start - 1] != word:
+        if start <= x["floor"] or h[start - 1] != word:
             break
         start -= 1
     for word in x["after"]:
@@ -160,14 +167,14 @@ def _spans(h: np.ndarray, found: list[dict], least: int) -> list[tuple[int, int,
     return [(a, b, sorted(set(s))) for a, b, s in merged if b - a >= least]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_RUN, details: bool = False) -> DataFrame:
-    """docs with later repeated runs deleted from the texts; with details also removed_words and spans(start, words, sources)."""
-    found = cut(runs(docs, id_col, text_col), "runs")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_RUN, details: bool = False, within: bool = False) -> DataFrame:
+    """docs with later repeated runs deleted from the texts; within: those of the same document too; with details also removed_words and spans(start, words, sources)."""
+    found = cut(runs(docs, id_col, text_col, within), "runs")
     around = cut(_around(docs, found, id_col, text_col), "around")
     before = around.select(F.col("source").alias("left"), F.col("at").alias("left_at"), "before")
     after = around.select(F.col("source").alias("right"), F.col("at").alias("right_at"), "after")
     sided = salted_join(salted_join(found, before, ["left", "left_at"], "id"), after, ["right", "right_at"], "id", counted=found)
-    extended = sided.groupBy("id").agg(F.collect_list(F.struct("start", "end", "sources", "before", "after")).alias("_found"))
+    extended = sided.groupBy("id").agg(F.collect_list(F.struct("start", "end", "sources", "floor", "before", "after")).alias("_found"))
     extended = cut(extended, "extended")
     names, at = docs.columns, docs.columns.index(text_col)
     length = names.index("n_chars") if "n_chars" in names else None

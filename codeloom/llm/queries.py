@@ -41,7 +41,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup(table(spark, sf_dir, "documents"), details=True)
+    done = linededup.dedup(table(spark, sf_dir, "documents"), details=True, within=True)
     return done.select("doc_id", "text", "n_chars", "removed_words", "spans")
 
 

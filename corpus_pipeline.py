@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that documents of smaller ids hold already."""
-    return linededup.dedup(docs)
+    """All documents, without passages that documents of smaller ids, or they themselves, hold already."""
+    return linededup.dedup(docs, within=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

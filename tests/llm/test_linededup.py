@@ -45,3 +45,15 @@ def test_every_shared_run_of_fifty_words_is_found():
         at, h = linededup.winnow(words)
         row = words.row[at]
         assert set(h[row == 0]) & set(h[row == 1])
+
+
+def test_later_repeats_inside_a_document_are_deleted(docs_of, sentence):
+    a, b, c = sentence(1, 70, 9000), sentence(2, 30, 9000), sentence(3, 80, 9000)
+    texts = [" ".join([b, a, c, a, "end"]), " ".join([a] * 1000), " ".join([c, sentence(5, 60, 9000)]), " ".join([sentence(6, 60, 9000)] * 1000), "x " * 1000 + "y", sentence(7, 90, 9000)]
+    rows = {r["doc_id"]: r for r in linededup.dedup(docs_of(texts), details=True, within=True).collect()}
+    assert rows[0]["text"].split() == " ".join([b, a, c, "end"]).split() and rows[0]["spans"][0]["sources"] == [0]
+    assert rows[1]["text"] == "" and rows[2]["text"] == sentence(5, 60, 9000)
+    assert rows[3]["text"] == sentence(6, 60, 9000) and rows[3]["removed_words"] == 999 * 60
+    left = rows[4]["text"].split()
+    assert set(left) == {"x", "y"} and 26 <= len(left) <= 76
+    assert rows[5]["text"] == texts[5] and rows[5]["removed_words"] == 0
