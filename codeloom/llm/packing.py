@@ -8,6 +8,9 @@ often as the counts allow. At the end of a task's rows, where no pattern fills a
 sequence any more, pieces are cut where a sequence ends, and the last ids form
 sequences of powers of two, which need no padding.
 
+With added, the tokenizer file's added tokens are found in a text first, as the
+tokenizers library does by default; without it they are split as plain text.
+
 Cases: a null or empty text is the single id 0; an empty table gives an empty
 table; documents longer than a sequence are cut, and each id lies in exactly one
 piece; repeated rows are packed as often as they come; further columns are not
@@ -78,9 +81,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of texts by a tokenizers file with byte-level BPE; the ids of words seen before come from a table."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            read = json.load(f)
+        vocab = read["model"]["vocab"]
+        self.added = {t["content"]: t["id"] for t in read.get("added_tokens") or []} if added else {}
+        if added and any(t[flag] for t in read.get("added_tokens") or [] for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take blanks along or stand for whole words only are not supported")
+        # The longest of those that begin at a place comes first.
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         of = _byte_of()
         ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if all(c in of for c in token) and token != "<|endoftext|>"}
         self.core = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -91,6 +100,11 @@ class Encoder:
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.core.encode_ordinary(text), np.uint32)
 
+    def _with_added(self, text: str) -> np.ndarray:
+        """Ids of a text that holds added tokens; what stands between them is encoded by itself."""
+        pieces = [np.array([self.added[p]], np.uint32) if i % 2 else self.plain(p) for i, p in enumerate(self.split.split(text))]
+        return np.concatenate(pieces)
+
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) + len(keys) > MOST_CACHED:
             self.keys, self.place, self.starts, self.used = self.keys[:0], self.place[:0], np.zeros(1, np.int64), 0
@@ -112,12 +126,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, at most a few million characters together unless one text is longer."""
-        odd = [bool(_CONTRACTION.search(t)) if "'" in t else False for t in texts]
+        held = [self.split is not None and bool(self.split.search(t)) for t in texts]
+        odd = [h or (bool(_CONTRACTION.search(t)) if "'" in t else False) for t, h in zip(texts, held)]
         joined = "".join(t for t, o in zip(texts, odd) if not o)
         sizes = np.array([0 if o else len(t) for t, o in zip(texts, odd)], np.int64)
         ids, counts = self._joined(joined, np.append(0, np.cumsum(sizes)))
         ends = np.cumsum(counts)
-        return [self.plain(t) if o else ids[e - c : e] for t, o, e, c in zip(texts, odd, ends, counts)]
+        return [self._with_added(t) if h else self.plain(t) if o else ids[e - c : e] for t, h, o, e, c in zip(texts, held, odd, ends, counts)]
 
     def _joined(self, text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, n = len(offsets) - 1, len(text)
@@ -162,13 +177,13 @@ class Encoder:
         return ids, np.diff(until)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def best_pattern(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -263,15 +278,16 @@ class Packer:
         yield from self._place(True)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     capacity must be a power of two. tokenizer: a tokenizers file, by default
-    public_tokenizers' byte_bpe_50k.json where the task runs.
+    public_tokenizers' byte_bpe_50k.json where the task runs. added: whether the file's
+    added tokens in a text are single ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+        coder = encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), added)
         packer = Packer(TaskContext.get().partitionId(), capacity)
         kind = None
 

@@ -69,7 +69,7 @@ FROM p LEFT JOIN r ON p.payload_digest = r.payload_digest AND p.payload_bytes >=
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences of 1024 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, added=True)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

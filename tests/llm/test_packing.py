@@ -68,3 +68,18 @@ def test_pattern_is_the_best_subset():
 
 def test_empty_table(docs_of):
     assert packing.pack(docs_of(["a"]).limit(0)).count() == 0
+
+
+def test_added_tokens_are_single_ids_as_the_library_has_them_by_default(docs_of, sentence):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    token = "<|endoftext|>"
+    texts = ODD + [token, f"a {token}", f"{token}{token} b", f"don't {token}'s  x", f"{token[:-1]} {token}>", sentence(1, 2000) + token + sentence(2, 50)]
+    pieces = defaultdict(list)
+    for r in packing.pack(docs_of(texts), added=True).collect():
+        pieces[r["doc_id"]].append(r)
+    for i, t in enumerate(texts):
+        ids = np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        assert (50256 in ids) == (token in t)
+        assert sum(r["length"] for r in pieces[i]) == len(ids)
+        for r in pieces[i]:
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
