@@ -284,20 +284,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: id, class_id (the class's smallest id).
 
     Documents with equal fingerprints form one representative. Representatives
-    that share a band of band_rows symbols are linked to the band's smallest one
-    if the likeness of their whole fingerprints is at least ``similarity``; classes
-    are the components of these links.
+    that share a band of band_rows symbols are linked if the likeness of their whole
+    fingerprints is at least ``similarity``; classes are the components of these
+    links. In each band's bucket all members are compared with the smallest one;
+    buckets that then hold several classes compare further members, four times as
+    many each round, with those of other classes, until none is left uncompared that
+    the triangle inequality on the distances from the smallest one does not rule out.
     """
     printed = cut(fingerprint(docs, id_col, text_col).select(F.col(id_col).alias("id"), "fingerprint"), "prints")
     reps = cut(printed.groupBy("fingerprint").agg(F.min("id").alias("rep")), "reps")
     width = 2 * band_rows
     bands = F.transform(F.sequence(F.lit(0), F.lit(WALKS * SLOTS // band_rows - 1)), lambda i: F.xxhash64(i, F.substring("fingerprint", i * width + 1, F.lit(width))))
     rows = cut(reps.select("rep", F.explode(bands).alias("band")), "bands")
-    leaders = rows.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
-    pairs = cut(salted_join(rows, leaders, ["band"], "rep").where("rep <> leader").select("leader", "rep").distinct(), "pairs")
-    both = pairs.join(reps, "rep").join(reps.select(F.col("rep").alias("leader"), F.col("fingerprint").alias("other")), "leader")
+    shared = rows.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(salted_join(rows, shared, ["band"], "rep"), "members")
+    tested = cut(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    scored = _scored(tested, reps)
+    links = scored.where(F.col("near") >= similarity).select("a", "b")
+    comps = components(links)
+    to_leader = scored.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "near")
+    larger = members.where("n > 2").join(to_leader, ["leader", "rep"], "left").select("band", "rep", "n", F.coalesce("near", F.lit(1.0)).alias("near"))
+    larger, turn = cut(larger, "larger"), 0
+    while True:
+        turn += 1
+        now = larger.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+        place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n"))
+        left = cut(now.join(mixed, "band", "left_semi").withColumn("place", place), "mixed")
+        low, high = 4 ** (turn - 1) // 4, 4 ** (turn - 1)
+        if not left.where(F.col("place") >= low).limit(1).count():
+            break
+        leads = left.where(F.col("place").between(low, high - 1)).select("band", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("near").alias("nx"))
+        # The share of unequal symbols is a metric: what lies farther apart seen from the bucket's leader cannot be alike.
+        close = F.abs(F.col("near") - F.col("nx")) <= 1 - similarity + 1e-9
+        met = leads.join(left.select("band", "rep", "comp", "near"), "band").where((F.col("comp") != F.col("cx")) & close).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+        fresh = cut(met.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _scored(fresh, reps).where(F.col("near") >= similarity).select("a", "b")
+        tested = tested.union(fresh)
+        if found.limit(1).count():
+            links = links.union(found)
+            comps = components(links)
+        larger = left.select("band", "rep", "n", "near")
+    classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("comp", "rep").alias("class_id"))
+    return salted_join(printed, classes, ["fingerprint"], "id").select(F.col("id").alias(id_col), "class_id")
+
+
+def _scored(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of representatives with their fingerprints' likeness (near), as a table."""
+    named = lambda c, name: reps.select(F.col("rep").alias(c), F.col("fingerprint").alias(name))
+    both = pairs.join(named("b", "fingerprint"), "b").join(named("a", "other"), "a")
     symbols = F.sequence(F.lit(0), F.lit(WALKS * SLOTS - 1))
     same = F.aggregate(symbols, F.lit(0), lambda n, i: n + F.when(F.substring("fingerprint", 2 * i + 1, F.lit(2)) == F.substring("other", 2 * i + 1, F.lit(2)), 1).otherwise(0))
-    links = cut(both.where(same >= similarity * WALKS * SLOTS).select(F.col("leader").alias("a"), F.col("rep").alias("b")), "links")
-    classes = reps.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("comp", "rep").alias("class_id"))
-    return salted_join(printed, classes, ["fingerprint"], "id").select(F.col("id").alias(id_col), "class_id")
+    return cut(both.select("a", "b", (same / (WALKS * SLOTS)).alias("near")), "scored")

@@ -74,3 +74,18 @@ def test_near_duplicates_share_a_class(docs_of, sentence):
 def test_empty_table(docs_of):
     assert fp.edited_and_next(docs_of([])).count() == 0
     assert fp.fingerprint(docs_of([])).count() == 0
+
+
+def test_a_bucket_whose_smallest_member_is_unlike_the_others(spark, docs_of, monkeypatch):
+    r = np.random.default_rng(5)
+    first, second = r.integers(1, 128, 128, dtype=np.uint8), r.integers(1, 128, 128, dtype=np.uint8)
+    leader = np.append(first[:64], first[64:] + 128)
+    prints = {0: leader}
+    for i in range(1, 9):  # all share the first eight bands with the leader, and every later one differs in a symbol from text to text
+        prints[i] = (first if i % 2 else np.append(first[:64], second[64:])).copy()
+        prints[i][64 + i % 8 :: 8] ^= np.uint8(128)
+    rows = [(i, p.tobytes().hex()) for i, p in prints.items()]
+    monkeypatch.setattr(fp, "fingerprint", lambda docs, *_: spark.createDataFrame(rows, "doc_id long, fingerprint string"))
+    assert (fp.likeness(prints[1], prints[3]) >= 0.8) and (fp.likeness(prints[1], prints[2]) < 0.8) and all(fp.likeness(leader, prints[i]) < 0.8 for i in range(1, 9))
+    got = {r["doc_id"]: r["class_id"] for r in fp.near_duplicates(docs_of([])).collect()}
+    assert got == {0: 0} | {i: 1 if i % 2 else 2 for i in range(1, 9)}
