@@ -33,20 +33,22 @@ def in_schemas(c: str, schemas: Sequence[str] | None, user_only: bool = False) -
     return ~(F.col(c).isin(SYSTEM_SCHEMAS) | F.col(c).startswith("pg_toast")) if user_only else F.lit(True)
 
 
-def sqlserver_objects(objects: DataFrame, schemas: DataFrame, limit: int, only: Sequence[str] | None = None, types: Sequence[str] = tuple(SQLSERVER_TYPES)) -> DataFrame:
-    """A20. objects(object_id, schema_id, name, type, is_ms_shipped), schemas(schema_id, name)."""
+def sqlserver_objects(objects: DataFrame, schemas: DataFrame, limit: int | None, only: Sequence[str] | None = None, types: Sequence[str] = tuple(SQLSERVER_TYPES)) -> DataFrame:
+    """A20. objects(object_id, schema_id, name, type, is_ms_shipped), schemas(schema_id, name); all of them where limit is None."""
     s = schemas.select("schema_id", F.col("name").alias("schema_name"))
     rows = objects.where(~F.col("is_ms_shipped") & F.trim("type").isin(list(types))).join(s, "schema_id").where(in_schemas("schema_name", only))
-    return rows.select("schema_name", F.col("name").alias("object_name"), F.trim("type").alias("object_type")).orderBy("schema_name", "object_name").limit(limit)
+    rows = rows.select("schema_name", F.col("name").alias("object_name"), F.trim("type").alias("object_type")).orderBy("schema_name", "object_name")
+    return rows if limit is None else rows.limit(limit)
 
 
-def foreign_keys(objects: DataFrame, schemas: DataFrame, keys: DataFrame, limit: int, only: Sequence[str] | None = None) -> DataFrame:
-    """A21, A26. keys(name, parent_object_id, referenced_object_id)."""
+def foreign_keys(objects: DataFrame, schemas: DataFrame, keys: DataFrame, limit: int | None, only: Sequence[str] | None = None) -> DataFrame:
+    """A21, A26. keys(name, parent_object_id, referenced_object_id); all of them where limit is None."""
     named = objects.join(schemas.select("schema_id", F.col("name").alias("schema")), "schema_id").select("object_id", F.col("name").alias("table"), "schema")
     child = named.select(F.col("object_id").alias("parent_object_id"), F.col("table").alias("table_name"), F.col("schema").alias("schema_name"))
     parent = named.select(F.col("object_id").alias("referenced_object_id"), F.col("table").alias("referenced_table_name"), F.col("schema").alias("referenced_schema_name"))
     rows = keys.join(child, "parent_object_id").join(parent, "referenced_object_id").where(in_schemas("schema_name", only))
-    return rows.select("schema_name", "table_name", "referenced_schema_name", "referenced_table_name", F.col("name").alias("constraint_name")).orderBy("schema_name", "table_name", "constraint_name").limit(limit)
+    rows = rows.select("schema_name", "table_name", "referenced_schema_name", "referenced_table_name", F.col("name").alias("constraint_name")).orderBy("schema_name", "table_name", "constraint_name")
+    return rows if limit is None else rows.limit(limit)
 
 
 def sqlserver_triggers(rows: DataFrame) -> DataFrame:

@@ -205,19 +205,19 @@ def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b83(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects, schemas, keys = catalog.fixture_keys(spark, sf_dir)
-    known = catalog.object_entities(catalog.sqlserver_objects(objects, schemas, 50_000), "db", "sqlserver")
-    edges, issues = catalog.foreign_key_edges(catalog.foreign_keys(objects, schemas, keys, 50_000), "db", known)
+    known = catalog.object_entities(catalog.sqlserver_objects(objects, schemas, None), "db", "sqlserver")
+    edges, issues = catalog.foreign_key_edges(catalog.foreign_keys(objects, schemas, keys, None), "db", known)
     tally = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return tally(edges.where("resolved"), "resolved").unionByName(tally(edges.where("not resolved"), "unresolved")).unionByName(tally(issues, "issues"))
 
 
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.sqlserver_objects(*catalog.fixture(spark, sf_dir), limit=50_000)
+    return catalog.sqlserver_objects(*catalog.fixture(spark, sf_dir), limit=None)
 
 
 def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects, schemas, keys = catalog.fixture_keys(spark, sf_dir)
-    return catalog.foreign_keys(objects, schemas, keys, limit=50_000)
+    return catalog.foreign_keys(objects, schemas, keys, limit=None)
 
 
 def queries() -> dict[str, Query]:
