@@ -59,18 +59,20 @@ def _order() -> list[Column]:
     return [F.coalesce(F.col(c), F.lit("")) for c in ("edge_type", "source_name", "to_name", "edge_id")]
 
 
-def blast_radius(edges: DataFrame, entities: DataFrame, root: str, direction: str = "in", depth: int = 2, limit: int = 200, edge_types: Sequence[str] | None = None) -> DataFrame:
+def blast_radius(edges: DataFrame, entities: DataFrame, root: str, direction: str = "in", depth: int = 2, limit: int | None = 200, edge_types: Sequence[str] | None = None) -> DataFrame:
     """G01, G03, G04. Nodes that the root reaches, each once, by its first discovery.
 
     A level's nodes are discovered in the order of their parents, then edge type,
     source, target name and edge id. Unresolved outgoing targets are nodes
     ``unresolved:<edge id>`` and are not expanded. Each direction is cut at limit in
     the order of discovery, then both together in the order of the report. The
-    frontier and the nodes seen stay distributed; at most limit of them.
+    frontier and the nodes seen stay distributed; at most limit of them. With limit
+    None nothing is cut, and rank is the list of what a node's discovery is ordered by.
     """
     direction_of(direction)
     depth_of(depth)
-    limit_of(limit, LIST_LIMIT)
+    if limit is not None:
+        limit_of(limit, LIST_LIMIT)
     steps = _allowed(edges, edge_types)
     found = None
     for d in ("out", "in"):
@@ -78,31 +80,34 @@ def blast_radius(edges: DataFrame, entities: DataFrame, root: str, direction: st
             continue
         near, far = ("from_entity_id", F.coalesce("to_entity_id", F.concat(F.lit("unresolved:"), "edge_id"))) if d == "out" else ("to_entity_id", F.col("from_entity_id"))
         hops = steps.where(F.col(near).isNotNull()).select(*_EDGE, F.col("to_type"), F.col(near).alias("_near"), far.alias("next_id")).where("next_id is not null")
-        frontier = edges.sparkSession.createDataFrame([(root, 0, [root], [])], "node string, rank int, nodes array<string>, path array<string>")
+        frontier = edges.sparkSession.createDataFrame([(root, 0 if limit is not None else [], [root], [])], f"node string, rank {'int' if limit is not None else 'array<string>'}, nodes array<string>, path array<string>")
         seen, level_rows, items = frontier.select(F.col("node").alias("next_id")), None, None
         for level in range(1, depth + 1):
-            met = frontier.join(hops, F.col("node") == F.col("_near")).join(F.broadcast(seen), "next_id", "left_anti")
+            met = frontier.join(hops, F.col("node") == F.col("_near")).join(F.broadcast(seen) if limit is not None else seen, "next_id", "left_anti")
             first = F.row_number().over(Window.partitionBy("next_id").orderBy("rank", *_order()))
             once = met.withColumn("_n", first).where("_n = 1").drop("_n")
             # The limit bounds what is ordered here: rows enter one task already cut to it.
-            level_rows = once.orderBy("rank", *_order()).limit(limit)
-            place = F.row_number().over(Window.orderBy("rank", *_order()))
-            level_rows = level_rows.withColumn("_place", place).select(
-                F.lit(d).alias("direction"), F.lit(level).alias("depth"), (F.col("_place") + F.lit(level * 10_000_000)).cast("int").alias("rank"), *_EDGE, "to_type", "next_id",
+            if limit is None:
+                level_rows = once.withColumn("_rank", F.concat("rank", F.array(*_order())))
+            else:
+                place = F.row_number().over(Window.orderBy("rank", *_order()))
+                level_rows = once.orderBy("rank", *_order()).limit(limit).withColumn("_rank", (place + F.lit(level * 10_000_000)).cast("int"))
+            level_rows = level_rows.select(
+                F.lit(d).alias("direction"), F.lit(level).alias("depth"), F.col("_rank").alias("rank"), *_EDGE, "to_type", "next_id",
                 (F.array_append("nodes", F.col("next_id")) if d == "out" else F.array_prepend("nodes", F.col("next_id"))).alias("nodes"),
                 (F.array_append("path", F.col("edge_id")) if d == "out" else F.array_prepend("path", F.col("edge_id"))).alias("path"),
             )
             items = level_rows if items is None else items.unionByName(level_rows)
             frontier = level_rows.select(F.col("next_id").alias("node"), "rank", "nodes", "path").join(entities.select(F.col("entity_id").alias("node")), "node", "left_semi")
             seen = seen.union(level_rows.select("next_id"))
-        items = items.orderBy("rank").limit(limit)
+        items = items if limit is None else items.orderBy("rank").limit(limit)
         found = items if found is None else found.unionByName(items)
     node = entities.select(F.col("entity_id").alias("next_id"), F.col("entity_type").alias("neighbor_type"), F.col("name").alias("neighbor_name"), F.col("source_name").alias("neighbor_source"))
     found = found.join(node, "next_id", "left").withColumns({
         "neighbor_type": F.coalesce("neighbor_type", "to_type"), "neighbor_name": F.coalesce("neighbor_name", "to_name"),
     })
     order = ["depth", "direction", "edge_type", F.coalesce("neighbor_source", "next_id"), "rank"]
-    return found.orderBy(*order).limit(limit)
+    return found.orderBy(*order) if limit is None else found.orderBy(*order).limit(limit)
 
 
 def affected_sources(items: DataFrame, examples: int = 5) -> DataFrame:

@@ -323,6 +323,19 @@ def g05(v: View) -> DataFrame:
     return traverse.affected_sources(items).select("source", "count", _count("min_depth"))
 
 
+# g01 and g05 read one source's edges, as their SQL does; these two read all sources' edges, uncut.
+
+@query("g01_blast_radius_all_sources")
+def g01_all(v: View) -> DataFrame:
+    return traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "in", 2, None, traverse.profile_types("impact")).select("next_id", _count("depth"))
+
+
+@query("g05_affected_sources_all_sources")
+def g05_all(v: View) -> DataFrame:
+    items = traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "in", 2, None, traverse.profile_types("impact"))
+    return traverse.affected_sources(items).select("source", "count", _count("min_depth"))
+
+
 @query("g06_path_groups")
 def g06(v: View) -> DataFrame:
     return traverse.path_groups(traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "both", 2, 500, None))
