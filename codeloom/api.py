@@ -7,13 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.functions.exprs import entity_id
-from codeloom.operators import assemble, facts, incremental, reports, resolve, sqltext, store, traverse
+from codeloom.operators import assemble, facts, incremental, reports, resolve, scanners, sqltext, store, traverse
 from codeloom.sources import files as file_source
 
 def _no_text():
     return F.lit(None).cast("string")
 
 
+#: Files of the line scanners; calls of caches, messages and storage are looked for in all code.
+SCRIPTS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
+CODE = [*SCRIPTS, ".py", ".cs", ".vb"]
+#: Line facts follow those of the parsers, which count from 0 in each file.
+LINE_SEQ = 1_000_000
+
+
+def line_facts(files: DataFrame) -> DataFrame:
+    """Facts of the line scanners and of SQL text, as facts.scan() has them; what stands on their near side is the file."""
+    scripts, code, sql = (files.where(F.col("extension").isin(list(x))) for x in (SCRIPTS, CODE, [".sql"]))
+
+    def made(rows: DataFrame, parser: str, edge_type, to_type, to_name="to_name", near=("file", "rel_path"), **properties) -> DataFrame:
+        kept = F.create_map(*[x for k, c in properties.items() for x in (F.lit(k), F.col(c).cast("string"))]) if properties else F.create_map().cast("map<string,string>")
+        return rows.select(
+            "source_name", "rel_path", (F.col("line_number") + LINE_SEQ).cast("int").alias("seq"), F.lit(parser).alias("parser"), edge_type.alias("edge_type"), F.lit(near[0]).alias("from_type"), F.col(near[1]).alias("from_name"),
+            to_type.alias("to_type"), F.col(to_name).alias("to_name"), F.col("line_number").cast("int").alias("line_number"), F.map_filter(kept, lambda k, v: v.isNotNull()).alias("properties"), _no_text().alias("issue"),
+        ).where("to_name <> ''")
+
+    col, lit, routes = F.col, F.lit, scanners.routes(scripts)
+    parts = [
+        made(scanners.http_calls(scripts), "http_calls", col("edge_type"), col("to_type"), method="method", raw_target="raw_target"),
+        made(routes, "routes", lit("EXPOSES_ROUTE"), lit("api_route"), "route"),
+        made(routes.where("handler is not null"), "routes", lit("HANDLES_ROUTE"), lit("function"), "handler", ("api_route", "route")),
+        made(scanners.imports(scripts), "imports", lit("IMPORTS"), F.when(col("import_kind") == "relative", "module").otherwise("package"), raw_target="raw_target", import_kind="import_kind"),
+        made(scanners.symbols(scripts), "symbols", lit("DECLARES_SYMBOL"), col("entity_type"), "name", exported="exported"),
+        made(scanners.jobs(scripts), "jobs", lit("DECLARES_JOB"), lit("scheduled_job"), "name", schedule="schedule", handler="handler"),
+        made(scanners.cache_calls(code), "cache_calls", col("edge_type"), lit("cache_key")),
+        made(scanners.message_calls(code), "message_calls", col("edge_type"), col("to_type")),
+        made(scanners.storage_calls(code), "storage_calls", col("edge_type"), lit("storage_location")),
+        made(sqltext.scan(sql), "sql_text", col("edge_type"), col("to_type"), raw_target="raw_target", scope="scope", target_boundary="target_boundary", dependency_scope="dependency_scope", interaction_kind="interaction_kind"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def entity_facts(found: DataFrame) -> DataFrame:
     """Entity facts of scanned relationships: what stands on their near side, and what they declare."""
     near = found.where("edge_type <> ''").select(F.col("from_type").alias("entity_type"), F.col("from_name").alias("name"), "source_name", "rel_path", "seq")
@@ -38,7 +75,7 @@ class Graph:
         for name, root in trees.items():
             part = file_source.scan_tree(spark, root, name)
             files = part if files is None else files.unionByName(part)
-        found = facts.scan(files)
+        found = facts.scan(files).unionByName(line_facts(files))
         issues = found.where("issue is not null").select("source_name", "rel_path", F.col("issue").alias("message"))
         if strict:
             assemble.require_no_issues(issues)

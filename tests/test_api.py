@@ -21,3 +21,18 @@ def test_build_store_and_report(spark, tmp_path):
     assert graph.unresolved()["summary"].head()["edges"] >= 1
     assert "skipped" not in {r["name"] for r in graph.entities.collect()}
     assert snapshot_of(spark, trees).count() == 4
+
+
+def test_build_has_the_edges_of_scripts_and_sql_text(spark, tmp_path):
+    web, db = tmp_path / "web", tmp_path / "db"
+    web.mkdir()
+    db.mkdir()
+    (web / "a.ts").write_text('import x from "left-pad";\nexport function list() {}\napp.get("/orders", list);\nfetch("/api/items");\nfetch(process.env.BILLING_URL);\nproducer.send("orders.created");\ncache.get("k1");\ns3.upload("bucket/x");\n'.replace("fetch(process.env.BILLING_URL)", 'axios.get(process.env.BILLING_URL)'))
+    (db / "p.sql").write_text("CREATE TABLE dbo.T (id int)\nGO\nCREATE PROCEDURE dbo.P AS\nSELECT * FROM dbo.T\nINSERT INTO dbo.T VALUES (1)\nEXEC dbo.Q\nGO\n")
+    graph = Graph.build(spark, "s", {"web": str(web), "db": str(db)})
+    edges = {(r["edge_type"], r["to_name"]): r for r in graph.edges.collect()}
+    for key in (("IMPORTS", "left-pad"), ("DECLARES_SYMBOL", "list"), ("EXPOSES_ROUTE", "GET /orders"), ("HANDLES_ROUTE", "list"), ("CALLS_HTTP", "GET /api/items"), ("PUBLISHES_MESSAGE", "orders.created"), ("READS_CACHE_KEY", "k1"), ("WRITES_STORAGE_OBJECT", "bucket/x"), ("READS_SQL_OBJECT", "dbo.T"), ("WRITES_SQL_OBJECT", "dbo.T"), ("CALLS_SQL", "dbo.Q")):
+        assert key in edges, (key, sorted(edges))
+    assert any(k[0] == "CALLS_SERVICE" for k in edges)
+    assert edges["READS_SQL_OBJECT", "dbo.T"]["resolved"] and edges["EXPOSES_ROUTE", "GET /orders"]["resolved"]
+    assert not edges["CALLS_SQL", "dbo.Q"]["resolved"]
