@@ -1,8 +1,14 @@
-"""Helpers shared by the operators: shared-folder tables, heavy keys, neighbours, components."""
+"""Helpers shared by the operators: shared-folder tables, heavy keys, neighbours, components.
+
+Tables between jobs lie in <spark.checkpoint.dir>/codeloom/<application id>. What a
+returned DataFrame does not read is deleted when its operator returns; clean() deletes
+the rest once the results have been written.
+"""
 
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -18,15 +24,31 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a folder of this process."""
+    """The folder of spark.checkpoint.dir; where that is unset, a folder of this process in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="codeloom-"))
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/codeloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/codeloom/{kind}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators have left; their results must have been written elsewhere."""
+    _delete(spark, own_folder(spark))
 
 
 def cut(df: DataFrame, kind: str) -> DataFrame:
@@ -40,11 +62,33 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes what cut() wrote for df, once nothing reads it any more."""
-    path = getattr(df, "_codeloom_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    if path := getattr(df, "_codeloom_path", None):
+        _delete(df.sparkSession, path)
+
+
+class Scratch:
+    """Tables of one computation: ``with Scratch() as s`` deletes those made by s.cut() at its end, but not those given to s.keep()."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df in self.made:
+            drop_cut(df)
+
+    def cut(self, df: DataFrame, kind: str) -> DataFrame:
+        self.made.append(cut(df, kind))
+        return self.made[-1]
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made = [x for x in self.made if x is not df]
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        drop_cut(self.keep(df))
 
 
 @contextlib.contextmanager
@@ -59,6 +103,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,10 @@ import pyarrow as pa
 
 U = np.uint64
 #: Text bytes worked on at once, unless a single text is longer.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Bits of a shingle's hash within a chunk; the bits above hold the row.
+SHINGLE_BITS = 48
+MOST_ROWS = (1 << (64 - SHINGLE_BITS)) - 1
 
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
@@ -49,12 +52,12 @@ def spread(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a column with about ``most`` bytes each."""
+    """Row ranges of a column with about ``most`` bytes each, and fewer rows than the bits above a shingle can number."""
     _, offsets = spread(column)
     at, n = 0, len(column)
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
-        end = min(n, max(at + 1, end))
+        end = min(n, max(at + 1, end), at + MOST_ROWS)
         yield at, end
         at = end
 
@@ -104,10 +107,6 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), np.arange(n) + k <= words.first[1:][words.row] if n else np.zeros(0, np.bool_)
 
 
-#: Bits of a shingle's hash within a chunk; the bits above hold the row.
-SHINGLE_BITS = 48
-
-
 def shingle_counts(words: Words, rows: int, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle, count): each row's distinct shingles of k words, ascending; a shorter row is one shingle of all its words."""
     gram, whole = grams(words, k)

@@ -1,31 +1,33 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-A text's shingles are its runs of five words (letters and digits, lower case), a
+A text's shingles are its runs of five words (letters, marks and digits, lower case), a
 shorter text's the run of all its words. A shingle's weight is its count times its
 smoothed inverse document frequency, 1 + IDF_SPAN * ln(p) / ln(RARE), where
 p = max(df / N, RARE), for sampling and for verification. (Unsmoothed, what
 the near copies of a group share would hardly count where the group holds a third
-of all rows: its links would fail, or its members share no band.) The
-document frequency df is counted over all documents by lossy counting,
-which finds every shingle that more than a share RARE of them hold (at most 1/RARE
-times the mean number of shingles a document) with an error of an eighth of that;
-rarer ones weigh alike. ROUNDS independent samplers each deal the shingles to BANDS
-bins by a hash and take each bin's improved consistent weighted sample; band j
-joins the j-th bins. Documents that share a band are candidates, verified by
-weighted Jaccard similarity over whole texts.
-
-Documents of equal words form one representative first. In each band's bucket all
-members are compared with the smallest one; buckets that then hold several classes
-compare further members, four times as many each round, with those of other classes,
-until none is left uncompared that the triangle inequality on the distances from
-the smallest one does not rule out: no link that a shared band shows is lost. Classes
-are the components of the verified links.
+of all rows: its links would fail, or its members share no band.) The document
+frequency df is exact for every shingle that more than a share RARE of the documents
+hold: lossy counting over all documents finds a bounded set of candidates without
+missing one, and a second pass counts these. Rarer ones weigh alike. ROUNDS
+independent samplers each deal the shingles to BANDS bins by a hash and take each
+bin's improved consistent weighted sample; band j joins the j-th bins. Documents that
+share a band are candidates, verified by weighted Jaccard similarity over whole texts.
+
+Documents of equal words form one representative first. Each representative is
+compared with one leader, the smallest member of the bucket that it shares most bands
+with; then with the other leaders of its buckets that are not in its class by then.
+Buckets that hold several classes after that compare further members, four times as
+many each round, with those of other classes, until no pair of different classes is
+left in a bucket but those that cannot be similar: by their distances from a leader
+that both were compared with (one minus the similarity is a metric), or by the weight of
+the shingles that no other open text holds. So no link that a shared band shows is
+lost. Classes are the components of the verified links.
 
 Cases: a null text is empty; texts without words form one class; equal texts, and
 texts that differ in case or punctuation only, always share a class; repeated ids
 are one document if their texts agree and else each joins its text's class; an
 empty table gives an empty table; texts of any length are read whole; null ids
-are left out. Further columns are not read.
+are left out; ties go to the smaller id. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm._spark import arrow_rows, components, cut, drop_cut, salted_join
+from codeloom.llm._spark import Scratch, arrow_rows, components, salted_join
 from codeloom.llm._text import LETTERS, SHINGLE_BITS, U, Words, _power, chunks, mix, shingle_counts, spread
 
 WORDS, SIMILARITY = 5, 0.8
@@ -46,15 +48,24 @@ ROUNDS, BANDS = 8, 40
 RARE = 1 / 256
 #: A rare shingle weighs 1 + IDF_SPAN, one that all documents hold 1.
 IDF_SPAN = 0.25
-#: Rows that one count of shingles covers, before counts under an eighth of RARE are left out.
+#: Rows that one lossy count of shingles covers at least; it leaves out those under an eighth of RARE of its rows.
 COUNT_ROWS = 4096
-#: Pairs of texts that go to Python at once: each may be long.
-PAIR_ROWS = 256
+#: Texts, and pairs of texts, that go to Python at once: each may be long.
+TEXT_ROWS, PAIR_ROWS = 2048, 256
+#: Bucket members that one task compares with a round's leads.
+BUCKET_ROWS = 1024
+#: What stands between words outside of ASCII.
+_BETWEEN = r"[^\x00-\x7F\pL\pM\pN]"
 
 
 def _lowered(column: pa.Array) -> pa.Array:
+    """Lower-case texts; punctuation and blanks outside of ASCII become plain blanks."""
     column = column.cast(pa.large_string())
-    return pc.utf8_lower(column.fill_null("") if column.null_count else column)
+    column = pc.utf8_lower(column.fill_null("") if column.null_count else column)
+    odd = pc.match_substring_regex(column, _BETWEEN)
+    if pc.any(odd).as_py():
+        column = pc.replace_with_mask(column, odd, pc.replace_substring_regex(column.filter(odd), _BETWEEN, " "))
+    return column
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -80,9 +91,8 @@ class Weights:
         return counts * self.idf[np.where(self.common[at] == shingles, at, len(self.common))]
 
 
-def weigh(docs: DataFrame, text_col: str = "text", k: int = WORDS) -> Weights:
-    """Counts in how many documents the common shingles lie."""
-    n = docs.count()
+def _common(docs: DataFrame, n: int, k: int) -> np.ndarray:
+    """Shingles, ascending, among them all that more than RARE of the n documents hold; at most 8 / (7 * RARE) times as many as a mean document has."""
     tasks = max(1, n // COUNT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +100,7 @@ def weigh(docs: DataFrame, text_col: str = "text", k: int = WORDS) -> Weights:
 
         def out() -> pa.RecordBatch:
             found, df = np.unique(np.concatenate(held), return_counts=True)
-            keep = df >= max(1, math.ceil(rows * RARE / 8) if tasks > 1 else math.ceil(rows * RARE))
+            keep = df >= rows * RARE / 8
             return pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(df[keep].astype(np.int64))], ["shingle", "df"])
 
         for batch in batches:
@@ -103,9 +113,32 @@ def weigh(docs: DataFrame, text_col: str = "text", k: int = WORDS) -> Weights:
         if held:
             yield out()
 
-    counted = docs.select(F.col(text_col).alias("text")).coalesce(tasks).mapInArrow(run, "shingle long, df long")
-    common = counted.groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= math.ceil(n * RARE)).where("df > 1").orderBy("shingle").toPandas()
-    return Weights(common["shingle"].to_numpy(np.uint64), common["df"].to_numpy(np.float64), n)
+    # What a count leaves out is under RARE / 8 of its rows, so a true df over n * RARE keeps 7 / 8 of that.
+    counted = docs.coalesce(tasks).mapInArrow(run, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+    found = counted.where(F.col("df") > max(1, n * RARE * 7 / 8)).select("shingle").orderBy("shingle").toPandas()
+    return found["shingle"].to_numpy(np.uint64)
+
+
+def weigh(docs: DataFrame, text_col: str = "text", k: int = WORDS) -> Weights:
+    """The exact document frequencies of the common shingles, over all documents."""
+    n, texts = docs.count(), docs.select(F.col(text_col).alias("text"))
+    common = _common(texts, n, k)
+    if not len(common):
+        return Weights(common, np.zeros(0), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(common), np.int64)
+        for batch in batches:
+            for a, b, words in _words(batch.column(0)):
+                shingle = shingle_counts(words, b - a, k)[1]
+                at = np.searchsorted(common, shingle)
+                at[at == len(common)] = 0
+                df += np.bincount(at[common[at] == shingle], minlength=len(common))
+        place = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(df[place])], ["place", "df"])
+
+    exact = texts.mapInArrow(run, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).where(F.col("df") > max(1, n * RARE)).orderBy("place").toPandas()
+    return Weights(common[exact["place"].to_numpy(np.int64)], exact["df"].to_numpy(np.float64), n)
 
 
 _SEEDS = [U(0xA24BAED4963EE407 * (2 * i + 1) % (1 << 64)) for i in range(64)]
@@ -136,13 +169,10 @@ def sample(rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.ndarray,
         got = got.reshape(rows, bands)
         # An empty bin takes the sample of the next bin that has one, marked by the distance.
         if not got.all():
-            full = got.copy()
-            for step in range(1, bands):
-                empty = full == 0
-                if not empty.any():
-                    break
-                full = np.where(empty & (np.roll(got, -step, 1) != 0), mix(np.roll(got, -step, 1) + U(step)) | U(1), full)
-            got = full
+            twice = np.where(np.concatenate([got, got], 1) != 0, np.arange(2 * bands), 2 * bands)
+            far = np.minimum.accumulate(twice[:, ::-1], 1)[:, ::-1][:, :bands]
+            step = (far - np.arange(bands)).astype(U)
+            got = np.where(step > 0, mix(np.take_along_axis(got, far % bands, 1) + step) | U(1), got)
         out += mix(got ^ _SEEDS[i + 7])
     return mix(out + np.arange(bands, dtype=U) * U(0xD6E8FEB86659FD93))
 
@@ -181,8 +211,8 @@ def signatures(docs: DataFrame, weights: Weights, id_col: str, text_col: str, k:
     return rows.mapInArrow(run, f"id {kind}, h1 long, h2 long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, k: int) -> DataFrame:
-    """The pairs (a, b) with their texts' similarity, of those with least or more, as a table."""
+def _verified(s: Scratch, pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, k: int) -> DataFrame:
+    """The pairs (a, b) with their texts' similarity (near), of those with least or more, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,55 +236,131 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
     joined = salted_join(pairs, named("a"), ["a"], "b").join(named("b").hint("merge"), "b")
     kind = pairs.schema["a"].dataType.simpleString()
     with arrow_rows(pairs.sparkSession, PAIR_ROWS):
-        return cut(joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, near double"), "links")
+        return s.cut(joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, near double"), "scored")
+
+
+def _sizes(s: Scratch, texts: DataFrame, weights: Weights, k: int) -> DataFrame:
+    """(rep, whole, shared): a text's weight, and that of its shingles which another of the texts holds too."""
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in _words(batch.column(1)):
+                row, shingle, count = shingle_counts(words, b - a, k)
+                weight, ids = weights(shingle, count), batch.column(0).slice(a, b - a)
+                whole = np.bincount(row, weight, b - a)
+                # A row for each shingle, and one with the sum, which is a text's own.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(shingle.astype(np.int64), np.full(b - a, -1))), ids.take(pa.array(np.append(row, np.arange(b - a)))), pa.array(np.append(weight, whole))], ["shingle", "rep", "weight"]
+                )
+
+    with arrow_rows(texts.sparkSession, TEXT_ROWS):
+        held = texts.select("rep", "text").mapInArrow(run, f"shingle long, rep {kind}, weight double")
+        own = F.when(F.col("shingle") < 0, F.col("rep"))
+        once = held.groupBy("shingle", own.alias("own")).agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), F.sum("weight").alias("weight")).where("n = 1")
+        whole, alone = F.sum(F.when(F.col("shingle") < 0, F.col("weight"))), F.sum(F.when(F.col("shingle") >= 0, F.col("weight")))
+        return s.cut(once.groupBy("rep").agg(whole.alias("whole"), (whole - F.coalesce(alone, F.lit(0.0))).alias("shared")), "sizes")
+
+
+def _merged(s: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps(rep, comp) after the classes that links(a, b) join have become one."""
+    of = lambda end: comps.select(F.col("rep").alias(end), F.col("comp").alias("comp_" + end))
+    ends = links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    joined = components(ends.where("a <> b")).withColumnRenamed("comp", "_to")
+    return s.cut(comps.join(joined, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("_to", "comp").alias("comp")), "comps")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different classes."""
+    of = lambda end: comps.select(F.col("rep").alias(end), F.col("comp").alias("comp_" + end))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
+
+
+def _met(left: DataFrame, low: int, high: int, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's leads, those with a place from low to below high, with later members of other classes, without those that cannot be similar.
+
+    A pair that shares several open buckets is met in the first of them alone.
+    """
+    kept = left.withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS).cast("int"))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    leads = kept.where(F.col("place").between(low, high - 1)).select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias("x_" + c) for c in ("rep", "comp", "place", "bands", "pivot", "near", "whole", "shared")])
+    met = kept.withColumn("part", part).join(leads, ["band", "part"])
+    shared = F.least("shared", "x_shared")
+    possible = shared >= (least - 1e-9) * (F.col("whole") + F.col("x_whole") - shared)
+    close = (F.col("pivot") == F.col("x_pivot")) & (F.abs(F.col("near") - F.col("x_near")) > 1 - least + 1e-9)
+    later = (F.col("place") > F.col("x_place")) | (F.col("place") == F.col("x_place")) & (F.col("rep") > F.col("x_rep"))
+    first = F.array_min(F.array_intersect("bands", "x_bands")) == F.col("band")
+    met = met.where(later & (F.col("comp") != F.col("x_comp")) & possible & ~F.coalesce(close, F.lit(False)) & first)
+    return met.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, k: int = WORDS) -> DataFrame:
-    """One row a document: its id, rep_id (the smallest id with the same words) and class_id (the class's smallest id)."""
-    weights = weigh(docs, text_col, k)
-    signed = cut(signatures(docs, weights, id_col, text_col, k), "signatures")
-    reps = cut(signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "bands")).alias("m")).select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands")), "reps")
+    """One row a document: its id, rep_id (the smallest id with the same words), class_id (the class's smallest id), links and similarity.
+
+    links: how many representatives its own was found similar to; similarity: the largest
+    verified similarity of those (null without one).
+    """
+    with Scratch() as s, arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return s.keep(_classes(s, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), least, k)).withColumnRenamed("id", id_col)
+
+
+def _classes(s: Scratch, docs: DataFrame, least: float, k: int) -> DataFrame:
+    weights = weigh(docs, "text", k)
+    signed = s.cut(signatures(docs, weights, "id", "text", k), "signatures")
+    reps = s.cut(signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "bands")).alias("m")).select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands")), "reps")
     rows = reps.select("rep", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(salted_join(rows, shared, ["band"], "rep"), "members")
-
+    members = s.cut(salted_join(rows, shared, ["band"], "rep"), "members")
     active = members.select("rep").distinct()
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).dropDuplicates(["rep"]) if _repeats(signed) else docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col("id").alias("rep"), "text")
+    texts = texts.dropDuplicates(["rep"]) if _repeats(signed) else texts
     # Merged at every size: the texts are dealt out once, however many documents are candidates.
-    texts = cut(texts.hint("merge").join(active, "rep", "left_semi"), "texts")
-
-    tested = cut(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    scored = _verified(tested, texts, weights, 0.0, k)
-    links = scored.where(F.col("near") >= least).select("a", "b")
-    comps = components(links)
-    to_leader = scored.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "near")
-    larger = members.where("n > 2").join(to_leader, ["leader", "rep"], "left").select("band", "rep", "n", F.coalesce("near", F.lit(1.0)).alias("near"))
-    larger, turn = cut(larger, "larger"), 0
+    texts = s.cut(texts.hint("merge").join(active, "rep", "left_semi"), "texts")
+
+    # One leader each, that of most bands; then those of other classes.
+    asked = s.cut(members.where("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("bands")), "asked")
+    best = asked.groupBy("rep").agg(F.min(F.struct((-F.col("bands")).alias("o"), "leader")).alias("m")).select(F.col("m.leader").alias("a"), F.col("rep").alias("b"))
+    scored = _verified(s, s.cut(best, "pairs"), texts, weights, 0.0, k)
+    pivots = scored.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "near")
+    found = [scored.where(F.col("near") >= least)]
+    comps = s.cut(active.select("rep", F.col("rep").alias("comp")), "comps")
+    comps = _merged(s, comps, found[0])
+    others = asked.select(F.col("leader").alias("a"), F.col("rep").alias("b")).join(scored.select("a", "b"), ["a", "b"], "left_anti")
+    others = s.cut(_apart(others, comps), "pairs")
+    tested = scored.select("a", "b").union(others)
+    found.append(_verified(s, others, texts, weights, least, k))
+    comps = _merged(s, comps, found[1])
+
+    # Members of buckets that still hold several classes, first of all with what rules out that they are similar.
+    open_rows = members.where("n > 2").select("band", "rep", "n").join(pivots, "rep", "left")
+    left, turn = None, 0
     while True:
-        turn += 1
-        now = larger.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = (open_rows if left is None else left.drop("comp")).join(comps, "rep")
         mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n"))
-        left = cut(now.join(mixed, "band", "left_semi").withColumn("place", place), "mixed")
-        low, high = 4 ** (turn - 1) // 4, 4 ** (turn - 1)
+        now = s.cut(now.join(mixed, "band", "left_semi"), "open")
+        if left is None:
+            of_rep = now.groupBy("rep").agg(F.collect_set("band").alias("bands"))
+            texts = s.cut(texts.join(of_rep.select("rep"), "rep", "left_semi"), "open-texts")
+            place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n"))
+            now = s.cut(now.join(_sizes(s, texts, weights, k), "rep").join(of_rep, "rep").withColumn("place", place), "open")
+        left, low, high = now, 4**turn // 4, 4**turn
         if not left.where(F.col("place") >= low).limit(1).count():
             break
-        leads = left.where(F.col("place").between(low, high - 1)).select("band", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("near").alias("nx"))
-        # The distance 1 - similarity is a metric: what lies farther apart seen from the bucket's leader cannot be near.
-        close = F.abs(F.col("near") - F.col("nx")) <= 1 - least + 1e-9
-        met = leads.join(left.select("band", "rep", "comp", "near"), "band").where((F.col("comp") != F.col("cx")) & close).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-        fresh = cut(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _verified(fresh, texts, weights, least, k).select("a", "b")
+        fresh = s.cut(_met(left, low, high, least).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(fresh)
-        if found.limit(1).count():
-            links = links.union(found)
-            comps = components(links)
-        larger = left.select("band", "rep", "n", "near")
-    named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("comp", "rep").alias("class_id"))
-    out = salted_join(signed.select("id", "h1", "h2"), named, ["h1", "h2"], "id").select(F.col("id").alias(id_col), F.col("rep").alias("rep_id"), "class_id")
-    for table in (members, texts):
-        drop_cut(table)
-    return out
+        links = _verified(s, fresh, texts, weights, least, k)
+        if links.limit(1).count():
+            found.append(links)
+            comps = _merged(s, comps, links)
+        turn += 1
+
+    every = found[0]
+    for links in found[1:]:
+        every = every.union(links)
+    ends = every.select(F.explode(F.array("a", "b")).alias("rep"), "near").groupBy("rep").agg(F.count(F.lit(1)).alias("links"), F.max("near").alias("similarity"))
+    named = reps.select("h1", "h2", "rep").join(comps, "rep", "left").join(ends, "rep", "left")
+    named = named.select("h1", "h2", F.col("rep").alias("rep_id"), F.coalesce("comp", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "similarity")
+    return s.cut(salted_join(signed.select("id", "h1", "h2"), named, ["h1", "h2"], "id").select("id", "rep_id", "class_id", "links", "similarity"), "classes")
 
 
 def _repeats(signed: DataFrame) -> bool:
@@ -263,8 +369,12 @@ def _repeats(signed: DataFrame) -> bool:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows whose id is not the smallest of their class; rows with a null id stay, and repeats of an id that stays are one row."""
-    kept = cut(classes(docs, id_col, text_col, **how).where(F.col(id_col) == F.col("class_id")).select(id_col).distinct(), "kept")
-    once = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
+    found = classes(docs, id_col, text_col, **how)
+    with Scratch() as s:
+        s.made.append(found)
+        kept = s.keep(s.cut(found.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct(), "kept"))
+    once = docs.where(F.col(id_col).isNotNull())
+    once = once.join(kept, once[id_col] == kept["_kept"], "left_semi")
     if _repeats(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))):
         once = once.dropDuplicates([id_col])
     return once.union(docs.where(F.col(id_col).isNull()))
