@@ -7,16 +7,17 @@ Occurrences inside an exception phrase do not count.
 
 Cases: a null text is the empty text; an empty text, or one without a match, gets
 the score of no evidence (below 0.5); ties and repeated rows are scored alike,
-row by row; an empty table gives an empty table; with no toxic or no clean row to
-learn from, the lexicon is DEFAULT_LEXICON. Further columns are neither read nor
-returned by score(); keep_clean() returns the columns it gets, in order.
+row by row; texts of any length are read whole; rows with a null id are scored, but
+nothing is learned from them; an empty table gives an empty table; with no toxic or
+no clean row to learn from, the lexicon is DEFAULT_LEXICON. Further columns are
+neither read nor returned by score(), whatever their names; keep_clean() returns
+the columns it gets, in order.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from codeloom.llm._spark import Scratch
+
 #: Characters that look like Latin letters, and what they look like.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
@@ -42,7 +45,10 @@ DEFAULT_EXCEPTIONS = ("stupid question", "not stupid", "trash can", "clown fish"
 #: Most labelled rows that the lexicon is learned from: toxic, clean.
 SAMPLE = (1500, 3000)
 STEM_LENGTHS = range(4, 9)
+#: Most entries of a learned lexicon: those that explain most toxic rows of the sample come first.
 MOST_ENTRIES = 400
+#: Least log odds of an entry, and least toxic rows of the sample that hold it.
+LEAST_ODDS, LEAST_ROWS = 2.3, 3
 REJECT = 0.5
 
 _full_width = {0xFF01 + i: 0x21 + i for i in range(94)}
@@ -119,29 +125,22 @@ def _significant(a: int, b: int, base: float, tried: int) -> bool:
     return log_p + math.log(tried) < math.log(0.05)
 
 
-def learn_stems(rows: list[tuple[set[str], int]]) -> dict[str, float]:
-    """Weights of the stems that, one after another, explain most of the toxic rows not yet explained."""
-    toxic = [w for w, y in rows if y]
-    clean = [w for w, y in rows if not y]
-    if not toxic or not clean:
-        return dict(DEFAULT_LEXICON)
-
-    def stems(words: set[str]) -> set[str]:
-        return {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k} | {w for w in words if 3 <= len(w) <= 24}
-
-    having: dict[str, set[int]] = defaultdict(set)
-    for i, words in enumerate(toxic):
-        for s in stems(words):
-            having[s].add(i)
-    having = {s: v for s, v in having.items() if len(v) >= 3}
-    in_clean: Counter[str] = Counter()
-    for words in clean:
-        in_clean.update(s for s in stems(words) if s in having)
-    base, tried = len(toxic) / (len(toxic) + len(clean)), len(having) + 1
-    odds = lambda s: math.log((len(having[s]) + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (in_clean[s] + 0.5))
-    fit = {s: odds(s) for s in having if odds(s) > 2.3 and _significant(len(having[s]), in_clean[s], base, tried)}
+def stems(words: set[str]) -> set[str]:
+    """What may become an entry: the words, and their beginnings."""
+    return {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k} | {w for w in words if 3 <= len(w) <= 24}
+
+
+def choose(having: dict[str, set[int]], in_clean: dict[str, int], toxic: int, clean: int, tried: int) -> dict[str, float]:
+    """Weights of the stems that, one after another, explain most of the toxic rows not yet explained.
+
+    having: the toxic rows of each stem; in_clean: its number of clean rows; tried: stems that were candidates.
+    """
+    base = toxic / (toxic + clean)
+    odds = {s: math.log((len(having[s]) + 0.5) / (toxic + 1) * (clean + 1) / (in_clean[s] + 0.5)) for s in having}
+    fit = {s: v for s, v in odds.items() if v > LEAST_ODDS and _significant(len(having[s]), in_clean[s], base, tried)}
     chosen: dict[str, float] = {}
-    left = set(range(len(toxic)))
+    every = set().union(*having.values())
+    left = set(every)
     while fit and len(chosen) < MOST_ENTRIES:
         best = max(fit, key=lambda s: (len(having[s] & left) * fit[s] + 0.02 * len(having[s]) * fit[s], len(s), s))
         if len(having[best] & left) < 2:
@@ -150,12 +149,12 @@ def learn_stems(rows: list[tuple[set[str], int]]) -> dict[str, float]:
         left -= having[best]
         fit = {s: v for s, v in fit.items() if having[s] & left}
     # The other stems that nothing clean holds: more evidence for rows with a single match.
-    covered = set(range(len(toxic))) - left
+    covered = every - left
     for s in sorted((s for s in having if s not in chosen and in_clean[s] == 0 and len(having[s] & covered) >= 5), key=lambda s: (-len(having[s]), -len(s), s)):
         if len(chosen) >= MOST_ENTRIES:
             break
         if not any(s.startswith(c) or c.startswith(s) for c in chosen) and _significant(len(having[s]), 0, base, tried):
-            chosen[s] = odds(s)
+            chosen[s] = odds[s]
     return chosen or dict(DEFAULT_LEXICON)
 
 
@@ -173,39 +172,96 @@ def _calibrate(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return min(float(beta[0]), -0.05), max(float(beta[1]), 0.05)
 
 
-def learn_exceptions(rows: list[tuple[str, int]], weights: dict[str, float]) -> tuple[str, ...]:
+def _around(folded: str, start: int, end: int) -> list[str]:
+    """The matched word with the word before it, and with the one after it."""
+    stop = folded.index(" ", end)
+    word, before = folded[start:stop], folded[folded.rfind(" ", 0, max(start - 1, 0)) + 1 : start].strip()
+    after = folded[stop + 1 : folded.index(" ", stop + 1)] if stop + 1 < len(folded) else ""
+    return [f"{x} {word}" for x in (before,) if x] + [f"{word} {x}" for x in (after,) if x]
+
+
+def _learn_stems(s: Scratch, rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """choose() over rows(n, y, folded), n numbering the rows of a label; stems are counted by Spark, and only those with odds come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, y, folded in zip(*(c.to_pylist() for c in batch.columns)):
+                own = sorted(stems(set(folded.split())))
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(own), pa.int64()), pa.array([y] * len(own), pa.int32()), pa.array(own, pa.string())], ["n", "y", "stem"])
+
+    held = rows.select("n", "y", "folded").mapInArrow(run, "n long, y int, stem string")
+    counted = held.groupBy("stem").agg(F.count_if(F.expr("y = 1")).alias("a"), F.count_if(F.expr("y = 0")).alias("b"), F.collect_list(F.when(F.col("y") == 1, F.col("n"))).alias("rows")).where(F.col("a") >= LEAST_ROWS)
+    odds = F.log((F.col("a") + 0.5) / (toxic + 1) * (clean + 1) / (F.col("b") + 0.5))
+    counted = s.cut(counted.select("stem", "b", "rows", odds.alias("odds")), "stems")
+    tried = counted.count() + 1
+    found = counted.where(F.col("odds") > LEAST_ODDS).select("stem", "b", "rows").toLocalIterator()
+    having, in_clean = {}, {}
+    for stem, b, own in found:
+        if _significant(len(own), b, toxic / (toxic + clean), tried):
+            having[stem], in_clean[stem] = set(own), b
+    return choose(having, in_clean, toxic, clean, tried)
+
+
+def _learn_exceptions(rows: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
     """Two-word phrases around matches that only clean rows hold, in three of them at least."""
-    matcher = Matcher(Lexicon(weights, ()))
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for folded, y in rows:
-        for phrase in {p for a, b, _, _ in matcher.hits(folded) for p in _around(folded, a, b)}:
-            seen[phrase][y] += 1
-    return tuple(sorted(p for p, (clean, toxic) in seen.items() if clean >= 3 and not toxic))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(Lexicon(weights, ()))
+        for batch in batches:
+            for y, folded in zip(*(c.to_pylist() for c in batch.columns)):
+                own = sorted({p for a, b, _, _ in matcher.hits(folded) for p in _around(folded, a, b)})
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(own), pa.int32()), pa.array(own, pa.string())], ["y", "phrase"])
+
+    seen = rows.select("y", "folded").mapInArrow(run, "y int, phrase string").groupBy("phrase").agg(F.count_if(F.expr("y = 0")).alias("clean"), F.count_if(F.expr("y = 1")).alias("toxic"))
+    return tuple(sorted(r["phrase"] for r in seen.where("clean >= 3 and toxic = 0").select("phrase").collect()))
 
-def _around(folded: str, start: int, end: int) -> list[str]:
-    stop = folded.index(" ", end)
-    before, after = folded[:start].split()[-1:], folded[stop : stop + 80].split()[:1]
-    word = folded[start:stop]
-    return [f"{x} {word}" for x in before] + [f"{word} {x}" for x in after]
+
+def _evidence(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """(evidence, label) of the rows, by their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([matcher.evidence(t) for t in batch.column(2).to_pylist()], pa.float64())], ["n", "y", "evidence"])
+
+    got = rows.select("n", "y", "folded").mapInArrow(run, "n long, y int, evidence double").collect()
+    got.sort(key=lambda r: (r["y"], r["n"], r["evidence"]))
+    return np.array([r["evidence"] for r in got]), np.array([float(r["y"]) for r in got])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Lexicon:
-    """Learns a lexicon from at most ``sample`` (toxic, clean) labelled rows, those with the smallest hashes of their ids."""
-    picked = None
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
+    """Learns a lexicon from at most ``sample`` (toxic, clean) labelled rows, those with the smallest hashes of their ids.
+
+    Their texts stay on the executors; numbers of the sampled rows, stems with odds, phrases
+    and one figure a row come to the driver.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").dropDuplicates(["id"])
+    picked = []
     for y, n in ((1, sample[0]), (0, sample[1])):
-        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
-        picked = part if picked is None else picked.union(part)
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
-    rows = [(fold(r["_text"]), r["_y"]) for r in chosen.select("_text", "_y").orderBy("_id").limit(sum(sample)).toLocalIterator()]
-    weights = learn_stems([(set(t.split()), y) for t, y in rows])
-    exceptions = (*DEFAULT_EXCEPTIONS, *learn_exceptions(rows, weights))
-    if not rows or len({y for _, y in rows}) < 2:
-        return Lexicon(weights, exceptions)
-    matcher = Matcher(Lexicon(weights, exceptions))
-    bias, slope = _calibrate(np.array([matcher.evidence(t) for t, _ in rows]), np.array([float(y) for _, y in rows]))
-    return Lexicon(weights, exceptions, bias, slope)
+        picked += known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    picked.sort()
+    places = {0: 0, 1: 0}
+    numbered = []
+    for i, y in picked:
+        numbered.append((i, y, places[y]))
+        places[y] += 1
+    if not numbered:
+        return Lexicon(dict(DEFAULT_LEXICON))
+    chosen = docs.sparkSession.createDataFrame(numbered, f"id {labels.schema[id_col].dataType.simpleString()}, y int, n long")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fold(t) for t in batch.column(2).to_pylist()], pa.string())], ["n", "y", "folded"])
+
+    with Scratch() as s:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+        rows = s.cut(texts.select("n", "y", "text").mapInArrow(folded, "n long, y int, folded string"), "sampled")
+        counts = {r["y"]: r["c"] for r in rows.groupBy("y").agg(F.count_distinct("n").alias("c")).collect()}
+        if len(counts) < 2:
+            return Lexicon(dict(DEFAULT_LEXICON), (*DEFAULT_EXCEPTIONS, *_learn_exceptions(rows, DEFAULT_LEXICON)))
+        weights = _learn_stems(s, rows, counts[1], counts[0])
+        lexicon = Lexicon(weights, (*DEFAULT_EXCEPTIONS, *_learn_exceptions(rows, weights)))
+        return Lexicon(weights, lexicon.exceptions, *_calibrate(*_evidence(rows, lexicon)))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
