@@ -8,16 +8,17 @@ and end markers of its assistant turns.
 
 Cases: null roles are "user", null texts are empty; a conversation without turns is an
 empty one; a pair with equal conversations has two empty completions; a pair with no
-common turn has an empty prompt; turns of one number are ordered by role and text;
-pairs that name a conversation without rows get an empty one; an empty table gives
-an empty table; further columns are not read. Only DataFrame functions are used.
+common turn has an empty prompt; turns of one number are ordered by role and text, and
+repeated rows are turns of their own; turns with a null id are left out;
+pairs that name a conversation without rows get an empty one; texts of any length are
+rendered whole; an empty table gives an empty table; further columns are not read, whatever their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.llm._spark import cut, salted_join
+from codeloom.llm._spark import Scratch, cut, salted_join
 
 #: Fixed values of the format.
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
@@ -55,13 +56,14 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def pair_up(pairs: DataFrame) -> DataFrame:
-    """pairs(pair_id, chosen, rejected), the latter two arrays of turns, formatted: pair_id, prefix_turns, prompt, chosen, rejected, and their masks."""
+    """pairs(pair_id, chosen, rejected), the latter two arrays of turns, formatted: pair_id, prefix_turns, prompt, chosen, rejected, their masks, and what else pairs has."""
     none = F.array().cast("array<struct<role:string,text:string>>")
-    rows = pairs.select("pair_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r")).withColumn("prefix_turns", common_prefix(F.col("c"), F.col("r")))
+    more = [c for c in pairs.columns if c not in ("pair_id", "chosen", "rejected")]
+    rows = pairs.select("pair_id", F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r"), *more).withColumn("prefix_turns", common_prefix(F.col("c"), F.col("r")))
     rest = lambda name: F.slice(name, F.col("prefix_turns") + 1, F.size(name))
     return rows.select(
         "pair_id", "prefix_turns", rendered(F.slice("c", F.lit(1), F.col("prefix_turns"))).alias("prompt"),
-        rendered(rest("c")).alias("chosen"), rendered(rest("r")).alias("rejected"), spans(rest("c")).alias("chosen_mask"), spans(rest("r")).alias("rejected_mask"),
+        rendered(rest("c")).alias("chosen"), rendered(rest("r")).alias("rejected"), spans(rest("c")).alias("chosen_mask"), spans(rest("r")).alias("rejected_mask"), *more,
     )
 
 
@@ -73,23 +75,37 @@ def pairs_of(convs: DataFrame, chosen: DataFrame) -> DataFrame:
     return both.select("pair_id", "chosen", "rejected")
 
 
-def against_other_answers(convs: DataFrame, seed: int = 17) -> DataFrame:
+def against_other_answers(convs: DataFrame, seed: int = 17, every: bool = False) -> DataFrame:
     """pairs: a conversation with an assistant turn against itself, its last assistant turn and what follows replaced by the last assistant turn of another.
 
-    The other one is the next conversation with an assistant turn in the ring of ids
+    The other one is the next conversation with a different last answer in the ring of ids
     of its part, in which the ids are ordered by a hash; parts are as many as give
-    about a thousand conversations each. A conversation alone in its part has its
-    own answer as the other.
+    about a thousand conversations each. Conversations without an assistant turn, or in a part
+    whose answers all agree, have no pair; with every they give a row too, whose chosen and
+    rejected are null and whose status says why ("no assistant turn", "no other answer").
     """
     last = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), LEARNED_ROLE)
-    rows = convs.withColumn("cut", F.size("turns") - last.cast("int") + 1).where(last > 0)
-    rows = cut(rows.select("id", "turns", "cut", F.element_at("turns", F.col("cut")).alias("answer")), "answers")
-    parts = max(1, rows.count() // 1000)
-    ring = Window.partitionBy("part").orderBy("place", "id")
-    key = rows.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).alias("part"), F.xxhash64("id", F.lit(seed + 1)).alias("place"))
-    after = key.withColumn("next", F.lead("id").over(ring)).withColumn("first", F.first("id").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    after = after.select("id", F.coalesce("next", "first").alias("other"))
-    answers = rows.select(F.col("id").alias("other"), F.col("answer").alias("other_answer"))
-    met = rows.join(after, "id").join(answers, "other")
-    rejected = F.concat(F.slice("turns", F.lit(1), F.col("cut") - 1), F.array("other_answer"))
-    return met.select(F.col("id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
+    with Scratch() as s:
+        rows = s.cut(convs.select("id", "turns", F.when(last > 0, F.size("turns") - last.cast("int") + 1).alias("cut")), "answers")
+        answers = rows.where("cut is not null").select("id", "turns", "cut", F.element_at("turns", F.col("cut")).alias("answer"))
+        parts = max(1, answers.count() // 1000)
+        by = Window.partitionBy("part").orderBy("place", "id")
+        key = answers.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).alias("part"), F.xxhash64("id", F.lit(seed + 1)).alias("place"), F.sha2(F.to_json("answer"), 256).alias("says"))
+        # A run of equal answers ends where the next one starts; the last run's next is the ring's first different one.
+        start = F.when(~F.col("says").eqNullSafe(F.lag("says").over(by)), F.struct("id", "says"))
+        runs = key.withColumn("start", start)
+        ahead, whole = by.rowsBetween(1, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        runs = runs.withColumns({"next": F.first("start", ignorenulls=True).over(ahead), "first": F.first("start", ignorenulls=True).over(whole)})
+        # Of the ring's second run, for members of a last run that agree with the first one.
+        second = F.first(F.when(F.col("says") != F.col("first.says"), F.struct("id", "says")), ignorenulls=True).over(whole)
+        runs = runs.withColumn("second", second)
+        other = F.coalesce(F.col("next.id"), F.when(F.col("first.says") != F.col("says"), F.col("first.id")), F.when(F.col("second.says") != F.col("says"), F.col("second.id")))
+        after = runs.select("id", other.alias("other"))
+        met = answers.join(after, "id").join(answers.select(F.col("id").alias("other"), F.col("answer").alias("other_answer")), "other", "left")
+        rejected = F.concat(F.slice("turns", F.lit(1), F.col("cut") - 1), F.array("other_answer"))
+        found = F.col("other").isNotNull()
+        pairs = met.select(F.col("id").alias("pair_id"), F.when(found, F.col("turns")).alias("chosen"), F.when(found, rejected).alias("rejected"), F.when(found, "pair").otherwise("no other answer").alias("status"))
+        none = F.lit(None).cast(pairs.schema["chosen"].dataType)
+        silent = rows.where("cut is null").select(F.col("id").alias("pair_id"), none.alias("chosen"), none.alias("rejected"), F.lit("no assistant turn").alias("status"))
+        s.keep(rows)
+        return pairs.union(silent) if every else pairs.where("status = 'pair'").drop("status")

@@ -10,6 +10,8 @@ from codeloom.llm import fingerprint, language, linededup, minhash, mixing, pack
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Whole lines of so many words are not kept twice.
+LINE_WORDS = 8
 
 
 def id_class(col: str, of: int):
@@ -41,7 +43,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup(table(spark, sf_dir, "documents"), details=True, within=True)
+    done = linededup.dedup(table(spark, sf_dir, "documents"), details=True, within=True, line_words=LINE_WORDS)
     return done.select("doc_id", "text", "n_chars", "removed_words", "spans")
 
 
@@ -74,7 +76,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return preferences.pair_up(preferences.against_other_answers(preferences.conversations(turns)))
+    return preferences.pair_up(preferences.against_other_answers(preferences.conversations(turns), every=True))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents, and further ones that docs has, whatever their names.
+
+Cases, for every stage: an empty table gives an empty table; texts of any length are
+worked on whole. A null text is an empty one: it is not toxic, holds nothing repeated, is a
+near duplicate of the other texts without words, has no tokens to mix (so it is drawn
+once), and packs as the single end token. Rows with a null id stay up to mixing, as
+documents of their own, and are packed. Repeated rows of one id are scored alike, lose what they repeat, and
+are one document for near dedup. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import linededup, minhash, mixing, packing, toxicity
 from codeloom.llm._spark import new_path, table
-from codeloom.llm.queries import id_class
+from codeloom.llm.queries import LINE_WORDS, id_class
 from codeloom.ship import shipped
 
 #: No stage can be written in SQL: learned lexicon, winnowing, sampling hashes, bisection, tokenizer.
@@ -28,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that documents of smaller ids, or they themselves, hold already."""
-    return linededup.dedup(docs, within=True)
+    return linededup.dedup(docs, within=True, line_words=LINE_WORDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
