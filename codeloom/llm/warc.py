@@ -10,10 +10,11 @@ Of the rows with equal payloads of MIN_REVISIT bytes or more, that with the
 largest id is written as a ``response``; the others are ``revisit`` records that
 name it and hold no payload. Smaller payloads are always responses.
 
-Cases: a null payload is empty; a null target is an empty WARC-Target-URI; ties on
-the id cannot be told apart, and each row gets its record; an empty table writes
+Cases: a null payload is empty; a null target is an empty WARC-Target-URI; a null id
+is written as "None"; rows of one id each get their record, with their own payload, so
+that a record is one of several of its name; an empty table writes
 no bundle; payloads of any length are written whole, in a frame of their own if
-long; further columns are not read. A task that is run again writes a bundle of
+long; further columns are not read, whatever their names. A task that is run again writes a bundle of
 another name; the index only names bundles of the tasks that counted.
 """
 
@@ -29,7 +30,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm._spark import cut, new_path, parts, salted_join
+from codeloom.llm._spark import Scratch, new_path, parts, salted_join
 
 MIN_REVISIT = 1000
 FRAME_BYTES = 1 << 18
@@ -82,6 +83,7 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and name of a path; one without a scheme is of the local file system, which must then be shared by all hosts."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -154,17 +156,16 @@ class _Writer:
             self.out = None
 
 
-def plan(pages: DataFrame, id_col: str, payload_col: str, uri_col: str) -> DataFrame:
-    """(id, uri, payload, digest, refers_to): what each record will hold; refers_to is null for responses."""
-    rows = pages.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(uri_col), F.lit("")).alias("uri"),
-        F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit("").cast("binary")).alias("payload"),
-    )
-    digests = cut(rows.where(F.octet_length("payload") >= MIN_REVISIT).select("id", F.unhex(F.sha1("payload")).alias("digest")), "digests")
+def plan(s: Scratch, pages: DataFrame, id_col: str, payload_col: str, uri_col: str) -> DataFrame:
+    """(id, uri, payload, refers_to): what each record will hold; refers_to is null for responses."""
+    payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit("").cast("binary"))
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(uri_col), F.lit("")).alias("uri"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.unhex(F.sha1("payload"))))
+    digests = s.cut(rows.where("digest is not null").select("id", "digest"), "digests")
     repeated = digests.groupBy("digest").agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = salted_join(digests, repeated, ["digest"], "id").where("id <> first_id").select("id", F.col("first_id").alias("refers_to")).distinct()
-    return rows.join(cut(revisits, "revisits"), "id", "left")
+    # By id and payload: rows of one id may hold several payloads.
+    revisits = salted_join(digests, repeated, ["digest"], "id").where("id <> first_id").select("id", "digest", F.col("first_id").alias("refers_to")).distinct()
+    return rows.join(s.cut(revisits, "revisits"), ["id", "digest"], "left").select("id", "uri", "payload", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url") -> DataFrame:
@@ -184,9 +185,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bundle), pa.array(frame, pa.int32()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["id", "bundle", "frame", "offset", "length"])
         writer.close()
 
-    planned = plan(pages, id_col, payload_col, uri_col).select("id", "uri", "payload", "refers_to")
-    index = planned.mapInArrow(run, f"id {kind}, bundle string, frame int, offset long, length long")
-    return cut(index, "warc-index").withColumnRenamed("id", id_col)
+    with Scratch() as s:
+        planned = plan(s, pages, id_col, payload_col, uri_col)
+        index = planned.mapInArrow(run, f"id {kind}, bundle string, frame int, offset long, length long")
+        return s.keep(s.cut(index, "warc-index")).withColumnRenamed("id", id_col)
 
 
 def read(index: DataFrame, id_col: str = "page_id") -> DataFrame:
