@@ -8,15 +8,18 @@ sums over the sources made by Spark, of 32 exponents at once. Weights times budg
 give each source's tokens.
 
 A source's documents have a fixed order by a hash of their ids, cut into BLOCKS
-blocks. Whole passes over the source come first; of the last pass, whole blocks as
-long as they fit in the budget, then documents of the next block one by one. So a
-source is short of its budget by less than its next document.
+blocks of BLOCKS smaller ones each. Whole passes over the source come first; of the
+last pass, whole blocks as long as they fit in the budget, then whole smaller ones of
+the next block, then documents of the next smaller one, one by one. So a source is short of its
+budget by less than its next document, and no task orders more than about a
+sixteen-millionth of a source.
 
 Tokens are runs of visible characters. Cases: a null or empty text has no tokens
 and is kept once, outside of every budget; a null source is a source of its own;
 rows with equal ids follow each other in the order of their texts; an empty table
-gives an empty table; a single source keeps weight 1; further columns are passed
-through, and columns named like the operator's own are not disturbed.
+gives an empty table; a single source keeps weight 1; texts of any length are counted
+whole; further columns are passed through, and columns named like the operator's own are
+not disturbed (but for one named copies_col, which gives way to the result).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.llm._spark import cut
+from codeloom.llm._spark import Scratch, cut
 
 #: Target entropy as a share of the largest possible, and most passes over one source.
 ENTROPY, MAX_REPEATS = 0.95, 4.0
@@ -96,37 +99,57 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     budget: tokens of the mixture, by default those of docs.
     """
+    with Scratch() as s:
+        return _mixed(s, docs, id_col, text_col, source_col, entropy, max_repeats, budget, copies_col)
+
+
+def _edge(rows: DataFrame, by: str, room: str) -> DataFrame:
+    """(source, room's own columns, edge, left): of rows(source, n, by) and their source's room, the part in which the room ends, and what is left of it there."""
+    keys = [c for c in rows.columns if c not in ("id", "h", "place", "n", by)]
+    sums = rows.groupBy(*keys, by).agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = sums.withColumn("_before", before).where((F.col("_before") <= F.col(room)) & (F.col("_before") + F.col("_n") > F.col(room)))
+    return ends.select(*keys, F.col(by).alias(f"edge_{by}"), (F.col(room) - F.col("_before")).alias("left"))
+
+
+def _mixed(s: Scratch, docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: float, max_repeats: float, budget: int | None, copies_col: str | None) -> DataFrame:
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(53)), F.lit(1 << 40)).alias("place")
+    bits = BLOCKS.bit_length() - 1
+    block, part = F.shiftrightunsigned("place", 40 - bits).cast("int"), (F.shiftrightunsigned("place", 40 - 2 * bits) % BLOCKS).cast("int")
     counted = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), tokens(text_col).alias("n"), place, F.xxhash64(text_col).alias("h"))
-    counted = cut(counted, "tokens")
-    plan = weights(counted, entropy, max_repeats, budget).select("source", "total", "target")
-    plan = plan.withColumn("passes", F.expr("target div total")).withColumn("rest", F.expr("target % total"))
-    block = (F.col("place") / ((1 << 40) // BLOCKS)).cast("int")
-
-    # At most BLOCKS rows a source: which blocks of the last pass fit, and where the next one begins.
-    by_block = counted.where("n > 0").groupBy("source", block.alias("block")).agg(F.sum("n").alias("bn"))
-    before = F.coalesce(F.sum("bn").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = by_block.withColumn("before", before).join(plan, by_block["source"].eqNullSafe(plan["source"])).where("before <= rest and before + bn > rest")
-    edges = cut(edge.select(by_block["source"], "total", "passes", F.col("block").alias("edge"), (F.col("rest") - F.col("before")).alias("room")), "edges")
-
-    # Of the one block in which a source's budget ends, the documents before the end.
-    inside = counted.where("n > 0").withColumn("block", block).alias("c").join(edges.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source")) & (F.col("c.block") == F.col("e.edge")))
-    inside = inside.select("c.id", "c.h", "c.source", "c.place", "c.n", "e.room")
+    counted = s.cut(counted, "tokens")
+    weighed = weights(counted, entropy, max_repeats, budget)
+    plan = weighed.select("source", F.expr("target div total").alias("passes"), F.expr("target % total").alias("rest"))
+    plan = s.cut(plan, "plan")
+
+    # At most BLOCKS rows a source: which blocks of the last pass fit, and in which it ends; then the same inside of that one.
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    told = counted.where("n > 0").withColumn("block", block)
+    by_block = told.groupBy("source", "block").agg(F.sum("n").alias("n")).alias("c").join(plan.alias("p"), same("c", "p")).select("c.source", "p.passes", "p.rest", "c.block", "c.n")
+    edges = s.cut(_edge(by_block, "block", "rest"), "edges")
+    inside = told.withColumn("part", part).alias("c").join(edges.alias("e"), same("c", "e") & (F.col("c.block") == F.col("e.edge_block")))
+    inside = s.cut(inside.select("c.source", "c.id", "c.h", "c.place", "c.n", "c.part", "e.passes", "e.edge_block", F.col("e.left").alias("room")), "inside")
+    ends = s.cut(_edge(inside, "part", "room"), "ends")
+
+    # Of the one part in which a source's budget ends, the documents before the end.
+    last = inside.alias("c").join(ends.alias("e"), same("c", "e") & (F.col("c.part") == F.col("e.edge_part"))).select("c.source", "c.id", "c.h", "c.place", "c.n", "e.left")
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("place", "id", "h").rowsBetween(Window.unboundedPreceding, 0))
-    taken = cut(inside.withColumn("upto", upto).where("upto <= room").groupBy("id", "h", "source").agg(F.count(F.lit(1)).alias("more")), "taken")
+    taken = s.cut(last.withColumn("upto", upto).where("upto <= left").groupBy("id", "h", "source").agg(F.count(F.lit(1)).alias("more")), "taken")
 
-    marks = [F.col(f"d.`{c}`") for c in docs.columns]
+    names = [c for c in docs.columns if c != copies_col]
+    marks = [F.col(f"d.`{c}`") for c in names]
     own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(source_col).alias("source"), F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("h"), (F.regexp_instr(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S")) > 0).alias("any"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(53)), F.lit(1 << 40)).alias("place"),
-    ).withColumn("block", block)
-    planned = own.alias("o").join(_small(edges).alias("e"), F.col("o.source").eqNullSafe(F.col("e.source")), "left").select("o.*", "e.passes", "e.edge")
-    same = (F.col("o.id").eqNullSafe(F.col("t.id"))) & (F.col("o.h") == F.col("t.h")) & F.col("o.source").eqNullSafe(F.col("t.source"))
-    drawn = planned.alias("o").join(taken.alias("t"), same, "left")
-    copies = F.when(~F.col("any"), F.lit(1)).otherwise(
-        F.col("passes") + F.when(F.col("block") < F.col("edge"), 1).otherwise(F.when((F.col("block") == F.col("edge")) & F.col("more").isNotNull(), 1).otherwise(0))
-    )
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), F.col(source_col).alias("source"), F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("h"), (F.regexp_instr(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S")) > 0).alias("any"), place,
+    ).withColumn("block", block).withColumn("part", part)
+    planned = own.alias("o").join(_small(ends).alias("e"), same("o", "e"), "left").select("o.*", "e.passes", "e.edge_block", "e.edge_part")
+    met = (F.col("o.id").eqNullSafe(F.col("t.id"))) & (F.col("o.h") == F.col("t.h")) & same("o", "t")
+    drawn = planned.alias("o").join(taken.alias("t"), met, "left")
+    in_part = (F.col("part") < F.col("edge_part")) | (F.col("part") == F.col("edge_part")) & F.col("more").isNotNull()
+    fits = (F.col("block") < F.col("edge_block")) | (F.col("block") == F.col("edge_block")) & in_part
+    copies = F.when(~F.col("any"), F.lit(1)).otherwise(F.col("passes") + fits.cast("int"))
+    for read_later in (ends, taken):
+        s.keep(read_later)
     if copies_col:
         return drawn.select(*marks, F.coalesce(copies, F.lit(0)).cast("long").alias(copies_col))
     return _repeat(drawn, copies, marks)
