@@ -3,13 +3,14 @@
 Each language has a codeword; one linear classifier a bit, on hashed 1- to 4-grams
 of the lower-cased text, predicts that bit. Decoding sums, over the bits, the loss
 of the predicted margin against the codeword's bit, weighted by how reliable the
-bit was when it was learned; the nearest codeword wins. A second codeword nearly
+bit is on rows left out of its fit; the nearest codeword wins. A second codeword nearly
 as near marks the row as ambiguous.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; equal texts
 get equal rows; equally near codewords give the language that sorts first; an
 empty table gives an empty table; with no labelled row every text is ``und``;
-whole texts are read, of any length. Further columns are neither read nor returned.
+whole texts are read, of any length; rows with a null id are predicted, and repeated rows
+alike. Further columns are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,26 +82,33 @@ class Model:
     trust: np.ndarray
 
 
+def _ridge(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of ridge regressions of the targets' columns, rows weighted."""
+    weight = weight / weight.mean()
+    middle, level = (x * weight[:, None]).mean(0), (target * weight[:, None]).mean(0)
+    root = np.sqrt(weight)[:, None]
+    centred = (x - middle) * root
+    gram = centred @ centred.T + (0.05 * len(x) / DIMENSIONS + 1e-3) * np.eye(len(x), dtype=np.float32)
+    weights = centred.T @ np.linalg.solve(gram, (target - level) * root)
+    return weights, level - middle @ weights
+
+
 def learn(x: np.ndarray, y: list[str]) -> Model:
-    """Ridge classifiers of the codewords' bits; a bit's trust is its accuracy above chance."""
+    """Ridge classifiers of the codewords' bits; a bit's trust is its accuracy above chance, each half of the rows being predicted by a fit on the other."""
     languages = tuple(sorted(set(y)))
     if not languages:
         return Model((), np.zeros((0, 1), np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
     code = codewords(len(languages))
     index = np.array([languages.index(v) for v in y])
     target = code[index]
-    each = np.bincount(index, minlength=len(languages))
-    weight = (1 / np.maximum(each, 1))[index].astype(np.float32)
-    weight /= weight.mean()
-    middle = (x * weight[:, None]).mean(0)
-    level = (target * weight[:, None]).mean(0)
-    root = np.sqrt(weight)[:, None]
-    centred = (x - middle) * root
-    gram = centred @ centred.T + 0.05 * len(y) / DIMENSIONS * np.eye(len(y), dtype=np.float32) + 1e-3 * np.eye(len(y), dtype=np.float32)
-    weights = centred.T @ np.linalg.solve(gram, (target - level) * root)
-    bias = level - middle @ weights
-    right = ((x @ weights + bias) * target > 0).mean(0)
-    return Model(languages, code, weights.astype(np.float32), bias.astype(np.float32), np.maximum(2 * right - 1, 0.05).astype(np.float32))
+    weight = (1 / np.bincount(index, minlength=len(languages)))[index].astype(np.float32)
+    half, right = np.arange(len(y)) % 2 == 1, np.zeros(code.shape[1])
+    if len(y) > 1:
+        for tried in (half, ~half):
+            weights, bias = _ridge(x[~tried], target[~tried], weight[~tried])
+            right += ((x[tried] @ weights + bias) * target[tried] > 0).sum(0)
+    weights, bias = _ridge(x, target, weight)
+    return Model(languages, code, weights.astype(np.float32), bias.astype(np.float32), np.maximum(2 * right / len(y) - 1, 0.05).astype(np.float32))
 
 
 def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

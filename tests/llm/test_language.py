@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from codeloom.llm import language
@@ -31,3 +32,24 @@ def test_nothing_to_learn_from(docs_of):
 def test_codewords_are_apart():
     code = language.codewords(6)
     assert min((code[i] != code[j]).sum() for i in range(6) for j in range(i)) >= 3
+
+
+def test_decoding_equals_brute_force_and_flags_what_lies_between():
+    rng = np.random.default_rng(3)
+    code = language.codewords(5)
+    trust = rng.uniform(0.1, 1, code.shape[1]).astype(np.float32)
+    weights = np.zeros((language.DIMENSIONS, code.shape[1]), np.float32)
+    weights[: code.shape[1]] = np.eye(code.shape[1])
+    model = language.Model(tuple("abcde"), code, weights, np.zeros(code.shape[1], np.float32), trust)
+    margins = np.concatenate([code, (code[:1] + code[1:2]) / 2, rng.normal(size=(200, code.shape[1]))]).astype(np.float32)
+    x = np.zeros((len(margins), language.DIMENSIONS), np.float32)
+    x[:, : code.shape[1]] = margins
+    near, score, unsure = language.decode(model, x)
+    for m, n, s, u in zip(margins, near, score, unsure):
+        losses = [sum(t * max(0.0, 1 - min(1.5, max(-1.5, v)) * bit) for v, bit, t in zip(m, word, trust)) / trust.sum() for word in code]
+        first, second = sorted(losses)[:2]
+        assert np.isclose(losses[n], first, atol=1e-5) and 0 < s <= 1
+        assert abs(second - first - language.AMBIGUOUS) < 1e-5 or u == (second - first < language.AMBIGUOUS)
+    assert near[:5].tolist() == [0, 1, 2, 3, 4] and not unsure[:5].any()
+    # Halfway between two codewords, both are as near.
+    assert unsure[5] and near[5] in (0, 1)
