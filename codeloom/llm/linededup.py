@@ -53,7 +53,7 @@ def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
 
 
 def winnow(words: Words, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of the selected lines; of a run of equal hashes every window-th."""
+    """(word index, hash) of the selected lines; of equal ones within window words of each other one in window words."""
     h, whole = grams(words, line)
     n = len(h)
     if n < window:
@@ -66,9 +66,13 @@ def winnow(words: Words, line: int = LINE, window: int = WINDOW) -> tuple[np.nda
     pad = np.zeros(window - 1, U)
     high = _slide(np.concatenate([pad, low, pad]), window, np.maximum)
     chosen = np.flatnonzero((high == h) & whole)
-    new = np.append(True, h[1:] != h[:-1]) | np.append(True, words.row[1:] != words.row[:-1])
-    since = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    chosen = chosen[since[chosen] % window == 0]
+    # Equal lines that follow each other within a window (a text of short period): one in window words stays.
+    order = np.lexsort((chosen, h[chosen], words.row[chosen]))
+    at = chosen[order]
+    apart = np.append(True, (h[at][1:] != h[at][:-1]) | (words.row[at][1:] != words.row[at][:-1]) | (np.diff(at) >= window))
+    start = at[np.maximum.accumulate(np.where(apart, np.arange(len(at)), 0))] if len(at) else at
+    place = (at - start) // window
+    chosen = np.sort(at[apart | np.append(True, place[1:] != place[:-1])]) if len(at) else at
     return chosen, h[chosen]
 
 
