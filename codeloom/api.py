@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.functions.exprs import entity_id
-from codeloom.operators import assemble, facts, incremental, reports, resolve, scanners, sqltext, store, traverse
+from codeloom.operators import assemble, facts, incremental, reports, resolve, scaffold, scanners, sqltext, store, traverse
 from codeloom.sources import files as file_source
+from codeloom.sources.tables import cut
 
 def _no_text():
     return F.lit(None).cast("string")
@@ -21,8 +22,17 @@ CODE = [*SCRIPTS, ".py", ".cs", ".vb"]
 LINE_SEQ = 1_000_000
 
 
+#: What a scanner knows both ends of: edges of these kinds are resolved when they are found.
+DECLARED = r"^(DECLARES|CONTAINS|EXPOSES|RUNS|HANDLES|SELECTS)_"
+#: Entities that are one a source, whatever the file.
+WITHOUT_PATH = ["service", "package", "project", "repository"]
+
+
 def line_facts(files: DataFrame) -> DataFrame:
-    """Facts of the line scanners and of SQL text, as facts.scan() has them; what stands on their near side is the file."""
+    """Facts of the line scanners and of SQL text, as facts.scan() has them.
+
+    Interactions of scripts stand twice: from the file, and from the function in which their line stands.
+    """
     scripts, code, sql = (files.where(F.col("extension").isin(list(x))) for x in (SCRIPTS, CODE, [".sql"]))
 
     def made(rows: DataFrame, parser: str, edge_type, to_type, to_name="to_name", near=("file", "rel_path"), **properties) -> DataFrame:
@@ -33,35 +43,78 @@ def line_facts(files: DataFrame) -> DataFrame:
         ).where("to_name <> ''")
 
     col, lit, routes = F.col, F.lit, scanners.routes(scripts)
+    evidence = {"target_boundary": "target_boundary", "dependency_scope": "dependency_scope", "interaction_kind": "interaction_kind"}
+
+    def told(rows: DataFrame, boundary: str, kind) -> DataFrame:
+        return rows.withColumns({"target_boundary": lit(boundary), "dependency_scope": lit("runtime"), "interaction_kind": kind})
+
+    def touched(rows: DataFrame) -> list[tuple[DataFrame, str, dict]]:
+        """The interactions of scanned files."""
+        by = lambda a, b: F.when(col("edge_type").rlike("^(READS|CONSUMES)"), a).otherwise(b)
+        return [
+            (told(scanners.http_calls(rows).drop("host_service"), "application", F.when(col("edge_type") == "CALLS_SERVICE", "service_call").otherwise("http_call")), "http_calls", {"method": "method", "raw_target": "raw_target"}),
+            (told(scanners.cache_calls(rows).withColumn("to_type", lit("cache_key")), "cache", by("cache_read", "cache_write")), "cache_calls", {}),
+            (told(scanners.message_calls(rows), "messaging", by("message_consume", "message_publish")), "message_calls", {}),
+            (told(scanners.storage_calls(rows).withColumn("to_type", lit("storage_location")), "storage", by("storage_read", "storage_write")), "storage_calls", {}),
+        ]
+
     parts = [
-        made(scanners.http_calls(scripts), "http_calls", col("edge_type"), col("to_type"), method="method", raw_target="raw_target"),
         made(routes, "routes", lit("EXPOSES_ROUTE"), lit("api_route"), "route"),
         made(routes.where("handler is not null"), "routes", lit("HANDLES_ROUTE"), lit("function"), "handler", ("api_route", "route")),
         made(scanners.imports(scripts), "imports", lit("IMPORTS"), F.when(col("import_kind") == "relative", "module").otherwise("package"), raw_target="raw_target", import_kind="import_kind"),
         made(scanners.symbols(scripts), "symbols", lit("DECLARES_SYMBOL"), col("entity_type"), "name", exported="exported"),
+        made(scanners.symbol_calls(scripts), "symbol_calls", lit("CALLS_SYMBOL"), lit("function"), near=("function", "function")),
         made(scanners.jobs(scripts), "jobs", lit("DECLARES_JOB"), lit("scheduled_job"), "name", schedule="schedule", handler="handler"),
-        made(scanners.cache_calls(code), "cache_calls", col("edge_type"), lit("cache_key")),
-        made(scanners.message_calls(code), "message_calls", col("edge_type"), col("to_type")),
-        made(scanners.storage_calls(code), "storage_calls", col("edge_type"), lit("storage_location")),
-        made(sqltext.scan(sql), "sql_text", col("edge_type"), col("to_type"), raw_target="raw_target", scope="scope", target_boundary="target_boundary", dependency_scope="dependency_scope", interaction_kind="interaction_kind"),
+        made(sqltext.scan(sql), "sql_text", col("edge_type"), col("to_type"), raw_target="raw_target", scope="scope", **evidence),
+        made(scanners.within_functions(sqltext.scan(scripts).drop("scope"), scripts), "sql_text", col("edge_type"), col("to_type"), near=("function", "function"), raw_target="raw_target", **evidence),
     ]
+    # Python's own scanner finds these by its syntax tree.
+    parts += [made(rows, parser, col("edge_type"), col("to_type"), **more, **evidence) for rows, parser, more in touched(code.where("extension <> '.py'"))]
+    parts += [made(scanners.within_functions(rows, scripts), parser, col("edge_type"), col("to_type"), near=("function", "function"), **more, **evidence) for rows, parser, more in touched(scripts)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def path_of(kind: str) -> Column:
+    """The path that belongs to an entity's id: its file's, but for those that are one a source."""
+    return F.when(F.col(kind).isin(WITHOUT_PATH), _no_text()).when(F.col(kind) == "file", F.col(kind.replace("type", "name"))).otherwise(F.col("rel_path"))
+
+
+def scaffold_facts(files: DataFrame, found: DataFrame) -> DataFrame:
+    """B02 to B04: the repository, projects and files of each source, as facts.scan() has them."""
+    declared = found.where("edge_type = 'DECLARES_PACKAGE' and from_type = 'project'").select("source_name", "rel_path", F.col("from_name").alias("name"))
+    rows = scaffold.containment(files, scaffold.projects(files, declared))
+    path = F.when(F.col("to_type") == "file", F.col("to_name")).otherwise("")
+    return rows.select(
+        "source_name", path.alias("rel_path"), F.lit(-1).alias("seq"), F.lit("scaffold").alias("parser"), "edge_type", "from_type", "from_name", "to_type", "to_name",
+        F.lit(None).cast("int").alias("line_number"), F.create_map().cast("map<string,string>").alias("properties"), _no_text().alias("issue"),
+    )
+
+
 def entity_facts(found: DataFrame) -> DataFrame:
     """Entity facts of scanned relationships: what stands on their near side, and what they declare."""
-    near = found.where("edge_type <> ''").select(F.col("from_type").alias("entity_type"), F.col("from_name").alias("name"), "source_name", "rel_path", "seq")
-    far = found.where(F.col("edge_type").rlike("^(DECLARES|CONTAINS|EXPOSES|RUNS|HANDLES)_")).select(F.col("to_type").alias("entity_type"), F.col("to_name").alias("name"), "source_name", "rel_path", "seq")
-    rows = near.unionByName(far).where("name <> ''")
+    near = found.where("edge_type <> ''").select(F.col("from_type").alias("entity_type"), F.col("from_name").alias("entity_name"), "source_name", "rel_path", "seq")
+    far = found.where(F.col("edge_type").rlike(DECLARED)).select(F.col("to_type").alias("entity_type"), F.col("to_name").alias("entity_name"), "source_name", "rel_path", "seq")
+    rows = near.unionByName(far).where("entity_name <> ''")
     return rows.select(
-        "entity_type", "name", "source_name", F.when(F.col("entity_type").isin("service", "package", "project", "repository"), _no_text()).otherwise(F.col("rel_path")).alias("file_path"),
+        "entity_type", F.col("entity_name").alias("name"), "source_name", path_of("entity_type").alias("file_path"),
         F.lit(None).cast("int").alias("line_number"), F.array().cast("array<string>").alias("aliases"), F.create_map().cast("map<string,string>").alias("properties"), F.struct("rel_path", "seq").alias("seq"),
     )
 
 
+def edge_facts(found: DataFrame) -> DataFrame:
+    """Edge facts of scanned relationships: declared ones are resolved with high confidence, references wait for resolution with a medium one."""
+    declared = F.col("edge_type").rlike(DECLARED)
+    to = entity_id("source_name", "to_type", "to_name", path_of("to_type"))
+    return found.where("edge_type <> ''").select(
+        entity_id("source_name", "from_type", "from_name", path_of("from_type")).alias("from_entity_id"), "from_name", "from_type", "to_name", "to_type", F.when(declared, to).alias("to_entity_id"), "edge_type",
+        declared.alias("resolved"), "source_name", F.nullif("rel_path", F.lit("")).alias("file_path"), "line_number", _no_text().alias("identity_key"), F.when(declared, "high").otherwise("medium").alias("confidence"), "parser", "properties",
+        F.struct("rel_path", "seq").alias("seq"),
+    )
+
+
 class Graph:
     """sources(index, name, ...), entities, resolved edges and issues of a scope."""
 
@@ -75,20 +128,23 @@ class Graph:
         for name, root in trees.items():
             part = file_source.scan_tree(spark, root, name)
             files = part if files is None else files.unionByName(part)
-        found = facts.scan(files).unionByName(line_facts(files))
+        return cls.of_files(spark, scope, trees, files, strict)
+
+    @classmethod
+    def of_files(cls, spark: SparkSession, scope: str, trees: dict[str, str], files: DataFrame, strict: bool = False, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Graph:
+        """The graph of files(source_name, rel_path, extension, content); include and exclude are patterns of the packages that dependency edges may name."""
+        files = cut(files)
+        found = cut(facts.scan(files).unionByName(line_facts(files)))
         issues = found.where("issue is not null").select("source_name", "rel_path", F.col("issue").alias("message"))
         if strict:
             assemble.require_no_issues(issues)
-        entities = entity_facts(found).unionByName(cls._definitions(files))
-        upserted = assemble.upsert_entities(entities).drop("seq")
-        path = F.when(F.col("from_type").isin("service", "package", "project", "repository"), _no_text()).otherwise(F.col("rel_path"))
-        rows = found.where("edge_type <> ''").select(
-            entity_id("source_name", "from_type", "from_name", path).alias("from_entity_id"), "from_name", "from_type", "to_name", "to_type", _no_text().alias("to_entity_id"), "edge_type",
-            F.lit(False).alias("resolved"), "source_name", F.col("rel_path").alias("file_path"), "line_number", _no_text().alias("identity_key"), F.lit("medium").alias("confidence"), "parser", "properties",
-            F.struct("rel_path", "seq").alias("seq"),
-        )
-        edges = assemble.upsert_edges(rows).drop("seq")
-        return cls(scope, spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(trees.items())], "index long, name string, path string"), *resolve.resolve(upserted, edges), issues)
+        found = found.where("issue is null").unionByName(scaffold_facts(files, found))
+        upserted = cut(assemble.upsert_entities(entity_facts(found).unionByName(cls._definitions(files))).drop("seq"))
+        edges = cut(assemble.upsert_edges(edge_facts(found)).drop("seq"))
+        entities, edges = resolve.resolve(upserted, edges)
+        if include or exclude:
+            edges = edges.where(assemble.keep_dependency(list(include), list(exclude)))
+        return cls(scope, spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(trees.items())], "index long, name string, path string"), entities, edges, issues)
 
     @staticmethod
     def _definitions(files: DataFrame) -> DataFrame:

@@ -57,11 +57,29 @@ def sqlserver_triggers(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(F.upper("event_name"))), ",").alias("events"), F.min_by("is_disabled", F.coalesce("event_name", F.lit(""))).alias("is_disabled"))
 
 
+def sqlserver_trigger_rows(triggers: DataFrame, objects: DataFrame, schemas: DataFrame, events: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """A22. The rows of sqlserver_triggers() from triggers(object_id, name, parent_id, is_disabled), events(object_id, event_name), objects and schemas; triggers without events stay."""
+    named = objects.join(schemas.select("schema_id", F.col("name").alias("table_schema_name")), "schema_id").select(F.col("object_id").alias("parent_id"), F.col("name").alias("table_name"), "table_schema_name")
+    rows = triggers.join(named, "parent_id").join(events.select("object_id", "event_name"), "object_id", "left").where(in_schemas("table_schema_name", only))
+    return rows.select(F.col("table_schema_name").alias("schema_name"), F.col("name").alias("trigger_name"), "table_schema_name", "table_name", "event_name", "is_disabled")
+
+
 def sqlserver_dependencies(rows: DataFrame) -> DataFrame:
     """A23. A missing target schema is the origin's; every dependency is a reference of a module."""
     return rows.withColumn("to_schema_name", F.coalesce("to_schema_name", "from_schema_name")).withColumn("dependency_type", F.lit("module_reference"))
 
 
+def sqlserver_dependency_rows(dependencies: DataFrame, objects: DataFrame, schemas: DataFrame) -> DataFrame:
+    """A23. The rows of sqlserver_dependencies() from dependencies(referencing_id, referenced_id, referenced_schema_name, referenced_entity_name); a target outside of the catalog keeps the name that it is given."""
+    named = objects.join(schemas.select("schema_id", F.col("name").alias("schema")), "schema_id").select("object_id", "schema", F.col("name").alias("object"), F.trim("type").alias("kind"))
+    origin = named.select(F.col("object_id").alias("referencing_id"), F.col("schema").alias("from_schema_name"), F.col("object").alias("from_object_name"), F.col("kind").alias("from_object_type"))
+    target = named.select(F.col("object_id").alias("referenced_id"), F.col("schema").alias("_schema"), F.col("object").alias("_object"), F.col("kind").alias("to_object_type"))
+    rows = dependencies.join(origin, "referencing_id").join(target, "referenced_id", "left")
+    return rows.select(
+        "from_schema_name", "from_object_name", "from_object_type", F.coalesce("_schema", "referenced_schema_name").alias("to_schema_name"), F.coalesce("_object", "referenced_entity_name").alias("to_object_name"), "to_object_type", F.lit(None).cast("string").alias("dependency_name"),
+    )
+
+
 def postgres_objects(classes: DataFrame, namespaces: DataFrame, limit: int, only: Sequence[str] | None = None, kinds: dict[str, str] = POSTGRES_RELATIONS, kind_col: str = "relkind") -> DataFrame:
     """A24, A25. classes(oid, name, namespace, relkind or prokind), namespaces(oid, nspname)."""
     n = namespaces.select(F.col("oid").alias("namespace"), F.col("nspname").alias("schema_name"))
@@ -113,19 +131,71 @@ def index(entities: DataFrame) -> DataFrame:
     return typed.unionByName(untyped)
 
 
-def foreign_key_edges(rows: DataFrame, source: str, known: DataFrame, parser: str = "sqlserver_metadata") -> tuple[DataFrame, DataFrame]:
-    """B83. Edges of foreign keys, and issues of those whose own table is missing or ambiguous."""
-    tables = index(known).where("kind = 'sql_table'").select("key", "n", "name")
-    own = rows.withColumn("own", F.lower(F.concat_ws(".", "schema_name", "table_name"))).withColumn("other", F.lower(F.concat_ws(".", "referenced_schema_name", "referenced_table_name")))
-    met = own.join(tables.select(F.col("key").alias("own"), F.col("n").alias("own_n")), "own", "left").join(tables.select(F.col("key").alias("other"), F.col("n").alias("other_n")), "other", "left")
+def _ends(rows: DataFrame, known: DataFrame, own: Column, other: Column, own_kind: str | Column, other_kind: str | Column) -> DataFrame:
+    """rows with own, other (full names) and how many entities of the given kind each means (own_n, other_n); a null kind is any."""
+    kind = lambda k: F.lit(k) if isinstance(k, str) else k
+    names = index(known)
+    keyed = rows.withColumns({"own": F.lower(own), "other": F.lower(other), "own_kind": kind(own_kind), "other_kind": kind(other_kind)})
+    for side in ("own", "other"):
+        found = names.select(F.col("kind").alias(f"_{side}_kind"), F.col("key").alias(f"_{side}"), F.col("n").alias(f"{side}_n"))
+        keyed = keyed.join(found, (F.col(side) == F.col(f"_{side}")) & F.col(f"{side}_kind").eqNullSafe(F.col(f"_{side}_kind")), "left").drop(f"_{side}", f"_{side}_kind").fillna(0, [f"{side}_n"])
+    return keyed
+
+
+def _edges_and_issues(met: DataFrame, edge_type: str | Column, identity: Column, source: str, parser: str, what: str) -> tuple[DataFrame, DataFrame]:
+    """B83. Edges of rows whose own object is known and single; an issue for each other row. A target with several meanings is ambiguous."""
     edges = met.where("own_n = 1").select(
-        F.col("own").alias("from_name"), F.col("other").alias("to_name"), F.lit("REFERENCES_SQL_OBJECT").alias("edge_type"), (F.coalesce("other_n", F.lit(0)) == 1).alias("resolved"),
-        F.concat_ws("|", F.lit("foreign_key"), "constraint_name").alias("identity_key"), F.lit(source).alias("source_name"), F.lit(parser).alias("parser"),
+        F.col("own").alias("from_name"), F.col("other").alias("to_name"), (F.lit(edge_type) if isinstance(edge_type, str) else edge_type).alias("edge_type"), F.col("other_kind").alias("to_type"), (F.col("other_n") == 1).alias("resolved"),
+        F.when(F.col("other_n") > 1, "ambiguous").alias("resolution_status"), identity.alias("identity_key"), F.lit(source).alias("source_name"), F.lit(parser).alias("parser"),
     )
-    issues = met.where("coalesce(own_n, 0) <> 1").select(F.concat(F.lit("foreign key of an unknown or ambiguous table: "), "own").alias("message"))
+    issues = met.where("own_n <> 1").select(F.concat(F.lit(what), F.when(F.col("own_n") > 1, " of an ambiguous object: ").otherwise(" of an unknown object: "), F.col("own")).alias("message"))
     return edges, issues
 
 
+def _full(schema: str, name: str) -> Column:
+    return F.concat_ws(".", schema, name)
+
+
+def foreign_key_edges(rows: DataFrame, source: str, known: DataFrame, parser: str = "sqlserver_metadata") -> tuple[DataFrame, DataFrame]:
+    """B83. Edges of foreign keys, and issues of those whose own table is missing or ambiguous."""
+    met = _ends(rows, known, _full("schema_name", "table_name"), _full("referenced_schema_name", "referenced_table_name"), "sql_table", "sql_table")
+    return _edges_and_issues(met, "REFERENCES_SQL_OBJECT", F.concat_ws("|", F.lit("foreign_key"), "own", "other", "constraint_name"), source, parser, "foreign key")
+
+
+def trigger_edges(rows: DataFrame, source: str, known: DataFrame, parser: str = "sqlserver_metadata") -> tuple[DataFrame, DataFrame]:
+    """B83. Edges from triggers, among the known entities, to their tables."""
+    met = _ends(rows, known, _full("schema_name", "trigger_name"), _full("table_schema_name", "table_name"), "sql_trigger", "sql_table")
+    return _edges_and_issues(met, "TRIGGERS_ON_SQL_OBJECT", F.concat_ws("|", F.lit("trigger"), "own", "other"), source, parser, "trigger")
+
+
+def dependency_edges(rows: DataFrame, source: str, known: DataFrame, parser: str = "sqlserver_metadata") -> tuple[DataFrame, DataFrame]:
+    """B83. Edges of rows(from_schema_name, from_object_name, from_object_type, to_schema_name, to_object_name, to_object_type, dependency_name, dependency_type): calls of procedures, references of others."""
+    calls = F.coalesce(metadata_value("dependency_type").isin(CALL_DEPENDENCIES), F.lit(False))
+    met = _ends(rows, known, _full("from_schema_name", "from_object_name"), _full("to_schema_name", "to_object_name"), graph_type("from_object_type"), graph_type("to_object_type"))
+    return _edges_and_issues(met, F.when(calls, "CALLS_SQL").otherwise("REFERENCES_SQL_OBJECT"), F.concat_ws("|", F.lit("dependency"), "own", "other", "dependency_name"), source, parser, "dependency")
+
+
+def trigger_entities(rows: DataFrame, source: str, engine: str) -> DataFrame:
+    """B81. Entity facts of triggers, one a trigger, with their table, events and whether they are enabled."""
+    full = _full("schema_name", "trigger_name")
+    props = F.create_map(
+        F.lit("schema"), F.col("schema_name"), F.lit("full_name"), full, F.lit("schema_state"), F.lit("current_database"), F.lit("database_engine"), F.lit(engine), F.lit("metadata_source"), F.lit("catalog"),
+        F.lit("table"), _full("table_schema_name", "table_name"), F.lit("trigger_events"), F.col("events"), F.lit("trigger_enabled"), (~F.col("is_disabled")).cast("string"),
+    )
+    return rows.select(F.lit("sql_trigger").alias("entity_type"), F.col("trigger_name").alias("name"), F.lit(source).alias("source_name"), full.alias("file_path"), F.lit(None).cast("int").alias("line_number"), F.array(full).alias("aliases"), F.map_filter(props, lambda k, v: v.isNotNull()).alias("properties")).dropDuplicates(["name", "file_path"])
+
+
+def scan_catalog(source: str, engine: str, objects: DataFrame, keys: DataFrame, triggers: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """B80. (entities, edges, issues) of a catalog's rows."""
+    known = object_entities(objects, source, engine).unionByName(trigger_entities(triggers, source, engine))
+    parser = f"{engine}_metadata"
+    parts = [f(rows, source, known, parser) for f, rows in ((foreign_key_edges, keys), (trigger_edges, triggers), (dependency_edges, dependencies))]
+    edges, issues = parts[0]
+    for more, other in parts[1:]:
+        edges, issues = edges.unionByName(more), issues.unionByName(other)
+    return known, edges, issues
+
+
 def dependency_edge_type(c: str = "dependency_type") -> Column:
     return F.when(metadata_value(c).isin(CALL_DEPENDENCIES), "CALLS_SQL").otherwise("READS_SQL_OBJECT")
 

@@ -18,6 +18,10 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codeloom.operators.scanners import (
+    BUCKET_KEYS, CACHE_HINTS, CACHE_PLAIN, CACHE_READS, CACHE_WRITES, CONSUMES, CONTAINER_KEYS, MESSAGE_HINTS, OBJECT_KEYS, PUBLISHES, QUEUE_METHODS, STORAGE_BROAD, STORAGE_HINTS, STORAGE_READS, STORAGE_WRITES,
+)
+
 try:
     import yaml
 except ImportError:
@@ -301,9 +305,12 @@ def _environment(owner: str, env: dict) -> Iterator[Fact]:
 # Python
 
 #: Names that the Python scanner looks for.
-VERBS = "get post put patch delete head options".split()
-SQL_METHODS = "execute executemany exec_driver_sql text".split()
-JOB_DECORATORS = "cron periodic_task scheduled".split()
+VERBS = ["get", "post", "put", "patch", "delete", "head", "options"]
+SQL_METHODS = ["execute", "executemany", "exec_driver_sql", "text"]
+JOB_DECORATORS = ["cron", "periodic_task", "scheduled"]
+PYTHON_MESSAGE_KEYS = ["topic", "topics", "queue", "queue_name", "QueueName", "QueueUrl", "routing_key"]
+PYTHON_QUEUE_METHODS = ["basic_consume", "receive_message", "send_message"]
+PYTHON_STORAGE_KEYS = ["Bucket", "bucket", "bucket_name", "Container", "container", "Key", "key", "path", "file_path"]
 
 
 def _dotted(node: ast.AST) -> str:
@@ -376,11 +383,62 @@ class _Visitor(ast.NodeVisitor):
         elif last in SQL_METHODS and first:
             for edge, target in sql_references(first):
                 self.add(edge, *owner, "sql_object", target, "sql_reference", node.lineno, {"target_boundary": "database", "dependency_scope": "runtime", "interaction_kind": "sql_reference"})
+        elif found := list(self._touches(node, root, last)):
+            for edge, kind, target, parser in found:
+                self.add(edge, *owner, kind, target, parser, node.lineno)
         elif self.scope and last in self.callables and last != self.scope[-1]:
             self.add("CALLS_SYMBOL", *owner, "function", last, "python_call", node.lineno)
         self.generic_visit(node)
 
 
+    def _touches(self, node: ast.Call, root: str, last: str) -> Iterator[tuple[str, str, str, str]]:
+        """B36. (edge type, target type, target, parser) of messages, stored objects and cache keys that a call touches."""
+        receiver = root.lower() if isinstance(node.func, ast.Attribute) else ""
+        hinted = lambda hints: any(h in receiver for h in hints)
+        method, given = last.lower(), {k.arg: k.value for k in node.keywords if k.arg}
+        first = _string(node.args[0]) if node.args else None
+        if method in [*PUBLISHES, *CONSUMES] and (hinted(MESSAGE_HINTS) or method in QUEUE_METHODS):
+            edge = "PUBLISHES_MESSAGE" if method in PUBLISHES else "CONSUMES_MESSAGE"
+            named = [(k, v) for k in PYTHON_MESSAGE_KEYS for v in _strings(given.get(k))]
+            for key, value in named:
+                yield edge, "message_queue" if "queue" in key.lower() or "routing" in key else "message_topic", message_name(value), "python_message"
+            for value in [] if named else _strings(node.args[0] if node.args else None):
+                yield edge, "message_queue" if method in PYTHON_QUEUE_METHODS else "message_topic", message_name(value), "python_message"
+        if method in [*STORAGE_READS, *STORAGE_WRITES] and (hinted(STORAGE_HINTS) or method not in STORAGE_BROAD) or last == "open":
+            values = {k.lower(): v for k in PYTHON_STORAGE_KEYS if (v := _string(given.get(k)))}
+            mode = (_string(node.args[1]) if len(node.args) > 1 else None) or _string(given.get("mode")) or "r"
+            reads = not any(c in mode for c in "wax+") if last == "open" else method in STORAGE_READS
+            if target := storage_name(values) if values else first:
+                yield "READS_STORAGE_OBJECT" if reads else "WRITES_STORAGE_OBJECT", "storage_location", storage_path(target), "python_storage"
+        if method in [*CACHE_READS, *CACHE_WRITES] and (hinted(CACHE_HINTS) or method not in CACHE_PLAIN) and first:
+            yield "READS_CACHE_KEY" if method in CACHE_READS else "WRITES_CACHE_KEY", "cache_key", first.strip(), "python_cache"
+
+
+def _strings(node: ast.AST | None) -> list[str]:
+    """The string of an expression, or those of a list or tuple."""
+    nodes = node.elts if isinstance(node, (ast.List, ast.Tuple, ast.Set)) else [node]
+    return [v for n in nodes if (v := _string(n))]
+
+
+def message_name(value: str) -> str:
+    """The last segment of an address, or the text itself."""
+    m = re.match(r"[A-Za-z][\w+.-]*:(?://[^/?#]*)?([^?#]*)", value.strip())
+    return (m[1].rstrip("/").rsplit("/", 1)[-1] if m else "") or value.strip()
+
+
+def storage_name(values: dict[str, str]) -> str | None:
+    """The target of the values given to keys: bucket or container and object, or the one that is there."""
+    of = lambda keys: next((values[k] for k in keys if k in values), None)
+    bucket, container, item = of(BUCKET_KEYS), of(CONTAINER_KEYS), of(OBJECT_KEYS)
+    holder = bucket or container
+    return f"{holder}/{item}" if holder and item else item or bucket or container
+
+
+def storage_path(value: str) -> str:
+    m = re.match(r"[A-Za-z][\w+.-]*://([^/?#]+)/*([^?#]*)", value.strip())
+    return "/".join(filter(None, (m[1], m[2].rstrip("/")))) if m else value.strip().replace("\\", "/")
+
+
 def sql_references(text: str) -> Iterator[tuple[str, str]]:
     """(edge type, object) of the references in a piece of SQL."""
     for pattern, edge in ((r"\bEXEC(?:UTE)?\s+([\w.\[\]]+)", "CALLS_SQL"), (r"\b(?:FROM|JOIN)\s+([\w.\[\]]+)", "READS_SQL_OBJECT"), (r"\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO|TRUNCATE\s+TABLE)\s+([\w.\[\]]+)", "WRITES_SQL_OBJECT")):

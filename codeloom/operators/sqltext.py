@@ -26,9 +26,9 @@ WRITES = {
     "select_into": rf"(?i)\bSELECT\b.*?\bINTO\s+{_NAME}",
 }
 #: Words that cannot be the target of a write.
-STOP_WORDS = "as from into join on or select set table then update using values when where".split()
+STOP_WORDS = ["as", "from", "into", "join", "on", "or", "select", "set", "table", "then", "update", "using", "values", "when", "where"]
 OBJECT_TYPES = {"PROCEDURE": "stored_procedure", "PROC": "stored_procedure", "TABLE": "sql_table", "VIEW": "sql_view", "FUNCTION": "sql_function"}
-HISTORICAL_DIRECTORIES = "migration migrations revision revisions rev revs alembic flyway liquibase".split()
+HISTORICAL_DIRECTORIES = ["migration", "migrations", "revision", "revisions", "rev", "revs", "alembic", "flyway", "liquibase"]
 SCHEMA_FILES = [f"{x}.sql" for x in ("schema", "tables", "views", "functions", "procedures")]
 
 

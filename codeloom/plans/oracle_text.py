@@ -27,11 +27,13 @@ external AS (
          unnest(CASE WHEN to_type = 'service' THEN ['service', 'project', 'repository', '*'] ELSE [to_type, '*'] END) AS grp,
          unnest(CASE WHEN to_type = 'service' THEN [0, 1, 2, 3] ELSE [0, 1] END) AS tier
   FROM edges WHERE to_entity_id IS NULL AND to_type <> 'message_topic'
+), per_key AS MATERIALIZED (
+  SELECT grp, key, count(*) AS n, min(entity_id) AS one, arg_min(entity_type, entity_id) AS one_type FROM lookup GROUP BY grp, key
+), per_source AS MATERIALIZED (
+  SELECT grp, key, source_name, count(*) AS same, min(entity_id) AS own, arg_min(entity_type, entity_id) AS own_type FROM lookup GROUP BY grp, key, source_name
 ), reached AS (
-  SELECT edge_id, grp, r.source_name, tier, count(*) AS n, count(*) FILTER (l.source_name = r.source_name) AS same,
-         min(entity_id) AS one, min(entity_id) FILTER (l.source_name = r.source_name) AS own,
-         arg_min(entity_type, entity_id) AS one_type, arg_min(entity_type, entity_id) FILTER (l.source_name = r.source_name) AS own_type
-  FROM refs r JOIN lookup l USING (grp, key) GROUP BY ALL
+  SELECT edge_id, r.grp, r.source_name, tier, n, coalesce(same, 0) AS same, one, own, one_type, own_type
+  FROM refs r JOIN per_key t ON r.grp = t.grp AND r.key = t.key LEFT JOIN per_source o ON r.grp = o.grp AND r.key = o.key AND r.source_name = o.source_name
 ), best AS (SELECT * FROM reached QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY tier) = 1
 ), chosen AS (
   SELECT edge_id, grp, n, CASE WHEN same = 1 THEN own WHEN same = 0 AND n = 1 THEN one END AS id, CASE WHEN same = 1 THEN own_type WHEN same = 0 AND n = 1 THEN one_type END AS kind FROM best
@@ -98,7 +100,7 @@ SELECT direction, edge_type, source_name AS neighbor_source, entity_type AS neig
 
 _IMPACT = "('CALLS_HTTP', 'CALLS_SERVICE', 'CALLS_SQL', 'CONFIGURES_SERVICE', 'CONSUMES_MESSAGE', 'DEPENDS_ON_PROJECT', 'READS_SQL_OBJECT', 'ROUTES_TO_SERVICE', 'WRITES_SQL_OBJECT')"
 _BLAST = f"""
-, hops AS (SELECT from_entity_id AS f, to_entity_id AS t FROM resolved WHERE to_entity_id IS NOT NULL AND source_name = 'NATION_15' AND edge_type IN {_IMPACT}),
+, hops AS MATERIALIZED (SELECT from_entity_id AS f, to_entity_id AS t FROM resolved WHERE to_entity_id IS NOT NULL AND edge_type IN {_IMPACT}),
 l1 AS (SELECT DISTINCT f AS id FROM hops WHERE t = {ROOT} AND f <> {ROOT}),
 l2 AS (SELECT DISTINCT f AS id FROM hops WHERE t IN (SELECT id FROM l1) AND f <> {ROOT} AND f NOT IN (SELECT id FROM l1)),
 blast AS (SELECT id, 1::BIGINT AS depth FROM l1 UNION ALL SELECT id, 2 FROM l2)

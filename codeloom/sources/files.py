@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MAX_BYTES = 1_000_000
 # What a scan takes and leaves out by default.
-EXTENSIONS = ".cs .vb .fs .js .jsx .ts .tsx .mjs .cjs .py .sql .yaml .yml .json .toml .txt .config .csproj .fsproj .vbproj .sln .props .targets .asmx .svc".split()
-EXCLUDED = "node_modules bin obj dist build venv __pycache__ vendor packages coverage target".split()
+EXTENSIONS = [".cs", ".vb", ".fs", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".py", ".sql", ".yaml", ".yml", ".json", ".toml", ".txt", ".config", ".csproj", ".fsproj", ".vbproj", ".sln", ".props", ".targets", ".asmx", ".svc"]
+EXCLUDED = ["node_modules", "bin", "obj", "dist", "build", "venv", "__pycache__", "vendor", "packages", "coverage", "target"]
 
 
 def scan_tree(spark: SparkSession, root: str, source: str, extensions: Sequence[str] = EXTENSIONS, excluded: Sequence[str] = EXCLUDED, max_bytes: int = MAX_BYTES) -> DataFrame:

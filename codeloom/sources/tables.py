@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,22 @@ _made: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of this process."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of this process in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _made.setdefault(("", "dir"), "file://" + tempfile.mkdtemp(prefix="codeloom-graph-"))
     return found.rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back, so that later jobs do not repeat what made it."""
+    path = f"{shared_dir(df.sparkSession)}/graph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, key: str, make) -> DataFrame:
     """The table that make() gives, written once a session and key, and read from there on."""
     at = (spark.sparkContext.applicationId, key)

@@ -27,7 +27,7 @@ def test_build_has_the_edges_of_scripts_and_sql_text(spark, tmp_path):
     web, db = tmp_path / "web", tmp_path / "db"
     web.mkdir()
     db.mkdir()
-    (web / "a.ts").write_text('import x from "left-pad";\nexport function list() {}\napp.get("/orders", list);\nfetch("/api/items");\nfetch(process.env.BILLING_URL);\nproducer.send("orders.created");\ncache.get("k1");\ns3.upload("bucket/x");\n'.replace("fetch(process.env.BILLING_URL)", 'axios.get(process.env.BILLING_URL)'))
+    (web / "a.ts").write_text('import x from "left-pad";\nexport function list() {}\napp.get("/orders", list);\nfetch("/api/items");\nfetch(process.env.BILLING_URL);\nproducer.send("orders.created");\ncache.get("k1");\ns3.upload("bucket/x");\n'.replace("fetch(process.env.BILLING_URL)", "axios.get(`${process.env.BILLING_URL}/x`);axios.get(url)"))
     (db / "p.sql").write_text("CREATE TABLE dbo.T (id int)\nGO\nCREATE PROCEDURE dbo.P AS\nSELECT * FROM dbo.T\nINSERT INTO dbo.T VALUES (1)\nEXEC dbo.Q\nGO\n")
     graph = Graph.build(spark, "s", {"web": str(web), "db": str(db)})
     edges = {(r["edge_type"], r["to_name"]): r for r in graph.edges.collect()}
@@ -36,3 +36,27 @@ def test_build_has_the_edges_of_scripts_and_sql_text(spark, tmp_path):
     assert any(k[0] == "CALLS_SERVICE" for k in edges)
     assert edges["READS_SQL_OBJECT", "dbo.T"]["resolved"] and edges["EXPOSES_ROUTE", "GET /orders"]["resolved"]
     assert not edges["CALLS_SQL", "dbo.Q"]["resolved"]
+
+
+def test_scaffold_scopes_and_confidence(spark):
+    from codeloom.api import Graph
+
+    code = "export function load() {\n  fetch('/orders/1', {method: 'put'});\n  helper();\n  q('SELECT * FROM dbo.T');\n}\nhelper();\nfunction helper() { redis.get('k'); }\n"
+    rows = [
+        ("web", "package.json", ".json", '{"name": "shop"}'), ("web", "src/deep/package.json", ".json", '{"name": "deep"}'), ("web", "src/deep/x/a.ts", ".ts", code), ("web", "src/b.ts", ".ts", ""),
+        ("job", "w.py", ".py", "def run():\n    sqs.send_message(QueueUrl='https://q/1/jobs')\n    open('/tmp/x', 'w')\n    s3.get_object(Bucket='b', Key='k')\n    cache.get('c')\n"),
+    ]
+    files = spark.createDataFrame(rows, "source_name string, rel_path string, extension string, content string")
+    graph = Graph.of_files(spark, "s", {"web": "/w", "job": "/j"}, files)
+    got = {(r["edge_type"], r["from_name"], r["to_name"]): r for r in graph.edges.collect()}
+    for key in (
+        ("CONTAINS_PROJECT", "web", "shop"), ("CONTAINS_PROJECT", "web", "deep"), ("CONTAINS_FILE", "web", "src/b.ts"), ("CONTAINS_FILE", "shop", "src/b.ts"), ("CONTAINS_FILE", "deep", "src/deep/x/a.ts"),
+        ("CALLS_HTTP", "load", "PUT /orders/:param"), ("CALLS_HTTP", "src/deep/x/a.ts", "PUT /orders/:param"), ("CALLS_SYMBOL", "load", "helper"), ("READS_SQL_OBJECT", "load", "dbo.T"),
+        ("READS_CACHE_KEY", "helper", "k"), ("PUBLISHES_MESSAGE", "run", "jobs"), ("WRITES_STORAGE_OBJECT", "run", "/tmp/x"), ("READS_STORAGE_OBJECT", "run", "b/k"), ("READS_CACHE_KEY", "run", "c"),
+    ):
+        assert key in got, (key, sorted(got))
+    assert ("CONTAINS_FILE", "shop", "src/deep/x/a.ts") not in got and ("READS_SQL_OBJECT", "src/deep/x/a.ts", "dbo.T") not in got
+    assert all(r["resolved"] and r["confidence"] == "high" for k, r in got.items() if k[0].startswith(("CONTAINS", "DECLARES")))
+    ids = {r["entity_id"] for r in graph.entities.collect()}
+    assert all(r["from_entity_id"] in ids and (not r["resolved"] or r["to_entity_id"] in ids) for r in got.values())
+    assert graph.issues.count() == 0
