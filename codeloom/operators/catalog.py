@@ -80,11 +80,12 @@ def sqlserver_dependency_rows(dependencies: DataFrame, objects: DataFrame, schem
     )
 
 
-def postgres_objects(classes: DataFrame, namespaces: DataFrame, limit: int, only: Sequence[str] | None = None, kinds: dict[str, str] = POSTGRES_RELATIONS, kind_col: str = "relkind") -> DataFrame:
+def postgres_objects(classes: DataFrame, namespaces: DataFrame, limit: int | None, only: Sequence[str] | None = None, kinds: dict[str, str] = POSTGRES_RELATIONS, kind_col: str = "relkind") -> DataFrame:
     """A24, A25. classes(oid, name, namespace, relkind or prokind), namespaces(oid, nspname)."""
     n = namespaces.select(F.col("oid").alias("namespace"), F.col("nspname").alias("schema_name"))
     rows = classes.where(F.col(kind_col).isin(list(kinds))).join(n, "namespace").where(in_schemas("schema_name", only, True))
-    return rows.select("schema_name", F.col("name").alias("object_name"), _named(kinds, kind_col).alias("object_type")).orderBy("schema_name", "object_name").limit(limit)
+    rows = rows.select("schema_name", F.col("name").alias("object_name"), _named(kinds, kind_col).alias("object_type")).orderBy("schema_name", "object_name")
+    return rows if limit is None else rows.limit(limit)
 
 
 def postgres_trigger_events(bits: str | Column = "tgtype") -> Column:

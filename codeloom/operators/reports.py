@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.functions.exprs import normalized_sql_key, string_value
 from codeloom.operators.store import with_target
+from codeloom.sources.tables import cut
 from codeloom.vocabulary import (
     INTERACTION_EDGE_TYPES, LOCAL_EDGE_PREFIXES, MISSING_SOURCE_EDGE_TYPES, MISSING_SOURCE_TARGET_TYPES, PARSER_GAP_EDGE_TYPES,
     PARSER_GAP_TARGET_TYPES, RECONCILIATION_RANKS, SQL_EDGE_TYPES, SQL_ENTITY_TYPES, UNRESOLVED_RANKS,
@@ -28,13 +29,19 @@ def _known(c: str | Column, default: str = "unknown") -> Column:
     return F.coalesce(string_value(c), F.lit(default))
 
 
-def _first_ids(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Rows numbered within their group by edge id, for examples."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("edge_id")))
+def _with_examples(rows: DataFrame, keys: Sequence[str], n: int, *counts: Column) -> DataFrame:
+    """The groups' counts, and as examples their first n edge ids.
 
-
-def _examples(n: int) -> Column:
-    return F.array_join(F.array_sort(F.collect_list(F.when(F.col("_n") <= n, F.col("edge_id")))), ",").alias("examples")
+    Rows are counted by partial aggregation. The first ids of a group are a filter on a
+    row number, of which Spark keeps n rows a group in each task before the shuffle, so no
+    group's rows meet in one task.
+    """
+    counted = rows.groupBy(*keys).agg(*counts)
+    names = [c for c in counted.columns if c not in keys]
+    first = rows.select(*keys, "edge_id").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("edge_id"))).where(F.col("_n") <= n)
+    first = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("edge_id")), ",").alias("examples"))
+    both = counted.withColumn("examples", F.lit(None).cast("string")).unionByName(first, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in [*names, "examples"]])
 
 
 # Interactions
@@ -58,9 +65,9 @@ def interaction_groups(rows: DataFrame, examples: int = EXAMPLES) -> DataFrame:
         _known("to_type").alias("to_type"), _known("to_name").alias("to_name"), _known("edge_type").alias("edge_type"), _known(p["target_boundary"]).alias("target_boundary"),
         _known(p["dependency_scope"]).alias("dependency_scope"), _known(p["interaction_kind"]).alias("interaction_kind"),
     )
-    return _first_ids(keyed, INTERACTION_KEYS, examples).groupBy(*INTERACTION_KEYS).agg(
-        F.count(F.lit(1)).alias("count"), F.count_if("resolved").alias("resolved_count"), F.count_if(~F.col("resolved")).alias("unresolved_count"),
-        joined_set(string_value("parser")).alias("parsers"), joined_set(string_value("protocol")).alias("protocols"), _examples(examples),
+    return _with_examples(
+        keyed, INTERACTION_KEYS, examples, F.count(F.lit(1)).alias("count"), F.count_if("resolved").alias("resolved_count"), F.count_if(~F.col("resolved")).alias("unresolved_count"),
+        joined_set(string_value("parser")).alias("parsers"), joined_set(string_value("protocol")).alias("protocols"),
     )
 
 
@@ -122,8 +129,8 @@ def _unresolved(edges: DataFrame, source: str | None = None, edge_type: str | No
 
 def unresolved_groups(edges: DataFrame, source: str | None = None, edge_type: str | None = None, examples: int = EXAMPLES) -> DataFrame:
     """G21."""
-    rows = _first_ids(_unresolved(edges, source, edge_type), UNRESOLVED_KEYS, examples)
-    return rows.groupBy(*UNRESOLVED_KEYS).agg(F.count(F.lit(1)).alias("count"), joined_set("source_name").alias("source_names"), joined_set(string_value("parser")).alias("parsers"), _examples(examples))
+    rows = _unresolved(edges, source, edge_type)
+    return _with_examples(rows, UNRESOLVED_KEYS, examples, F.count(F.lit(1)).alias("count"), joined_set("source_name").alias("source_names"), joined_set(string_value("parser")).alias("parsers"))
 
 
 def unresolved_source_hotspots(edges: DataFrame, limit: int = HOTSPOTS) -> DataFrame:
@@ -183,10 +190,11 @@ def sql_edges(edges: DataFrame, entities: DataFrame, metadata_parsers: Sequence[
 
 def reconciliation_evidence(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """G30 to G36. classification, target_type, target_name, source_name, database_source, evidence_type, id: a row for each piece of evidence."""
-    ent = sql_entities(entities)
+    ent = cut(sql_entities(entities))
     current, historical = ent.where("schema_state = 'current_database'"), ent.where("schema_state = 'historical'")
     source = ent.where("schema_state is null or schema_state not in ('current_database', 'historical')")
-    refs = sql_edges(edges, entities)
+    # Five branches read these: what they need of the edges is joined and stored once.
+    refs = cut(sql_edges(edges, entities).select("edge_id", "edge_type", "to_type", "to_name", "source_name", "resolved", "key", "metadata"))
     code, catalog = refs.where("not metadata"), refs.where("metadata")
     keys = lambda df: df.where("key is not null").select("key").distinct()
     none = F.lit(None).cast("string")
@@ -269,15 +277,13 @@ def relationship_groups(found: DataFrame, entities: DataFrame, examples: int = 5
     """G41. Neighbours (direction, depth, edge_type, neighbor_id, edge_id) by direction, edge type, source and type."""
     node = entities.select(F.col("entity_id").alias("neighbor_id"), F.col("source_name").alias("neighbor_source"), F.col("entity_type").alias("neighbor_type"), F.col("name").alias("neighbor_name"))
     keys = ["direction", "edge_type", "neighbor_source", "neighbor_type"]
-    rows = _first_ids(found.join(node, "neighbor_id", "left"), keys, examples)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("depth").alias("min_depth"), _examples(examples))
+    return _with_examples(found.join(node, "neighbor_id", "left"), keys, examples, F.count(F.lit(1)).alias("count"), F.min("depth").alias("min_depth"))
 
 
 def evidence_groups(edges: DataFrame, entities: DataFrame, examples: int = 5) -> DataFrame:
     """G42. Relationships by sources, edge type, target type, parser and confidence."""
     keys = ["source_name", "target_source", "edge_type", "to_type", "parser", "confidence"]
-    rows = _first_ids(with_target(edges, entities), keys, examples)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.count_if("resolved").alias("resolved_count"), _examples(examples))
+    return _with_examples(with_target(edges, entities), keys, examples, F.count(F.lit(1)).alias("count"), F.count_if("resolved").alias("resolved_count"))
 
 
 def sampled(df: DataFrame, limit: int = 1000) -> tuple[DataFrame, bool]:

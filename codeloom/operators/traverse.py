@@ -133,13 +133,14 @@ def _grouped(rows: DataFrame, keys: list[str], examples: int) -> DataFrame:
 
 
 def radius_summary(items: DataFrame) -> DataFrame:
-    """G07. metric, key, count: items, deepest level, and counts by edge type, direction and node type."""
-    count = F.count(F.lit(1)).alias("count")
-    out = items.agg(count).select(F.lit("items").alias("metric"), F.lit("").alias("key"), "count")
-    out = out.unionByName(items.agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("count")).select(F.lit("max_depth").alias("metric"), F.lit("").alias("key"), "count"))
-    for metric, column in (("edge_type", "edge_type"), ("direction", "direction"), ("entity_type", "neighbor_type")):
-        out = out.unionByName(items.groupBy(F.coalesce(column, F.lit("unknown")).alias("key")).agg(count).select(F.lit(metric).alias("metric"), "key", "count"))
-    return out
+    """G07. metric, key, count: items, deepest level, and counts by edge type, direction and node type, in one pass over the items."""
+    named = items.select("depth", F.coalesce("edge_type", F.lit("unknown")).alias("edge_type"), F.coalesce("direction", F.lit("unknown")).alias("direction"), F.coalesce("neighbor_type", F.lit("unknown")).alias("entity_type"))
+    metrics = ["edge_type", "direction", "entity_type"]
+    sets = named.groupingSets([[], *[[m] for m in metrics]], *metrics).agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest"), *[F.grouping(m).alias(f"_{m}") for m in metrics])
+    of = F.coalesce(*[F.when(F.col(f"_{m}") == 0, F.struct(F.lit(m).alias("metric"), F.col(m).alias("key"), F.col("n").alias("count"))) for m in metrics])
+    one = lambda metric, count: F.struct(F.lit(metric).alias("metric"), F.lit("").alias("key"), count.alias("count"))
+    whole = F.array(one("items", F.col("n")), one("max_depth", F.coalesce(F.col("deepest"), F.lit(0)).cast("long")))
+    return sets.select(F.explode(F.when(of.isNull(), whole).otherwise(F.array(of))).alias("m")).select("m.*")
 
 
 def radius_report(edges: DataFrame, entities: DataFrame, root: str, direction: str = "in", depth: int = 2, limit: int = 200, profile: str = "impact", edge_type: str | None = None) -> dict[str, DataFrame]:

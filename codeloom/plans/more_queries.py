@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.functions import exprs
 from codeloom.operators import catalog, facts, incremental, scanners, sqltext
+from codeloom.sources import files as file_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,9 +116,21 @@ def b51(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", exprs.route_path("url").alias("route"), exprs.service_from_url("url").alias("service"))
 
 
+def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_source.snippet(_documents(spark, sf_dir), "doc/2", 3, 2)
+
+
+def b52(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_nationkey").cast("string")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        "s_suppkey", exprs.service_from_env(F.concat(F.lit("ORDER_"), n, F.lit("_API_URL"))).alias("of_env"), exprs.service_from_identifier(F.concat(F.lit("orderService_"), n, F.lit("Client"))).alias("of_identifier"),
+        exprs.python_package(F.concat(F.lit(" My_Lib_"), n)).alias("package"), exprs.package_root(F.concat(F.lit("@a/b"), n, F.lit("/deep"))).alias("root"), exprs.truthy(F.when(F.col("s_nationkey") % 2 == 0, " Yes").otherwise("0")).alias("truthy"),
+    )
+
+
 def b50(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    code = pages.select(F.concat(F.lit("repo-"), (F.col("page_id") % 10).cast("string")).alias("source_name"), F.concat(F.lit("src/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("rel_path"), F.concat(F.lit('import x from "pkg/a";\nconst r = fetch("'), "url", F.lit('", {method: "POST"});\naxios.get(process.env.ORDER_API_URL + "/x");')).alias("content"))
+    code = pages.select(F.concat(F.lit("repo-"), (F.col("page_id") % 10).cast("string")).alias("source_name"), F.concat(F.lit("src/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("rel_path"), F.concat(F.lit('import x from "pkg/a";\nconst r = fetch("'), "url", F.lit('", {method: "POST"});\naxios.get(`${process.env.ORDER_API_URL}/x`); axios.put(process.env.OTHER_URL);')).alias("content"))
     return _count(scanners.http_calls(code), "source_name", "method", "edge_type", "to_type")
 
 
@@ -226,7 +239,7 @@ def queries() -> dict[str, Query]:
         "a22_catalog_triggers": a22, "a27_trigger_events": a27, "b10_package_json": b10, "b13_requirements": b13, "b20_kubernetes": b20, "b30_symbols": b30,
         "b32_python_code": b32, "b53_routes": b53, "b57_cache_calls": b57, "b58_message_calls": b58, "b59_storage_calls": b59, "b60_jobs": b60, "b83_foreign_key_edges": b83,
         "b70_sql_definitions": b70, "b71_sql_calls": b71, "b72_sql_reads": b72, "b73_sql_writes": b73, "b74_sql_references": b74, "b75_sql_scopes": b75,
-        "b76_sql_scan": b76, "b77_sql_provenance": b77, "f01_snapshot": f01, "f02_snapshot_diff": f02, "f04_snapshot_status": f04, "f05_to_rebuild": f05,
+        "b76_sql_scan": b76, "b77_sql_provenance": b77, "f01_snapshot": f01, "f02_snapshot_diff": f02, "f04_snapshot_status": f04, "f05_to_rebuild": f05, "a14_snippet": a14, "b52_service_names": b52,
     }
 
 
@@ -250,6 +263,12 @@ def oracle_sql() -> dict[str, str]:
         "b83_foreign_key_edges": "WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 4 = 0) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_partkey NOT IN (SELECT k FROM k) THEN 'issues' WHEN p_partkey // 2 IN (SELECT k FROM k) THEN 'resolved' ELSE 'unresolved' END AS kind FROM part) GROUP BY kind",
         "b50_http_targets": "SELECT 'repo-' || (page_id % 10) AS source_name, m AS method, CASE m WHEN 'POST' THEN 'CALLS_HTTP' ELSE 'CALLS_SERVICE' END AS edge_type, CASE m WHEN 'POST' THEN 'api_route' ELSE 'service' END AS to_type, count(*) AS n FROM pages, (VALUES ('POST'), ('GET')) AS t(m) GROUP BY ALL",
         "b55_imports": "SELECT '@acme/pkg' || (page_id % 5) AS to_name, 'package' AS import_kind, count(*) AS n FROM pages GROUP BY ALL UNION ALL SELECT './local', 'relative', count(*) FROM pages UNION ALL SELECT 'lodash', 'package', count(*) FROM pages",
+        "b51_route_paths": r"""SELECT page_id, '/' || array_to_string(list_transform(list_filter(string_split(regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '\{.*\}|:.*|<.*>|[0-9]+') THEN ':param' ELSE x END), '/') AS route,
+  CASE WHEN regexp_full_match(h, '[0-9.]+') THEN h ELSE string_split(h, '.')[1] END AS service FROM (SELECT *, regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)', 1) AS h FROM pages)""",
+        "b75_sql_scopes": _FILES + "SELECT source_name, scope, count(*) AS n FROM (SELECT source_name, last_value(CASE WHEN k = 'C' THEN 'sales.' || src.n END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS scope FROM src) WHERE scope IS NOT NULL GROUP BY source_name, scope",
+        "f05_to_rebuild": _DIFF + "SELECT source_name, CASE WHEN count(change) > 0 THEN 'changed' ELSE 'missing_artifact' END AS reason FROM d GROUP BY source_name HAVING count(change) > 0 OR source_name = 'src1'",
+        "a14_snippet": r"SELECT i::INTEGER AS line_number, line, i = 3 AS highlight FROM (SELECT unnest(string_split_regex(text, '\r\n|\n|\r')) AS line, generate_subscripts(string_split_regex(text, '\r\n|\n|\r'), 1) AS i FROM documents WHERE doc_id = 2) WHERE i BETWEEN 1 AND 5",
+        "b52_service_names": "SELECT s_suppkey, 'order-' || s_nationkey AS of_env, 'order-service-' || s_nationkey AS of_identifier, 'my-lib-' || s_nationkey AS package, '@a/b' || s_nationkey AS root, s_nationkey % 2 = 0 AS truthy FROM supplier",
         "b70_sql_definitions": _FILES + f"SELECT source_name, 'sql_table' AS entity_type, 'sales.' || n AS full_name, 'sales' AS schema, n AS name, {n} FROM src WHERE k = 'C' GROUP BY source_name, src.n",
         "b71_sql_calls": _FILES + f"SELECT source_name, 'dbo.load_' || n AS to_name, 'stored_procedure' AS to_type, {n} FROM src WHERE k = 'N' GROUP BY source_name, src.n",
         "b72_sql_reads": _FILES + "SELECT source_name, t AS to_name, 'READS_SQL_OBJECT' AS edge_type, count(*) AS n FROM (SELECT source_name, 'dbo.' || n AS t FROM src WHERE k = 'A' UNION ALL SELECT source_name, 'dim.dates' FROM src WHERE k = 'A' UNION ALL SELECT source_name, n FROM src WHERE k = 'R') GROUP BY source_name, t",

@@ -144,3 +144,42 @@ evidence AS (
          coalesce(string_agg(DISTINCT database_source, ',' ORDER BY database_source), '') AS database_sources, string_agg(DISTINCT evidence_type, ',' ORDER BY evidence_type) AS evidence_types, min(id) AS example
   FROM evidence GROUP BY classification, target_type, target_name)
 """
+
+
+def reached(depth: int) -> str:
+    """CTE items: what the root reaches in both directions, without a limit, each node by its first discovery; rank is what that is ordered by."""
+    order = ", ".join(f"coalesce(h.{c}, '')" for c in ("edge_type", "source_name", "to_name", "edge_id"))
+    keys = f"[{order}]"
+    text = ""
+    for d, near, far in (("out", "from_entity_id", "coalesce(to_entity_id, 'unresolved:' || edge_id)"), ("in", "to_entity_id", "from_entity_id")):
+        text += f", h_{d} AS MATERIALIZED (SELECT {near} AS near, {far} AS next_id, edge_id, edge_type, source_name, to_name, to_type FROM resolved WHERE {near} IS NOT NULL)"
+        text += f", {d}_0 AS (SELECT {ROOT} AS next_id, []::VARCHAR[] AS rank)"
+        for level in range(1, depth + 1):
+            seen = " UNION ALL ".join(f"SELECT next_id FROM {d}_{i}" for i in range(level))
+            text += f""", {d}_{level} AS MATERIALIZED (SELECT h.next_id, list_concat(f.rank, {keys}) AS rank, '{d}' AS direction, {level} AS depth, h.edge_id, h.edge_type, h.source_name, h.to_name, h.to_type
+  FROM {d}_{level - 1} f JOIN h_{d} h ON f.next_id = h.near AND f.next_id IN (SELECT entity_id FROM all_entities) WHERE h.next_id IS NOT NULL AND h.next_id NOT IN ({seen})
+  QUALIFY row_number() OVER (PARTITION BY h.next_id ORDER BY f.rank, {order}) = 1)"""
+    every = " UNION ALL BY NAME ".join(f"SELECT * FROM {d}_{i}" for d in ("out", "in") for i in range(1, depth + 1))
+    return text + f""", items AS MATERIALIZED (SELECT i.*, coalesce(a.entity_type, i.to_type) AS neighbor_type, coalesce(a.name, i.to_name) AS neighbor_name, a.source_name AS neighbor_source
+  FROM ({every}) i LEFT JOIN (SELECT entity_id, entity_type, name, source_name FROM all_entities) a ON i.next_id = a.entity_id)"""
+
+
+PATH_GROUPS = reached(2) + """, numbered AS (
+  SELECT *, coalesce(neighbor_source, source_name, 'unknown') AS source, row_number() OVER (PARTITION BY coalesce(neighbor_source, source_name, 'unknown'), edge_type ORDER BY depth, direction, rank) AS place FROM items)
+SELECT source, edge_type, count(*) AS count, min(depth)::INTEGER AS min_depth, edge_type AS edge_types, string_agg(DISTINCT coalesce(neighbor_type, 'unknown'), ',' ORDER BY coalesce(neighbor_type, 'unknown')) AS entity_types,
+  string_agg(neighbor_name, ',' ORDER BY place) FILTER (place <= 5) AS examples FROM numbered GROUP BY source, edge_type"""
+
+RADIUS_SUMMARY = reached(3) + """
+SELECT 'items' AS metric, '' AS key, count(*) AS count FROM items UNION ALL SELECT 'max_depth', '', coalesce(max(depth), 0) FROM items
+UNION ALL SELECT 'edge_type', coalesce(edge_type, 'unknown'), count(*) FROM items GROUP BY ALL UNION ALL SELECT 'direction', direction, count(*) FROM items GROUP BY ALL
+UNION ALL SELECT 'entity_type', coalesce(neighbor_type, 'unknown'), count(*) FROM items GROUP BY ALL"""
+
+_WARNINGS = "('CALLS_SQL', 'unresolved_sql_calls', 'warning'), ('READS_SQL_OBJECT', 'unresolved_sql_reads', 'warning'), ('WRITES_SQL_OBJECT', 'unresolved_sql_writes', 'warning'), ('REFERENCES_SQL_OBJECT', 'unresolved_sql_schema_references', 'warning'), ('CALLS_SERVICE', 'unresolved_service_calls', 'warning'), ('CALLS_HTTP', 'unresolved_http_calls', 'warning'), ('IMPORTS', 'unresolved_imports', 'info')"
+COVERAGE = UNRESOLVED + f"""
+, top AS (SELECT * FROM unres ORDER BY count DESC, classification, edge_type, to_name, to_type LIMIT 25)
+SELECT * FROM (
+  SELECT code, severity, sum(count)::BIGINT AS count FROM top JOIN (VALUES {_WARNINGS}) AS w(edge_type, code, severity) USING (edge_type) GROUP BY code, severity
+  UNION ALL SELECT code, severity, sum(count)::BIGINT FROM unres JOIN (VALUES ('likely_parser_gap', 'parser_gap', 'warning'), ('ambiguous_target', 'ambiguous_targets', 'warning'), ('likely_missing_source', 'missing_source', 'warning')) AS w(classification, code, severity) USING (classification) GROUP BY code, severity)
+ORDER BY CASE severity WHEN 'warning' THEN 0 ELSE 1 END, count DESC, code LIMIT 8"""
+
+PAYLOADS = "SELECT '{\"entity_id\":' || to_json(entity_id) || ',\"entity_type\":' || to_json(entity_type) || ',\"name\":' || to_json(name) || ',\"source_name\":' || to_json(source_name) || CASE WHEN file_path IS NULL THEN '' ELSE ',\"file_path\":' || to_json(file_path) END || '}' AS payload FROM all_entities"

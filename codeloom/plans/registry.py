@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codeloom.api import Graph
 from codeloom.operators import assemble, reports, resolve, store, traverse
 from codeloom.plans import graph_view, oracle_text as o
-from codeloom.sources.tables import stored
+from codeloom.sources.tables import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,15 +58,15 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from codeloom.plans import more_queries
+    from codeloom.plans import code_queries, more_queries
 
-    return _QUERIES | more_queries.queries()
+    return _QUERIES | more_queries.queries() | code_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from codeloom.plans import more_queries
+    from codeloom.plans import code_queries, more_queries
 
-    return _ORACLES | more_queries.oracle_sql()
+    return _ORACLES | more_queries.oracle_sql() | code_queries.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +223,7 @@ def e05(v: View) -> DataFrame:
 
 def _trails(v: View, direction: str) -> DataFrame:
     start = v.entities.where("entity_type = 'service'").select(F.col("entity_id").alias("root"))
-    got = traverse.trails(v.edges.where("edge_type in ('CALLS_SERVICE', 'CONFIGURES_SERVICE', 'DEPENDS_ON_PROJECT', 'CONSUMES_MESSAGE')"), start, direction, 2)
+    got = traverse.trails(v.edges, start, direction, 2, ["CALLS_SERVICE", "CONFIGURES_SERVICE", "DEPENDS_ON_PROJECT", "CONSUMES_MESSAGE"])
     return got.groupBy("root", "depth", "edge_type").agg(F.count(F.lit(1)).alias("trails"), F.count_distinct("neighbor_id").alias("nodes"), F.min(F.array_join("path", "|")).alias("first_path"))
 
 
@@ -305,45 +307,40 @@ def e23(v: View) -> DataFrame:
     return store.cross_source(v.edges, v.entities, "NATION_7", "in")
 
 
-@query("e25_payload")
+@query("e25_payload", o.graph(o.PAYLOADS))
 def e25(v: View) -> DataFrame:
     return store.payload(v.entities.select(*_FLAT_ENTITY))
 
 
 # Reports
 
+def _blast(v: View) -> DataFrame:
+    """All that depends on the root within two steps, over all sources' edges."""
+    return traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "in", 2, None, traverse.profile_types("impact"))
+
+
 @query("g01_blast_radius", o.graph(o.BLAST))
 def g01(v: View) -> DataFrame:
-    return traverse.blast_radius(v.edges.where("source_name = 'NATION_15'"), v.entities, o.ROOT_ID, "in", 2, 1000, traverse.profile_types("impact")).select("next_id", _count("depth"))
+    return _blast(v).select("next_id", _count("depth"))
 
 
 @query("g05_affected_sources", o.graph(o.BLAST_SOURCES))
 def g05(v: View) -> DataFrame:
-    items = traverse.blast_radius(v.edges.where("source_name = 'NATION_15'"), v.entities, o.ROOT_ID, "in", 2, 1000, traverse.profile_types("impact"))
-    return traverse.affected_sources(items).select("source", "count", _count("min_depth"))
-
-
-# g01 and g05 read one source's edges, as their SQL does; these two read all sources' edges, uncut.
-
-@query("g01_blast_radius_all_sources")
-def g01_all(v: View) -> DataFrame:
-    return traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "in", 2, None, traverse.profile_types("impact")).select("next_id", _count("depth"))
+    return traverse.affected_sources(_blast(v)).select("source", "count", _count("min_depth"))
 
 
-@query("g05_affected_sources_all_sources")
-def g05_all(v: View) -> DataFrame:
-    items = traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "in", 2, None, traverse.profile_types("impact"))
-    return traverse.affected_sources(items).select("source", "count", _count("min_depth"))
+# The same under the names that they had while g01 and g05 read one source's edges.
+g01_all, g05_all = query("g01_blast_radius_all_sources", o.graph(o.BLAST))(g01), query("g05_affected_sources_all_sources", o.graph(o.BLAST_SOURCES))(g05)
 
 
-@query("g06_path_groups")
+@query("g06_path_groups", o.graph(o.PATH_GROUPS))
 def g06(v: View) -> DataFrame:
-    return traverse.path_groups(traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "both", 2, 500, None))
+    return traverse.path_groups(traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "both", 2, None, None))
 
 
-@query("g07_radius_summary")
+@query("g07_radius_summary", o.graph(o.RADIUS_SUMMARY))
 def g07(v: View) -> DataFrame:
-    return traverse.radius_summary(traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "both", 3, 500, None))
+    return traverse.radius_summary(traverse.blast_radius(v.edges, v.entities, o.ROOT_ID, "both", 3, None, None))
 
 
 @query("g11_interaction_groups", o.graph(o.INTERACTIONS + " SELECT * FROM inter"))
@@ -406,7 +403,7 @@ def g38(v: View) -> DataFrame:
     return reports.reconciliation_source_hotspots(reports.reconciliation_groups(v.edges, v.entities)).drop("classifications")
 
 
-@query("g40_coverage_warnings")
+@query("g40_coverage_warnings", o.graph(o.COVERAGE))
 def g40(v: View) -> DataFrame:
     return reports.coverage_warnings(v.edges)
 
@@ -420,3 +417,49 @@ def g41(v: View) -> DataFrame:
 @query("g42_evidence_groups", o.graph("SELECT source_name, target_source, edge_type, to_type, parser, confidence, count(*) AS count, count(*) FILTER (resolved) AS resolved_count FROM targeted GROUP BY ALL"))
 def g42(v: View) -> DataFrame:
     return reports.evidence_groups(v.edges, v.entities).drop("examples")
+
+
+@query("d03_stored_graph", o.graph("SELECT source_name, edge_type, count(*) AS count, count(*) FILTER (resolved) AS resolved_count, count(*) FILTER (NOT resolved) AS unresolved_count FROM resolved GROUP BY ALL"))
+def d03(v: View) -> DataFrame:
+    folder = f"{shared_dir(v.spark)}/graph/{uuid.uuid4().hex}"
+    Graph("tpch", v.sources, v.entities, v.edges).write(folder)
+    return store.edge_type_counts(Graph.read(v.spark, folder, "tpch").edges, by_source=True)
+
+
+def _sizes(parts: dict[str, DataFrame]) -> DataFrame:
+    """part, rows of each part of a report."""
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("e18_overview", o.graph("SELECT 'scope' AS part, 1::BIGINT AS rows UNION ALL SELECT 'entity_types', count(DISTINCT entity_type) FROM all_entities UNION ALL SELECT 'edge_types', count(DISTINCT edge_type) FROM resolved UNION ALL SELECT 'activity', (SELECT least(50, count(*)) FROM nation) UNION ALL SELECT 'cross_source', (SELECT count(*) FROM (SELECT DISTINCT source_name, target_source, edge_type FROM targeted WHERE resolved AND source_name <> target_source))"))
+def e18(v: View) -> DataFrame:
+    return _sizes(store.overview(v.sources, v.entities, v.edges, "tpch"))
+
+
+@query("e24_source_overview", o.graph("""SELECT 'summary' AS part, 1::BIGINT AS rows UNION ALL SELECT 'entity_types', count(DISTINCT entity_type) FROM all_entities WHERE source_name = 'NATION_7' UNION ALL SELECT 'edge_types', count(DISTINCT edge_type) FROM resolved WHERE source_name = 'NATION_7'
+UNION ALL SELECT 'owned', least(50, count(*)) FROM all_entities WHERE source_name = 'NATION_7' AND entity_type IN ('api_route', 'project', 'service', 'sql_table') UNION ALL SELECT 'uses', (SELECT count(*) FROM (SELECT DISTINCT edge_type, to_type, to_name, target_source FROM targeted WHERE source_name = 'NATION_7'))
+UNION ALL SELECT 'outgoing', (SELECT count(*) FROM (SELECT DISTINCT target_source, edge_type FROM targeted WHERE resolved AND source_name <> target_source AND source_name = 'NATION_7')) UNION ALL SELECT 'incoming', (SELECT count(*) FROM (SELECT DISTINCT source_name, edge_type FROM targeted WHERE resolved AND source_name <> target_source AND target_source = 'NATION_7'))"""))
+def e24(v: View) -> DataFrame:
+    return _sizes(store.source_overview(v.sources, v.entities, v.edges, "NATION_7"))
+
+
+@query("c03_edges_of_facts", o.graph("SELECT edge_type, to_entity_id IS NOT NULL AS bound, count(*) AS edges, min(from_entity_id) AS first_from FROM edges GROUP BY ALL"))
+def c03(v: View) -> DataFrame:
+    ref = lambda kind, name, source, ident: F.struct(F.col(kind).alias("entity_type"), F.col(name).alias("name"), source.alias("source_name"), F.lit(None).cast("string").alias("file_path"), ident.alias("entity_id"))
+    none = F.lit(None).cast("string")
+    origin = F.when(F.col("edge_type").isin("DEPENDS_ON_PROJECT", "CALLS_HTTP"), F.col("source_name"))
+    rows = v.raw_edges.withColumns({"from_ref": ref("from_type", "from_name", origin, F.when(origin.isNull(), F.col("from_entity_id"))), "to_ref": ref("to_type", "to_name", none, F.col("to_entity_id")), "seq": F.lit(1), "resolved": F.lit(None).cast("boolean")})
+    return assemble.edges_from_facts(rows).groupBy("edge_type", F.col("to_entity_id").isNotNull().alias("bound")).agg(F.count(F.lit(1)).alias("edges"), F.min("from_entity_id").alias("first_from"))
+
+
+@query("g39_entities_of_items", o.graph("SELECT entity_type, source_name, count(*) AS entities FROM all_entities WHERE source_name = 'NATION_3' OR (entity_type = 'sql_table' AND entity_id IN (SELECT to_entity_id FROM resolved WHERE edge_type = 'READS_SQL_OBJECT' AND resolved)) GROUP BY ALL"))
+def g39(v: View) -> DataFrame:
+    whole = v.entities.select("entity_id", "entity_type", "name", "source_name", "properties")
+    item = lambda c, key: whole.select(F.col("entity_id").alias(key), F.struct("*").alias(c))
+    used = v.edges.where("edge_type = 'READS_SQL_OBJECT' and resolved").select("from_entity_id", "to_entity_id")
+    items = used.join(item("from_entity", "from_entity_id"), "from_entity_id", "left").join(item("target", "to_entity_id"), "to_entity_id", "left").select("from_entity", "target")
+    return reports.entities_of_items(whole.where("source_name = 'NATION_3'"), items).groupBy("entity_type", "source_name").agg(F.count(F.lit(1)).alias("entities"))
