@@ -102,7 +102,7 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words from each word on, and whether they all lie in its row."""
     h, n = words.hash, len(words.hash)
     out = np.zeros(n, U)
-    for i in range(k):
+    for i in range(min(k, n)):
         out[: n - i] += h[i:] * U(pow(_ROOT, k - i, 1 << 64))
     return mix(out), np.arange(n) + k <= words.first[1:][words.row] if n else np.zeros(0, np.bool_)
 
