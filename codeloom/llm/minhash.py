@@ -16,7 +16,7 @@ share a band are candidates, verified by weighted Jaccard similarity over whole
 Documents of equal words form one representative first. Each representative is
 compared with one leader, the smallest member of the bucket that it shares most bands
 with; then with the other leaders of its buckets that are not in its class by then.
-Buckets that hold several classes after that compare further members, four times as
+Buckets that hold several classes after that compare further members, STEP times as
 many each round, with those of other classes, until no pair of different classes is
 left in a bucket but those that cannot be similar: by their distances from a leader
 that both were compared with (one minus the similarity is a metric), or by the weight of
@@ -54,6 +54,8 @@ COUNT_ROWS = 4096
 TEXT_ROWS, PAIR_ROWS = 2048, 256
 #: Bucket members that one task compares with a round's leads.
 BUCKET_ROWS = 1024
+#: How many times as many members each round compares.
+STEP = 16
 #: What stands between words outside of ASCII.
 _BETWEEN = r"[^\x00-\x7F\pL\pM\pN]"
 
@@ -332,18 +334,17 @@ def _classes(s: Scratch, docs: DataFrame, least: float, k: int) -> DataFrame:
     comps = _merged(s, comps, found[1])
 
     # Members of buckets that still hold several classes, first of all with what rules out that they are similar.
-    open_rows = members.where("n > 2").select("band", "rep", "n").join(pivots, "rep", "left")
-    left, turn = None, 0
+    now = members.where("n > 2").select("band", "rep", "n").join(comps, "rep")
+    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    now = s.cut(now.join(mixed, "band", "left_semi"), "open")
+    of_rep = now.groupBy("rep").agg(F.collect_set("band").alias("bands"))
+    texts = s.cut(texts.join(of_rep.select("rep"), "rep", "left_semi"), "open-texts")
+    of_rep = s.cut(of_rep.join(_sizes(s, texts, weights, k), "rep").join(pivots, "rep", "left"), "known")
+    place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n"))
+    left = s.cut(now.join(of_rep, "rep").withColumn("place", place), "open")
+    turn = 0
     while True:
-        now = (open_rows if left is None else left.drop("comp")).join(comps, "rep")
-        mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        now = s.cut(now.join(mixed, "band", "left_semi"), "open")
-        if left is None:
-            of_rep = now.groupBy("rep").agg(F.collect_set("band").alias("bands"))
-            texts = s.cut(texts.join(of_rep.select("rep"), "rep", "left_semi"), "open-texts")
-            place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n"))
-            now = s.cut(now.join(_sizes(s, texts, weights, k), "rep").join(of_rep, "rep").withColumn("place", place), "open")
-        left, low, high = now, 4**turn // 4, 4**turn
+        low, high = STEP**turn // STEP, STEP**turn
         if not left.where(F.col("place") >= low).limit(1).count():
             break
         fresh = s.cut(_met(left, low, high, least).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -352,6 +353,7 @@ def _classes(s: Scratch, docs: DataFrame, least: float, k: int) -> DataFrame:
         if links.limit(1).count():
             found.append(links)
             comps = _merged(s, comps, links)
+            left = s.cut(left.drop("comp").join(comps, "rep"), "open")
         turn += 1
 
     every = found[0]
