@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,6 +29,11 @@ DECLARED = r"^(DECLARES|CONTAINS|EXPOSES|RUNS|HANDLES|SELECTS)_"
 WITHOUT_PATH = ["service", "package", "project", "repository"]
 
 
+def files_of(spark: SparkSession, trees: dict[str, str]) -> DataFrame:
+    """The files of {source name: folder}."""
+    return functools.reduce(DataFrame.unionByName, [file_source.scan_tree(spark, root, name) for name, root in trees.items()])
+
+
 def line_facts(files: DataFrame) -> DataFrame:
     """Facts of the line scanners and of SQL text, as facts.scan() has them.
 
@@ -115,6 +121,26 @@ def edge_facts(found: DataFrame) -> DataFrame:
     )
 
 
+def definition_facts(files: DataFrame) -> DataFrame:
+    """Entity facts of the objects that SQL text defines."""
+    rows = sqltext.definitions(files.where(F.col("rel_path").endswith(".sql")))
+    state, _ = sqltext.provenance()
+    properties = F.map_filter(F.create_map(F.lit("schema"), F.col("schema"), F.lit("full_name"), F.col("full_name"), F.lit("schema_state"), state), lambda k, v: v.isNotNull())
+    return rows.select("entity_type", "name", "source_name", F.col("rel_path").alias("file_path"), "line_number", F.array("full_name").alias("aliases"), properties.alias("properties"), F.struct("rel_path", F.col("line_number").alias("seq")).alias("seq"))
+
+
+def assembled(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, edges, issues) of files before resolution. Ids carry the source, so sources assembled apart are the same as together."""
+    files = cut(files)
+    found = cut(facts.scan(files).unionByName(line_facts(files)))
+    issues = found.where("issue is not null").select("source_name", "rel_path", F.col("issue").alias("message"))
+    if strict:
+        assemble.require_no_issues(issues)
+    found = found.where("issue is null").unionByName(scaffold_facts(files, found))
+    entities = cut(assemble.upsert_entities(entity_facts(found).unionByName(definition_facts(files))).drop("seq"))
+    return entities, cut(assemble.upsert_edges(edge_facts(found)).drop("seq")), issues
+
+
 class Graph:
     """sources(index, name, ...), entities, resolved edges and issues of a scope."""
 
@@ -124,41 +150,39 @@ class Graph:
     @classmethod
     def build(cls, spark: SparkSession, scope: str, trees: dict[str, str], strict: bool = False) -> Graph:
         """Scans {source name: folder}, assembles and resolves the graph."""
-        files = None
-        for name, root in trees.items():
-            part = file_source.scan_tree(spark, root, name)
-            files = part if files is None else files.unionByName(part)
-        return cls.of_files(spark, scope, trees, files, strict)
+        return cls.of_files(spark, scope, trees, files_of(spark, trees), strict)
 
     @classmethod
     def of_files(cls, spark: SparkSession, scope: str, trees: dict[str, str], files: DataFrame, strict: bool = False, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Graph:
         """The graph of files(source_name, rel_path, extension, content); include and exclude are patterns of the packages that dependency edges may name."""
-        files = cut(files)
-        found = cut(facts.scan(files).unionByName(line_facts(files)))
-        issues = found.where("issue is not null").select("source_name", "rel_path", F.col("issue").alias("message"))
-        if strict:
-            assemble.require_no_issues(issues)
-        found = found.where("issue is null").unionByName(scaffold_facts(files, found))
-        upserted = cut(assemble.upsert_entities(entity_facts(found).unionByName(cls._definitions(files))).drop("seq"))
-        edges = cut(assemble.upsert_edges(edge_facts(found)).drop("seq"))
-        entities, edges = resolve.resolve(upserted, edges)
+        return cls.of_parts(spark, scope, trees, *assembled(files, strict), include, exclude)
+
+    @classmethod
+    def of_parts(cls, spark: SparkSession, scope: str, trees: dict[str, str], upserted: DataFrame, found: DataFrame, issues: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Graph:
+        """The graph of what assembled() gives, of one run or of several sources' runs together."""
+        entities, edges = resolve.resolve(upserted, found)
         if include or exclude:
             edges = edges.where(assemble.keep_dependency(list(include), list(exclude)))
         return cls(scope, spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(trees.items())], "index long, name string, path string"), entities, edges, issues)
 
-    @staticmethod
-    def _definitions(files: DataFrame) -> DataFrame:
-        rows = sqltext.definitions(files.where(F.col("rel_path").endswith(".sql")))
-        state, _ = sqltext.provenance()
-        properties = F.map_filter(F.create_map(F.lit("schema"), F.col("schema"), F.lit("full_name"), F.col("full_name"), F.lit("schema_state"), state), lambda k, v: v.isNotNull())
-        return rows.select("entity_type", "name", "source_name", F.col("rel_path").alias("file_path"), "line_number", F.array("full_name").alias("aliases"), properties.alias("properties"), F.struct("rel_path", F.col("line_number").alias("seq")).alias("seq"))
-
     def write(self, folder: str) -> None:
         """Tables of the graph, entities and edges a partition a source."""
         self.sources.write.mode("overwrite").parquet(f"{folder}/sources")
         for name, df in (("entities", self.entities), ("edges", self.edges)):
             df.write.mode("overwrite").partitionBy("source_name").parquet(f"{folder}/{name}")
 
+    def replace(self, folder: str, names: Sequence[str]) -> None:
+        """A13, D06. Puts this graph's records into the stored one, in which the named sources give way; targets that nothing points at go with them."""
+        old = Graph.read(self.entities.sparkSession, folder, self.scope)
+        entities, edges = store.replace_sources((old.entities, old.edges), (self.entities, self.edges), names)
+        edges = cut(edges)
+        Graph(self.scope, self.sources, cut(store.without_orphans(entities, edges)), edges).write(folder)
+
+    def export(self, folder: str) -> None:
+        """A11. Entities and edges as JSON, one a line, without null fields."""
+        for name, df in (("entities", self.entities), ("edges", self.edges)):
+            df.write.mode("overwrite").json(f"{folder}/{name}")
+
     @classmethod
     def read(cls, spark: SparkSession, folder: str, scope: str) -> Graph:
         return cls(scope, *(spark.read.parquet(f"{folder}/{t}") for t in ("sources", "entities", "edges")))
@@ -202,11 +226,7 @@ class Graph:
 
 def snapshot_of(spark: SparkSession, trees: dict[str, str]) -> DataFrame:
     """Hashes of the files of {source name: folder}."""
-    out: DataFrame | None = None
-    for name, root in trees.items():
-        part = incremental.snapshot(file_source.scan_tree(spark, root, name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return incremental.snapshot(files_of(spark, trees))
 
 
 def show(parts: dict[str, DataFrame], names: Sequence[str] | None = None) -> None:
@@ -216,4 +236,4 @@ def show(parts: dict[str, DataFrame], names: Sequence[str] | None = None) -> Non
             df.show(50, truncate=False)
 
 
-__all__ = ["Graph", "show", "snapshot_of"]
+__all__ = ["Graph", "assembled", "files_of", "show", "snapshot_of"]

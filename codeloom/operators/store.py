@@ -90,6 +90,17 @@ def without_orphans(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.where(~external).unionByName(entities.where(external).join(touched, "entity_id", "left_semi"))
 
 
+def without_orphan_targets(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """D07. Unresolved targets that an edge still points at."""
+    return targets.join(edge_records(edges).where("not resolved").select("target_id"), "target_id", "left_semi")
+
+
+def unique(df: DataFrame, key: str) -> DataFrame:
+    """D02. One row a key: of several, that whose JSON is greatest, whatever the order of the rows."""
+    row = F.struct(*df.columns)
+    return df.groupBy(key).agg(F.max_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+
+
 def load_summary(sources: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     """D08. One row: sources, entities, edges and unresolved targets loaded."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))

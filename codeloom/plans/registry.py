@@ -189,6 +189,17 @@ def d07(v: View) -> DataFrame:
     return store.without_orphans(v.entities, v.edges.where("to_name <> 'error'")).groupBy("entity_type").agg(F.count(F.lit(1)).alias("entities"))
 
 
+@query("d07_orphan_targets", o.graph("SELECT DISTINCT substr(sha256('unresolved|' || source_name || '|' || to_type || '|' || to_name), 1, 24) AS target_id, to_name AS name FROM resolved WHERE NOT resolved AND edge_type <> 'CALLS_SQL'"))
+def d07_targets(v: View) -> DataFrame:
+    return store.without_orphan_targets(store.target_records(v.edges), v.edges.where("edge_type <> 'CALLS_SQL'")).select("target_id", "name")
+
+
+@query("d02_unique_keys", o.graph("SELECT entity_type, count(*) AS entities, count(*) AS names FROM all_entities GROUP BY entity_type"))
+def d02(v: View) -> DataFrame:
+    twice = v.entities.select("entity_id", "entity_type", "name").unionByName(v.entities.select("entity_id", "entity_type", F.concat(F.lit("~"), "name").alias("name")))
+    return store.unique(twice, "entity_id").groupBy("entity_type").agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.startswith("name", F.lit("~"))).alias("names"))
+
+
 @query("d08_load_summary", o.graph("SELECT (SELECT count(*) FROM nation) AS sources, (SELECT count(*) FROM all_entities) AS entities, (SELECT count(*) FROM resolved) AS edges, (SELECT count(DISTINCT source_name || '|' || to_type || '|' || to_name) FROM resolved WHERE NOT resolved) AS targets"))
 def d08(v: View) -> DataFrame:
     return store.load_summary(v.sources, v.entities, v.edges)
