@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import fingerprint, language, linededup, minhash, mixing, packing, preferences, topk, toxicity, warc
+from codeloom.llm import fingerprint, language, linededup, minhash, mixing, packing, preferences, topk, toxicity, warc, whitening
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,8 +97,13 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op5_mixing, op6_warc, op7_packing, op8_toxicity, op9_preferences, op10_topk)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op5_mixing, op6_warc, op7_packing, op8_toxicity, op9_preferences, op10_topk, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
