@@ -30,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm._spark import Scratch, arrow_rows
 
@@ -60,13 +60,13 @@ def triangle(width: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(width) for j in range(i, width)]
 
 
-def product_sums(rows: DataFrame, values: list[Column], pairs: list[tuple[int, int]]) -> list:
-    """The sum over the rows of values[i] * values[j], for each pair (i, j), in one aggregation a PAIRS_AT_ONCE of pairs."""
+def product_sums(rows: DataFrame, values: list[str], pairs: list[tuple[int, int]]) -> list:
+    """The sum over the rows of values[i] * values[j], SQL expressions, for each pair (i, j), in one aggregation a PAIRS_AT_ONCE of pairs."""
     out = []
-    named = rows.select(*[v.alias(f"y{i}") for i, v in enumerate(values)])
+    named = rows.selectExpr(*[f"{v} AS y{i}" for i, v in enumerate(values)])
     for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        sums = [F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"s{i}_{j}") for i, j in pairs[at : at + PAIRS_AT_ONCE]]
-        out.extend(named.agg(*sums).head())
+        sums = ", ".join(f"sum(y{i} * y{j})" for i, j in pairs[at : at + PAIRS_AT_ONCE])
+        out.extend(named.selectExpr(f"array({sums}) AS sums").head()["sums"])
     return out
 
 
@@ -120,17 +120,14 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
         width = (fitted.limit(1).select(F.size("x")).head() or [0])[0]
         if not width:
             return None
-        x = [F.col("x")[i] for i in range(width)]
-        big = lambda c: c.cast("decimal(38,0)")
-        got = fitted.select(*[c.alias(f"x{i}") for i, c in enumerate(x)]).agg(
-            F.count(F.lit(1)), *[f for i in range(width) for f in (F.sum(big(F.col(f"x{i}"))), F.min(f"x{i}"), F.max(f"x{i}"))]
-        ).head()
-        n, sums, low, high = got[0], [int(v) for v in got[1::3]], list(got[2::3]), list(got[3::3])
+        each = ", ".join(f"cast(sum(cast(x[{i}] AS decimal(38, 0))) AS decimal(38, 0)), cast(min(x[{i}]) AS decimal(38, 0)), cast(max(x[{i}]) AS decimal(38, 0))" for i in range(width))
+        got = fitted.selectExpr("count(1) AS n", f"array({each}) AS of").head()
+        n, (sums, low, high) = got["n"], ([int(v) for v in got["of"][k::3]] for k in range(3))
         mean = [(2 * t + n) // (2 * n) for t in sums]
         apart = max(max(b - m, m - a) for a, b, m in zip(low, high, mean))
         # Sums that 64 bits surely hold are taken as such; others as decimals, which fail where they do not fit.
-        kind = "long" if apart * apart * n < 1 << 63 else "decimal(38,0)"
-        centred = [(c - F.lit(m)).cast("long" if kind == "long" else "decimal(19,0)") for c, m in zip(x, mean)]
+        kind = "long" if apart * apart * n < 1 << 63 else "decimal(19, 0)"
+        centred = [f"cast(x[{i}] - {m}L AS {kind})" for i, m in enumerate(mean)]
         pairs = triangle(width)
         products = product_sums(fitted, centred, pairs)
         left = [t - n * m for t, m in zip(sums, mean)]
@@ -158,7 +155,7 @@ def identity_error(fitted: DataFrame, model: Whitening) -> float | None:
     with arrow_rows(fitted.sparkSession, VECTOR_ROWS):
         white = fitted.select("x").mapInArrow(run, ", ".join(f"w{k} double" for k in range(len(at))))
         # The last column of ones gives the sums: what is left of the means, far below rounding of the products.
-        values, pairs = [*[F.col(f"w{k}") for k in range(len(at))], F.lit(1.0)], triangle(len(at) + 1)
+        values, pairs = [*[f"w{k}" for k in range(len(at))], "1d"], triangle(len(at) + 1)
         sums = dict(zip(pairs, product_sums(white, values, pairs)))
     n, last = model.n, len(at)
     return max(abs(sums[i, j] / n - sums[i, last] / n * (sums[j, last] / n) - (i == j)) for i, j in triangle(len(at)))
