@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import alignment, fingerprint, language, linededup, minhash, mixing, packing, preferences, topk, toxicity, warc, whitening
+from codeloom.llm import alignment, fingerprint, language, linededup, minhash, mixing, packing, preferences, setjoin, topk, toxicity, warc, whitening
 from codeloom.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,13 +101,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op12_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = whitening.whitened(table(spark, sf_dir, "embeddings"))
     return done.withColumn("deviation", F.col("deviation").cast("long"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op5_mixing, op6_warc, op7_packing, op8_toxicity, op9_preferences, op10_topk, op11_alignment, op13_whitening)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_minhash, op4_linededup, op5_mixing, op6_warc, op7_packing, op8_toxicity, op9_preferences, op10_topk, op11_alignment, op12_setjoin, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
