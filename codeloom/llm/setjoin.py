@@ -5,8 +5,9 @@ the run of all its words if it has fewer. Equal sets become one. Which sets can
 prefixes: in an order shared by all, two sets that link have one of their first
 floor((1 - least) * size) + 1 shingles in common. The order puts rare shingles first, by how
 often a shingle's counter (one of COUNTERS, by a hash, over all documents) was met, so that passages
-of many documents come last; any order gives the same links. Sets that share a prefix shingle,
-directly or by others in between, form a candidate cluster, found as connected components.
+of many documents come last; any order gives the same links. How many first shingles decide depends on both sizes, so
+sets meet by shingle and pair of size classes. Those that do, directly or by others in
+between, form a candidate cluster, found as connected components.
 
 A cluster is searched by signature trees. A leaf is a set's token bitmap; a node combines those
 below by OR and holds their range of sizes and the most shingles that any of them hides
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codeloom.llm import _spark
 from codeloom.llm._spark import Scratch, arrow_rows, parts, salted_join
@@ -44,6 +45,8 @@ WORDS, LEAST = 4, 85
 COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 12
 #: Sets and shingles that one block of a cluster holds, about.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 22
+#: Classes of sizes up to the largest ratio of two sets that link.
+SIZE_CLASSES = 4
 #: Children of a node, and bits of a bitmap, at most.
 FAN_OUT, MOST_BITS = 8, 1 << 14
 #: Node pairs and shingles that are compared at once.
@@ -295,15 +298,30 @@ def _searched(rows: DataFrame, k: int, least: int) -> DataFrame:
         return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _clusters(s: Scratch, reps: DataFrame) -> DataFrame:
-    """(node, comp) of the sets that share a prefix shingle with another, by itself or others between them."""
-    held = reps.select("rep", F.explode("prefix").alias("shingle"))
-    shared = s.cut(held.groupBy("shingle").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    # Shingles of many sets (at most HEAVY_SHARE ** -1 of them) meet their leader where they stand.
-    least = max(1000, int((shared.agg(F.sum("n")).head()[0] or 0) * _spark.HEAVY_SHARE))
-    hot = F.broadcast(shared.where(F.col("n") > least).select("shingle", "leader"))
-    near = held.join(hot, "shingle").unionByName(held.join(shared.where(F.col("n") <= least).select("shingle", "leader").hint("merge"), "shingle"))
-    return _spark.components(near.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+def _clusters(s: Scratch, reps: DataFrame, least: int) -> DataFrame:
+    """(node, comp) of the sets that share a deciding shingle with another of a fitting size, by itself or others between them.
+
+    Sizes fall into classes of equal ratios, SIZE_CLASSES of them up to the largest ratio that can link. How many first shingles
+    of a set decide depends on the other's size: the nearer the sizes, the more must be common. So a shingle meets
+    another set's under a key for each pair of classes, if it stands among those that decide there.
+    """
+    by_shingle = Window.partitionBy("shingle")
+    held = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    held = s.cut(held.withColumn("met", F.count(F.lit(1)).over(by_shingle)).where("met > 1").drop("met"), "shared")
+    step = math.log(100 / least) / SIZE_CLASSES * (1 + 1e-9)
+    share = least / (100 + least)
+    # A little below the smallest size of a class, so that rounding never takes a shingle away.
+    low = lambda c: F.exp(c * step) * (1 - 1e-9)
+    own = F.floor(F.log("n") / step).cast("int")
+    decides = lambda other: F.col("pos") < F.col("n") - F.ceil((F.col("n") + low(other)) * share - 1e-6) + 1
+    as_smaller = [F.when(decides(F.col("class") + d), F.struct(F.col("class").alias("class"), F.lit(d).alias("apart"), F.lit(0).alias("role"))) for d in range(SIZE_CLASSES + 1)]
+    as_larger = [F.when(decides(F.col("class") - d), F.struct((F.col("class") - d).alias("class"), F.lit(d).alias("apart"), F.lit(1).alias("role"))) for d in range(1, SIZE_CLASSES + 1)]
+    keyed = held.withColumn("class", own).withColumn("key", F.explode(F.array_compact(F.array(*as_smaller, *as_larger)))).select("shingle", "key.*", "rep")
+    by_key = Window.partitionBy("shingle", "class", "apart")
+    met = keyed.withColumns({"leader": F.min("rep").over(by_key), "from": F.min("role").over(by_key), "to": F.max("role").over(by_key)})
+    # Of different classes a key needs sets of both; all of them then hang together by the smallest.
+    met = met.where("leader <> rep AND (apart = 0 OR from < to)")
+    return _spark.components(met.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
 
 
 def _joined(s: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -363,7 +381,7 @@ def _linked(s: Scratch, docs: DataFrame, id_col: str, text_col: str, k: int, lea
     sets = s.cut(signed(keyed, counters(keyed, "text", k), "key", "text", k, least), "sets")
     reps = sets.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "prefix")).alias("m"))
     reps = s.cut(reps.select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix")), "reps")
-    clusters = _clusters(s, reps)
+    clusters = _clusters(s, reps, least)
     members = s.cut(reps.select("rep", "n").join(clusters.select(F.col("node").alias("rep"), F.col("comp").alias("cluster")), "rep"), "members")
     _spark.drop_cut(clusters)
     # Merged at every size: the texts are dealt out once, however many are candidates.
