@@ -41,8 +41,8 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts every task holds (16 bytes each).
 TOP = 1 << 20
 #: Characters worked on at once, unless a single text is longer; pairs a task counts before it sends them on.
-CHUNK_CHARS, HELD_PAIRS = 1 << 20, 1 << 21
-TEXT_ROWS = 4096
+CHUNK_CHARS, HELD_PAIRS = 1 << 18, 1 << 19
+TEXT_ROWS = 512
 _SHIFT = 32
 
 
