@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codeloom.functions.exprs import entity_id
 from codeloom.operators import assemble, facts, incremental, reports, resolve, scaffold, scanners, sqltext, store, traverse
 from codeloom.sources import files as file_source
+from codeloom.ship import ship
+from codeloom.sources.stored import Stored
 from codeloom.sources.tables import cut
 
 def _no_text():
@@ -19,18 +21,21 @@ def _no_text():
 #: Files of the line scanners; calls of caches, messages and storage are looked for in all code.
 SCRIPTS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 CODE = [*SCRIPTS, ".py", ".cs", ".vb"]
+#: Files of code in which SQL is looked for.
+SQL_CODE = [".cs", ".js", ".jsx", ".py", ".ts", ".tsx", ".vb"]
 #: Line facts follow those of the parsers, which count from 0 in each file.
 LINE_SEQ = 1_000_000
 
 
 #: What a scanner knows both ends of: edges of these kinds are resolved when they are found.
-DECLARED = r"^(DECLARES|CONTAINS|EXPOSES|RUNS|HANDLES|SELECTS)_"
+DECLARED = r"^(DECLARES|CONTAINS|EXPOSES|RUNS|HANDLES|SELECTS)_|^DEFINES$"
 #: Entities that are one a source, whatever the file.
 WITHOUT_PATH = ["service", "package", "project", "repository"]
 
 
 def files_of(spark: SparkSession, trees: dict[str, str]) -> DataFrame:
     """The files of {source name: folder}."""
+    ship(spark)
     return functools.reduce(DataFrame.unionByName, [file_source.scan_tree(spark, root, name) for name, root in trees.items()])
 
 
@@ -39,12 +44,12 @@ def line_facts(files: DataFrame) -> DataFrame:
 
     Interactions of scripts stand twice: from the file, and from the function in which their line stands.
     """
-    scripts, code, sql = (files.where(F.col("extension").isin(list(x))) for x in (SCRIPTS, CODE, [".sql"]))
+    scripts, code, sql, with_sql = (files.where(F.col("extension").isin(list(x))) for x in (SCRIPTS, CODE, [".sql"], SQL_CODE))
 
-    def made(rows: DataFrame, parser: str, edge_type, to_type, to_name="to_name", near=("file", "rel_path"), **properties) -> DataFrame:
+    def made(rows: DataFrame, parser: str, edge_type, to_type, to_name="to_name", near=(F.lit("file"), "rel_path"), **properties) -> DataFrame:
         kept = F.create_map(*[x for k, c in properties.items() for x in (F.lit(k), F.col(c).cast("string"))]) if properties else F.create_map().cast("map<string,string>")
         return rows.select(
-            "source_name", "rel_path", (F.col("line_number") + LINE_SEQ).cast("int").alias("seq"), F.lit(parser).alias("parser"), edge_type.alias("edge_type"), F.lit(near[0]).alias("from_type"), F.col(near[1]).alias("from_name"),
+            "source_name", "rel_path", (F.col("line_number") + LINE_SEQ).cast("int").alias("seq"), F.lit(parser).alias("parser"), edge_type.alias("edge_type"), near[0].alias("from_type"), F.col(near[1]).alias("from_name"),
             to_type.alias("to_type"), F.col(to_name).alias("to_name"), F.col("line_number").cast("int").alias("line_number"), F.map_filter(kept, lambda k, v: v.isNotNull()).alias("properties"), _no_text().alias("issue"),
         ).where("to_name <> ''")
 
@@ -66,23 +71,41 @@ def line_facts(files: DataFrame) -> DataFrame:
 
     parts = [
         made(routes, "routes", lit("EXPOSES_ROUTE"), lit("api_route"), "route"),
-        made(routes.where("handler is not null"), "routes", lit("HANDLES_ROUTE"), lit("function"), "handler", ("api_route", "route")),
+        made(routes.where("handler is not null"), "routes", lit("HANDLES_ROUTE"), lit("function"), "handler", (lit("api_route"), "route")),
         made(scanners.imports(scripts), "imports", lit("IMPORTS"), F.when(col("import_kind") == "relative", "module").otherwise("package"), raw_target="raw_target", import_kind="import_kind"),
         made(scanners.symbols(scripts), "symbols", lit("DECLARES_SYMBOL"), col("entity_type"), "name", exported="exported"),
-        made(scanners.symbol_calls(scripts), "symbol_calls", lit("CALLS_SYMBOL"), lit("function"), near=("function", "function")),
+        made(scanners.symbol_calls(scripts), "symbol_calls", lit("CALLS_SYMBOL"), lit("function"), near=(lit("function"), "function")),
         made(scanners.jobs(scripts), "jobs", lit("DECLARES_JOB"), lit("scheduled_job"), "name", schedule="schedule", handler="handler"),
-        made(sqltext.scan(sql), "sql_text", col("edge_type"), col("to_type"), raw_target="raw_target", scope="scope", **evidence),
-        made(scanners.within_functions(sqltext.scan(scripts).drop("scope"), scripts), "sql_text", col("edge_type"), col("to_type"), near=("function", "function"), raw_target="raw_target", **evidence),
+        *sql_parts(made, sql, with_sql, scripts),
     ]
     # Python's own scanner finds these by its syntax tree.
     parts += [made(rows, parser, col("edge_type"), col("to_type"), **more, **evidence) for rows, parser, more in touched(code.where("extension <> '.py'"))]
-    parts += [made(scanners.within_functions(rows, scripts), parser, col("edge_type"), col("to_type"), near=("function", "function"), **more, **evidence) for rows, parser, more in touched(scripts)]
+    parts += [made(scanners.within_functions(rows, scripts), parser, col("edge_type"), col("to_type"), near=(lit("function"), "function"), **more, **evidence) for rows, parser, more in touched(scripts)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def sql_parts(made, sql: DataFrame, with_sql: DataFrame, scripts: DataFrame) -> list[DataFrame]:
+    """B70 to B78. What SQL files define, and the references of SQL, from the object, function or file that they stand in."""
+    state, kind = sqltext.provenance()
+    of_file = {"schema_state": "schema_state", "sql_source_kind": "sql_source_kind"}
+    evidence = {k: k for k in ("target_boundary", "dependency_scope", "interaction_kind", "protocol", "raw_target", "normalized_target", "database_object_type")} | {"sql_operation": "operation"}
+    defined = sqltext.definitions(sql)
+    inside = F.col("scope").isNotNull()
+    found = sqltext.scan(sql).withColumns({"schema_state": state, "sql_source_kind": kind, "context_type": F.when(inside, F.col("origin_type")), "context_name": F.col("scope")})
+    within = scanners.within_functions(sqltext.embedded(scripts), scripts).withColumns({"context_type": F.lit("function"), "context_name": F.col("function")})
+    context = {"source_context_type": "context_type", "source_context_name": "context_name"}
+    edge, to = F.col("edge_type"), F.col("to_type")
+    return [
+        made(defined, "sql", F.lit("DEFINES"), F.col("entity_type"), "full_name"),
+        made(found, "sql_reference", edge, to, near=(F.col("origin_type"), "origin"), **evidence, **of_file, **context),
+        made(sqltext.embedded(with_sql), "sql_reference", edge, to, **evidence),
+        made(within, "sql_reference", edge, to, near=(F.lit("function"), "function"), **evidence, **context),
+    ]
+
+
 def path_of(kind: str) -> Column:
     """The path that belongs to an entity's id: its file's, but for those that are one a source."""
     return F.when(F.col(kind).isin(WITHOUT_PATH), _no_text()).when(F.col(kind) == "file", F.col(kind.replace("type", "name"))).otherwise(F.col("rel_path"))
@@ -122,15 +145,17 @@ def edge_facts(found: DataFrame) -> DataFrame:
 
 
 def definition_facts(files: DataFrame) -> DataFrame:
-    """Entity facts of the objects that SQL text defines."""
+    """Entity facts of the objects that SQL text defines: named in full, by their short name too."""
     rows = sqltext.definitions(files.where(F.col("rel_path").endswith(".sql")))
-    state, _ = sqltext.provenance()
-    properties = F.map_filter(F.create_map(F.lit("schema"), F.col("schema"), F.lit("full_name"), F.col("full_name"), F.lit("schema_state"), state), lambda k, v: v.isNotNull())
-    return rows.select("entity_type", "name", "source_name", F.col("rel_path").alias("file_path"), "line_number", F.array("full_name").alias("aliases"), properties.alias("properties"), F.struct("rel_path", F.col("line_number").alias("seq")).alias("seq"))
+    state, kind = sqltext.provenance()
+    properties = {"schema": F.col("schema"), "full_name": F.col("full_name"), "schema_state": state, "sql_source_kind": kind}
+    kept = F.map_filter(F.create_map(*[x for k, c in properties.items() for x in (F.lit(k), c)]), lambda k, v: v.isNotNull())
+    return rows.select("entity_type", F.col("full_name").alias("name"), "source_name", F.col("rel_path").alias("file_path"), "line_number", F.array("name").alias("aliases"), kept.alias("properties"), F.struct("rel_path", F.col("line_number").alias("seq")).alias("seq"))
 
 
 def assembled(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, edges, issues) of files before resolution. Ids carry the source, so sources assembled apart are the same as together."""
+    ship(files.sparkSession)
     files = cut(files)
     found = cut(facts.scan(files).unionByName(line_facts(files)))
     issues = found.where("issue is not null").select("source_name", "rel_path", F.col("issue").alias("message"))
@@ -165,18 +190,23 @@ class Graph:
             edges = edges.where(assemble.keep_dependency(list(include), list(exclude)))
         return cls(scope, spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(trees.items())], "index long, name string, path string"), entities, edges, issues)
 
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"sources": self.sources.withColumn("source_name", F.col("name")), "entities": self.entities, "edges": self.edges}
+
     def write(self, folder: str) -> None:
-        """Tables of the graph, entities and edges a partition a source."""
-        self.sources.write.mode("overwrite").parquet(f"{folder}/sources")
-        for name, df in (("entities", self.entities), ("edges", self.edges)):
-            df.write.mode("overwrite").partitionBy("source_name").parquet(f"{folder}/{name}")
+        """Makes this graph that of the folder, at once; sources that are there as they are now are not written again."""
+        stored = {n: cut(df) for n, df in self._tables().items()}
+        Stored(self.entities.sparkSession, folder).write(stored)
 
     def replace(self, folder: str, names: Sequence[str]) -> None:
-        """A13, D06. Puts this graph's records into the stored one, in which the named sources give way; targets that nothing points at go with them."""
+        """A13, D06. Puts this graph's records into the stored one, in which the named sources give way; targets that nothing points at go with them.
+
+        Only sources whose rows change are written, and they count all at once.
+        """
         old = Graph.read(self.entities.sparkSession, folder, self.scope)
-        entities, edges = store.replace_sources((old.entities, old.edges), (self.entities, self.edges), names)
+        entities, edges = store.replace_sources((old.entities, old.edges), (cut(self.entities), cut(self.edges)), names)
         edges = cut(edges)
-        Graph(self.scope, self.sources, cut(store.without_orphans(entities, edges)), edges).write(folder)
+        Graph(self.scope, self.sources, store.without_orphans(entities, edges), edges).write(folder)
 
     def export(self, folder: str) -> None:
         """A11. Entities and edges as JSON, one a line, without null fields."""
@@ -185,7 +215,8 @@ class Graph:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, scope: str) -> Graph:
-        return cls(scope, *(spark.read.parquet(f"{folder}/{t}") for t in ("sources", "entities", "edges")))
+        tables = Stored(spark, folder)
+        return cls(scope, tables.read("sources").drop("source_name"), tables.read("entities"), tables.read("edges"))
 
     def stats(self) -> DataFrame:
         return store.stats(self.sources, self.entities, self.edges)

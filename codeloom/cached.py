@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.api import CODE, Graph, assembled, files_of
 from codeloom.operators import incremental
+from codeloom.sources.stored import Stored
 from codeloom.sources.tables import cut
 
 TABLES = ["snapshot", "entities", "edges", "issues"]
@@ -114,9 +115,5 @@ class Cache:
 
 def loaded_sources(spark: SparkSession, folder: str) -> list[str]:
     """The sources of a folder of graph tables, in order; none where there is no graph."""
-    try:
-        return [r["name"] for r in spark.read.parquet(f"{folder}/sources").orderBy("index").collect()]  # a row a source
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
+    tables = Stored(spark, folder)
+    return [r["name"] for r in tables.read("sources").orderBy("index").collect()] if "sources" in tables.tables() else []  # a row a source

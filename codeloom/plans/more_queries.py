@@ -275,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "b73_sql_writes": _FILES + "SELECT source_name, t AS to_name, o AS sql_operation, count(*) AS n FROM (SELECT source_name, 'stage.' || n AS t, 'insert' AS o FROM src WHERE k = 'R' UNION ALL SELECT source_name, n, 'delete' FROM src WHERE k = 'R') GROUP BY source_name, t, o",
         "b74_sql_references": _FILES + "SELECT source_name, 'dbo.keys' AS to_name, count(*) AS n FROM src WHERE k = 'C' GROUP BY source_name",
         "b76_sql_scan": _FILES + "SELECT e AS edge_type, CASE e WHEN 'REFERENCES_SQL_OBJECT' THEN 'schema' ELSE 'runtime' END AS dependency_scope, CASE e WHEN 'REFERENCES_SQL_OBJECT' THEN 'sql_schema_reference' ELSE 'sql_reference' END AS interaction_kind, count(*) AS n FROM (SELECT unnest(CASE k WHEN 'C' THEN ['REFERENCES_SQL_OBJECT'] WHEN 'A' THEN ['READS_SQL_OBJECT', 'READS_SQL_OBJECT'] WHEN 'N' THEN ['CALLS_SQL'] ELSE ['WRITES_SQL_OBJECT', 'WRITES_SQL_OBJECT', 'READS_SQL_OBJECT'] END) AS e FROM src) GROUP BY e",
-        "b77_sql_provenance": "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'historical' ELSE 'unknown' END AS schema_state, CASE WHEN l_orderkey % 3 = 0 THEN 'migration' ELSE 'sql' END AS kind, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ALL",
+        "b77_sql_provenance": "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'historical' ELSE 'unknown' END AS schema_state, CASE WHEN l_orderkey % 3 = 0 THEN 'migration_file' ELSE 'sql_file' END AS kind, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ALL",
         "f01_snapshot": "SELECT source AS source_name, 'doc/' || doc_id AS path, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size_bytes FROM documents",
         "f02_snapshot_diff": _DIFF + "SELECT source_name, path, change FROM d WHERE change IS NOT NULL",
         "f04_snapshot_status": _DIFF + "SELECT source_name, CASE WHEN count(change) = 0 THEN 'unchanged' ELSE 'changed' END AS status, concat_ws(',', CASE WHEN count(*) FILTER (change = 'added') > 0 THEN 'files_added' END, CASE WHEN count(*) FILTER (change = 'modified') > 0 THEN 'files_modified' END, CASE WHEN count(*) FILTER (change = 'removed') > 0 THEN 'files_removed' END) AS reasons, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'removed') AS removed FROM d GROUP BY source_name",

@@ -55,8 +55,31 @@ def test_scaffold_scopes_and_confidence(spark):
         ("READS_CACHE_KEY", "helper", "k"), ("PUBLISHES_MESSAGE", "run", "jobs"), ("WRITES_STORAGE_OBJECT", "run", "/tmp/x"), ("READS_STORAGE_OBJECT", "run", "b/k"), ("READS_CACHE_KEY", "run", "c"),
     ):
         assert key in got, (key, sorted(got))
-    assert ("CONTAINS_FILE", "shop", "src/deep/x/a.ts") not in got and ("READS_SQL_OBJECT", "src/deep/x/a.ts", "dbo.T") not in got
+    assert ("CONTAINS_FILE", "shop", "src/deep/x/a.ts") not in got and ("READS_SQL_OBJECT", "src/deep/x/a.ts", "dbo.T") in got
     assert all(r["resolved"] and r["confidence"] == "high" for k, r in got.items() if k[0].startswith(("CONTAINS", "DECLARES")))
     ids = {r["entity_id"] for r in graph.entities.collect()}
     assert all(r["from_entity_id"] in ids and (not r["resolved"] or r["to_entity_id"] in ids) for r in got.values())
     assert graph.issues.count() == 0
+
+
+def test_sql_references_come_from_the_object_they_stand_in(spark):
+    rows = [
+        ("db", "t.sql", ".sql", "CREATE TABLE dbo.T (id int)\nGO\n"),
+        ("db", "p.sql", ".sql", "CREATE PROCEDURE dbo.P AS\nSELECT * FROM [dbo].[T]\nGO\nSELECT 1 FROM dbo.Loose\nCREATE OR ALTER PROC dbo.R AS EXEC dbo.P\nUPDATE dbo.T SET x = 1 ON UPDATE CASCADE ON DELETE NO ACTION\nGO\n"),
+        ("app", "a.cs", ".cs", 'class A { void M() { db.Query("SELECT * FROM dbo.T"); } }'),
+        ("app", "b.py", ".py", "from os import path\nx = 'DELETE FROM dbo.T'\n"),
+        ("app", "c.ts", ".ts", 'import x from "pkg";\nfunction f() {\n  export * from "lodash";\n}\n'),
+    ]
+    files = spark.createDataFrame(rows, "source_name string, rel_path string, extension string, content string")
+    graph = Graph.of_files(spark, "s", {"db": "/d", "app": "/a"}, files)
+    got = {(r["edge_type"], r["from_type"], r["from_name"], r["to_name"]): r for r in graph.edges.collect() if "SQL" in r["edge_type"] or r["edge_type"] == "DEFINES"}
+    assert set(got) == {
+        ("DEFINES", "file", "t.sql", "dbo.T"), ("DEFINES", "file", "p.sql", "dbo.P"), ("DEFINES", "file", "p.sql", "dbo.R"),
+        ("READS_SQL_OBJECT", "stored_procedure", "dbo.P", "dbo.T"), ("READS_SQL_OBJECT", "file", "p.sql", "dbo.Loose"), ("CALLS_SQL", "stored_procedure", "dbo.R", "dbo.P"),
+        ("WRITES_SQL_OBJECT", "stored_procedure", "dbo.R", "dbo.T"), ("READS_SQL_OBJECT", "file", "a.cs", "dbo.T"), ("READS_SQL_OBJECT", "file", "b.py", "dbo.T"), ("WRITES_SQL_OBJECT", "file", "b.py", "dbo.T"),
+    }
+    assert all(r["resolved"] for k, r in got.items() if k[3] != "dbo.Loose")
+    assert got["CALLS_SQL", "stored_procedure", "dbo.R", "dbo.P"]["properties"]["source_context_name"] == "dbo.R"
+    ids = {r["name"]: r["entity_id"] for r in graph.entities.collect()}
+    reached = {r["next_id"] for r in graph.impact(ids["dbo.T"])["items"].collect()}
+    assert {ids["dbo.P"], ids["dbo.R"]} <= reached

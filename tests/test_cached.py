@@ -25,7 +25,7 @@ def test_only_changed_sources_are_scanned_and_all_are_resolved(spark, tmp_path):
     stored = Graph.read(spark, target, "s")
     reads = stored.edges.where("edge_type = 'READS_SQL_OBJECT' and to_name = 'dbo.Orders'").collect()
     assert reads and all(r["resolved"] and r["source_name"] == "web" for r in reads)
-    assert "Orders" in (names := {r["name"] for r in stored.entities.collect()}) and "Other" not in names
+    assert "dbo.Orders" in (names := {r["name"] for r in stored.entities.collect()}) and "dbo.Other" not in names
 
     # Other scanners, and tables that are gone, are reasons to scan again.
     other = Cache(spark, str(tmp_path / "cache"), "other").status(snapshot_of(spark, trees), trees)
