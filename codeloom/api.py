@@ -40,7 +40,7 @@ def files_of(spark: SparkSession, trees: dict[str, str]) -> DataFrame:
 
 
 def line_facts(files: DataFrame) -> DataFrame:
-    """Facts of the line scanners and of SQL text, as facts.scan() has them.
+    """Facts of the scanners over tokens and of SQL text, as facts.scan() has them.
 
     Interactions of scripts stand twice: from the file, and from the function in which their line stands.
     """
@@ -53,7 +53,11 @@ def line_facts(files: DataFrame) -> DataFrame:
             to_type.alias("to_type"), F.col(to_name).alias("to_name"), F.col("line_number").cast("int").alias("line_number"), F.map_filter(kept, lambda k, v: v.isNotNull()).alias("properties"), _no_text().alias("issue"),
         ).where("to_name <> ''")
 
-    col, lit, routes = F.col, F.lit, scanners.routes(scripts)
+    col, lit = F.col, F.lit
+    # Every file of code is cut into tokens once, and every line into its scope.
+    found = cut(scanners.places(code.where("extension <> '.py'")))
+    of_scripts = found.where(F.lower("rel_path").rlike(r"\.(" + "|".join(x[1:] for x in SCRIPTS) + ")$"))
+    scoped = cut(scanners.scopes(scripts, of_scripts).where("function is not null").drop("line"))
     evidence = {"target_boundary": "target_boundary", "dependency_scope": "dependency_scope", "interaction_kind": "interaction_kind"}
 
     def told(rows: DataFrame, boundary: str, kind) -> DataFrame:
@@ -69,25 +73,26 @@ def line_facts(files: DataFrame) -> DataFrame:
             (told(scanners.storage_calls(rows).withColumn("to_type", lit("storage_location")), "storage", by("storage_read", "storage_write")), "storage_calls", {}),
         ]
 
+    routes = scanners.routes(of_scripts)
     parts = [
         made(routes, "routes", lit("EXPOSES_ROUTE"), lit("api_route"), "route"),
         made(routes.where("handler is not null"), "routes", lit("HANDLES_ROUTE"), lit("function"), "handler", (lit("api_route"), "route")),
-        made(scanners.imports(scripts), "imports", lit("IMPORTS"), F.when(col("import_kind") == "relative", "module").otherwise("package"), raw_target="raw_target", import_kind="import_kind"),
-        made(scanners.symbols(scripts), "symbols", lit("DECLARES_SYMBOL"), col("entity_type"), "name", exported="exported"),
-        made(scanners.symbol_calls(scripts), "symbol_calls", lit("CALLS_SYMBOL"), lit("function"), near=(lit("function"), "function")),
-        made(scanners.jobs(scripts), "jobs", lit("DECLARES_JOB"), lit("scheduled_job"), "name", schedule="schedule", handler="handler"),
-        *sql_parts(made, sql, with_sql, scripts),
+        made(scanners.imports(of_scripts), "imports", lit("IMPORTS"), F.when(col("import_kind") == "relative", "module").otherwise("package"), raw_target="raw_target", import_kind="import_kind"),
+        made(scanners.symbols(of_scripts), "symbols", lit("DECLARES_SYMBOL"), col("entity_type"), "name", exported="exported"),
+        made(scanners.symbol_calls(of_scripts, scoped), "symbol_calls", lit("CALLS_SYMBOL"), lit("function"), near=(lit("function"), "function")),
+        made(scanners.jobs(of_scripts), "jobs", lit("DECLARES_JOB"), lit("scheduled_job"), "name", schedule="schedule", handler="handler"),
+        *sql_parts(made, sql, with_sql, scripts, scoped),
     ]
     # Python's own scanner finds these by its syntax tree.
-    parts += [made(rows, parser, col("edge_type"), col("to_type"), **more, **evidence) for rows, parser, more in touched(code.where("extension <> '.py'"))]
-    parts += [made(scanners.within_functions(rows, scripts), parser, col("edge_type"), col("to_type"), near=(lit("function"), "function"), **more, **evidence) for rows, parser, more in touched(scripts)]
+    parts += [made(rows, parser, col("edge_type"), col("to_type"), **more, **evidence) for rows, parser, more in touched(found)]
+    parts += [made(scanners.within_functions(rows, scripts, scoped), parser, col("edge_type"), col("to_type"), near=(lit("function"), "function"), **more, **evidence) for rows, parser, more in touched(of_scripts)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def sql_parts(made, sql: DataFrame, with_sql: DataFrame, scripts: DataFrame) -> list[DataFrame]:
+def sql_parts(made, sql: DataFrame, with_sql: DataFrame, scripts: DataFrame, scoped: DataFrame) -> list[DataFrame]:
     """B70 to B78. What SQL files define, and the references of SQL, from the object, function or file that they stand in."""
     state, kind = sqltext.provenance()
     of_file = {"schema_state": "schema_state", "sql_source_kind": "sql_source_kind"}
@@ -95,7 +100,7 @@ def sql_parts(made, sql: DataFrame, with_sql: DataFrame, scripts: DataFrame) ->
     defined = sqltext.definitions(sql)
     inside = F.col("scope").isNotNull()
     found = sqltext.scan(sql).withColumns({"schema_state": state, "sql_source_kind": kind, "context_type": F.when(inside, F.col("origin_type")), "context_name": F.col("scope")})
-    within = scanners.within_functions(sqltext.embedded(scripts), scripts).withColumns({"context_type": F.lit("function"), "context_name": F.col("function")})
+    within = scanners.within_functions(sqltext.embedded(scripts), scripts, scoped).withColumns({"context_type": F.lit("function"), "context_name": F.col("function")})
     context = {"source_context_type": "context_type", "source_context_name": "context_name"}
     edge, to = F.col("edge_type"), F.col("to_type")
     return [

@@ -1,17 +1,21 @@
-"""Line scanners of application code: HTTP calls, routes, imports, symbols and scopes, messages, caches, storage, jobs.
+"""Scanners of application code: HTTP calls, routes, imports, symbols and scopes, messages, caches, storage, jobs.
 
-All of them are column expressions over lines; windows run within one file, whose
-length the scan bounds.
+One pass over the files gives the places that tokens.py finds: calls with their literal
+arguments, decorators, imports and declarations. The scanners are rules over this table; windows run
+within one file, whose length the scan bounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.functions.exprs import package_root, route_path, service_from_env, service_from_url, strip
 from codeloom.operators.sqltext import lines
+from codeloom.operators.tokens import Tokens
 
 # What the scanners look for.
 HTTP_VERBS = ["get", "post", "put", "patch", "delete", "options", "head"]
@@ -32,78 +36,71 @@ STORAGE_BROAD = ["appendfile", "download", "readfile", "upload", "writefile"]
 STORAGE_HINTS = ["blob", "bucket", "container", "directory", "file", "fs", "ftp", "path", "s3", "share", "storage"]
 BUCKET_KEYS, CONTAINER_KEYS, OBJECT_KEYS = ["bucket", "bucketname"], ["container", "containername", "share"], ["key", "blobname", "path", "filepath"]
 
-_NAME = r"[A-Za-z_$][\w$]*"
-_VERB = "|".join(HTTP_VERBS)
-_QUOTED = r"""(?:\$@|@\$|\$|@)?(["'])([^"']+)"""
-FETCH = r"""(?i)\bfetch\s*\(\s*(["'`])([^"'`]+)\1([^)]*)"""
-AXIOS = rf"""(?i)\baxios\.({_VERB})\s*\(\s*(["'`])([^"'`]+)\2"""
-ENV = r"(?:process\.env|import\.meta\.env)\.([A-Z][A-Z0-9_]*(?:URL|URI|ENDPOINT|HOST))"
-IMPORT = r"""(?:\bimport\s+(?:[^"';]*?\sfrom\s+)?|\bexport\s+[^"';]*?\sfrom\s+|\brequire\(\s*)["']([^"']+)["']"""
-ROUTE = rf"""(?i)\b(?:app|router|server|fastify)\s*\.\s*({_VERB})\s*\(\s*["']([^"']+)["'](?:\s*,\s*({_NAME}))?"""
-NEST_ROUTE = rf"""(?i)@({_VERB})\s*\(\s*(?:["']([^"']+)["'])?"""
-CRON = rf"""\bcron\.schedule\(\s*["'`]([^"'`]+)["'`]\s*,\s*({_NAME})"""
-FUNCTION = rf"\b(export\s+(?:default\s+)?)?(?:async\s+)?function\s+({_NAME})\s*\("
-ARROW = rf"\b(export\s+)?(?:const|let|var)\s+({_NAME})\s*=\s*(?:async\s*)?(?:\([^)]*\)|{_NAME})?\s*=>"
-CLASS = rf"\b(export\s+(?:default\s+)?)?class\s+({_NAME})\b"
-CALL = rf"\b({_NAME})\s*\("
-FIRST_ARGUMENT = rf"\(\s*(?:new\s*\[\]\s*\{{\s*)?{_QUOTED}\1"
+ROUTERS = ["app", "fastify", "router", "server"]
+ENV_ENDINGS = "(URL|URI|ENDPOINT|HOST)$"
 
+PLACE = (
+    "source_name string, rel_path string, line_number int, form string, name string, receiver string, generic string, first string, second string, "
+    "`values` array<struct<key:string,value:string>>, within array<struct<key:string,value:string>>, of_line string, exported boolean, place int"
+)
+_ARROW = pa.schema([
+    *[(c, pa.string()) for c in ("source_name", "rel_path")], ("line_number", pa.int32()), *[(c, pa.string()) for c in ("form", "name", "receiver", "generic", "first", "second")],
+    *[(c, pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))) for c in ("values", "within")], ("of_line", pa.string()), ("exported", pa.bool_()), ("place", pa.int32()),
+])
 
-def _method(names: list[str]) -> str:
-    """A call of one of the methods, in any case, with the receiver before the point and a generic type after the name, if there are any."""
-    either = "|".join(sorted(names, key=len, reverse=True))
-    return rf"(?i)(?:([A-Za-z_][\w.]*)\s*\.\s*)?({either})\s*(?:<\s*([A-Za-z_][\w.]*)\s*>)?\s*\("
 
+def places(files: DataFrame) -> DataFrame:
+    """A row a call, decorator, import, function or class of files(source_name, rel_path, content); place counts them within a file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [
+                    {"source_name": source, "rel_path": path, "line_number": p.line, **p._asdict(), **{c: [{"key": k, "value": v} for k, v in getattr(p, c)] for c in ("values", "within")}, "place": i}
+                    for i, p in enumerate(Tokens(text or "").places())
+                ]
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-def _pairs(keys: list[str]) -> str:
-    """A quoted value given to one of the keys."""
-    return rf"(?i)({'|'.join(sorted(keys, key=len, reverse=True))})\s*[:=]\s*(?:\[\s*)?{_QUOTED}\2"
+    if "form" in files.columns:
+        return files
+    return files.select("source_name", "rel_path", "content").mapInArrow(run, PLACE)
 
 
-def _all(pattern: str, group: int) -> Column:
-    return F.regexp_extract_all("line", F.lit(pattern), F.lit(group))
-
-
-def _zipped(pattern: str, **groups: int) -> Column:
-    return F.arrays_zip(*[_all(pattern, i).alias(n) for n, i in groups.items()])
-
-
-def _matches(files: DataFrame, pattern: str, **groups: int) -> DataFrame:
-    """A row a match, with its groups under the given names."""
-    rows = lines(files).where(F.col("line").rlike(pattern))
-    return rows.select("source_name", "rel_path", "line_number", "line", F.explode(_zipped(pattern, **groups)).alias("m")).select("source_name", "rel_path", "line_number", "line", *[F.col("m").getField(n).alias(n) for n in groups])
+def _calls(files: DataFrame) -> DataFrame:
+    return places(files).where("form = 'call'")
 
 
 def _some(c: str) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+_WHERE = ["source_name", "rel_path", "line_number"]
+
+
 def http_calls(files: DataFrame) -> DataFrame:
-    """B50. fetch and axios calls with a quoted target: of a service that an environment variable names, else of a route METHOD /path."""
-    given = F.lower(F.regexp_extract("rest", r"""(?i)method\s*:\s*["'`](\w+)["'`]""", 1))
-    fetch = _matches(files, FETCH, raw=2, rest=3).withColumn("method", F.when(given.isin(HTTP_VERBS), F.upper(given)).otherwise("GET")).drop("rest")
-    axios = _matches(files, AXIOS, verb=1, raw=3).withColumn("method", F.upper("verb")).drop("verb")
-    rows = fetch.unionByName(axios).withColumn("env", _some(F.regexp_extract("raw", ENV, 1)))
+    """B50. fetch and axios calls with a literal target: of a service that an environment variable names, else of a route METHOD /path."""
+    verb, receiver = F.lower("name"), F.lower(F.element_at(F.split("receiver", r"\."), -1))
+    fetch, axios = (verb == "fetch"), (receiver == "axios") & verb.isin(HTTP_VERBS)
+    given = F.lower(F.try_element_at(F.filter("within", lambda p: F.lower(p["key"]) == "method"), F.lit(1))["value"])
+    method = F.upper(F.when(axios, verb).when(given.isin(HTTP_VERBS), given).otherwise("get"))
+    rows = _calls(files).where((fetch | axios) & F.col("first").isNotNull()).select(*_WHERE, method.alias("method"), F.col("first").alias("raw"))
+    named = F.regexp_extract("raw", r"\b(?:process|import\.meta)\.env\.([A-Z][A-Z0-9_]*)", 1)
+    rows = rows.withColumn("env", F.when(named.rlike(ENV_ENDINGS), named))
     service = F.col("env").isNotNull()
     return rows.select(
-        "source_name", "rel_path", "line_number", "method", F.col("raw").alias("raw_target"), F.when(service, "CALLS_SERVICE").otherwise("CALLS_HTTP").alias("edge_type"),
+        *_WHERE, "method", F.col("raw").alias("raw_target"), F.when(service, "CALLS_SERVICE").otherwise("CALLS_HTTP").alias("edge_type"),
         F.when(service, "service").otherwise("api_route").alias("to_type"), F.when(service, service_from_env("env")).otherwise(F.concat("method", F.lit(" "), route_path("raw"))).alias("to_name"),
         service_from_url("raw").alias("host_service"),
     )
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """Functions and classes that lines declare, in the order in which a line has them (at)."""
-    out = None
-    for rank, (pattern, kind) in enumerate(((FUNCTION, "function"), (ARROW, "function"), (CLASS, "class"))):
-        rows = lines(files).where(F.col("line").rlike(pattern)).select("source_name", "rel_path", "line_number", F.posexplode(_zipped(pattern, export=1, name=2)).alias("i", "m"))
-        rows = rows.select("source_name", "rel_path", "line_number", F.lit(kind).alias("entity_type"), F.col("m.name").alias("name"), (F.col("m.export") != "").alias("exported"), (F.col("i") + F.lit(1000 * rank)).alias("at"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Functions and classes that files declare, in their order (at)."""
+    rows = places(files).where(F.col("form").isin("function", "class"))
+    return rows.select(*_WHERE, F.col("form").alias("entity_type"), "name", "exported", F.col("place").alias("at"))
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """B30, B56. Functions and classes that lines declare, and whether they are exported."""
+    """B30, B56. Functions and classes that files declare, and whether they are exported."""
     return declarations(files).drop("at")
 
 
@@ -113,37 +110,40 @@ def _functions(files: DataFrame) -> DataFrame:
 
 def routes(files: DataFrame) -> DataFrame:
     """B53. Routes that express, fastify or Nest declare; the handler where it is a function of the same file."""
-    plain = _matches(files, ROUTE, verb=1, path=2, handler=3)
-    nest = _matches(files, NEST_ROUTE, verb=1, path=2).withColumn("handler", F.lit(""))
-    rows = plain.unionByName(nest).withColumn("handler", _some("handler"))
+    verb, receiver = F.lower("name"), F.lower(F.element_at(F.split("receiver", r"\."), -1))
+    plain = (F.col("form") == "call") & receiver.isin(ROUTERS) & F.col("first").isNotNull()
+    nest = (F.col("form") == "decorator") & (F.col("receiver") == "")
+    rows = places(files).where(verb.isin(HTTP_VERBS) & (plain | nest)).withColumn("handler", F.when(plain, F.col("second")))
     known = _functions(files).select("source_name", "rel_path", F.col("name").alias("handler"), F.lit(True).alias("known")).distinct()
     rows = rows.join(known, ["source_name", "rel_path", "handler"], "left")
-    route = F.concat(F.upper("verb"), F.lit(" "), route_path(F.coalesce(_some("path"), F.lit("/"))))
-    return rows.select("source_name", "rel_path", "line_number", route.alias("route"), F.when(F.col("known"), F.col("handler")).alias("handler"))
+    route = F.concat(F.upper("name"), F.lit(" "), route_path(F.coalesce("first", F.lit("/"))))
+    return rows.select(*_WHERE, route.alias("route"), F.when(F.col("known"), F.col("handler")).alias("handler"))
 
 
 def imports(files: DataFrame) -> DataFrame:
     """B55. Imported modules (relative ones whole) and packages (their roots)."""
-    rows = _matches(files, IMPORT, raw=1)
+    required = (F.col("form") == "call") & (F.col("name") == "require") & (F.col("receiver") == "")
+    rows = places(files).where(((F.col("form") == "import") | required) & F.col("first").isNotNull()).withColumn("raw", F.col("first"))
     relative = F.col("raw").startswith(".")
-    return rows.select("source_name", "rel_path", "line_number", F.col("raw").alias("raw_target"), F.when(relative, F.col("raw")).otherwise(package_root("raw")).alias("to_name"), F.when(relative, "relative").otherwise("package").alias("import_kind"))
+    return rows.select(*_WHERE, F.col("raw").alias("raw_target"), F.when(relative, F.col("raw")).otherwise(package_root("raw")).alias("to_name"), F.when(relative, "relative").otherwise("package").alias("import_kind"))
 
 
 def jobs(files: DataFrame) -> DataFrame:
     """B60. Scheduled jobs, named ``handler @ schedule``."""
-    rows = _matches(files, CRON, schedule=1, handler=2)
-    return rows.select("source_name", "rel_path", "line_number", F.concat("handler", F.lit(" @ "), "schedule").alias("name"), "schedule", "handler")
+    last = F.element_at(F.split("receiver", r"\."), -1)
+    rows = _calls(files).where((F.col("name") == "schedule") & (last == "cron") & F.col("first").isNotNull() & F.col("second").isNotNull())
+    return rows.select(*_WHERE, F.concat("second", F.lit(" @ "), "first").alias("name"), F.col("first").alias("schedule"), F.col("second").alias("handler"))
 
 
-def scopes(files: DataFrame) -> DataFrame:
+def scopes(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """B61. source_name, rel_path, line_number, line, function: the function that each line stands in.
 
     A function begins with the line that declares it, and ends after the first line at which no
     brace opened since then is left open (its own line, where that opens none). Between two
     declarations the lines count from the first; so a line belongs to the function as long as the
-    balance after every line before it was positive.
+    balance after every line before it was positive. found: the files' places, if they are at hand.
     """
-    last = _functions(files).groupBy("source_name", "rel_path", "line_number").agg(F.max_by("name", "at").alias("declared"))
+    last = _functions(files if found is None else found).groupBy("source_name", "rel_path", "line_number").agg(F.max_by("name", "at").alias("declared"))
     rows = lines(files).join(last, ["source_name", "rel_path", "line_number"], "left")
     of_file = Window.partitionBy("source_name", "rel_path").orderBy("line_number")
     rows = rows.withColumn("segment", F.count("declared").over(of_file))
@@ -155,39 +155,40 @@ def scopes(files: DataFrame) -> DataFrame:
     return rows.select("source_name", "rel_path", "line_number", "line", function.alias("function"))
 
 
-def symbol_calls(files: DataFrame) -> DataFrame:
+def symbol_calls(files: DataFrame, scoped: DataFrame | None = None) -> DataFrame:
     """B31. Calls of functions of the same file, from the function in which they stand, a name once a line; a function's calls of itself are left out."""
-    called = scopes(files).where("function is not null").select("source_name", "rel_path", "line_number", "function", F.explode(F.array_distinct(_all(CALL, 1))).alias("to_name"))
+    called = within_functions(_calls(files).select(*_WHERE, F.col("name").alias("to_name")).distinct(), files, scoped)
     called = called.where(~F.col("to_name").isin(CALL_SKIP_NAMES) & (F.col("to_name") != F.col("function")))
     known = _functions(files).select("source_name", "rel_path", F.col("name").alias("to_name")).distinct()
-    return called.join(known, ["source_name", "rel_path", "to_name"], "left_semi").select("source_name", "rel_path", "line_number", "function", "to_name")
+    return called.join(known, ["source_name", "rel_path", "to_name"], "left_semi").select(*_WHERE, "function", "to_name")
 
 
-def within_functions(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """B30. The facts (source_name, rel_path, line_number) of lines that stand in a function, with it."""
-    inside = scopes(files).where("function is not null").select("source_name", "rel_path", "line_number", "function")
-    return facts.join(inside, ["source_name", "rel_path", "line_number"])
+def within_functions(facts: DataFrame, files: DataFrame, scoped: DataFrame | None = None) -> DataFrame:
+    """B30. The facts (source_name, rel_path, line_number) of lines that stand in a function, with it; scoped: scopes() of the files, if at hand."""
+    inside = (scopes(files) if scoped is None else scoped).where("function is not null").select(*_WHERE, "function")
+    return facts.join(inside, _WHERE)
 
 
 def _operations(files: DataFrame, methods: list[str]) -> DataFrame:
-    rows = _matches(files, _method(methods), receiver=1, method=2, generic=3)
-    return rows.withColumn("method", F.lower("method")).withColumn("receiver", F.lower("receiver"))
+    rows = _calls(files).withColumns({"method": F.lower("name"), "receiver": F.lower("receiver")})
+    return rows.where(F.col("method").isin(methods))
 
 
 def _hinted(hints: list[str]) -> Column:
     return F.col("receiver").rlike("|".join(hints))
 
 
-def _first_argument() -> Column:
-    """The first quoted argument of a call on the line."""
-    return _some(F.regexp_extract("line", FIRST_ARGUMENT, 2))
+def _given(keys: list[str]) -> Column:
+    """The literals given to one of the keys, in any case."""
+    wanted = [k.lower() for k in keys]
+    return F.filter("values", lambda p: F.lower(p["key"]).isin(wanted))
 
 
 def cache_calls(files: DataFrame) -> DataFrame:
-    """B57. Reads and writes of cache keys; get, set and delete need a receiver that looks like a cache. The key is the line's first quoted argument."""
+    """B57. Reads and writes of cache keys; get, set and delete need a receiver that looks like a cache. The key is the line's first argument that is a literal."""
     rows = _operations(files, CACHE_READS + CACHE_WRITES).where(_hinted(CACHE_HINTS) | ~F.col("method").isin(CACHE_PLAIN))
     kind = F.when(F.col("method").isin(CACHE_READS), "READS_CACHE_KEY").otherwise("WRITES_CACHE_KEY")
-    return rows.withColumn("to_name", strip(_first_argument())).where("to_name is not null").select("source_name", "rel_path", "line_number", kind.alias("edge_type"), "to_name")
+    return rows.withColumn("to_name", strip("of_line")).where("to_name is not null").select("source_name", "rel_path", "line_number", kind.alias("edge_type"), "to_name")
 
 
 def message_target(x: Column) -> Column:
@@ -198,15 +199,15 @@ def message_target(x: Column) -> Column:
 
 
 def message_calls(files: DataFrame) -> DataFrame:
-    """B58. Published and consumed messages; targets are a generic type, values given to keys, or else the first argument."""
+    """B58. Published and consumed messages; targets are a generic type, values given to keys, or else the line's first argument."""
     method, generic = F.col("method"), F.col("generic") != ""
     rows = _operations(files, PUBLISHES + CONSUMES).where(_hinted(MESSAGE_HINTS) | method.isin(QUEUE_METHODS) | method.isin(GENERIC_METHODS) & generic)
     kind = F.when(method.isin(PUBLISHES), "PUBLISHES_MESSAGE").otherwise("CONSUMES_MESSAGE")
     of_key = lambda p: F.struct(F.when(F.lower(p["key"]).rlike("queue|routing"), "message_queue").otherwise("message_topic").alias("type"), p["value"].alias("value"))
-    keyed = F.transform(_zipped(_pairs(MESSAGE_KEYS), key=1, value=3), of_key)
+    keyed = F.transform(_given(MESSAGE_KEYS), of_key)
     contract = F.filter(F.array(F.struct(F.lit("message_contract").alias("type"), F.col("generic").alias("value"))), lambda t: t["value"] != "")
     named = F.concat(contract, keyed)
-    first = F.array(F.struct(F.when(method.isin(QUEUE_METHODS), "message_queue").otherwise("message_topic").alias("type"), _first_argument().alias("value")))
+    first = F.array(F.struct(F.when(method.isin(QUEUE_METHODS), "message_queue").otherwise("message_topic").alias("type"), F.col("of_line").alias("value")))
     target = F.explode(F.when(F.size(named) > 0, named).otherwise(F.filter(first, lambda t: t["value"].isNotNull()))).alias("t")
     found = rows.select("source_name", "rel_path", "line_number", kind.alias("edge_type"), target)
     return found.select("source_name", "rel_path", "line_number", "edge_type", F.col("t.type").alias("to_type"), message_target(F.col("t.value")).alias("to_name")).distinct()
@@ -221,15 +222,15 @@ def storage_target(x: Column) -> Column:
 
 
 def storage_calls(files: DataFrame) -> DataFrame:
-    """B59. Reads and writes of stored objects; broad method names need a receiver that looks like storage. Targets are bucket or container and key, else the first argument."""
+    """B59. Reads and writes of stored objects; broad method names need a receiver that looks like storage. Targets are bucket or container and key, else the line's first argument."""
     rows = _operations(files, STORAGE_READS + STORAGE_WRITES).where(_hinted(STORAGE_HINTS) | ~F.col("method").isin(STORAGE_BROAD))
     kind = F.when(F.col("method").isin(STORAGE_READS), "READS_STORAGE_OBJECT").otherwise("WRITES_STORAGE_OBJECT")
-    given = F.transform(_zipped(_pairs(BUCKET_KEYS + CONTAINER_KEYS + OBJECT_KEYS), key=1, value=3), lambda p: F.struct(F.lower(p["key"]).alias("key"), p["value"].alias("value")))
+    given = F.transform(_given(BUCKET_KEYS + CONTAINER_KEYS + OBJECT_KEYS), lambda p: F.struct(F.lower(p["key"]).alias("key"), p["value"].alias("value")))
     rows = rows.withColumn("given", given)
     # Of a key given twice the last value counts.
     last = lambda key: F.try_element_at(F.filter("given", lambda p: p["key"] == key), F.lit(-1))["value"]
     bucket, container, item = (reduce(F.coalesce, [last(k) for k in keys]) for keys in (BUCKET_KEYS, CONTAINER_KEYS, OBJECT_KEYS))
     holder = F.coalesce(bucket, container)
     named = F.when(holder.isNotNull() & item.isNotNull(), F.concat(holder, F.lit("/"), item)).otherwise(F.coalesce(item, bucket, container))
-    target = storage_target(F.when(F.size("given") > 0, named).otherwise(_first_argument()))
+    target = storage_target(F.when(F.size("given") > 0, named).otherwise(F.col("of_line")))
     return rows.select("source_name", "rel_path", "line_number", kind.alias("edge_type"), target.alias("to_name")).where("to_name is not null")
