@@ -66,20 +66,23 @@ def short_name(x: str | Column) -> Column:
     return F.element_at(F.split(_col(x), r"\."), -1)
 
 
+#: A URL: an optional scheme, an optional authority, and the path.
+_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
+
+
 def endpoint(raw: str | Column) -> Column:
-    """The path of a URL, or what follows a leading ${...} expression, or the text itself."""
-    x = strip(raw)
-    path = F.regexp_extract(x, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    after = F.regexp_extract(x, r"^\$\{[^}]*\}(.*)$", 1)
-    return F.when(x.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), path).when(x.rlike(r"^\$\{[^}]*\}/"), after).otherwise(x)
+    """What follows a leading ${...} or the last brace, where that is a path; else the path of a URL; else the text itself."""
+    x = _col(raw)
+    after_first, after_last = F.regexp_extract(x, r"^\$\{[^}]*\}(?s:(.*))$", 1), F.regexp_extract(x, r"\}([^}]*)$", 1)
+    path = F.regexp_replace(F.regexp_extract(x, _URL, 2), ";[^/]*$", "")
+    return F.when(after_first.startswith("/"), after_first).when(after_last.startswith("/"), after_last).when(path != "", path).otherwise(x)
 
 
 def route_path(raw: str | Column) -> Column:
-    """A normal route path: no query, fragment or empty segment; parameters and numbers as :param."""
-    bare = F.regexp_replace(F.regexp_replace(endpoint(raw), r"[?#].*$", ""), r"\$\{[^}]*\}", "{x}")
+    """A normal route path: no query, fragment or empty segment; what stands in braces, segments that begin with a colon, and numbers as :param."""
+    bare = F.regexp_replace(F.regexp_replace(endpoint(raw), r"(?s)[?#].*$", ""), r"\$?\{[^}]+\}", ":param")
     segments = F.filter(F.split(bare, "/"), lambda s: s != "")
-    named = F.transform(segments, lambda s: F.when(s.rlike(r"^(\{.*\}|:.*|<.*>|[0-9]+)$"), F.lit(":param")).otherwise(s))
-    return F.concat(F.lit("/"), F.array_join(named, "/"))
+    return F.concat(F.lit("/"), F.array_join(F.transform(segments, lambda s: F.when(s.rlike(r"^(:.*|[0-9]+)$"), F.lit(":param")).otherwise(s)), "/"))
 
 
 def service_from_env(name: str | Column) -> Column:
@@ -88,16 +91,22 @@ def service_from_env(name: str | Column) -> Column:
     return F.translate(F.regexp_replace(low, "(_base_url|_api_url|_url|_uri|_endpoint|_host)$", ""), "_", "-")
 
 
+#: Fixed value: the name of a service that nothing names.
+EXTERNAL_SERVICE = "external-service"
+
+
 def service_from_url(raw: str | Column) -> Column:
-    """The host's first label, or the whole host of an address."""
-    host = F.try_parse_url(strip(raw), F.lit("HOST"))
-    return F.when(host.isNotNull() & (host != ""), F.when(host.rlike(r"^[0-9.]+$"), host).otherwise(F.element_at(F.split(host, r"\."), 1)))
+    """The first label of a URL's host, by the rules of identifiers."""
+    authority = F.regexp_replace(F.regexp_extract(strip(raw), _URL, 1), "^.*@", "")
+    host = F.when(authority.startswith("["), F.lower(F.regexp_extract(authority, r"^\[([^\]]*)", 1))).otherwise(F.lower(F.regexp_extract(authority, "^([^:]*)", 1)))
+    return service_from_identifier(F.element_at(F.split(host, r"\."), 1))
 
 
 def service_from_identifier(name: str | Column) -> Column:
-    """A service's name from an identifier such as OrderServiceClient."""
-    dashed = F.lower(F.regexp_replace(_col(name), r"([a-z0-9])([A-Z])", "$1-$2"))
-    return F.regexp_replace(F.translate(dashed, "_", "-"), "-(client|url|uri|endpoint|host|base)$", "")
+    """A service's name from an identifier such as OrderServiceBaseUrl; external-service where nothing is left."""
+    dashed = F.regexp_replace(strip(name), r"([a-z0-9])([A-Z])", "$1-$2")
+    plain = F.regexp_replace(F.regexp_replace(dashed, "(?i)(base)?(url|uri|endpoint|host)$", ""), "[^A-Za-z0-9]+", "-")
+    return F.coalesce(F.nullif(F.lower(F.regexp_replace(plain, "^-+|-+$", "")), F.lit("")), F.lit(EXTERNAL_SERVICE))
 
 
 def relationship_type(x: str | Column) -> Column:

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codeloom.functions.exprs import EXTERNAL_SERVICE
 from codeloom.operators.scanners import (
     BUCKET_KEYS, CACHE_HINTS, CACHE_PLAIN, CACHE_READS, CACHE_WRITES, CONSUMES, CONTAINER_KEYS, MESSAGE_HINTS, OBJECT_KEYS, PUBLISHES, QUEUE_METHODS, STORAGE_BROAD, STORAGE_HINTS, STORAGE_READS, STORAGE_WRITES,
 )
@@ -209,6 +210,16 @@ def url_host(value: str) -> str | None:
     return m[1] if m else None
 
 
+def service_from_identifier(name: str) -> str:
+    """As exprs.service_from_identifier()."""
+    plain = re.sub(r"(?i)(base)?(url|uri|endpoint|host)$", "", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name.strip()))
+    return re.sub(r"[^A-Za-z0-9]+", "-", plain).strip("-").lower() or EXTERNAL_SERVICE
+
+
+def service_from_host(host: str) -> str:
+    return service_from_identifier(host.lower().split(".")[0])
+
+
 def service_from_env(name: str) -> str:
     return re.sub(r"(_base_url|_api_url|_url|_uri|_endpoint|_host)$", "", name.lower()).replace("_", "-")
 
@@ -224,7 +235,7 @@ def framework_config(path: str, text: str) -> Iterator[Fact]:
         secret = "connectionString" in a
         yield Fact("DECLARES_CONFIG", "config_file", path, "config_value", name, "dotnet_framework_config", None, {"has_value": str(bool(value or secret)).lower()})
         if host := url_host(value):
-            yield Fact("CONFIGURES_SERVICE", "config_value", name, "service", host.split(".")[0], "dotnet_framework_config", None, {"target_boundary": "application", "dependency_scope": "configuration", "interaction_kind": "service_configuration"})
+            yield Fact("CONFIGURES_SERVICE", "config_value", name, "service", service_from_host(host), "dotnet_framework_config", None, {"target_boundary": "application", "dependency_scope": "configuration", "interaction_kind": "service_configuration"})
 
 
 @scanner("dotnet_build_config", lambda p: p.lower().endswith((".props", ".targets")))
@@ -298,7 +309,7 @@ def _environment(owner: str, env: dict) -> Iterator[Fact]:
     yield Fact("DECLARES_CONFIG", "container", owner, "config_value", name, "kubernetes_env", None, {"has_value": str(bool(value)).lower()})
     host = url_host(value)
     if host or re.search(r"_(URL|URI|ENDPOINT|HOST)$", name):
-        target = host.split(".")[0] if host else service_from_env(name)
+        target = service_from_host(host) if host else service_from_env(name)
         yield Fact("CONFIGURES_SERVICE", "config_value", name, "service", target, "kubernetes_env", None, {"target_boundary": "application", "dependency_scope": "configuration", "interaction_kind": "service_configuration"})
 
 

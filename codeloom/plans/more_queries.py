@@ -112,8 +112,11 @@ d AS (SELECT source_name, path, CASE WHEN doc_id % 11 = 0 THEN 'added' WHEN doc_
 
 
 def b51(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", exprs.route_path("url").alias("route"), exprs.service_from_url("url").alias("service"))
+    """The pages' addresses as they are, behind a base, with a parameter inside a segment, and others."""
+    path = F.regexp_extract("url", "^https?://[^/]*(/.*)$", 1)
+    raws = F.array("url", F.concat(F.lit("${base}"), path), F.regexp_replace("url", "/([0-9]+)", "/a-{$1}-b"), *[F.lit(x) for x in ("/x/{id}", "http://bare.example", "plain/<id>/:q/7", "//10.0.0.1:80/p;v=1")])
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(raws).alias("raw"))
+    return pages.select("page_id", "raw", exprs.route_path("raw").alias("route"), exprs.service_from_url("raw").alias("service"))
 
 
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +127,7 @@ def b52(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("s_nationkey").cast("string")
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         "s_suppkey", exprs.service_from_env(F.concat(F.lit("ORDER_"), n, F.lit("_API_URL"))).alias("of_env"), exprs.service_from_identifier(F.concat(F.lit("orderService_"), n, F.lit("Client"))).alias("of_identifier"),
+        exprs.service_from_identifier(F.concat(F.lit(" Price_"), n, F.lit(".BaseUrl"))).alias("of_address"), exprs.service_from_identifier(F.lit(" -Url")).alias("of_nothing"),
         exprs.python_package(F.concat(F.lit(" My_Lib_"), n)).alias("package"), exprs.package_root(F.concat(F.lit("@a/b"), n, F.lit("/deep"))).alias("root"), exprs.truthy(F.when(F.col("s_nationkey") % 2 == 0, " Yes").otherwise("0")).alias("truthy"),
     )
 
@@ -263,12 +267,16 @@ def oracle_sql() -> dict[str, str]:
         "b83_foreign_key_edges": "WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 4 = 0) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_partkey NOT IN (SELECT k FROM k) THEN 'issues' WHEN p_partkey // 2 IN (SELECT k FROM k) THEN 'resolved' ELSE 'unresolved' END AS kind FROM part) GROUP BY kind",
         "b50_http_targets": "SELECT 'repo-' || (page_id % 10) AS source_name, m AS method, CASE m WHEN 'POST' THEN 'CALLS_HTTP' ELSE 'CALLS_SERVICE' END AS edge_type, CASE m WHEN 'POST' THEN 'api_route' ELSE 'service' END AS to_type, count(*) AS n FROM pages, (VALUES ('POST'), ('GET')) AS t(m) GROUP BY ALL",
         "b55_imports": "SELECT '@acme/pkg' || (page_id % 5) AS to_name, 'package' AS import_kind, count(*) AS n FROM pages GROUP BY ALL UNION ALL SELECT './local', 'relative', count(*) FROM pages UNION ALL SELECT 'lodash', 'package', count(*) FROM pages",
-        "b51_route_paths": r"""SELECT page_id, '/' || array_to_string(list_transform(list_filter(string_split(regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '\{.*\}|:.*|<.*>|[0-9]+') THEN ':param' ELSE x END), '/') AS route,
-  CASE WHEN regexp_full_match(h, '[0-9.]+') THEN h ELSE string_split(h, '.')[1] END AS service FROM (SELECT *, regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)', 1) AS h FROM pages)""",
+        "b51_route_paths": r"""WITH raw AS (SELECT page_id, raw FROM (SELECT page_id, unnest([url, '${base}' || regexp_extract(url, '^https?://[^/]*(/.*)$', 1), regexp_replace(url, '/([0-9]+)', '/a-{\1}-b'), '/x/{id}', 'http://bare.example', 'plain/<id>/:q/7', '//10.0.0.1:80/p;v=1']) AS raw FROM pages)),
+ends AS (SELECT *, CASE WHEN regexp_matches(raw, '^\$\{[^}]*\}/') THEN regexp_extract(raw, '^\$\{[^}]*\}(.*)$', 1) WHEN raw LIKE '%}%' AND split_part(raw, '}', -1) LIKE '/%' THEN split_part(raw, '}', -1) WHEN raw = 'http://bare.example' THEN raw
+  WHEN raw LIKE 'http%' THEN regexp_extract(raw, '^https?://[^/]*([^?#]*)', 1) WHEN raw LIKE '//%' THEN '/p' ELSE raw END AS ending FROM raw),
+parts AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(ending, '[?#].*$', ''), '\$?\{[^}]+\}', ':param', 'g'), '/'), lambda x: x <> '') AS segments FROM ends)
+SELECT page_id, raw, '/' || array_to_string(list_transform(segments, lambda x: CASE WHEN x LIKE ':%' OR regexp_full_match(x, '[0-9]+') THEN ':param' ELSE x END), '/') AS route,
+  CASE WHEN raw LIKE 'http%' THEN lower(string_split(regexp_extract(raw, '^https?://([^/?#:]+)', 1), '.')[1]) WHEN raw LIKE '//%' THEN '10' ELSE 'external-service' END AS service FROM parts""",
         "b75_sql_scopes": _FILES + "SELECT source_name, scope, count(*) AS n FROM (SELECT source_name, last_value(CASE WHEN k = 'C' THEN 'sales.' || src.n END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS scope FROM src) WHERE scope IS NOT NULL GROUP BY source_name, scope",
         "f05_to_rebuild": _DIFF + "SELECT source_name, CASE WHEN count(change) > 0 THEN 'changed' ELSE 'missing_artifact' END AS reason FROM d GROUP BY source_name HAVING count(change) > 0 OR source_name = 'src1'",
         "a14_snippet": r"SELECT i::INTEGER AS line_number, line, i = 3 AS highlight FROM (SELECT unnest(string_split_regex(text, '\r\n|\n|\r')) AS line, generate_subscripts(string_split_regex(text, '\r\n|\n|\r'), 1) AS i FROM documents WHERE doc_id = 2) WHERE i BETWEEN 1 AND 5",
-        "b52_service_names": "SELECT s_suppkey, 'order-' || s_nationkey AS of_env, 'order-service-' || s_nationkey AS of_identifier, 'my-lib-' || s_nationkey AS package, '@a/b' || s_nationkey AS root, s_nationkey % 2 = 0 AS truthy FROM supplier",
+        "b52_service_names": "SELECT s_suppkey, 'order-' || s_nationkey AS of_env, 'order-service-' || s_nationkey || '-client' AS of_identifier, 'price-' || s_nationkey || '-base' AS of_address, 'external-service' AS of_nothing, 'my-lib-' || s_nationkey AS package, '@a/b' || s_nationkey AS root, s_nationkey % 2 = 0 AS truthy FROM supplier",
         "b70_sql_definitions": _FILES + f"SELECT source_name, 'sql_table' AS entity_type, 'sales.' || n AS full_name, 'sales' AS schema, n AS name, {n} FROM src WHERE k = 'C' GROUP BY source_name, src.n",
         "b71_sql_calls": _FILES + f"SELECT source_name, 'dbo.load_' || n AS to_name, 'stored_procedure' AS to_type, {n} FROM src WHERE k = 'N' GROUP BY source_name, src.n",
         "b72_sql_reads": _FILES + "SELECT source_name, t AS to_name, 'READS_SQL_OBJECT' AS edge_type, count(*) AS n FROM (SELECT source_name, 'dbo.' || n AS t FROM src WHERE k = 'A' UNION ALL SELECT source_name, 'dim.dates' FROM src WHERE k = 'A' UNION ALL SELECT source_name, n FROM src WHERE k = 'R') GROUP BY source_name, t",

@@ -121,7 +121,7 @@ def test_normalisers(spark):
         exprs.normalize_key(F.lit(" [dbo].[Orders] ")), exprs.normalized_sql_key(F.lit("[dbo]. [Orders]")), exprs.route_path(F.lit("https://h.example/a/12/{id}?q#f")), exprs.service_from_env(F.lit("ORDER_BASE_URL")),
         exprs.service_from_url(F.lit("http://orders.svc.local/x")), exprs.relationship_type(F.lit("1 bad-type")), exprs.service_from_identifier(F.lit("OrderServiceClient")),
     ).head()
-    assert list(row) == ["dbo].[orders", "dbo.orders", "/a/:param/:param", "order", "orders", "EDGE_1_BAD_TYPE", "order-service"]
+    assert list(row) == ["dbo].[orders", "dbo.orders", "/a/:param/:param", "order", "orders", "EDGE_1_BAD_TYPE", "order-service-client"]
 
 
 def test_incremental(spark):
