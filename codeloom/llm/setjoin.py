@@ -298,16 +298,36 @@ def _searched(rows: DataFrame, k: int, least: int) -> DataFrame:
         return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _pairs(held: DataFrame, least: int) -> DataFrame:
+    """(a, b): sets that two-set shingles of held(rep, n, shingle, met) join, where what they have in common there, and may have in others, is enough.
+
+    Two sets have at most so much in common as the first shingles up to the end of one's prefix leave possible: it is short of that one's
+    size by its prefix's shingles that the other lacks. Of the shingles of more than two sets, all might be common.
+    """
+    ends = lambda f: f(F.struct("rep", "n"))
+    pairs = held.where("met = 2").groupBy("shingle").agg(ends(F.min).alias("x"), ends(F.max).alias("y"))
+    pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("s"), F.col("y.n").alias("t")).agg(F.count(F.lit(1)).alias("common"))
+    wide = held.where("met > 2").groupBy("rep").agg(F.count(F.lit(1)).alias("wide"))
+    for end in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("rep").alias(end), F.col("wide").alias("wide_" + end)), end, "left")
+    need = F.ceil((F.col("s") + F.col("t")) * (least / (100 + least)) - 1e-6)
+    prefix = lambda n: n + F.floor(-n * least / 100 + 1e-6) + 1
+    least_common = F.least(*[need - F.col(n) + prefix(F.col(n)) for n in ("s", "t")])
+    might = F.col("common") + F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
+    fits = F.least("s", "t") * 100 >= F.greatest("s", "t") * least
+    return pairs.where(fits & (might >= least_common)).select("a", "b")
+
+
 def _clusters(s: Scratch, reps: DataFrame, least: int) -> DataFrame:
-    """(node, comp) of the sets that share a deciding shingle with another of a fitting size, by itself or others between them.
+    """(node, comp) of the sets that share deciding shingles with another of a fitting size, by itself or others between them.
 
-    Sizes fall into classes of equal ratios, SIZE_CLASSES of them up to the largest ratio that can link. How many first shingles
+    Of a shingle of two sets the pair is looked at. Others meet under keys: sizes fall into classes of equal ratios, SIZE_CLASSES of them up to the largest ratio that can link. How many first shingles
     of a set decide depends on the other's size: the nearer the sizes, the more must be common. So a shingle meets
     another set's under a key for each pair of classes, if it stands among those that decide there.
     """
     by_shingle = Window.partitionBy("shingle")
     held = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    held = s.cut(held.withColumn("met", F.count(F.lit(1)).over(by_shingle)).where("met > 1").drop("met"), "shared")
+    held = s.cut(held.withColumn("met", F.count(F.lit(1)).over(by_shingle)).where("met > 1"), "shared")
     step = math.log(100 / least) / SIZE_CLASSES * (1 + 1e-9)
     share = least / (100 + least)
     # A little below the smallest size of a class, so that rounding never takes a shingle away.
@@ -316,12 +336,12 @@ def _clusters(s: Scratch, reps: DataFrame, least: int) -> DataFrame:
     decides = lambda other: F.col("pos") < F.col("n") - F.ceil((F.col("n") + low(other)) * share - 1e-6) + 1
     as_smaller = [F.when(decides(F.col("class") + d), F.struct(F.col("class").alias("class"), F.lit(d).alias("apart"), F.lit(0).alias("role"))) for d in range(SIZE_CLASSES + 1)]
     as_larger = [F.when(decides(F.col("class") - d), F.struct((F.col("class") - d).alias("class"), F.lit(d).alias("apart"), F.lit(1).alias("role"))) for d in range(1, SIZE_CLASSES + 1)]
-    keyed = held.withColumn("class", own).withColumn("key", F.explode(F.array_compact(F.array(*as_smaller, *as_larger)))).select("shingle", "key.*", "rep")
+    keyed = held.where("met > 2").withColumn("class", own).withColumn("key", F.explode(F.array_compact(F.array(*as_smaller, *as_larger)))).select("shingle", "key.*", "rep")
     by_key = Window.partitionBy("shingle", "class", "apart")
     met = keyed.withColumns({"leader": F.min("rep").over(by_key), "from": F.min("role").over(by_key), "to": F.max("role").over(by_key)})
     # Of different classes a key needs sets of both; all of them then hang together by the smallest.
-    met = met.where("leader <> rep AND (apart = 0 OR from < to)")
-    return _spark.components(met.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    met = met.where("leader <> rep AND (apart = 0 OR from < to)").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    return _spark.components(met.union(_pairs(held, least)).distinct())
 
 
 def _joined(s: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
