@@ -2,10 +2,11 @@
 
 A source's weight is its share of all tokens to the power of an exponent between 0
 (equal weights) and 1 (as they are), normalised. The exponent is the largest that
-reaches the target entropy, or, where the repetition limit forbids that, the
+reaches the target entropy (by default the shares' own, and of what is missing to the largest possible
+the part GAIN: a target that shares never meet already, unless they are equal), or, where the repetition limit forbids that, the
 smallest that repeats no source more than max_repeats times; both by bisection, on
 sums over the sources made by Spark, of 32 exponents at once. Weights times budget
-give each source's tokens.
+(all tokens, or a part of them) give each source's tokens.
 
 A source's documents have a fixed order by a hash of their ids, cut into BLOCKS
 blocks of BLOCKS smaller ones each. Whole passes over the source come first; of the
@@ -14,6 +15,10 @@ the next block, then documents of the next smaller one, one by one. So a source
 budget by less than its next document, and no task orders more than about a
 sixteen-millionth of a source.
 
+The mixture itself is BLOCKS blocks, in each of which every source has its weight. A source's passes, each in
+an order of its own, are laid one behind another over all blocks, so a row knows its block from its
+source's plan and a hash of its id; within a block rows may be read in any order.
+
 Tokens are runs of visible characters. Cases: a null or empty text has no tokens
 and is kept once, outside of every budget; a null source is a source of its own;
 rows with equal ids follow each other in the order of their texts; an empty table
@@ -30,8 +35,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.llm._spark import Scratch, cut
 
-#: Target entropy as a share of the largest possible, and most passes over one source.
-ENTROPY, MAX_REPEATS = 0.95, 4.0
+#: The part of what entropy is missing that is made up, and most passes over one source.
+GAIN, MAX_REPEATS = 0.75, 4.0
 BLOCKS = 4096
 _SECTIONS, _PASSES = 32, 6
 
@@ -50,13 +55,15 @@ def _sums(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float
     return [(math.log(row[f"z{i}"]) - row[f"s{i}"] / row[f"z{i}"], row[f"m{i}"] / row[f"z{i}"]) for i in range(len(exponents))]
 
 
-def exponent(sources: DataFrame, entropy: float, max_repeats: float, budget_share: float) -> float:
-    """The exponent for sources(share). Entropy and the largest repetition both fall as it grows."""
+def exponent(sources: DataFrame, entropy: float | None, max_repeats: float, budget_share: float) -> float:
+    """The exponent for sources(share). Entropy and the largest repetition both fall as it grows; entropy: a part of the largest possible, or None for GAIN."""
     low, high = 0.0, 1.0
     n = sources.count()
     if n < 2:
         return 1.0
-    target = entropy * math.log(n)
+    ((own, _),) = _sums(sources, [1.0])
+    # Of equal shares the sums' rounding alone would be left to make up.
+    target = own + GAIN * max(0.0, math.log(n) - own - 1e-9) if entropy is None else entropy * math.log(n)
     fits = lambda e, m: m * budget_share <= max_repeats
     reaches = lambda e, m: e >= target
 
@@ -81,12 +88,12 @@ def exponent(sources: DataFrame, entropy: float, max_repeats: float, budget_shar
     return min(1.0, bisect(lambda e, m: not fits(e, m)) + 1e-9)
 
 
-def weights(counted: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, budget: int | None = None) -> DataFrame:
+def weights(counted: DataFrame, entropy: float | None = None, max_repeats: float = MAX_REPEATS, budget: int | None = None, budget_share: float = 1.0) -> DataFrame:
     """(source, total, share, weight, target): counted has source and n, the tokens of a document."""
     totals = cut(counted.groupBy("source").agg(F.sum("n").alias("total")).where("total > 0"), "sources")
     whole = totals.agg(F.sum("total").alias("t")).head()["t"] or 0
     shares = totals.withColumn("share", F.col("total") / F.lit(float(max(whole, 1))))
-    budget = whole if budget is None else budget
+    budget = round(whole * budget_share) if budget is None else budget
     a = exponent(shares, entropy, max_repeats, budget / max(whole, 1)) if whole else 1.0
     power = F.pow("share", F.lit(a))
     z = shares.agg(F.sum(power).alias("z")).head()["z"] or 1.0
@@ -94,13 +101,14 @@ def weights(counted: DataFrame, entropy: float = ENTROPY, max_repeats: float = M
     return shares.withColumn("weight", weight).withColumn("target", F.floor(weight * F.lit(float(budget)) + 0.5).cast("long"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, budget: int | None = None, copies_col: str | None = None) -> DataFrame:
-    """docs mixed to the target weights: each row as often as it was drawn (or once, with the times in copies_col, 0 too).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = None, max_repeats: float = MAX_REPEATS, budget: int | None = None, copies_col: str | None = None, blocks_col: str | None = None, budget_share: float = 1.0) -> DataFrame:
+    """docs mixed to the target weights: each row as often as it was drawn, with the block of the mixture in blocks_col, if that is named.
 
-    budget: tokens of the mixture, by default those of docs.
+    With copies_col each row comes once, with the times that it was drawn, 0 too, and all their blocks, as an array.
+    budget: tokens of the mixture, by default the part budget_share of those of docs.
     """
     with Scratch() as s:
-        return _mixed(s, docs, id_col, text_col, source_col, entropy, max_repeats, budget, copies_col)
+        return _mixed(s, docs, id_col, text_col, source_col, entropy, max_repeats, budget, copies_col, blocks_col, budget_share)
 
 
 def _edge(rows: DataFrame, by: str, room: str) -> DataFrame:
@@ -112,23 +120,23 @@ def _edge(rows: DataFrame, by: str, room: str) -> DataFrame:
     return ends.select(*keys, F.col(by).alias(f"edge_{by}"), (F.col(room) - F.col("_before")).alias("left"))
 
 
-def _mixed(s: Scratch, docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: float, max_repeats: float, budget: int | None, copies_col: str | None) -> DataFrame:
+def _mixed(s: Scratch, docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: float | None, max_repeats: float, budget: int | None, copies_col: str | None, blocks_col: str | None, budget_share: float) -> DataFrame:
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(53)), F.lit(1 << 40)).alias("place")
     bits = BLOCKS.bit_length() - 1
     block, part = F.shiftrightunsigned("place", 40 - bits).cast("int"), (F.shiftrightunsigned("place", 40 - 2 * bits) % BLOCKS).cast("int")
     counted = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), tokens(text_col).alias("n"), place, F.xxhash64(text_col).alias("h"))
     counted = s.cut(counted, "tokens")
-    weighed = weights(counted, entropy, max_repeats, budget)
-    plan = weighed.select("source", F.expr("target div total").alias("passes"), F.expr("target % total").alias("rest"))
+    weighed = weights(counted, entropy, max_repeats, budget, budget_share)
+    plan = weighed.select("source", F.expr("target div total").alias("passes"), F.expr("target % total").alias("rest"), (F.col("target") / F.col("total")).alias("span"))
     plan = s.cut(plan, "plan")
 
     # At most BLOCKS rows a source: which blocks of the last pass fit, and in which it ends; then the same inside of that one.
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     told = counted.where("n > 0").withColumn("block", block)
-    by_block = told.groupBy("source", "block").agg(F.sum("n").alias("n")).alias("c").join(plan.alias("p"), same("c", "p")).select("c.source", "p.passes", "p.rest", "c.block", "c.n")
+    by_block = told.groupBy("source", "block").agg(F.sum("n").alias("n")).alias("c").join(plan.alias("p"), same("c", "p")).select("c.source", "p.passes", "p.span", "p.rest", "c.block", "c.n")
     edges = s.cut(_edge(by_block, "block", "rest"), "edges")
     inside = told.withColumn("part", part).alias("c").join(edges.alias("e"), same("c", "e") & (F.col("c.block") == F.col("e.edge_block")))
-    inside = s.cut(inside.select("c.source", "c.id", "c.h", "c.place", "c.n", "c.part", "e.passes", "e.edge_block", F.col("e.left").alias("room")), "inside")
+    inside = s.cut(inside.select("c.source", "c.id", "c.h", "c.place", "c.n", "c.part", "e.passes", "e.span", "e.edge_block", F.col("e.left").alias("room")), "inside")
     ends = s.cut(_edge(inside, "part", "room"), "ends")
 
     # Of the one part in which a source's budget ends, the documents before the end.
@@ -136,13 +144,13 @@ def _mixed(s: Scratch, docs: DataFrame, id_col: str, text_col: str, source_col:
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("place", "id", "h").rowsBetween(Window.unboundedPreceding, 0))
     taken = s.cut(last.withColumn("upto", upto).where("upto <= left").groupBy("id", "h", "source").agg(F.count(F.lit(1)).alias("more")), "taken")
 
-    names = [c for c in docs.columns if c != copies_col]
+    names = [c for c in docs.columns if c not in (copies_col, blocks_col)]
     marks = [F.col(f"d.`{c}`") for c in names]
     own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), F.col(source_col).alias("source"), F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("h"), (F.regexp_instr(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S")) > 0).alias("any"), place,
     ).withColumn("block", block).withColumn("part", part)
-    planned = own.alias("o").join(_small(ends).alias("e"), same("o", "e"), "left").select("o.*", "e.passes", "e.edge_block", "e.edge_part")
+    planned = own.alias("o").join(_small(ends).alias("e"), same("o", "e"), "left").select("o.*", "e.passes", "e.span", "e.edge_block", "e.edge_part")
     met = (F.col("o.id").eqNullSafe(F.col("t.id"))) & (F.col("o.h") == F.col("t.h")) & same("o", "t")
     drawn = planned.alias("o").join(taken.alias("t"), met, "left")
     in_part = (F.col("part") < F.col("edge_part")) | (F.col("part") == F.col("edge_part")) & F.col("more").isNotNull()
@@ -150,14 +158,15 @@ def _mixed(s: Scratch, docs: DataFrame, id_col: str, text_col: str, source_col:
     copies = F.when(~F.col("any"), F.lit(1)).otherwise(F.col("passes") + fits.cast("int"))
     for read_later in (ends, taken):
         s.keep(read_later)
+    copies = F.coalesce(copies, F.lit(0)).cast("int")
+    # The last pass may be a part of one, in the order that says which part; each whole one has an order of its own.
+    turn = lambda c: F.when(c == F.col("passes"), F.col("o.place")).otherwise(F.pmod(F.xxhash64("o.id", F.lit(54) + c), F.lit(1 << 40))) / float(1 << 40)
+    block_of = lambda c: F.least(F.lit(BLOCKS - 1), F.floor((c + turn(c)) / F.when(F.col("any"), F.col("span")).otherwise(F.lit(1.0)) * BLOCKS)).cast("int")
+    own_blocks = F.when(copies > 0, F.transform(F.sequence(F.lit(0), F.greatest(copies - 1, F.lit(0))), block_of)).otherwise(F.array().cast("array<int>"))
     if copies_col:
-        return drawn.select(*marks, F.coalesce(copies, F.lit(0)).cast("long").alias(copies_col))
-    return _repeat(drawn, copies, marks)
-
-
-def _repeat(drawn: DataFrame, copies: Column, marks: list[Column]) -> DataFrame:
-    times = F.coalesce(copies, F.lit(0)).cast("int")
-    return drawn.where(times > 0).select("d", F.explode(F.array_repeat(F.lit(True), times)).alias("_copy")).select(*marks)
+        return drawn.select(*marks, copies.cast("long").alias(copies_col), *([own_blocks.alias(blocks_col)] if blocks_col else []))
+    out = drawn.where(copies > 0).select("d", F.explode(own_blocks if blocks_col else F.array_repeat(F.lit(0), copies)).alias("_block"))
+    return out.select(*marks, *([F.col("_block").alias(blocks_col)] if blocks_col else []))
 
 
 def _small(edges: DataFrame, most: int = 100_000) -> DataFrame:

@@ -12,6 +12,8 @@ from codeloom.llm._spark import table
 Query = Callable[[SparkSession, str], DataFrame]
 #: Whole lines of so many words are not kept twice.
 LINE_WORDS = 8
+#: The part of all tokens that a mixture draws.
+MIXED_SHARE = 0.9
 
 
 def id_class(col: str, of: int):
@@ -48,8 +50,8 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.mix(table(spark, sf_dir, "documents"), copies_col="copies")
-    return drawn.select("doc_id", "source", mixing.tokens("text").alias("tokens"), "copies")
+    drawn = mixing.mix(table(spark, sf_dir, "documents"), copies_col="copies", blocks_col="blocks", budget_share=MIXED_SHARE)
+    return drawn.select("doc_id", "source", mixing.tokens("text").alias("tokens"), "copies", "blocks")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

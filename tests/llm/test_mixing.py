@@ -1,8 +1,9 @@
 import math
+import re
 
 import pytest
 
-from codeloom.llm import mixing
+from codeloom.llm import mixing, queries
 
 
 def test_weights_reach_the_entropy(spark):
@@ -45,3 +46,75 @@ def test_nulls_single_source_and_empty_table(docs_of):
     assert sorted(r["doc_id"] for r in mixing.mix(docs).collect()) == [0, 1, 2, 3]
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs_of(["a b", "c"], sources=[None, None])).count() == 2
+
+
+def brute(rows, gain, budget_share, max_repeats):
+    """(exponent, weights, {(id, text): copies}) of rows (id, text, source, place), by plain bisection and one pass over each source."""
+    n = lambda t: len(re.findall(r"\S+", t or "", re.ASCII))
+    total = {}
+    for _, text, source, _ in rows:
+        total[source] = total.get(source, 0) + n(text)
+    total = {k: v for k, v in total.items() if v}
+    whole = sum(total.values())
+    budget = round(whole * budget_share)
+
+    def weighed(a):
+        w = {k: (v / whole) ** a for k, v in total.items()}
+        return {k: v / sum(w.values()) for k, v in w.items()}
+
+    entropy = lambda w: -sum(x * math.log(x) for x in w.values())
+    repeats = lambda w: max(w[k] * budget / total[k] for k in w)
+    target = entropy(weighed(1)) + gain * (math.log(len(total)) - entropy(weighed(1)))
+
+    def last(holds):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if holds(weighed(mid)) else (low, mid)
+        return low
+
+    a = last(lambda w: entropy(w) >= target)
+    if repeats(weighed(a)) > max_repeats:
+        a = last(lambda w: repeats(w) > max_repeats)
+    w, copies = weighed(a), {}
+    for source in {r[2] for r in rows}:
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: r[3])
+        passes, rest = divmod(math.floor(w[source] * budget + 0.5), total[source]) if source in w else (0, 0)
+        for i, text, _, _ in own:
+            size = n(text)
+            copies[i, text] = passes + (size <= rest) if size else 1
+            rest = rest - size if size <= rest else -1
+    return a, w, copies
+
+
+PLACE = f"pmod(xxhash64(doc_id, 53), {1 << 40}) AS place"
+
+
+def test_query_does_real_work_and_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"], r["place"]) for r in docs.selectExpr("doc_id", "text", "source", PLACE).collect()]
+    a, w, copies = brute(rows, mixing.GAIN, queries.MIXED_SHARE, mixing.MAX_REPEATS)
+    got = queries.op5_mixing(spark, folder).collect()
+    text = {i: t for i, t, _, _ in rows}
+    assert {(r["doc_id"], text[r["doc_id"]]): r["copies"] for r in got} == copies
+    assert a < 0.9 and {0, 1, 2} <= set(copies.values())
+    counted = docs.select("source", mixing.tokens("text").alias("n"))
+    made = {r["source"]: r["weight"] for r in mixing.weights(counted).collect()}
+    assert all(abs(made[k] - w[k]) < 1e-5 for k in w)
+    # Every copy has a block, and every tenth of the blocks holds a source's weight, as far as documents of its size can.
+    assert all(len(r["blocks"]) == r["copies"] and all(0 <= b < mixing.BLOCKS for b in r["blocks"]) for r in got)
+    drawn = sum(r["copies"] * r["tokens"] for r in got)
+    largest = max(w, key=w.get)
+    for tenth in range(10):
+        inside = [(r["source"], r["tokens"]) for r in got for b in r["blocks"] if b * 10 // mixing.BLOCKS == tenth]
+        assert abs(sum(n for _, n in inside) / drawn - 0.1) < 0.06
+        assert abs(sum(n for s, n in inside if s == largest) / sum(n for _, n in inside) - w[largest]) < 0.25
+
+
+def test_equal_shares_stay_and_blocks_of_copies(docs_of):
+    docs = docs_of(["a b c d"] * 40, sources=[f"s{i % 4}" for i in range(40)])
+    kept = mixing.mix(docs, copies_col="copies", budget_share=0.9).collect()
+    assert sum(r["copies"] for r in kept) == 36 and {r["copies"] for r in kept} == {0, 1}
+    rows = mixing.mix(docs, budget=400, blocks_col="block").collect()
+    assert len(rows) == 100 and {"block"} == set(rows[0].asDict()) - set(docs.columns)

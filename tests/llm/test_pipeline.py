@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from codeloom.llm import mixing, toxicity
-from codeloom.llm.queries import id_class
+from codeloom.llm.queries import MIXED_SHARE, id_class
+from test_mixing import PLACE, brute
 
 
 @pytest.fixture
@@ -52,8 +53,9 @@ def test_stages_against_brute_force(spark, made):
 
     mixed = stage["mixing"](spark, lines, folder)
     assert mixed.columns == docs.columns
-    want = {r["doc_id"]: r["copies"] for r in mixing.mix(lines, copies_col="copies").collect()}
-    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == {k: v for k, v in want.items() if v}
+    rows = [(r["doc_id"], r["text"], r["source"], r["place"]) for r in lines.selectExpr("doc_id", "text", "source", PLACE).collect()]
+    exponent, _, copies = brute(rows, mixing.GAIN, MIXED_SHARE, mixing.MAX_REPEATS)
+    assert exponent < 1 and collections.Counter(r["doc_id"] for r in mixed.collect()) == {i: v for (i, _), v in copies.items() if v}
 
     packed = stage["packing"](spark, lines, folder).collect()
     by, rooms = collections.Counter(), collections.defaultdict(list)
