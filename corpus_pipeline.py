@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import linededup, minhash, mixing, packing, toxicity
 from codeloom.llm._spark import new_path, table
-from codeloom.llm.queries import LINE_WORDS, id_class
+from codeloom.llm.queries import LINE_WORDS, MIXED_SHARE, id_class
 from codeloom.ship import shipped
 
 #: No stage can be written in SQL: learned lexicon, winnowing, sampling hashes, bisection, tokenizer.
@@ -44,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of their sources draws them."""
-    return mixing.mix(docs)
+    """Documents as often as the mixture of their sources draws them: less of the sources that hold most, more of those that hold least."""
+    return mixing.mix(docs, budget_share=MIXED_SHARE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
