@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.functions.exprs import entity_id
-from codeloom.operators import assemble, facts, incremental, reports, resolve, scaffold, scanners, sqltext, store, traverse
+from codeloom.operators import assemble, dotnet, facts, incremental, reports, resolve, scaffold, scanners, sqltext, store, traverse
 from codeloom.sources import files as file_source
 from codeloom.ship import ship
 from codeloom.sources.stored import Stored
@@ -18,7 +18,12 @@ def _no_text():
     return F.lit(None).cast("string")
 
 
-#: Files of the line scanners; calls of caches, messages and storage are looked for in all code.
+
+def _no_names():
+    return F.array().cast("array<string>")
+
+
+#: Files of the scanners over tokens; calls of caches, messages and storage are looked for in all code.
 SCRIPTS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 CODE = [*SCRIPTS, ".py", ".cs", ".vb"]
 #: Files of code in which SQL is looked for.
@@ -50,14 +55,14 @@ def line_facts(files: DataFrame) -> DataFrame:
         kept = F.create_map(*[x for k, c in properties.items() for x in (F.lit(k), F.col(c).cast("string"))]) if properties else F.create_map().cast("map<string,string>")
         return rows.select(
             "source_name", "rel_path", (F.col("line_number") + LINE_SEQ).cast("int").alias("seq"), F.lit(parser).alias("parser"), edge_type.alias("edge_type"), near[0].alias("from_type"), F.col(near[1]).alias("from_name"),
-            to_type.alias("to_type"), F.col(to_name).alias("to_name"), F.col("line_number").cast("int").alias("line_number"), F.map_filter(kept, lambda k, v: v.isNotNull()).alias("properties"), _no_text().alias("issue"),
+            to_type.alias("to_type"), F.col(to_name).alias("to_name"), F.col("line_number").cast("int").alias("line_number"), F.map_filter(kept, lambda k, v: v.isNotNull()).alias("properties"), _no_text().alias("issue"), _no_names().alias("aliases"),
         ).where("to_name <> ''")
 
     col, lit = F.col, F.lit
     # Every file of code is cut into tokens once, and every line into its scope.
     found = cut(scanners.places(code.where("extension <> '.py'")))
     of_scripts = found.where(F.lower("rel_path").rlike(r"\.(" + "|".join(x[1:] for x in SCRIPTS) + ")$"))
-    scoped = cut(scanners.scopes(scripts, of_scripts).where("function is not null").drop("line"))
+    scoped = cut(scanners.scopes(scripts, of_scripts).where("function is not null").drop("line").unionByName(dotnet.scopes(code)))
     evidence = {"target_boundary": "target_boundary", "dependency_scope": "dependency_scope", "interaction_kind": "interaction_kind"}
 
     def told(rows: DataFrame, boundary: str, kind) -> DataFrame:
@@ -81,11 +86,11 @@ def line_facts(files: DataFrame) -> DataFrame:
         made(scanners.symbols(of_scripts), "symbols", lit("DECLARES_SYMBOL"), col("entity_type"), "name", exported="exported"),
         made(scanners.symbol_calls(of_scripts, scoped), "symbol_calls", lit("CALLS_SYMBOL"), lit("function"), near=(lit("function"), "function")),
         made(scanners.jobs(of_scripts), "jobs", lit("DECLARES_JOB"), lit("scheduled_job"), "name", schedule="schedule", handler="handler"),
-        *sql_parts(made, sql, with_sql, scripts, scoped),
+        *sql_parts(made, sql, with_sql, files.where(F.col("extension").isin([*SCRIPTS, ".cs"])), scoped),
     ]
     # Python's own scanner finds these by its syntax tree.
     parts += [made(rows, parser, col("edge_type"), col("to_type"), **more, **evidence) for rows, parser, more in touched(found)]
-    parts += [made(scanners.within_functions(rows, scripts, scoped), parser, col("edge_type"), col("to_type"), near=(lit("function"), "function"), **more, **evidence) for rows, parser, more in touched(of_scripts)]
+    parts += [made(scanners.within_functions(rows, scripts, scoped), parser, col("edge_type"), col("to_type"), near=(lit("function"), "function"), **more, **evidence) for rows, parser, more in touched(found)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -123,18 +128,20 @@ def scaffold_facts(files: DataFrame, found: DataFrame) -> DataFrame:
     path = F.when(F.col("to_type") == "file", F.col("to_name")).otherwise("")
     return rows.select(
         "source_name", path.alias("rel_path"), F.lit(-1).alias("seq"), F.lit("scaffold").alias("parser"), "edge_type", "from_type", "from_name", "to_type", "to_name",
-        F.lit(None).cast("int").alias("line_number"), F.create_map().cast("map<string,string>").alias("properties"), _no_text().alias("issue"),
+        F.lit(None).cast("int").alias("line_number"), F.create_map().cast("map<string,string>").alias("properties"), _no_text().alias("issue"), _no_names().alias("aliases"),
     )
 
 
 def entity_facts(found: DataFrame) -> DataFrame:
-    """Entity facts of scanned relationships: what stands on their near side, and what they declare."""
-    near = found.where("edge_type <> ''").select(F.col("from_type").alias("entity_type"), F.col("from_name").alias("entity_name"), "source_name", "rel_path", "seq")
-    far = found.where(F.col("edge_type").rlike(DECLARED)).select(F.col("to_type").alias("entity_type"), F.col("to_name").alias("entity_name"), "source_name", "rel_path", "seq")
+    """Entity facts of scanned relationships: what stands on their near side, and what they declare, with its other names and properties."""
+    none = F.create_map().cast("map<string,string>")
+    at = ["source_name", "rel_path", "seq"]
+    near = found.where("edge_type <> ''").select(F.col("from_type").alias("entity_type"), F.col("from_name").alias("entity_name"), *at, _no_names().alias("aliases"), none.alias("properties"))
+    far = found.where(F.col("edge_type").rlike(DECLARED)).select(F.col("to_type").alias("entity_type"), F.col("to_name").alias("entity_name"), *at, F.coalesce("aliases", _no_names()).alias("aliases"), F.coalesce("properties", none).alias("properties"))
     rows = near.unionByName(far).where("entity_name <> ''")
     return rows.select(
         "entity_type", F.col("entity_name").alias("name"), "source_name", path_of("entity_type").alias("file_path"),
-        F.lit(None).cast("int").alias("line_number"), F.array().cast("array<string>").alias("aliases"), F.create_map().cast("map<string,string>").alias("properties"), F.struct("rel_path", "seq").alias("seq"),
+        F.lit(None).cast("int").alias("line_number"), "aliases", "properties", F.struct("rel_path", "seq").alias("seq"),
     )
 
 

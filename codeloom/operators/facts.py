@@ -41,13 +41,15 @@ class Fact:
     parser: str = ""
     line: int | None = None
     properties: dict[str, str] = field(default_factory=dict)
+    #: Other names of what stands at the far end.
+    aliases: tuple = ()
 
 
 Scanner = Callable[[str, str], Iterator[Fact]]
 _registry: list[tuple[str, Callable[[str], bool], Scanner]] = []
 SCHEMA = (
     "source_name string, rel_path string, seq int, parser string, edge_type string, from_type string, from_name string, to_type string, to_name string, "
-    "line_number int, properties map<string,string>, issue string"
+    "line_number int, properties map<string,string>, issue string, aliases array<string>"
 )
 
 
@@ -87,7 +89,7 @@ def scan(files: DataFrame) -> DataFrame:
             for source, path, text in zip(batch["source_name"], batch["rel_path"], batch["content"]):
                 for i, (f, issue, name) in enumerate(scan_text(path or "", text or "")):
                     f = f or Fact("", "", "", parser=name)
-                    rows.append((source, path, i, f.parser or name, f.edge_type, f.from_type, f.from_name, f.to_type, f.to_name, f.line, f.properties, issue))
+                    rows.append((source, path, i, f.parser or name, f.edge_type, f.from_type, f.from_name, f.to_type, f.to_name, f.line, f.properties, issue, sorted({a for a in f.aliases if a})))
             yield pd.DataFrame(rows, columns=names).astype({"line_number": "Int32"})
 
     return files.select("source_name", "rel_path", "content").mapInPandas(run, SCHEMA)
@@ -117,7 +119,7 @@ def package_json(path: str, text: str) -> Iterator[Fact]:
     """B10."""
     data = json.loads(text)
     owner = data.get("name") or path
-    yield Fact("DECLARES_PACKAGE", "project", owner, "package", owner, "package_json", None, {"ecosystem": "npm", **({"version": str(data["version"])} if data.get("version") else {})})
+    yield Fact("DECLARES_PACKAGE", "project", owner, "package", owner, "package_json", None, {"ecosystem": "npm", **({"version": str(data["version"])} if data.get("version") else {})}, (owner, owner.removeprefix("@").split("/")[-1]))
     for section in PACKAGE_SECTIONS:
         for name, version in (data.get(section) or {}).items():
             yield _depends(owner, name, "npm", section, str(version), "package_json")
@@ -147,7 +149,7 @@ def pyproject(path: str, text: str) -> Iterator[Fact]:
     data = tomllib.loads(text)
     project, poetry = data.get("project") or {}, (data.get("tool") or {}).get("poetry") or {}
     owner = python_package(project.get("name") or poetry.get("name") or path)
-    yield Fact("DECLARES_PACKAGE", "project", owner, "package", owner, "pyproject", None, {"ecosystem": "pypi"})
+    yield Fact("DECLARES_PACKAGE", "project", owner, "package", owner, "pyproject", None, {"ecosystem": "pypi"}, (owner, python_package(owner), python_package(owner).replace("-", "_")))
     groups = {"dependencies": project.get("dependencies") or [], **(project.get("optional-dependencies") or {})}
     for section, lines in groups.items():
         for name, version in filter(None, map(_requirement, lines)):
@@ -188,7 +190,7 @@ def dotnet_project(path: str, text: str) -> Iterator[Fact]:
     """B15."""
     names = [(e.text or "").strip() for e in ElementTree.fromstring(text.encode()).iter() if _local(e.tag) in ("PackageId", "AssemblyName")]
     owner = next(filter(None, names), _stem(path))
-    yield Fact("DECLARES_PACKAGE", "project", _stem(path), "package", owner, "dotnet_project", None, {"ecosystem": "nuget"})
+    yield Fact("DECLARES_PACKAGE", "project", _stem(path), "package", owner, "dotnet_project", None, {"ecosystem": "nuget"}, (owner, _stem(path)))
     for _, a in _elements(text, "PackageReference"):
         if name := a.get("Include") or a.get("Update"):
             yield _depends(owner, name, "nuget", "PackageReference", a.get("Version"), "dotnet_project")
@@ -210,6 +212,16 @@ def url_host(value: str) -> str | None:
     return m[1] if m else None
 
 
+def route_path(raw: str) -> str:
+    """As exprs.route_path()."""
+    first = raw.split("}", 1)[-1] if raw.startswith("${") else ""
+    last = raw.rsplit("}", 1)[-1] if "}" in raw else ""
+    path = re.sub(r";[^/]*$", "", re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", raw)[1])
+    found = next((x for x in (first, last) if x.startswith("/")), path or raw)
+    bare = re.sub(r"\$?\{[^}]+\}", ":param", re.split(r"[?#]", found, maxsplit=1)[0])
+    return "/" + "/".join(":param" if s.startswith(":") or s.isdigit() else s for s in bare.split("/") if s)
+
+
 def service_from_identifier(name: str) -> str:
     """As exprs.service_from_identifier()."""
     plain = re.sub(r"(?i)(base)?(url|uri|endpoint|host)$", "", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name.strip()))
@@ -272,24 +284,23 @@ def kubernetes(path: str, text: str) -> Iterator[Fact]:
             continue
         name, space, spec = str(doc["metadata"]["name"]), str(doc["metadata"].get("namespace") or "default"), doc.get("spec") or {}
         if doc.get("kind") == "Service":
-            aliases = [f"{name}.{space}", f"{name}.{space}.svc", f"{name}.{space}.svc.cluster.local"]
             services.append((name, _labels(spec.get("selector"))))
-            yield Fact("DECLARES_SERVICE", "file", path, "service", name, "kubernetes_service", None, {"namespace": space, "aliases": ",".join(aliases)})
+            yield Fact("DECLARES_SERVICE", "file", path, "service", name, "kubernetes_service", None, {"namespace": space}, scoped(name, space))
         elif doc.get("kind") == "Deployment":
             template = spec.get("template") or {}
             deployments.append((name, _labels((template.get("metadata") or {}).get("labels"))))
-            yield Fact("DECLARES_DEPLOYMENT", "file", path, "deployment", name, "kubernetes_deployment", None, {"namespace": space})
+            yield Fact("DECLARES_DEPLOYMENT", "file", path, "deployment", name, "kubernetes_deployment", None, {"namespace": space}, scoped(name, space))
             for c in (template.get("spec") or {}).get("containers") or []:
                 own = f"{name}/{c.get('name')}"
                 yield Fact("RUNS_CONTAINER", "deployment", name, "container", own, "kubernetes_container", None, {"image": str(c.get("image") or "")})
                 for env in c.get("env") or []:
                     yield from _environment(own, env)
         elif doc.get("kind") == "Ingress":
-            yield Fact("DECLARES_INGRESS", "file", path, "ingress", name, "kubernetes_ingress", None, {"namespace": space})
+            yield Fact("DECLARES_INGRESS", "file", path, "ingress", name, "kubernetes_ingress", None, {"namespace": space}, scoped(name, space))
             for rule in spec.get("rules") or []:
                 for p in ((rule or {}).get("http") or {}).get("paths") or []:
                     route, backend = f"ANY {p.get('path') or '/'}", p.get("backend") or {}
-                    yield Fact("EXPOSES_ROUTE", "ingress", name, "api_route", route, "kubernetes_ingress", None, {"host": str(rule.get("host") or "")})
+                    yield Fact("EXPOSES_ROUTE", "ingress", name, "api_route", route, "kubernetes_ingress", None, {"host": str(rule.get("host") or "")}, (f"ANY {route_path(route[4:])}", route_path(route[4:]), route[4:], f"{rule.get('host') or ''}{route[4:]}"))
                     if target := (backend.get("service") or {}).get("name") or backend.get("serviceName"):
                         yield Fact("ROUTES_TO_SERVICE", "api_route", route, "service", str(target), "kubernetes_ingress_route", None, {"target_boundary": "application", "dependency_scope": "deployment", "interaction_kind": "ingress_route"})
     for service, selector in services:
@@ -298,6 +309,11 @@ def kubernetes(path: str, text: str) -> Iterator[Fact]:
                 yield Fact("SELECTS_DEPLOYMENT", "service", service, "deployment", deployment, "kubernetes_selector")
 
 
+def scoped(name: str, space: str) -> tuple[str, ...]:
+    """The names under which a resource of a namespace is addressed within a cluster."""
+    return name, f"{name}.{space}", f"{name}.{space}.svc", f"{name}.{space}.svc.cluster.local"
+
+
 def _labels(value) -> dict[str, str]:
     return {str(k): str(v) for k, v in value.items() if v is not None} if isinstance(value, dict) else {}
 
@@ -466,66 +482,11 @@ def python_code(path: str, text: str) -> Iterator[Fact]:
     yield from visitor.facts
 
 
-# .NET code
-
-_CS_TYPE = re.compile(r"\b(?:class|record|interface|struct)\s+(\w+)")
-_CS_METHOD = re.compile(r"\b(?:public|private|protected|internal)\s+(?:(?:static|async|virtual|override|sealed)\s+)*[\w<>\[\],.? ]+?\s+(\w+)\s*\(")
-_CS_ATTRIBUTE = re.compile(r'\[\s*(\w+)(?:\(\s*(?:"([^"]*)")?[^)]*\))?\s*\]')
-_CS_MINIMAL = re.compile(r'\.Map(Get|Post|Put|Patch|Delete)\(\s*"([^"]+)"')
-_CS_HTTP = re.compile(r'\.(Get|Post|Put|Patch|Delete)(?:FromJson|AsJson|String)?Async\(\s*\$?"([^"]+)"')
-
-
-def join_route(prefix: str, path: str) -> str:
-    return "/" + "/".join(s for s in f"{prefix}/{path}".split("/") if s)
-
-
-@scanner("csharp", lambda p: p.endswith(".cs"))
-def csharp(path: str, text: str) -> Iterator[Fact]:
-    """B37 to B39. Types, methods, controller and minimal routes, HTTP calls; attributes wait for what they stand before."""
-    kind, prefix, waiting = "", "", []
-    for n, line in enumerate(text.splitlines(), 1):
-        code = re.sub(r'"(?:\\.|[^"\\])*"', '""', line)
-        waiting += [(m[1].removesuffix("Attribute").lower(), m[2] or "") for m in _CS_ATTRIBUTE.finditer(line)] if line.lstrip().startswith("[") else []
-        if m := _CS_TYPE.search(code):
-            kind, prefix = m[1], next((v for k, v in waiting if k == "route"), "")
-            waiting = []
-            yield Fact("DECLARES_SYMBOL", "file", path, "interface" if "interface " in code else "class", kind, "dotnet_symbol", n)
-        elif m := _CS_METHOD.search(code):
-            name = f"{kind}.{m[1]}" if kind else m[1]
-            yield Fact("DECLARES_SYMBOL", "file", path, "function", name, "dotnet_symbol", n)
-            for attribute, value in waiting:
-                if verb := re.fullmatch(r"http(get|post|put|patch|delete)", attribute):
-                    route = join_route(prefix, value).replace("[controller]", kind.removesuffix("Controller").lower()).replace("[action]", m[1].lower())
-                    yield Fact("HANDLES_ROUTE", "api_route", f"{verb[1].upper()} {route}", "function", name, "dotnet_controller_route", n)
-            waiting = []
-        for m in _CS_MINIMAL.finditer(line):
-            yield Fact("DECLARES_ROUTE", "file", path, "api_route", f"{m[1].upper()} {join_route('', m[2])}", "dotnet_minimal_route", n)
-        for m in _CS_HTTP.finditer(line):
-            host = url_host(m[2])
-            target = ("CALLS_SERVICE", "service", host.split(".")[0]) if host else ("CALLS_HTTP", "api_route", f"{m[1].upper()} {join_route('', m[2])}")
-            yield Fact(target[0], "file", path, target[1], target[2], "dotnet_http", n, {"raw_target": m[2], "target_boundary": "application", "dependency_scope": "runtime", "interaction_kind": "service_call" if host else "http_call"})
-
-
-_VB_METHOD = re.compile(r"^\s*(?:Public|Private|Protected|Friend)\s+(?:Shared\s+|Overrides\s+)*(?:Function|Sub)\s+(\w+)", re.I)
-
-
-@scanner("vb", lambda p: p.endswith(".vb"))
-def visual_basic(path: str, text: str) -> Iterator[Fact]:
-    """B40. Types, methods, settings that name services, SQL commands."""
-    for n, line in enumerate(text.splitlines(), 1):
-        if m := re.match(r"^\s*(?:(?:Public|Friend|Partial)\s+)*(Class|Module|Interface)\s+(\w+)", line, re.I):
-            yield Fact("DECLARES_SYMBOL", "file", path, "interface" if m[1].lower() == "interface" else "class", m[2], "vb_symbol", n)
-        elif m := _VB_METHOD.match(line):
-            yield Fact("DECLARES_SYMBOL", "file", path, "function", m[1], "vb_symbol", n)
-        for m in re.finditer(r'AppSettings\(\s*"([^"]+)"\s*\)', line):
-            yield Fact("CALLS_SERVICE", "file", path, "service", service_from_env(m[1]), "vb_config_service", n, {"target_boundary": "application", "dependency_scope": "runtime", "interaction_kind": "service_call"})
-        for m in re.finditer(r'(?:\.CommandText\s*=\s*|New\s+SqlCommand\(\s*)"([^"]+)"', line, re.I):
-            found = list(sql_references(m[1])) or ([("CALLS_SQL", m[1])] if re.fullmatch(r"[\w.]+\.[\w.]+", m[1]) else [])
-            for edge, target in found:
-                yield Fact(edge, "file", path, "sql_object", target, "vb_sql_command", n)
-
-
 @scanner("legacy_endpoint", lambda p: p.lower().endswith((".asmx", ".svc")))
 def legacy_endpoint(path: str, text: str) -> Iterator[Fact]:
     """B41. One POST route for an endpoint file."""
     yield Fact("DECLARES_ROUTE", "file", path, "api_route", f"POST /{path.lstrip('/')}", "legacy_dotnet_endpoint")
+
+
+# The scanners of these languages register themselves.
+from codeloom.operators import dotnet  # noqa: E402, F401

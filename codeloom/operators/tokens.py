@@ -14,6 +14,7 @@ from typing import NamedTuple
 _TOKEN = re.compile(
     r"""(?P<literal>[$@]{0,2}(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`))|(?P<name>[A-Za-z_$][\w$]*)|(?P<other>=>|\d[\w.]*|\S)"""
 )
+_COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 #: How far apart the parts of one declaration, import or type may stand, in tokens, and how many calls around a key are told of it.
 REACH, AROUND = 200, 4
@@ -40,9 +41,14 @@ class Place(NamedTuple):
 
 
 class Tokens:
-    def __init__(self, text: str):
-        self.text, self.kind, starts = [], [], []
-        for m in _TOKEN.finditer(text):
+    def __init__(self, text: str, comments: bool = True):
+        """comments: whether what stands in comments counts as well."""
+        self.text, self.kind, starts, at = [], [], [], 0
+        while m := _TOKEN.search(text, at):
+            at = m.end()
+            if not comments and m[0] == "/" and (skipped := _COMMENT.match(text, m.start())):
+                at = skipped.end()
+                continue
             self.text.append(m[0])
             self.kind.append(m.lastgroup)
             starts.append(m.start())

@@ -113,14 +113,38 @@ scanned(
     '[Route("api/[controller]")]\npublic class OrdersController : Controller {\n  [HttpGet("{n}")]\n  public IActionResult List(int a) {\n    client.GetAsync("http://stock{n}.x/y");\n    client.PostAsync("/local");\n  }\n}\napp.MapPost("/min/{n}", x => x);\n',
     [
         ("DECLARES_SYMBOL", "file", "class", "OrdersController"), ("DECLARES_SYMBOL", "file", "function", "OrdersController.List"), ("HANDLES_ROUTE", "api_route", "function", "OrdersController.List"),
-        ("CALLS_SERVICE", "file", "service", "'stock' || n"), ("CALLS_HTTP", "file", "api_route", "POST /local"), ("DECLARES_ROUTE", "file", "api_route", "'POST /min/' || n"),
+        *[("CALLS_SERVICE", near, "service", "'stock' || n") for near in ("file", "function")], *[("CALLS_HTTP", near, "api_route", "POST /local") for near in ("file", "function")],
+        ("DECLARES_ROUTE", "file", "api_route", "'POST /min/' || n"), ("DECLARES_ROUTE", "file", "api_route", "'GET /api/Orders/' || n"),
     ],
 )
 scanned(
-    "b40_visual_basic", "v{k}/M.vb", 'Public Class Shop\n  Public Sub Load(x)\n    url = AppSettings("Order_Api_Url")\n    cmd.CommandText = "SELECT * FROM dbo.T{n}"\n    cmd.CommandText = "dbo.Proc{n}"\n  End Sub\nEnd Class\n',
+    "b38_csharp_members", "c{k}/Deep.cs",
+    'namespace Shop.N{n};\npublic record struct Point(int X);\ninternal interface IStore { Task Save(int a); }\n[ApiController, Route("v{n}/[controller]/[action]")]\npublic partial class Things\n  : Base<int>, IStore where T : class\n{\n  private readonly string text = "} public void No() {";\n'
+    '  public Things(int a) { Save(a); }\n  public int Size { get; set; }\n  [HttpHead]\n  [Authorize("x")]\n  public async Task<List<int>> Find<T>(\n    string q)\n    where T : class\n  {\n    var s = $"{Save(1)}";\n    this.Save(2); other.Save(3); new Things(1).Save(4);\n    await client.DeleteAsync($@"/a/{{q}}/b");\n  }\n'
+    '  // [HttpPut("no")]\n  public Task Save(int a) => Task.Run(() => Find("x"));\n  void Hidden() { client.GetAsync("/hidden"); }\n}\nclass After { }\n',
     [
-        ("DECLARES_SYMBOL", "file", "class", "Shop"), ("DECLARES_SYMBOL", "file", "function", "Load"), ("CALLS_SERVICE", "file", "service", "order"),
-        ("READS_SQL_OBJECT", "file", "sql_object", "'dbo.T' || n"), ("CALLS_SQL", "file", "sql_object", "'dbo.Proc' || n"),
+        *[("DECLARES_SYMBOL", "file", kind, f"'Shop.N' || n || '.{name}'") for kind, name in (("class", "Point"), ("interface", "IStore"), ("class", "Things"), ("class", "After"), ("function", "Things.Find"), ("function", "Things.Save"))],
+        ("DECLARES_ROUTE", "file", "api_route", "'HEAD /v' || n || '/Things/Find'"), ("HANDLES_ROUTE", "api_route", "function", "'Shop.N' || n || '.Things.Find'"),
+        *[("CALLS_SYMBOL", "function", "function", name) for name in ("Things.Save", "Things.Find")], *[("CALLS_HTTP", near, "api_route", "DELETE /b") for near in ("file", "function")], ("CALLS_HTTP", "file", "api_route", "GET /hidden"),
+    ],
+)
+scanned(
+    "b40_visual_basic", "v{k}/M.vb", 'Public Class Shop\n  Public Sub Load(x)\n    url = ConfigurationManager.AppSettings("Order_Api_Url")\n    cmd.CommandText = "SELECT * FROM dbo.T{n}"\n    cmd.CommandText = "dbo.Proc{n}"\n  End Sub\nEnd Class\n',
+    [
+        ("DECLARES_SYMBOL", "file", "class", "Shop"), ("DECLARES_SYMBOL", "file", "function", "Shop.Load"), *[("CALLS_SERVICE", near, "service", "order-api") for near in ("file", "function")],
+        *[("CALLS_SQL", near, "stored_procedure", "'dbo.Proc' || n") for near in ("file", "function")],
+    ],
+)
+scanned(
+    "b40_visual_basic_contracts", "v{k}/Stock{n}.asmx.vb",
+    'Namespace Legacy.N{n}\nPublic Module Stock \' Class No\n  <WebMethod(Description:="a, b"), _\n   Obsolete> _\n  Public Shared Function Count(id As Integer) As Integer\n    Dim c = New SqlCommand("EXEC [dbo].[Count{n}] @id") \' Me.Other()\n    WebRequest.Create("http://api-{n}.x/y")\n    web.DownloadString("/feed/{n}?q=1")\n    Return Other(Me.Count(1)) + Nothing.Other()\n  End Function\n'
+    '  <OperationContract> Private Sub Other()\n    Exit Sub\n  End Sub\n  <Obsolete()>\n  Sub Plain()\n  End Sub\nEnd Module\nEnd Namespace\n',
+    [
+        *[("DECLARES_SYMBOL", "file", kind, f"'Legacy.N' || n || '.{name}'") for kind, name in (("module", "Stock"), ("function", "Stock.Count"), ("function", "Stock.Other"), ("function", "Stock.Plain"))],
+        ("DECLARES_ROUTE", "file", "api_route", "'POST /v' || k || '/Stock' || n || '.asmx/Count'"), ("DECLARES_ROUTE", "file", "api_route", "'POST /v' || k || '/Stock' || n || '.asmx.svc/Other'"),
+        *[("HANDLES_ROUTE", "api_route", "function", f"'Legacy.N' || n || '.Stock.{name}'") for name in ("Count", "Other")],
+        *[(edge, near, kind, to) for edge, kind, to in (("CALLS_SQL", "stored_procedure", "'dbo.Count' || n"), ("CALLS_SERVICE", "service", "'api-' || n"), ("CALLS_HTTP", "api_route", "GET /feed/:param")) for near in ("file", "function")],
+        ("CALLS_SYMBOL", "function", "function", "Stock.Other"),
     ],
 )
 scanned("b41_legacy_endpoint", "v{k}/Svc{n}.asmx", "<%@ WebService %>", [("DECLARES_ROUTE", "file", "api_route", "'POST /v' || k || '/Svc' || n || '.asmx'")])

@@ -83,3 +83,20 @@ def test_sql_references_come_from_the_object_they_stand_in(spark):
     ids = {r["name"]: r["entity_id"] for r in graph.entities.collect()}
     reached = {r["next_id"] for r in graph.impact(ids["dbo.T"])["items"].collect()}
     assert {ids["dbo.P"], ids["dbo.R"]} <= reached
+
+
+def test_names_that_scanners_find_resolve(spark):
+    service = "apiVersion: v1\nkind: Service\nmetadata:\n  name: price\n  namespace: shop\n"
+    rows = [
+        ("k8s", "price.yaml", ".yaml", service),
+        ("py", "pyproject.toml", ".toml", '[project]\nname = "My_Lib"\n'), ("app", "a.py", ".py", "import my_lib\n"),
+        ("net", "A.cs", ".cs", 'class A {\n  [HttpGet("/orders/{id}")]\n  public int Get(int id) {\n    bus.Publish<Made>(m);\n    return 1;\n  }\n}\n'), ("web", "w.ts", ".ts", "fetch('/orders/7');\n"),
+    ]
+    files = spark.createDataFrame(rows, "source_name string, rel_path string, extension string, content string")
+    graph = Graph.of_files(spark, "s", {n: n for n in ("k8s", "py", "app", "net", "web")}, files)
+    got = {(r["edge_type"], r["from_name"], r["to_name"]): r for r in graph.edges.collect()}
+    assert got["CALLS_HTTP", "w.ts", "GET /orders/:param"]["resolved"] and got["IMPORTS", "a", "my-lib"]["resolved"]
+    assert ("PUBLISHES_MESSAGE", "A.Get", "Made") in got
+    aliases = {r["name"]: r["aliases"] for r in graph.entities.collect()}
+    assert "price.shop.svc.cluster.local" in aliases["price"] and "my_lib" in aliases["my-lib"]
+    assert {r["entity_type"]: r["properties"] for r in graph.entities.collect() if r["name"] == "price"}["service"]["namespace"] == "shop"
