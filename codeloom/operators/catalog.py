@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.functions.exprs import metadata_value, normalize_key
+from codeloom.sources.tables import cut
 
 #: Most rows of one catalog.
 ROW_BUDGET = 50_000
@@ -94,21 +95,34 @@ def postgres_trigger_events(bits: str | Column = "tgtype") -> Column:
     return F.filter(F.array(*[F.when(b.bitwiseAND(v) != 0, n) for n, v in (("INSERT", 4), ("UPDATE", 16), ("DELETE", 8), ("TRUNCATE", 32))]), lambda x: x.isNotNull())
 
 
-def postgres_dependencies(views: DataFrame, routines: DataFrame, limit: int) -> DataFrame:
-    """A28. Views' and routines' dependencies together."""
-    return views.unionByName(routines).orderBy("from_schema_name", "from_object_name", "to_schema_name", "to_object_name").limit(limit)
+def sequenced(reads: Mapping[str, Callable[[int], DataFrame]], budget: int = ROW_BUDGET, engine: str = "SQL Server") -> tuple[dict[str, DataFrame], list[str]]:
+    """A09, A30. The reads one after another, each given what the ones before have left of the budget, as stored tables.
+
+    A read that takes all that is left is an issue; the ones after it are not begun and are empty. Each read runs once: its rows
+    are stored and counted where they are stored.
+    """
+    if budget < 1:
+        raise ValueError("a row budget is a positive number")
+    out, issues, left = {}, [], budget
+    for name, read in reads.items():
+        if left <= 0:
+            out[name] = read(1).limit(0)
+            continue
+        out[name] = cut(read(left))
+        n = out[name].count()
+        if n >= left:
+            issues.append(f"{engine} metadata row limit reached while reading {name}; increase the row budget to read more")
+        left -= n
+    return out, issues
 
 
-def within_budget(reads: Sequence[tuple[str, DataFrame]], budget: int = ROW_BUDGET) -> tuple[dict[str, DataFrame], list[str]]:
-    """A09, A30. The reads one after another, cut to what is left of the budget; an issue names each read that reached it."""
-    out, issues = {}, []
-    for name, df in reads:
-        cut = df.limit(max(budget, 0))
-        n = cut.count()
-        if n >= budget:
-            issues.append(f"{name}: row budget reached")
-        out[name], budget = cut, budget - n
-    return out, issues
+def sqlserver_read(objects: DataFrame, schemas: DataFrame, keys: DataFrame, triggers: DataFrame, dependencies: DataFrame, budget: int = ROW_BUDGET, only: Sequence[str] | None = None) -> tuple[dict[str, DataFrame], list[str]]:
+    """A30. The SQL Server catalog's rows within one budget; triggers(rows of A22) and dependencies(rows of A23) in the order of their names."""
+    return sequenced({
+        "sys.objects": lambda n: sqlserver_objects(objects, schemas, n, only), "sys.foreign_keys": lambda n: foreign_keys(objects, schemas, keys, n, only),
+        "sys.triggers": lambda n: triggers.orderBy("schema_name", "table_name", "trigger_name").limit(n),
+        "sys.sql_expression_dependencies": lambda n: dependencies.orderBy("from_schema_name", "from_object_name", "to_schema_name", "to_object_name").limit(n),
+    }, budget)
 
 
 def graph_type(c: str | Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.operators import catalog, facts, incremental, scaffold, scanners
+from codeloom.operators import catalog, facts, incremental, postgres, scaffold, scanners
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -338,6 +338,103 @@ def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.comparison(same, same, now, before).select("source_name", "status", "reasons")
 
 
+def postgres_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A PostgreSQL catalog made of the parts (relations, keys, triggers, rules), suppliers (routines) and lineitems (dependencies)."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    part, supplier = read("part").selectExpr("p_partkey AS k", "p_size AS z"), read("supplier").selectExpr("s_suppkey AS k")
+    item = read("lineitem").selectExpr("l_partkey AS p", "l_suppkey AS s", "elt(l_linenumber % 3 + 1, 'n', 'a', 'i') AS deptype")
+    rules = item.selectExpr("'pg_rewrite' AS classid", "p + 1000000 AS objid", "'pg_class' AS refclassid", "s AS refobjid", "deptype")
+    used = item.selectExpr("'pg_proc' AS classid", "s AS objid", "'pg_proc' AS refclassid", "s % 10 + 1 AS refobjid", "deptype")
+    spaces = spark.createDataFrame([(0, "public"), (1, "sales"), (2, "pg_catalog"), (3, "pg_toast_7")], "oid long, nspname string")
+    return {
+        "pg_namespace": spaces, "pg_rewrite": part.selectExpr("k + 1000000 AS oid", "k AS ev_class"), "pg_depend": rules.union(used),
+        "pg_class": part.selectExpr("k AS oid", "concat('rel_', k) AS relname", "k % 4 AS relnamespace", "elt(k % 5 + 1, 'r', 'v', 'm', 'p', 'i') AS relkind"),
+        "pg_proc": supplier.selectExpr("k AS oid", "concat('fn_', k) AS proname", "k % 4 AS pronamespace", "elt(k % 3 + 1, 'f', 'p', 'a') AS prokind"),
+        "pg_constraint": part.selectExpr("concat('fk_', k) AS conname", "if(k % 3 = 0, 'u', 'f') AS contype", "k AS conrelid", "k div 2 AS confrelid"),
+        "pg_trigger": part.selectExpr("concat('trg_', k) AS tgname", "k AS tgrelid", "k % 10 + 1 AS tgfoid", "z AS tgtype", "if(k % 7 = 0, 'D', 'O') AS tgenabled", "k % 6 = 0 AS tgisinternal"),
+    }
+
+
+_SPACE = "CASE {} % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'sales' WHEN 2 THEN 'pg_catalog' ELSE 'pg_toast_7' END"
+_PG = f"""WITH c AS (SELECT p_partkey AS oid, 'rel_' || p_partkey AS name, {_SPACE.format("p_partkey")} AS space, p_partkey % 4 < 2 AS own, p_partkey % 5 AS kind, p_size AS z,
+  CASE p_partkey % 5 WHEN 1 THEN 'view' WHEN 2 THEN 'materialized_view' ELSE 'table' END AS typed FROM part),
+f AS (SELECT s_suppkey AS oid, 'fn_' || s_suppkey AS name, {_SPACE.format("s_suppkey")} AS space, s_suppkey % 4 < 2 AS own, s_suppkey % 3 AS kind, CASE s_suppkey % 3 WHEN 1 THEN 'procedure' ELSE 'function' END AS typed FROM supplier),
+d AS (SELECT l_partkey AS p, l_suppkey AS s, l_suppkey % 10 + 1 AS t, CASE l_linenumber % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'a' END AS deptype FROM lineitem WHERE l_linenumber % 3 < 2),
+objects AS (SELECT space AS schema_name, name AS object_name, typed AS object_type FROM c WHERE own AND kind < 4 UNION ALL SELECT space, name, typed FROM f WHERE own AND kind < 2),
+keys AS (SELECT a.space AS schema_name, a.name AS table_name, b.space AS referenced_schema_name, b.name AS referenced_table_name, 'fk_' || a.oid AS constraint_name FROM c a JOIN c b ON b.oid = a.oid // 2 WHERE a.own AND a.oid % 3 <> 0),
+triggers AS (SELECT a.space AS schema_name, 'trg_' || a.oid AS trigger_name, a.space AS table_schema_name, a.name AS table_name,
+  concat_ws(',', CASE WHEN z & 4 <> 0 THEN 'INSERT' END, CASE WHEN z & 16 <> 0 THEN 'UPDATE' END, CASE WHEN z & 8 <> 0 THEN 'DELETE' END, CASE WHEN z & 32 <> 0 THEN 'TRUNCATE' END) AS events,
+  a.oid % 7 = 0 AS is_disabled, f.space AS function_schema_name, f.name AS function_name FROM c a JOIN f ON f.oid = a.oid % 10 + 1 WHERE a.own AND a.oid % 6 <> 0),
+dependencies AS (SELECT a.space AS from_schema_name, a.name AS from_object_name, a.typed AS from_object_type, b.space AS to_schema_name, b.name AS to_object_name, b.typed AS to_object_type, deptype AS dependency_name, 'object_dependency' AS dependency_type
+  FROM d JOIN c a ON a.oid = d.p JOIN c b ON b.oid = d.s WHERE a.own AND b.own AND a.kind IN (1, 2) AND a.oid <> b.oid
+  UNION ALL SELECT a.space, a.name, a.typed, b.space, b.name, b.typed, deptype, 'object_dependency' FROM d JOIN f a ON a.oid = d.s JOIN f b ON b.oid = d.t WHERE a.own AND b.own AND a.oid <> b.oid)
+"""
+
+
+@query("a25_postgres_objects", _PG + "SELECT * FROM objects")
+def a25_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postgres.objects(postgres_tables(spark, sf_dir))
+
+
+@query("a26_postgres_foreign_keys", _PG + "SELECT * FROM keys")
+def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postgres.foreign_keys(postgres_tables(spark, sf_dir))
+
+
+@query("a27_trigger_rows", _PG + "SELECT * FROM triggers")
+def a27_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postgres.triggers(postgres_tables(spark, sf_dir))
+
+
+@query("a28_postgres_dependencies", _PG + "SELECT * FROM dependencies")
+def a28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postgres.dependencies(postgres_tables(spark, sf_dir))
+
+
+@query("a29_schema_filter", _PG + "SELECT * FROM keys WHERE schema_name = 'sales'")
+def a29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postgres.foreign_keys(postgres_tables(spark, sf_dir), only=["sales"])
+
+
+#: Rows that a30_row_budget may read of all tables together: more than the objects, fewer than objects and keys, from sf0.01 on.
+BUDGET = 1_500
+
+
+@query("a30_row_budget", _PG + f""", o AS (SELECT * FROM objects ORDER BY schema_name, object_name, object_type LIMIT {BUDGET}), no AS (SELECT count(*) AS n FROM o),
+k AS (SELECT * FROM keys ORDER BY schema_name, table_name, constraint_name LIMIT (SELECT {BUDGET} - n FROM no)), nk AS (SELECT no.n + (SELECT count(*) FROM k) AS n FROM no),
+t AS (SELECT * FROM triggers ORDER BY schema_name, table_name, trigger_name LIMIT (SELECT {BUDGET} - n FROM nk)), nt AS (SELECT nk.n + (SELECT count(*) FROM t) AS n FROM nk),
+e AS (SELECT * FROM dependencies ORDER BY from_schema_name, from_object_name, to_schema_name, to_object_name, dependency_name LIMIT (SELECT {BUDGET} - n FROM nt))
+SELECT 'pg_class' AS name, object_name AS item, NULL::VARCHAR AS other, count(*) AS n FROM o GROUP BY ALL UNION ALL SELECT 'pg_constraint', constraint_name, table_name, count(*) FROM k GROUP BY ALL
+UNION ALL SELECT 'pg_trigger', trigger_name, table_name, count(*) FROM t GROUP BY ALL UNION ALL SELECT 'pg_depend', from_object_name, to_object_name, count(*) FROM e GROUP BY ALL
+UNION ALL SELECT 'issue', CASE WHEN (SELECT n FROM no) >= {BUDGET} THEN 'pg_class' WHEN (SELECT n FROM nk) >= {BUDGET} THEN 'pg_constraint' WHEN (SELECT n FROM nt) >= {BUDGET} THEN 'pg_trigger' ELSE 'pg_depend' END, NULL, 1""")
+def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, issues = postgres.read(postgres_tables(spark, sf_dir), BUDGET)
+    columns = {"pg_class": ("object_name", None), "pg_constraint": ("constraint_name", "table_name"), "pg_trigger": ("trigger_name", "table_name"), "pg_depend": ("from_object_name", "to_object_name")}
+    out = spark.createDataFrame([("issue", i.split(" while reading ")[1].split(";")[0], None) for i in issues], "name string, item string, other string")
+    for name, (item, other) in columns.items():
+        out = out.unionByName(found[name].select(F.lit(name).alias("name"), F.col(item).alias("item"), (F.col(other) if other else F.lit(None).cast("string")).alias("other")))
+    return tally(out, "name", "item", "other")
+
+
+@query("b80_postgres_catalog", _PG + """, known AS (SELECT lower(schema_name || '.' || object_name) AS name, CASE object_type WHEN 'table' THEN 'sql_table' WHEN 'procedure' THEN 'stored_procedure' WHEN 'function' THEN 'sql_function' ELSE 'sql_view' END AS kind FROM objects
+  UNION SELECT lower(schema_name || '.' || trigger_name), 'sql_trigger' FROM triggers),
+wanted AS (SELECT lower(schema_name || '.' || table_name) AS own, 'sql_table' AS own_kind, lower(referenced_schema_name || '.' || referenced_table_name) AS other, 'sql_table' AS other_kind, 'REFERENCES_SQL_OBJECT' AS edge_type FROM keys
+  UNION ALL SELECT lower(schema_name || '.' || trigger_name), 'sql_trigger', lower(table_schema_name || '.' || table_name), 'sql_table', 'TRIGGERS_ON_SQL_OBJECT' FROM triggers
+  UNION ALL SELECT lower(from_schema_name || '.' || from_object_name), CASE from_object_type WHEN 'procedure' THEN 'stored_procedure' WHEN 'function' THEN 'sql_function' ELSE 'sql_view' END,
+    lower(to_schema_name || '.' || to_object_name), CASE to_object_type WHEN 'procedure' THEN 'stored_procedure' WHEN 'function' THEN 'sql_function' WHEN 'table' THEN 'sql_table' ELSE 'sql_view' END, 'REFERENCES_SQL_OBJECT' FROM dependencies),
+met AS (SELECT w.*, (SELECT count(*) FROM known k WHERE k.name = w.own AND k.kind = w.own_kind) AS a, (SELECT count(*) FROM known k WHERE k.name = w.other AND k.kind = w.other_kind) AS b FROM wanted w)
+SELECT 'edge' AS what, edge_type AS kind, own AS item, other, b = 1 AS resolved, count(*) AS n FROM met WHERE a = 1 GROUP BY ALL
+UNION ALL SELECT 'entity', kind, name, NULL, NULL, count(*) FROM known GROUP BY ALL UNION ALL SELECT 'issue', NULL, own, NULL, NULL, count(*) FROM met WHERE a <> 1 GROUP BY ALL""")
+def b80_postgres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = postgres_tables(spark, sf_dir)
+    entities, edges, issues = postgres.scan("db", {"pg_class": postgres.objects(t), "pg_constraint": postgres.foreign_keys(t), "pg_trigger": postgres.triggers(t), "pg_depend": postgres.dependencies(t)})
+    none = lambda c: F.lit(None).cast(c)
+    rows = edges.select(F.lit("edge").alias("what"), F.col("edge_type").alias("kind"), F.col("from_name").alias("item"), F.col("to_name").alias("other"), "resolved")
+    rows = rows.unionByName(entities.select(F.lit("entity").alias("what"), F.col("entity_type").alias("kind"), F.lower("file_path").alias("item"), none("string").alias("other"), none("boolean").alias("resolved")))
+    rows = rows.unionByName(issues.select(F.lit("issue").alias("what"), none("string").alias("kind"), F.regexp_extract("message", ": (.*)$", 1).alias("item"), none("string").alias("other"), none("boolean").alias("resolved")))
+    return tally(rows, "what", "kind", "item", "other", "resolved")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
