@@ -108,6 +108,12 @@ blast AS (SELECT id, 1::BIGINT AS depth FROM l1 UNION ALL SELECT id, 2 FROM l2)
 BLAST = _BLAST + "SELECT id AS next_id, depth FROM blast"
 BLAST_SOURCES = _BLAST + "SELECT source_name AS source, count(*) AS count, min(depth) AS min_depth FROM blast JOIN all_entities ON id = entity_id GROUP BY source_name"
 
+BLAST_PATHS = _BLAST + f"SELECT id AS next_id, depth, depth + 1 AS nodes, id AS first, {ROOT} AS last, true AS whole, false AS truncated FROM blast"
+NEIGHBOR_EVIDENCE = f"""
+SELECT direction, n.edge_type, coalesce(x.source_name, e.source_name) AS source_name, x.entity_type AS neighbor_type, count(*) AS count, 1::BIGINT AS min_depth, min(n.edge_id) AS first_edge, least(count(*), 5) AS examples
+FROM ({NEIGHBORS}) n JOIN resolved e ON e.edge_id = n.edge_id JOIN all_entities x ON x.entity_id = n.neighbor_id GROUP BY ALL
+"""
+
 INTERACTIONS = """
 , inter AS (
   SELECT source_name AS from_source, target_source, to_type, to_name, edge_type, target_boundary, dependency_scope, interaction_kind, count(*) AS count,

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.api import Graph
-from codeloom.operators import assemble, reports, resolve, store, traverse
+from codeloom.operators import assemble, payloads, reports, resolve, store, traverse
 from codeloom.plans import graph_view, oracle_text as o
 from codeloom.sources.tables import shared_dir, stored
 
@@ -36,11 +36,16 @@ class View:
 
     @cached_property
     def entities(self) -> DataFrame:
-        return stored(self.spark, f"entities {self.sf_dir}", lambda: resolve.resolve(self.raw_entities, self.raw_edges)[0])
+        return stored(self.spark, f"entities {self.sf_dir}", lambda: self._resolved[0])
 
     @cached_property
     def edges(self) -> DataFrame:
-        return stored(self.spark, f"edges {self.sf_dir}", lambda: resolve.resolve(self.raw_entities, self.raw_edges)[1])
+        return stored(self.spark, f"edges {self.sf_dir}", lambda: self._resolved[1])
+
+    @cached_property
+    def _resolved(self) -> tuple[DataFrame, DataFrame]:
+        """Both plans of one resolution, each of which is run once a session."""
+        return resolve.resolve(self.raw_entities, self.raw_edges)
 
 
 _QUERIES: dict[str, Query] = {}
@@ -323,6 +328,34 @@ def e25(v: View) -> DataFrame:
     return store.payload(v.entities.select(*_FLAT_ENTITY))
 
 
+_AT = lambda path, name: F.get_json_object("json", path).alias(name)
+
+
+@query("e25_neighbor_payloads", o.graph(f"SELECT n.direction, n.neighbor_id, n.edge_id, e.edge_type, e.from_name, e.to_name, x.name AS neighbor_name, x.entity_type AS neighbor_type, '1' AS depth, e.from_entity_id AS step_from, e.to_entity_id AS step_to, false AS has_null FROM ({o.NEIGHBORS}) n JOIN resolved e ON e.edge_id = n.edge_id JOIN all_entities x ON x.entity_id = n.neighbor_id"))
+def e25_neighbors(v: View) -> DataFrame:
+    """Read back from the JSON: edge, neighbour and the one step of each path."""
+    items = payloads.neighbors(traverse.neighbors(v.edges, o.ROOT_ID, "both", 1, limit=200), v.edges, v.entities).select(payloads.as_json("payload").alias("json"))
+    return items.select(
+        _AT("$.direction", "direction"), _AT("$.neighbor.entity_id", "neighbor_id"), _AT("$.path.edge_ids[0]", "edge_id"), _AT("$.edge.edge_type", "edge_type"), _AT("$.edge.from_name", "from_name"), _AT("$.path.edges[0].to_name", "to_name"),
+        _AT("$.neighbor.name", "neighbor_name"), _AT("$.neighbor.entity_type", "neighbor_type"), _AT("$.depth", "depth"), _AT("$.path.steps[0].from.entity_id", "step_from"), _AT("$.path.nodes[1].entity_id", "step_to"), F.col("json").contains(":null").alias("has_null"),
+    )
+
+
+@query("g04_radius_payloads", o.graph(o.BLAST_PATHS))
+def g04(v: View) -> DataFrame:
+    """The nodes of each path, read back from the JSON, and whether its steps hang together."""
+    items = payloads.radius(_blast(v), v.edges, v.entities)
+    path = F.col("payload.path")
+    whole = F.forall(F.sequence(F.lit(1), F.size(path["steps"])), lambda i: (F.get(path["steps"], i - 1)["from"]["entity_id"] == F.get(path["node_ids"], i - 1)) & (F.get(path["steps"], i - 1)["to"]["entity_id"] == F.get(path["node_ids"], i)))
+    return items.select("next_id", F.get_json_object(payloads.as_json("payload"), "$.depth").cast("long").alias("depth"), F.size(path["nodes"]).cast("long").alias("nodes"), F.get(path["node_ids"], 0).alias("first"), F.element_at(path["node_ids"], -1).alias("last"), whole.alias("whole"), "truncated")
+
+
+@query("g43_neighbor_groups", o.graph(o.NEIGHBOR_EVIDENCE))
+def g43(v: View) -> DataFrame:
+    found = payloads.groups(payloads.neighbors(traverse.neighbors(v.edges, o.ROOT_ID, "both", 1, limit=200), v.edges, v.entities))
+    return found.select("direction", "edge_type", "source_name", "neighbor_type", "count", _count("min_depth"), F.get_json_object(F.get("examples", 0), "$.edge.edge_id").alias("first_edge"), F.size("examples").cast("long").alias("examples"))
+
+
 # Reports
 
 def _blast(v: View) -> DataFrame:
