@@ -170,7 +170,8 @@ def assembled(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFr
     ship(files.sparkSession)
     files = cut(files)
     found = cut(facts.scan(files).unionByName(line_facts(files)))
-    issues = found.where("issue is not null").select("source_name", "rel_path", F.col("issue").alias("message"))
+    faults = assemble.fact_issues(found.where("issue is null")).select("source_name", "rel_path", F.concat("parser", F.lit(": "), "edge_type", F.lit(": "), "message").alias("message"))
+    issues = found.where("issue is not null").select("source_name", "rel_path", F.col("issue").alias("message")).unionByName(faults)
     if strict:
         assemble.require_no_issues(issues)
     found = found.where("issue is null").unionByName(scaffold_facts(files, found))

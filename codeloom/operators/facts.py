@@ -354,6 +354,19 @@ def _string(node: ast.AST | None) -> str | None:
     return None
 
 
+#: Boundary and interaction kind of each edge type of a touched message, stored object or cache key.
+TOUCHES = {
+    "PUBLISHES_MESSAGE": ("messaging", "message_publish"), "CONSUMES_MESSAGE": ("messaging", "message_consume"), "READS_STORAGE_OBJECT": ("storage", "storage_read"),
+    "WRITES_STORAGE_OBJECT": ("storage", "storage_write"), "READS_CACHE_KEY": ("cache", "cache_read"), "WRITES_CACHE_KEY": ("cache", "cache_write"),
+}
+
+
+def touch_evidence(edge: str) -> dict[str, str]:
+    """B06. The evidence that such an interaction carries."""
+    boundary, kind = TOUCHES[edge]
+    return {"target_boundary": boundary, "dependency_scope": "runtime", "interaction_kind": kind}
+
+
 class _Visitor(ast.NodeVisitor):
     def __init__(self, path: str, tree: ast.Module):
         self.module = re.sub(r"(/__init__)?\.py$", "", path).replace("/", ".")
@@ -412,7 +425,7 @@ class _Visitor(ast.NodeVisitor):
                 self.add(edge, *owner, "sql_object", target, "sql_reference", node.lineno, {"target_boundary": "database", "dependency_scope": "runtime", "interaction_kind": "sql_reference"})
         elif found := list(self._touches(node, root, last)):
             for edge, kind, target, parser in found:
-                self.add(edge, *owner, kind, target, parser, node.lineno)
+                self.add(edge, *owner, kind, target, parser, node.lineno, touch_evidence(edge))
         elif self.scope and last in self.callables and last != self.scope[-1]:
             self.add("CALLS_SYMBOL", *owner, "function", last, "python_call", node.lineno)
         self.generic_visit(node)
