@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.operators.store import LIST_LIMIT, depth_of, direction_of, limit_of
+from codeloom.sources.tables import cut
 from codeloom.vocabulary import IMPACT_PROFILES
 
 _EDGE = ("edge_id", "edge_type", "from_entity_id", "from_name", "to_entity_id", "to_name", "source_name")
@@ -23,6 +24,21 @@ def _allowed(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
     return edges.where(F.col("edge_type").isin(list(types))) if types is not None else edges
 
 
+def _ends(direction: str) -> tuple[str, str]:
+    return ("from_entity_id", "to_entity_id") if direction == "out" else ("to_entity_id", "from_entity_id")
+
+
+def _step(at: DataFrame, steps: DataFrame, direction: str, level: int) -> DataFrame:
+    """The trails of at(root, _at, path), one edge longer."""
+    near, far = _ends(direction)
+    met = at.join(steps, at["_at"] == steps[near]).where(~F.array_contains("path", F.col("edge_id")))
+    return met.select("root", F.lit(level).alias("depth"), *_EDGE, F.col(far).alias("neighbor_id"), F.array_append("path", F.col("edge_id")).alias("path"))
+
+
+def _steps(edges: DataFrame, direction: str, edge_types: Sequence[str] | None) -> DataFrame:
+    return _allowed(edges.where("resolved"), edge_types).where(F.col(_ends(direction)[1]).isNotNull()).select(*_EDGE)
+
+
 def trails(edges: DataFrame, start: DataFrame, direction: str, depth: int = 1, edge_types: Sequence[str] | None = None) -> DataFrame:
     """E06, E07. All trails of up to depth edges from start(root): no edge twice, nodes may repeat.
 
@@ -30,29 +46,42 @@ def trails(edges: DataFrame, start: DataFrame, direction: str, depth: int = 1, e
     the edge ids from the root on.
     """
     depth_of(depth)
-    near, far = ("from_entity_id", "to_entity_id") if direction == "out" else ("to_entity_id", "from_entity_id")
-    steps = _allowed(edges.where("resolved"), edge_types).where(F.col(far).isNotNull()).select(*_EDGE)
+    steps = _steps(edges, direction, edge_types)
     at = start.select("root", F.col("root").alias("_at"), F.array().cast("array<string>").alias("path"))
     found = None
     for level in range(1, depth + 1):
-        met = at.join(steps, at["_at"] == steps[near]).where(~F.array_contains("path", F.col("edge_id")))
-        level_rows = met.select("root", F.lit(level).alias("depth"), *_EDGE, F.col(far).alias("neighbor_id"), F.array_append("path", F.col("edge_id")).alias("path"))
+        level_rows = _step(at, steps, direction, level)
         found = level_rows if found is None else found.unionByName(level_rows)
         at = level_rows.select("root", F.col("neighbor_id").alias("_at"), "path")
     return found
 
 
 def neighbors(edges: DataFrame, entity_id: str, direction: str = "both", depth: int = 1, edge_types: Sequence[str] | None = None, limit: int = 50) -> DataFrame:
-    """E08. Trails of one entity: outgoing ones first, then incoming ones, cut at limit."""
+    """E08. Trails of one entity: outgoing ones first, then incoming ones, the shorter before the longer, cut at limit.
+
+    Each level is cut to what is left of the limit, in the final order, and stored; the next starts from it only if it was not
+    cut. So no level starts from more trails than the limit, whatever the degrees of the nodes.
+    """
     direction_of(direction)
+    depth_of(depth)
     start = edges.sparkSession.createDataFrame([(entity_id,)], "root string")
-    out = None
+    out, left = None, limit_of(limit, LIST_LIMIT)
     for rank, d in enumerate(("out", "in")):
-        if direction in (d, "both"):
-            rows = trails(edges, start, d, depth, edge_types).select(F.lit(rank).alias("_rank"), F.lit(d).alias("direction"), "*")
+        if direction not in (d, "both"):
+            continue
+        steps = _steps(edges, d, edge_types)
+        name = "to_name" if d == "out" else "from_name"
+        at = start.select("root", F.col("root").alias("_at"), F.array().cast("array<string>").alias("path"))
+        for level in range(1, depth + 1):
+            if left <= 0 and out is not None:
+                break
+            rows = _step(at, steps, d, level).orderBy("edge_type", name, "edge_id", F.array_join("path", ",")).limit(left)
+            rows = cut(rows.select(F.lit(rank).alias("_rank"), F.lit(d).alias("direction"), "*"))
+            left -= rows.count()
             out = rows if out is None else out.unionByName(rows)
-    name = F.when(F.col("direction") == "out", F.col("to_name")).otherwise(F.col("from_name"))
-    return out.orderBy("_rank", "depth", "edge_type", name, "edge_id", F.array_join("path", ",")).limit(limit_of(limit, LIST_LIMIT)).drop("_rank")
+            at = rows.select("root", F.col("neighbor_id").alias("_at"), "path")
+    shown = F.when(F.col("direction") == "out", F.col("to_name")).otherwise(F.col("from_name"))
+    return out.orderBy("_rank", "depth", "edge_type", shown, "edge_id", F.array_join("path", ",")).drop("_rank")
 
 
 def _order() -> list[Column]:

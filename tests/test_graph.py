@@ -139,3 +139,22 @@ def test_store_refuses_bad_arguments(spark):
     for call in (lambda: store.limit_of(0, 10), lambda: store.limit_of(True, 10), lambda: store.depth_of(4), lambda: store.direction_of("up")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_neighbours_of_a_hub_cost_the_limit(spark):
+    from codeloom.operators import traverse
+
+    n = 100_000
+    hub = spark.range(n).selectExpr("concat('e', id) AS edge_id", "elt(id % 2 + 1, 'CALLS_HTTP', 'CALLS_SERVICE') AS edge_type", "'hub' AS from_entity_id", "'hub' AS from_name", "concat('n', id) AS to_entity_id", "concat('n', id) AS to_name")
+    back = spark.range(n).selectExpr("concat('b', id) AS edge_id", "'IMPORTS' AS edge_type", "concat('n', id) AS from_entity_id", "concat('n', id) AS from_name", "'hub' AS to_entity_id", "'hub' AS to_name")
+    root = spark.createDataFrame([("r", "IMPORTS", "root", "root", "hub", "hub")], hub.schema)
+    edges = hub.union(back).union(root).selectExpr("*", "true AS resolved", "'s' AS source_name")
+    got = traverse.neighbors(edges, "root", "both", 3, limit=40).collect()
+    names = sorted(f"n{i}" for i in range(0, n, 2))[:39]
+    assert [(r["depth"], r["neighbor_id"]) for r in got] == [(1, "hub"), *[(2, x) for x in names]]
+    # Under a limit that nothing reaches, the same as all trails.
+    small = edges.where("edge_id IN ('r', 'e0', 'e1', 'b0')")
+    rows = traverse.neighbors(small, "root", "both", 3, limit=200).collect()
+    whole = [(d, r["depth"], tuple(r["path"])) for d in ("out", "in") for r in traverse.trails(small, spark.createDataFrame([("root",)], "root string"), d, 3).collect()]
+    assert sorted((r["direction"], r["depth"], tuple(r["path"])) for r in rows) == sorted(whole) and len(rows) == 4
+    assert traverse.neighbors(small, "nobody").collect() == []
