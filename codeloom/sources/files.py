@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_BYTES = 1_000_000
 # What a scan takes and leaves out by default.
@@ -13,16 +14,53 @@ EXTENSIONS = [".cs", ".vb", ".fs", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs",
 EXCLUDED = ["node_modules", "bin", "obj", "dist", "build", "venv", "__pycache__", "vendor", "packages", "coverage", "target"]
 
 
-def scan_tree(spark: SparkSession, root: str, source: str, extensions: Sequence[str] = EXTENSIONS, excluded: Sequence[str] = EXCLUDED, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """A02, A03. files(source_name, rel_path, extension, content, size_bytes) under root, without hidden and excluded folders and long files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _dropped(part: str, excluded: Sequence[str]) -> bool:
+    return part.startswith(".") or part in excluded
+
+
+def _roots(folders: Sequence[str], excluded: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(whole, own) of the folders of a tree that hold files: the topmost ones below which nothing is left out, and those of which only the files directly in them are taken."""
+    split = [tuple(f.split("/")) if f else () for f in folders]
+    cuts = [next((i for i, part in enumerate(f) if _dropped(part, excluded)), None) for f in split]
+    mixed = {f[:i] for f, cut in zip(split, cuts) if cut is not None for i in range(cut + 1)}
+    whole, own = set(), set()
+    for f, cut in zip(split, cuts):
+        if cut is None:
+            top = next((f[:i] for i in range(len(f) + 1) if f[:i] not in mixed), None)
+            (own if top is None else whole).add("/".join(f if top is None else top))
+    return sorted(whole), sorted(own)
+
+
+def _pruned(spark: SparkSession, root: str, extensions: Sequence[str], excluded: Sequence[str]) -> DataFrame:
+    """The files of a tree with their content; what stands in folders that are left out, or has another extension, is listed at most, and never read.
+
+    Folders, not files, come to the driver, but for files beside a folder that is left out.
+    """
+    ending = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{ending}}}")
+    listed = reader.load(root).select(_relative(root).alias("rel")).withColumn("folder", F.regexp_extract("rel", "^(.*)/[^/]*$", 1))
+    whole, own = _roots([r["folder"] for r in listed.select("folder").distinct().collect()], excluded)
+    if whole == [""]:
+        return reader.load(root)
+    beside = [r["rel"] for r in listed.where(F.col("folder").isin(own)).select("rel").collect()] if own else []
+    # Names may hold what load() takes for a pattern.
+    paths = [f"{root.rstrip('/')}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in [*whole, *beside]]
+    return reader.load(paths) if paths else reader.load(root).limit(0)
+
+
+def _relative(root: str) -> Column:
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
     path = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    rel = F.substring(path, F.length(base) + 2, F.length(path))
+    return F.substring(path, F.length(base) + 2, F.length(path))
+
+
+def scan_tree(spark: SparkSession, root: str, source: str, extensions: Sequence[str] = EXTENSIONS, excluded: Sequence[str] = EXCLUDED, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """A02, A03. files(source_name, rel_path, extension, content, size_bytes) under root, without hidden and excluded folders and long files."""
+    raw = _pruned(spark, root, extensions, excluded)
     parts = F.split("rel_path", "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     extension = F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
-    rows = raw.where(F.col("length") <= max_bytes).withColumn("rel_path", rel).withColumn("extension", extension)
+    rows = raw.where(F.col("length") <= max_bytes).withColumn("rel_path", _relative(root)).withColumn("extension", extension)
     rows = rows.where(~F.exists(folders, lambda d: d.startswith(".") | d.isin(list(excluded))) & F.col("extension").isin(list(extensions)))
 
     def text(batches):
