@@ -26,3 +26,12 @@ def plan(df):
 
 def test_bound_edges_are_told_by_resolution(spark, tables):  # noqa: F811
     assert "LeftSemi" not in plan(registry.queries()["c10_bound_edges"](spark, tables[0]))
+
+
+@pytest.mark.parametrize("name", ["g12_interaction_sources", "g13_interaction_targets", "g14_interaction_summary", "g42_evidence_groups"])
+def test_reports_without_examples_sort_no_edges(spark, tables, name):  # noqa: F811
+    folder, con = tables
+    got = registry.queries()[name](spark, folder)
+    assert "Window" not in plan(got)
+    want = con.sql(registry.oracle_sql()[name]).project(", ".join(f'"{c}"' for c in got.columns)).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
