@@ -35,3 +35,29 @@ def test_reports_without_examples_sort_no_edges(spark, tables, name):  # noqa: F
     assert "Window" not in plan(got)
     want = con.sql(registry.oracle_sql()[name]).project(", ".join(f'"{c}"' for c in got.columns)).fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+@pytest.fixture(scope="module")
+def graph(spark, tmp_path_factory):
+    """r is called by a and b, a by c, c by a, and b calls nothing that is known; d's edge has no known origin."""
+    folder = str(tmp_path_factory.mktemp("graph"))
+    entities = [("service", n, "s" if n < "c" else "t", None, None, [], {}) for n in "abcr"]
+    spark.createDataFrame([(n, *e) for n, e in zip("abcr", entities)], "entity_id string, " + ENTITY).write.parquet(folder + "/entities")
+    edge = lambda i, a, b: (f"e{i}", a, a, "service", b or "gone", "service", b, "CALLS_SERVICE", b is not None, "s" if a < "c" else "t", None, i, None, "high", "p", {})
+    spark.createDataFrame([edge(1, "a", "r"), edge(2, "b", "r"), edge(3, "c", "a"), edge(4, "a", "c"), edge(5, "b", None), edge(6, "d", "r")], EDGE).write.parquet(folder + "/edges")
+    return spark.read.parquet(folder + "/entities"), spark.read.parquet(folder + "/edges")
+
+
+def trails(edges, start):
+    return sorted((r["root"], r["depth"], tuple(r["path"]), r["neighbor_id"]) for r in traverse.trails(edges, start, "in", 2).collect())
+
+
+def test_few_trails_go_to_the_edges(unhinted, graph, monkeypatch):
+    start = unhinted.createDataFrame([("r",), ("r",)], "root string")
+    assert "SortMergeJoin" not in plan(traverse.trails(graph[1], start, "in", 2))
+    few = trails(graph[1], start)
+    assert few == sorted([("r", 1, ("e1",), "a"), ("r", 1, ("e2",), "b"), ("r", 1, ("e6",), "d"), ("r", 2, ("e1", "e3"), "c")] * 2)
+    monkeypatch.setattr(traverse, "SMALL", 0)
+    assert trails(graph[1], start) == few
+    monkeypatch.setattr(traverse, "SMALL_IDS", 0)
+    assert trails(graph[1], start) == few
