@@ -61,3 +61,16 @@ def test_few_trails_go_to_the_edges(unhinted, graph, monkeypatch):
     assert trails(graph[1], start) == few
     monkeypatch.setattr(traverse, "SMALL_IDS", 0)
     assert trails(graph[1], start) == few
+
+
+def reads_edges(df):
+    return any("/edges/" in f for f in df.inputFiles())
+
+
+def test_levels_of_a_radius_are_stored(unhinted, graph):
+    entities, edges = graph
+    found = traverse.blast_radius(edges, entities, "r", "in", 2, None)
+    assert not reads_edges(found) and {(r["next_id"], r["depth"]) for r in found.collect()} == {("a", 1), ("b", 1), ("d", 1), ("c", 2)}
+    items = payloads.radius(found, edges, entities)
+    assert not reads_edges(items)
+    assert {r["next_id"]: list(r["payload"]["path"]["node_ids"]) for r in items.collect() if r["next_id"] in "abc"} == {"a": ["a", "r"], "b": ["b", "r"], "c": ["c", "a", "r"]}
