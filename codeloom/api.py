@@ -208,8 +208,7 @@ class Graph:
 
     def write(self, folder: str) -> None:
         """Makes this graph that of the folder, at once; sources that are there as they are now are not written again."""
-        stored = {n: cut(df) for n, df in self._tables().items()}
-        Stored(self.entities.sparkSession, folder).write(stored)
+        Stored(self.entities.sparkSession, folder).write(self._tables())
 
     def replace(self, folder: str, names: Sequence[str]) -> None:
         """A13, D06. Puts this graph's records into the stored one, in which the named sources give way; targets that nothing points at go with them.

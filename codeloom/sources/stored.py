@@ -1,6 +1,6 @@
 """Graph tables in a folder, replaced a source at a time and all at once.
 
-A write adds parts, a folder a table, build and source, and then one file of the table
+A write adds parts, a folder a table and build, and then one file of the table
 manifest, which says for each table and source which build counts and what its rows add up
 to. Readers take the last run of the manifest, so what a lost write leaves behind is never
 read, and the graph before it stays whole. Sources whose rows did not change keep their build.
@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codeloom.sources.tables import cut
+
 MANIFEST = "run long, token string, table string, source_name string, build string, sum string, schema string"
 #: Rows of a source that one file holds, about.
 FILE_ROWS = 2_000_000
@@ -62,11 +64,11 @@ class Stored:
                 builds.setdefault(r["build"], []).append(r["source_name"])
         if not builds:
             return self.spark.createDataFrame([], rows[0]["schema"])
-        at = f"{self.folder}/data/{table}"
-        found = self.spark.read.option("basePath", at).schema(f"{rows[0]['schema']}, build string").parquet(*[f"{at}/build={b}" for b in builds])
-        # Of partitions alone: nothing else is listed or read.
-        mine = reduce(lambda a, b: a | b, [(F.col("build") == b) & F.col("source_name").isin(names) for b, names in builds.items()])
-        return found.where(mine).drop("build")
+        parts = [self._part(table, b, rows[0]["schema"]).where(F.col("source_name").isin(names)) for b, names in builds.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _part(self, table: str, build: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/data/{table}/build={build}")
 
     def write(self, tables: dict[str, DataFrame], known: dict[str, dict[str, str]] | None = None) -> None:
         """Makes the given tables those of the folder. known: what the rows of each source of a table add up to, where the caller has that already."""
@@ -78,7 +80,17 @@ class Stored:
             df = df.select(*names, "source_name")
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
             now = (known or {}).get(table)
-            now = sums(df) if now is None else now
+            if now is None and not any(r["table"] == table and r["source_name"] is not None for r in before):
+                # Nothing to compare with: rows are written once, and counted where they are written.
+                now = {}
+                if not df.isEmpty():
+                    self._add(df, table, build, None)
+                    now = sums(self._part(table, build, schema))
+                rows += [(run, token, table, n, build, s, schema) for n, s in now.items()] or [(run, token, table, None, build, "", schema)]
+                continue
+            if now is None:
+                df = cut(df)
+                now = sums(df)
             same = {r["source_name"]: r["build"] for r in before if r["table"] == table and r["schema"] == schema and now.get(r["source_name"]) == r["sum"] and r["source_name"] is not None}
             changed = [n for n in now if n not in same]
             if changed:
@@ -88,11 +100,15 @@ class Stored:
         if any(r["token"] != token for r in self.manifest()[:1]):
             raise RuntimeError(f"another writer has replaced the tables of {self.folder} meanwhile")
 
-    def _add(self, df: DataFrame, table: str, build: str, counts: dict[str, int]) -> None:
+    def _add(self, df: DataFrame, table: str, build: str, counts: dict[str, int] | None) -> None:
+        """Writes a part, without moving its rows, or with counts a file for each source and FILE_ROWS of its rows: what changed may be little of a large table."""
+        if counts is None:
+            df.write.option("compression", "zstd").parquet(f"{self.folder}/data/{table}/build={build}")
+            return
         files = self.spark.createDataFrame([(n, 1 + c // FILE_ROWS) for n, c in counts.items()], "source_name string, _files int")
         dealt = df.join(files, "source_name").withColumn("_file", F.pmod(F.xxhash64(*[c for c in df.columns if c.endswith("_id") or c == "name"]), F.col("_files")))
         dealt = dealt.repartition("source_name", "_file").select(*df.columns)
-        dealt.write.partitionBy("source_name").parquet(f"{self.folder}/data/{table}/build={build}")
+        dealt.write.option("compression", "zstd").parquet(f"{self.folder}/data/{table}/build={build}")
 
     def tables(self) -> Sequence[str]:
         return sorted({r["table"] for r in self.manifest()})

@@ -74,3 +74,21 @@ def test_levels_of_a_radius_are_stored(unhinted, graph):
     items = payloads.radius(found, edges, entities)
     assert not reads_edges(items)
     assert {r["next_id"]: list(r["payload"]["path"]["node_ids"]) for r in items.collect() if r["next_id"] in "abc"} == {"a": ["a", "r"], "b": ["b", "r"], "c": ["c", "a", "r"]}
+
+
+def test_a_new_folder_is_written_once(spark, graph, tmp_path, monkeypatch):
+    def twice(*_):
+        raise AssertionError("written to the scratch folder first")
+
+    at = str(tmp_path / "g")
+    made = []
+    real = stored.Stored._add
+    monkeypatch.setattr("codeloom.api.cut", twice)
+    monkeypatch.setattr(stored.Stored, "_add", lambda self, df, *a: (made.append(plan(df)), real(self, df, *a)))
+    sources = spark.createDataFrame([(0, "s", "/s"), (1, "t", "/t")], "index long, name string, path string")
+    Graph("x", sources, *graph).write(at)
+    assert made and not any("Exchange" in p for p in made)
+    assert sorted(r["edge_id"] for r in Graph.read(spark, at, "x").edges.collect()) == ["e1", "e2", "e3", "e4", "e5", "e6"]
+    builds = {r["build"] for r in stored.Stored(spark, at).manifest()}
+    Graph("x", sources, *graph).write(at)
+    assert {r["build"] for r in stored.Stored(spark, at).manifest()} == builds and len(os.listdir(at + "/data/edges")) == 1
