@@ -76,6 +76,19 @@ def test_levels_of_a_radius_are_stored(unhinted, graph):
     assert {r["next_id"]: list(r["payload"]["path"]["node_ids"]) for r in items.collect() if r["next_id"] in "abc"} == {"a": ["a", "r"], "b": ["b", "r"], "c": ["c", "a", "r"]}
 
 
+def test_edges_of_known_ends_are_not_shuffled(unhinted, graph, monkeypatch):
+    entities, edges = graph
+    known = entities.where("entity_id <> 'c'")
+    assert "SortMergeJoin" not in plan(store.linked_edges(edges, known))
+    linked = lambda: sorted(r["edge_id"] for r in store.linked_edges(edges, known).collect())
+    new = (entities.where("entity_id = 'c'"), edges.where("edge_id = 'e3'"))
+    assert "SortMergeJoin" not in plan(store.replace_sources(graph, new, ["t"])[1])
+    replaced = lambda: sorted(r["edge_id"] for r in store.replace_sources(graph, new, ["t"])[1].collect())
+    for _ in range(2):
+        assert linked() == ["e1", "e2", "e5"] and replaced() == ["e3", "e5"]
+        monkeypatch.setattr(store, "SMALL_IDS", -1)
+
+
 def test_a_new_folder_is_written_once(spark, graph, tmp_path, monkeypatch):
     def twice(*_):
         raise AssertionError("written to the scratch folder first")
