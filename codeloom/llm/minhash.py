@@ -278,6 +278,11 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
 
 
+def _by_bucket(texts: DataFrame) -> DataFrame:
+    """Rows of texts whose held lists their buckets, as a row for each bucket."""
+    return texts.select(*[c for c in texts.columns if c != "held"], F.inline("held"))
+
+
 def _met(left: DataFrame, low: int, high: int, least: float) -> DataFrame:
     """Pairs (a, b) of a bucket's leads, those with a place from low to below high, with later members of other classes, without those that cannot be similar.
 
@@ -334,20 +339,20 @@ def _classes(s: Scratch, docs: DataFrame, least: float, k: int) -> DataFrame:
     comps = _merged(s, comps, found[1])
 
     # Members of buckets that still hold several classes, first of all with what rules out that they are similar.
-    now = members.where("n > 2").select("band", "rep", "n").join(comps, "rep")
+    # What is known of a text is joined to one row of it, which lists its buckets.
+    place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n")).alias("place")
+    now = _by_bucket(members.where("n > 2").groupBy("rep").agg(F.collect_list(F.struct("band", "n", place)).alias("held")).join(comps, "rep"))
     mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     now = s.cut(now.join(mixed, "band", "left_semi"), "open")
-    of_rep = now.groupBy("rep").agg(F.collect_set("band").alias("bands"))
+    of_rep = s.cut(now.groupBy("rep", "comp").agg(F.collect_set("band").alias("bands"), F.collect_list(F.struct("band", "n", "place")).alias("held")), "held")
     texts = s.cut(texts.join(of_rep.select("rep"), "rep", "left_semi"), "open-texts")
-    of_rep = s.cut(of_rep.join(_sizes(s, texts, weights, k), "rep").join(pivots, "rep", "left"), "known")
-    place = F.floor(F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30)) / (1 << 30) * F.col("n"))
-    left = s.cut(now.join(of_rep, "rep").withColumn("place", place), "open")
+    left = s.cut(of_rep.join(_sizes(s, texts, weights, k), "rep").join(pivots, "rep", "left"), "known")
     turn = 0
     while True:
         low, high = STEP**turn // STEP, STEP**turn
-        if not left.where(F.col("place") >= low).limit(1).count():
+        if not left.where(F.exists("held", lambda h: h["place"] >= low)).limit(1).count():
             break
-        fresh = s.cut(_met(left, low, high, least).join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = s.cut(_met(_by_bucket(left), low, high, least).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(fresh)
         links = _verified(s, fresh, texts, weights, least, k)
         if links.limit(1).count():
