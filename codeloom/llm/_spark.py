@@ -93,7 +93,7 @@ class Scratch:
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows that jobs started inside pass to Python at once, at most."""
+    """Rows that jobs started inside pass to Python at once, at most; a DataFrame made inside and run later is not bound by it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))

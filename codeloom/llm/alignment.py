@@ -185,8 +185,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_p
             if texts:
                 yield out(batch.column(0).slice(at, len(texts)), texts)
 
-    with arrow_rows(docs.sparkSession, TEXT_ROWS):
-        return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {FIELDS}, links array<long>" + (", groups string" if written else ""))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {FIELDS}, links array<long>" + (", groups string" if written else ""))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -248,8 +247,7 @@ def scored(rows: DataFrame, counts: DataFrame, s: Scratch) -> DataFrame:
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain)
-    with arrow_rows(rows.sparkSession, TEXT_ROWS):
-        done = s.cut(rows.mapInArrow(run, f"{schema}, n_best long, count_sum long, rest array<long>"), "scored")
+    done = s.cut(rows.mapInArrow(run, f"{schema}, n_best long, count_sum long, rest array<long>"), "scored")
     links = done.select("row", F.explode("rest").alias("pair")).groupBy("row", "pair").agg(F.count(F.lit(1)).alias("n"))
     if not done.where(F.size("rest") > 0).limit(1).count():
         return s.keep(done).drop("rest")
@@ -262,7 +260,8 @@ def scored(rows: DataFrame, counts: DataFrame, s: Scratch) -> DataFrame:
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: str = "end", written: bool = False, **paths) -> DataFrame:
     """One row a document: its id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and with written the groups."""
-    with Scratch() as s:
+    # All jobs run inside, so that each of them passes few texts and lists of links to Python at once.
+    with Scratch() as s, arrow_rows(docs.sparkSession, TEXT_ROWS):
         rows = s.cut(aligned(docs, id_col, text_col, links=links, written=written, **paths).withColumn("row", F.monotonically_increasing_id()), "aligned")
         counts = s.cut(pair_counts(rows), "pairs")
         done = scored(rows, counts, s)

@@ -40,8 +40,10 @@ CAPACITY = 1024
 END_ID = 0
 #: Remainders that wait for a place at once.
 WINDOW = 8192
-CHUNK_CHARS = 1 << 20
-MOST_CACHED = 1_500_000
+CHUNK_CHARS = 1 << 18
+MOST_CACHED = 1 << 19
+#: Code points classified at once.
+CLASS_BLOCK = 1 << 14
 
 U = np.uint64
 #: Fixed value: how byte-level BPE splits a text before merging.
@@ -54,9 +56,10 @@ _ROOT, _SPACE, _LETTER, _NUMBER, _OTHER = 0x9E3779B97F4A7C15 | 1, 0, 1, 2, 3
 def _classes() -> np.ndarray:
     """White space, letter, number or other, by code point."""
     out = np.full(0x110000, _OTHER, np.uint8)
-    every = "".join(map(chr, [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]))
-    for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
-        out[[ord(c) for c in regex.findall(pattern, every)]] = kind
+    for at in range(0, 0x110000, CLASS_BLOCK):
+        every = "".join(chr(c) for c in range(at, at + CLASS_BLOCK) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+            out[[ord(c) for c in regex.findall(pattern, every)]] = kind
     return out
 
 
@@ -68,14 +71,18 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_ROOT, pow(_ROOT, -1, 1 << 64)):
-        full = np.full(n, base, U)
-        full[0] = 1
-        out.append(np.multiply.accumulate(full))
-    return out[0], out[1]
+_held_powers: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of a root and of its inverse; only the longest lists are held."""
+    if not _held_powers or len(_held_powers[0]) < n:
+        _held_powers.clear()
+        for base in (_ROOT, pow(_ROOT, -1, 1 << 64)):
+            full = np.full(n, base, U)
+            full[0] = 1
+            _held_powers.append(np.multiply.accumulate(full, out=full))
+    return _held_powers
 
 
 class Encoder:
@@ -152,7 +159,7 @@ class Encoder:
         first[last[plain] + 1] = False
         start = np.flatnonzero(first[:n])
         end = np.append(start[1:], n)
-        up, down = _powers(max(1 << 21, 1 << int(n + 1).bit_length()))
+        up, down = _powers(1 << int(n + 1).bit_length())
         prefix = np.zeros(n + 1, U)
         np.cumsum((code.astype(U) + U(1)) * up[:n], out=prefix[1:])
         key = mix((prefix[end] - prefix[start]) * down[start] + U(0x51ED2701))

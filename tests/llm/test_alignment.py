@@ -103,3 +103,11 @@ def test_empty_table_null_and_repeated_ids_and_clashing_columns(spark, docs_of):
 def test_other_link_kinds_are_an_error(docs_of):
     with pytest.raises(ValueError):
         alignment.align(docs_of(["a"]), links="all")
+
+
+def test_every_job_passes_few_rows_to_python_at_once(spark, docs_of, monkeypatch):
+    seen, cut = [], alignment.Scratch.cut
+    monkeypatch.setattr(alignment.Scratch, "cut", lambda s, df, kind: seen.append((kind, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or cut(s, df, kind))
+    alignment.align(docs_of(TEXTS))
+    assert seen[:2] == [("aligned", str(alignment.TEXT_ROWS)), ("pairs", str(alignment.TEXT_ROWS))]
+    assert {n for _, n in seen} == {str(alignment.TEXT_ROWS)} != {spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}

@@ -83,3 +83,21 @@ def test_added_tokens_are_single_ids_as_the_library_has_them_by_default(docs_of,
         assert sum(r["length"] for r in pieces[i]) == len(ids)
         for r in pieces[i]:
             assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_tables_of_a_worker_stay_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        packing._classes.__wrapped__()
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_forgotten_are_encoded_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_CACHED", 8)
+    coder, texts = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), [" ".join(f"w{(i * 7 + j) % 50}" for j in range(6)) for i in range(40)]
+    for text in texts:
+        assert coder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
