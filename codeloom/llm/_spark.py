@@ -13,12 +13,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A key is heavy from this share of the rows on, so at most 1/HEAVY_SHARE keys are heavy.
 HEAVY_SHARE = 1 / 1024
 #: Parts that the rows of one heavy key are dealt to.
 HEAVY_PARTS = 64
+#: Rows of whole texts that a function in Python works on at once.
+FEW_ROWS = 512
 
 _own_dir: dict[str, str] = {}
 
@@ -103,6 +106,13 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = FEW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most, for functions whose job starts after arrow_rows() has ended."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def free(df: DataFrame, name: str) -> str:
     """The name, with underscores before it as long as df has a column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from codeloom.llm._spark import Scratch, free, salted_join
+from codeloom.llm._spark import FEW_ROWS, Scratch, arrow_rows, few_rows, free, salted_join
 from codeloom.llm._text import U, VISIBLE, Words, _power, chunks, grams, mix, spread
 
 LINE, WINDOW = 26, 25
@@ -214,7 +214,7 @@ def _spans(h: np.ndarray, found: list[dict], whole: list[dict], least: int) -> l
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_RUN, details: bool = False, within: bool = False, line_words: int | None = None) -> DataFrame:
     """docs with later repeated runs deleted from the texts; within: those of the same document too; line_words: and whole lines of so many words; with details also removed_words and spans(start, words, sources)."""
-    with Scratch() as s:
+    with Scratch() as s, arrow_rows(docs.sparkSession, FEW_ROWS):
         return _cleaned(docs, s.keep(_repeated(s, docs, id_col, text_col, within, line_words)), id_col, text_col, least, details)
 
 
@@ -239,7 +239,7 @@ def _cleaned(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, l
     schema = T.StructType([docs.schema[i] for i in kept] + ([T.StructField("removed_words", T.LongType()), T.StructField("spans", spans_type)] if details else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(at).to_pylist()
             removed, spans = [0] * len(texts), [[] for _ in texts]
             lists, wholes = batch.column(len(names)), batch.column(len(names) + 1)

@@ -34,6 +34,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from codeloom.llm._spark import few_rows
 from codeloom.llm._text import mix
 
 CAPACITY = 1024
@@ -302,7 +303,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             columns = list(zip(*rows)) if rows else [[] for _ in FIELDS]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], FIELDS)
 
-        for batch in batches:
+        for batch in few_rows(batches):
             kind = batch.column(0).type
             ids, texts, chars, rows = batch.column(0).to_pylist(), [], 0, []
             at = 0

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm._spark import Scratch
+from codeloom.llm._spark import Scratch, few_rows
 
 #: Characters that look like Latin letters, and what they look like.
 HOMOGLYPHS = {
@@ -289,7 +289,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", reject
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in few_rows(batches):
             yield batch.filter(pa.array([matcher.score(t.as_py()) < reject for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

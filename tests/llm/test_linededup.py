@@ -57,3 +57,10 @@ def test_later_repeats_inside_a_document_are_deleted(docs_of, sentence):
     left = rows[4]["text"].split()
     assert set(left) == {"x", "y"} and 26 <= len(left) <= 76
     assert rows[5]["text"] == texts[5] and rows[5]["removed_words"] == 0
+
+
+def test_every_job_passes_few_rows_to_python_at_once(spark, docs_of, sentence, monkeypatch):
+    seen, cut = {}, linededup.Scratch.cut
+    monkeypatch.setattr(linededup.Scratch, "cut", lambda s, df, kind: seen.update({kind: spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}) or cut(s, df, kind))
+    linededup.dedup(docs_of([sentence(1), sentence(1)]))
+    assert seen["lines"] == seen["around"] == str(linededup.FEW_ROWS)

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from codeloom.llm import toxicity
 
 
@@ -48,3 +50,15 @@ def test_no_labels_and_empty_table(spark, docs_of):
     assert lexicon.weights == toxicity.DEFAULT_LEXICON
     assert toxicity.score(docs, lexicon).count() == 3
     assert toxicity.score(docs.limit(0), lexicon).count() == 0
+
+
+def test_few_rows_are_scored_at_once():
+    class Docs:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(["plain words"] * 1300)], ["doc_id", "text"])
+    got = list(toxicity.keep_clean(Docs(), toxicity.Lexicon({"bad": 3.0}, ()))(iter([batch])))
+    assert [len(b) for b in got] == [512, 512, 276] and pa.Table.from_batches(got).column(0).to_pylist() == list(range(1300))
