@@ -137,22 +137,29 @@ def heavy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.select(*keys).schema)
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def heavy_of(counts: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """heavy() of counts(keys, n), of a table of so many rows."""
+    found = counts.where(F.col("n") > max(1000.0, rows * HEAVY_SHARE)).select(*keys).limit(int(1 / HEAVY_SHARE) + 1).collect()
+    return counts.sparkSession.createDataFrame(found, counts.select(*keys).schema)
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: str, how: str = "inner", counted: DataFrame | None = None, hot: DataFrame | None = None, merge: bool = False) -> DataFrame:
     """many joined with few on keys, where few has one row a key and many may have a third of all rows under one key.
 
     Rows of many with a heavy key are dealt to HEAVY_PARTS parts by a hash of the
     column ``by``; the row of few is repeated once a part. many should be a table, or
-    counted one with the same keys (it is read once more, for their counts).
+    counted one with the same keys (it is read once more, for their counts), unless hot
+    gives the heavy keys. merge: both are shuffled at every size.
     """
     keys = list(keys)
-    hot = F.broadcast(heavy(many if counted is None else counted, keys).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast((heavy(many if counted is None else counted, keys) if hot is None else hot).withColumn("_hot", F.lit(True)))
     left = many.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(HEAVY_PARTS))).otherwise(F.lit(0)).cast("int")
     ).drop("_hot")
     right = few.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HEAVY_PARTS - 1))).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return (left.hint("merge") if merge else left).join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def ranges(df: DataFrame, key: str, rows_each: int = 4096) -> list[int]:

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from codeloom.llm._spark import FEW_ROWS, Scratch, arrow_rows, few_rows, free, salted_join
+from codeloom.llm._spark import FEW_ROWS, Scratch, arrow_rows, few_rows, free, heavy_of, salted_join
 from codeloom.llm._text import U, VISIBLE, Words, _power, chunks, grams, mix, spread
 
 LINE, WINDOW = 26, 25
@@ -134,13 +134,16 @@ def runs(s: Scratch, docs: DataFrame, id_col: str, text_col: str, within: bool =
     first line's source and are not part of the span.
     """
     lines = s.cut(selected(docs, id_col, text_col, line_words), "lines")
-    first = lines.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("m"), F.max(F.struct("id", "pos") if within else F.col("id")).alias("last"))
-    first = first.where(F.col("last") > (F.col("m") if within else F.col("m.id"))).select("hash", F.col("m.id").alias("source"), F.col("m.pos").alias("source_pos"))
+    first = lines.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("m"), F.max(F.struct("id", "pos") if within else F.col("id")).alias("last"), F.count(F.lit(1)).alias("n"))
+    first = s.cut(first.where(F.col("last") > (F.col("m") if within else F.col("m.id"))).select("hash", "n", F.col("m.id").alias("source"), F.col("m.pos").alias("source_pos")), "first")
     later = F.col("id") > F.col("source")
     if within:
         later |= (F.col("id") == F.col("source")) & (F.col("pos") >= F.col("source_pos") + F.coalesce("words", F.lit(LINE)))
-    every = s.cut(lines.hint("merge").join(first, "hash").where(later).select("id", "version", "source", "pos", "source_pos", "words"), "met")
+    # A line that very many documents hold is dealt to several tasks.
+    every = salted_join(lines, first.drop("n"), ["hash"], "id", hot=heavy_of(first, ["hash"], lines.count()), merge=True)
+    every = s.cut(every.where(later).select("id", "version", "source", "pos", "source_pos", "words"), "met")
     s.drop(lines)
+    s.drop(first)
     whole = every.where("words is not null").select("id", "version", F.col("pos").alias("start"), "words", "source")
     met = every.where("words is null").select("id", "version", "source", "pos", "source_pos")
     w = Window.partitionBy("id", "version").orderBy("pos")

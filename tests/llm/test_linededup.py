@@ -64,3 +64,13 @@ def test_every_job_passes_few_rows_to_python_at_once(spark, docs_of, sentence, m
     monkeypatch.setattr(linededup.Scratch, "cut", lambda s, df, kind: seen.update({kind: spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}) or cut(s, df, kind))
     linededup.dedup(docs_of([sentence(1), sentence(1)]))
     assert seen["lines"] == seen["around"] == str(linededup.FEW_ROWS)
+
+
+def test_a_very_common_line_is_dealt_to_several_tasks(docs_of, sentence, monkeypatch):
+    seen, join = [], linededup.salted_join
+    monkeypatch.setattr(linededup, "salted_join", lambda many, few, keys, by, hot=None, **how: seen.append((keys, hot.count() if hot else 0)) or join(many, few, keys, by, hot=hot, **how))
+    line = sentence(1, 12)
+    texts = [f"{line}\nown {i}" for i in range(1200)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs_of(texts), line_words=8).collect()}
+    assert got == {i: t if i == 0 else f"own {i}" for i, t in enumerate(texts)}
+    assert seen[0] == (["hash"], 1)
