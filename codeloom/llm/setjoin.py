@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.llm import _spark
 from codeloom.llm._spark import Scratch, arrow_rows, parts, salted_join
@@ -47,6 +47,8 @@ COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 12
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 22
 #: Classes of sizes up to the largest ratio of two sets that link.
 SIZE_CLASSES = 4
+#: Sets of a shingle of which each pair is looked at, at most.
+PAIR_SETS = 16
 #: Children of a node, and bits of a bitmap, at most.
 FAN_OUT, MOST_BITS = 8, 1 << 14
 #: Node pairs and shingles that are compared at once.
@@ -298,45 +300,53 @@ def _searched(rows: DataFrame, k: int, least: int) -> DataFrame:
         return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _least_common(n: Column, least: int) -> Column:
+    """What a pair must have in common before the end of the prefix of the set of size n, less what it must have in common at all."""
+    return F.floor(-n * least / 100 + 1e-6) + 1
+
+
 def _pairs(held: DataFrame, least: int) -> DataFrame:
-    """(a, b): sets that two-set shingles of held(rep, n, shingle, met) join, where what they have in common there, and may have in others, is enough.
+    """(a, b): sets that shingles of PAIR_SETS sets at most of held(rep, n, shingle, met, shared, wide) join, where what they have in common there, and may have in others, is enough.
 
     Two sets have at most so much in common as the first shingles up to the end of one's prefix leave possible: it is short of that one's
-    size by its prefix's shingles that the other lacks. Of the shingles of more than two sets, all might be common.
+    size by its prefix's shingles that the other lacks. Of the shingles of more sets, all might be common. A shingle makes fewer than
+    PAIR_SETS / 2 pairs for each of its sets, of which those of sets that share too little with any others are never made.
     """
-    ends = lambda f: f(F.struct("rep", "n"))
-    pairs = held.where("met = 2").groupBy("shingle").agg(ends(F.min).alias("x"), ends(F.max).alias("y"))
-    pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("s"), F.col("y.n").alias("t")).agg(F.count(F.lit(1)).alias("common"))
-    wide = held.where("met > 2").groupBy("rep").agg(F.count(F.lit(1)).alias("wide"))
-    for end in ("a", "b"):
-        pairs = pairs.join(wide.select(F.col("rep").alias(end), F.col("wide").alias("wide_" + end)), end, "left")
-    need = F.ceil((F.col("s") + F.col("t")) * (least / (100 + least)) - 1e-6)
-    prefix = lambda n: n + F.floor(-n * least / 100 + 1e-6) + 1
-    least_common = F.least(*[need - F.col(n) + prefix(F.col(n)) for n in ("s", "t")])
-    might = F.col("common") + F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
-    fits = F.least("s", "t") * 100 >= F.greatest("s", "t") * least
-    return pairs.where(fits & (might >= least_common)).select("a", "b")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * (least / (100 + least)) - 1e-6)
+    least_common = F.least(*[need + _least_common(F.col(c), least) for c in ("x.n", "y.n")])
+    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * least
+    sets = held.where(F.col("met") <= PAIR_SETS).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("rep", "n", "shared", "wide"))).alias("sets"))
+    pairs = sets.select(F.posexplode("sets").alias("at", "x"), "sets").select("x", F.explode(F.slice("sets", F.col("at") + 2, F.lit(PAIR_SETS))).alias("y"))
+    pairs = pairs.where(fits & (F.least("x.shared", "y.shared") >= least_common))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (least_common - F.least("x.wide", "y.wide")).alias("lacks"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("lacks").alias("lacks")).where("common >= lacks").select("a", "b")
 
 
 def _clusters(s: Scratch, reps: DataFrame, least: int) -> DataFrame:
     """(node, comp) of the sets that share deciding shingles with another of a fitting size, by itself or others between them.
 
-    Of a shingle of two sets the pair is looked at. Others meet under keys: sizes fall into classes of equal ratios, SIZE_CLASSES of them up to the largest ratio that can link. How many first shingles
+    Of a shingle of PAIR_SETS sets at most the pairs are looked at: the more sets there are, the more of them meet by chance, and clusters of
+    those would grow together. Others meet under keys: sizes fall into classes of equal ratios, SIZE_CLASSES of them up to the largest ratio that can link. How many first shingles
     of a set decide depends on the other's size: the nearer the sizes, the more must be common. So a shingle meets
-    another set's under a key for each pair of classes, if it stands among those that decide there.
+    another set's under a key for each pair of classes, if it stands among those that decide there, and if its set shares as many shingles
+    with any others as it would have to share with one of that class.
     """
-    by_shingle = Window.partitionBy("shingle")
+    by_shingle, by_rep = Window.partitionBy("shingle"), Window.partitionBy("rep")
     held = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    held = s.cut(held.withColumn("met", F.count(F.lit(1)).over(by_shingle)).where("met > 1"), "shared")
+    held = held.withColumn("met", F.count(F.lit(1)).over(by_shingle)).where("met > 1")
+    held = s.cut(held.withColumns({"shared": F.count(F.lit(1)).over(by_rep), "wide": F.count_if(F.col("met") > PAIR_SETS).over(by_rep)}), "shared")
     step = math.log(100 / least) / SIZE_CLASSES * (1 + 1e-9)
     share = least / (100 + least)
-    # A little below the smallest size of a class, so that rounding never takes a shingle away.
+    # A little below the smallest size of a class, and above its largest, so that rounding never takes a shingle away.
     low = lambda c: F.exp(c * step) * (1 - 1e-9)
+    high = lambda c: F.exp((c + 1) * step) * (1 + 1e-9)
     own = F.floor(F.log("n") / step).cast("int")
-    decides = lambda other: F.col("pos") < F.col("n") - F.ceil((F.col("n") + low(other)) * share - 1e-6) + 1
+    need = lambda other: F.ceil((F.col("n") + low(other)) * share - 1e-6)
+    enough = lambda other: F.col("shared") >= F.least(need(other) + _least_common(F.col("n"), least), F.col("n") * share - high(other) * (least / 100 - share) - 1e-6)
+    decides = lambda other: (F.col("pos") < F.col("n") - need(other) + 1) & enough(other)
     as_smaller = [F.when(decides(F.col("class") + d), F.struct(F.col("class").alias("class"), F.lit(d).alias("apart"), F.lit(0).alias("role"))) for d in range(SIZE_CLASSES + 1)]
     as_larger = [F.when(decides(F.col("class") - d), F.struct((F.col("class") - d).alias("class"), F.lit(d).alias("apart"), F.lit(1).alias("role"))) for d in range(1, SIZE_CLASSES + 1)]
-    keyed = held.where("met > 2").withColumn("class", own).withColumn("key", F.explode(F.array_compact(F.array(*as_smaller, *as_larger)))).select("shingle", "key.*", "rep")
+    keyed = held.where(F.col("met") > PAIR_SETS).withColumn("class", own).withColumn("key", F.explode(F.array_compact(F.array(*as_smaller, *as_larger)))).select("shingle", "key.*", "rep")
     by_key = Window.partitionBy("shingle", "class", "apart")
     met = keyed.withColumns({"leader": F.min("rep").over(by_key), "from": F.min("role").over(by_key), "to": F.max("role").over(by_key)})
     # Of different classes a key needs sets of both; all of them then hang together by the smallest.

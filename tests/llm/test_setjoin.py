@@ -116,3 +116,24 @@ def test_very_long_text(spark, docs_of):
     long = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
     rows = list(enumerate([" ".join(long), " ".join(long[:190_000]), " ".join(long[:150_000])]))
     assert found(docs_of([t for _, t in rows])) == brute(rows)
+
+
+def test_sets_that_meet_by_chance_form_no_clusters(spark):
+    """Rings of 3 and 20 sets of 100 shingles share one or two deciding shingles each with the next: too few to link, so they need no search."""
+    from codeloom.llm._spark import Scratch
+
+    rows = []
+    for base, members in ((0, 9), (1000, 60)):
+        for i in range(members):
+            own = [10**6 + (base + i) * 100 + x for x in range(14)]
+            rows.append((base + i, 100, [base + i // (members // 3), base + 500 + (i + 1) // (members // 3)] + own))
+    reps = spark.createDataFrame(rows, "rep long, n long, prefix array<long>")
+    with Scratch() as s:
+        assert setjoin._clusters(s, reps, 85).collect() == []
+
+
+@pytest.mark.parametrize("pairs", [2, 7, 200])
+def test_any_bound_of_pairs_gives_the_same_components(spark, docs_of, monkeypatch, pairs):
+    monkeypatch.setattr(setjoin, "PAIR_SETS", pairs)
+    rows = list(enumerate(corpus()))
+    assert found(docs_of([t for _, t in rows])) == brute(rows)
