@@ -6,7 +6,7 @@ import pytest
 from test_view import EDGE, ENTITY, tables  # noqa: F401
 
 from codeloom.api import Graph
-from codeloom.operators import payloads, store, traverse
+from codeloom.operators import payloads, reports, store, traverse
 from codeloom.plans import registry
 from codeloom.sources import stored
 
@@ -105,3 +105,13 @@ def test_a_new_folder_is_written_once(spark, graph, tmp_path, monkeypatch):
     builds = {r["build"] for r in stored.Stored(spark, at).manifest()}
     Graph("x", sources, *graph).write(at)
     assert {r["build"] for r in stored.Stored(spark, at).manifest()} == builds and len(os.listdir(at + "/data/edges")) == 1
+
+
+def test_alike_sql_references_are_counted_before_they_meet_entities(spark):
+    """Thirty calls of one object that differ in their origins and lines are one row of the report's evidence, with the smallest id."""
+    entities = spark.createDataFrame([("t1", "sql_table", "orders", "db", None, None, [], {"schema_state": "current_database"})], "entity_id string, " + ENTITY)
+    edge = lambda i, parser: (f"e{i:02}", f"f{i}", f"f{i}", "file", "gone", "sql_object", None, "CALLS_SQL", False, "s", None, i, None, "high", parser, {})
+    edges = spark.createDataFrame([edge(i, "sql_reference" if i < 30 else "sqlserver_metadata") for i in range(32)], EDGE)
+    assert sorted((r["metadata"], r["n"], r["edge_id"]) for r in reports.sql_edges(edges, entities).collect()) == [(False, 30, "e00"), (True, 2, "e30")]
+    got = {(r["classification"], r["target_name"], r["count"], r["example"]) for r in reports.reconciliation_groups(edges, entities).collect()}
+    assert got == {("code_only_reference", "gone", 30, "e00"), ("unresolved_database_reference", "gone", 2, "e30"), ("database_only_object", "orders", 1, "t1")}
