@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.functions.exprs import edge_id, entity_id, package_root, python_package, string_value
+from codeloom.sources.tables import SMALL_IDS, cut
 from codeloom.vocabulary import INTERACTION_DEPENDENCY_SCOPES, INTERACTION_EDGE_TYPES, INTERACTION_EVIDENCE_KEYS, INTERACTION_KINDS, INTERACTION_TARGET_BOUNDARIES
 
 
@@ -20,13 +21,27 @@ def upsert_entities(facts: DataFrame) -> DataFrame:
     )
 
 
-def upsert_edges(facts: DataFrame) -> DataFrame:
-    """C02. One row an edge: the last fact by seq, whole."""
-    facts = facts.withColumn("edge_id", edge_id())
+def _last_facts(facts: DataFrame) -> DataFrame:
+    """The last fact by seq of each edge_id, whole."""
     names = [c for c in facts.columns if c != "edge_id"]
     return facts.groupBy("edge_id").agg(F.max_by(F.struct(*names), "seq").alias("l")).select("edge_id", "l.*")
 
 
+def upsert_edges(facts: DataFrame) -> DataFrame:
+    """C02. One row an edge: the last fact by seq, whole.
+
+    Hashes of ids tell which edges may have several facts. If these are few, they go to the facts, and only their facts are shuffled.
+    """
+    facts = facts.select(edge_id().alias("edge_id"), *[c for c in facts.columns if c != "edge_id"])
+    hashed = facts.withColumn("_hash", F.xxhash64("edge_id"))
+    turn = F.row_number().over(Window.partitionBy("_hash").orderBy("_hash"))
+    repeated = cut(hashed.select("_hash", turn.alias("turn")).where("turn = 2").select("_hash"))
+    if repeated.count() > SMALL_IDS:
+        return _last_facts(facts)
+    once, several = (hashed.join(F.broadcast(repeated), "_hash", how).drop("_hash") for how in ("left_anti", "left_semi"))
+    return once.unionByName(_last_facts(several))
+
+
 def reference_id(ref: str) -> Column:
     """C03. The id of an entity reference struct: its own id, else that of its source, type, name and path; NULL without a source."""
     own = F.when(F.col(f"{ref}.source_name").isNotNull(), entity_id(f"{ref}.source_name", f"{ref}.entity_type", f"{ref}.name", f"{ref}.file_path"))
@@ -54,7 +69,8 @@ def merge_graphs(*graphs: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataF
             out = part if out is None else out.unionByName(part)
         return out.drop("entity_id" if which == 0 else "edge_id")
 
-    return upsert_entities(numbered(0)), upsert_edges(numbered(1))
+    # Graphs that are merged may share most edges, so that few hashes would not tell them.
+    return upsert_entities(numbered(0)), _last_facts(numbered(1).withColumn("edge_id", edge_id()))
 
 
 def summary(sources: DataFrame, entities: DataFrame, edges: DataFrame, issues: DataFrame | None = None) -> DataFrame:

@@ -3,10 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from test_view import EDGE, ENTITY, tables  # noqa: F401
 
 from codeloom.api import Graph
-from codeloom.operators import payloads, reports, store, traverse
+from codeloom.functions import exprs
+from codeloom.operators import assemble, payloads, reports, store, traverse
 from codeloom.plans import registry
 from codeloom.sources import stored
 
@@ -24,6 +26,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffled_rows(node):
+    """The rows that a plan's shuffles wrote when it ran."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(node.plan())
+    below = sum(shuffled_rows(node.children().apply(i)) for i in range(node.children().size()))
+    return below + (node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0)
+
+
 def test_bound_edges_are_told_by_resolution(spark, tables):  # noqa: F811
     assert "LeftSemi" not in plan(registry.queries()["c10_bound_edges"](spark, tables[0]))
 
@@ -115,3 +128,26 @@ def test_alike_sql_references_are_counted_before_they_meet_entities(spark):
     assert sorted((r["metadata"], r["n"], r["edge_id"]) for r in reports.sql_edges(edges, entities).collect()) == [(False, 30, "e00"), (True, 2, "e30")]
     got = {(r["classification"], r["target_name"], r["count"], r["example"]) for r in reports.reconciliation_groups(edges, entities).collect()}
     assert got == {("code_only_reference", "gone", 30, "e00"), ("unresolved_database_reference", "gone", 2, "e30"), ("database_only_object", "orders", 1, "t1")}
+
+
+def test_only_edges_of_several_facts_are_shuffled(unhinted, monkeypatch):
+    """Each of the edges 0 and 1 has three facts, of which the last counts, whole; the others have one."""
+    fact = lambda i, seq: (f"f{i}", "a", "file", "x", f"type {seq}", None, "CALLS_SQL", False, "s", None, 5, None, "high", f"parser {seq}", {"seq": str(seq)}, seq)
+    facts = unhinted.createDataFrame([fact(i, seq) for i in range(200) for seq in ((2, 3, 1) if i < 2 else (1,))], EDGE.replace("edge_id string, ", "") + ", seq long")
+    want = sorted((f"f{i}", f"type {seq}", f"parser {seq}", {"seq": str(seq)}, seq) for i in range(200) for seq in [3 if i < 2 else 1])
+    got = lambda df: sorted((r["from_entity_id"], r["to_type"], r["parser"], r["properties"], r["seq"]) for r in df.collect())
+    edges = assemble.upsert_edges(facts)
+    assert edges.columns == ["edge_id", *facts.columns] and got(edges) == want
+    assert 2 <= shuffled_rows(edges._jdf.queryExecution().executedPlan()) <= 6
+    with monkeypatch.context() as m:
+        m.setattr(assemble.F, "xxhash64", lambda *_: F.lit(1).cast("long"))  # as if all ids had one hash
+        assert got(assemble.upsert_edges(facts)) == want
+    monkeypatch.setattr(assemble, "SMALL_IDS", 1)
+    assert got(assemble.upsert_edges(facts)) == want
+
+
+def test_first_and_last_ids_are_found_without_sorting_edges(spark, tables):  # noqa: F811
+    assert "Sort [edge_type" not in plan(registry.queries()["c02_edge_upsert"](spark, tables[0]))
+    ids = ["0" * 24, "f" * 24, "0" * 12 + "f" * 12, "f" * 12 + "0" * 12, "0" * 11 + "1" + "0" * 12, "0123456789abcdef01234567"]
+    rows = spark.createDataFrame([(x,) for x in ids], "id string").withColumn("n", exprs.id_number("id")).select("id", "n", exprs.id_text("n").alias("back")).orderBy("n").collect()
+    assert [r["id"] for r in rows] == [r["back"] for r in rows] == sorted(ids)
